@@ -125,7 +125,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(FIXTURE_SQL[name])
 
 
-def with_fixtures(sql: str, *names: str) -> str:
+def with_fixtures(sql: str, *names: str, recursive: bool = False) -> str:
     """Prefix an oracle query with the derived inputs it reads, as CTEs."""
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in names)
-    return f"WITH {ctes}\n{sql}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{sql}"
