@@ -93,3 +93,30 @@ def cluster_ctes(names_cte: str, threshold: float = 0.85, prefix: str = "") -> s
 {p}canon AS (SELECT t.id, t.name, t.comp, k.name AS canonical FROM {p}tagged t JOIN
            (SELECT comp, name FROM (SELECT comp, name, row_number() OVER (PARTITION BY comp ORDER BY length(name), id) AS r
                                     FROM {p}tagged) z WHERE r = 1) k USING (comp))"""
+
+
+def item_of(line: str) -> str:
+    """Reference-mode text of a marker line (after the first '.')."""
+    after = f"(CASE WHEN instr({line}, '.') > 0 THEN substring({line}, instr({line}, '.') + 1) ELSE {line} END)"
+    return strip(f"ltrim({strip(after)}, '- ')")
+
+
+def list_items(content: str, limit: int | None = None) -> str:
+    lines = f"list_transform(string_split({content}, chr(10)), lambda l: {strip('l')})"
+    marked = f"list_filter({lines}, lambda l: length(l) > 0 AND regexp_matches(l, '^(\\p{{Nd}}|-)'))"
+    items = f"list_filter(list_transform({marked}, lambda l: {item_of('l')}), lambda t: length(t) > 0)"
+    if limit is not None:
+        items = f"list_slice({items}, 1, {limit})"
+    return f"coalesce({items}, [])"
+
+
+def render(template: str, **slots: str) -> str:
+    """A prompt template as a SQL concat of literals and slot expressions."""
+    import string
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        if literal:
+            parts.append(q(literal))
+        if field is not None:
+            parts.append(f"coalesce(CAST({slots[field]} AS VARCHAR), 'None')")
+    return "(" + " || ".join(parts) + ")"

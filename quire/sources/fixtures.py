@@ -72,6 +72,28 @@ SELECT conv_id AS i, turn AS j,
          WHEN 1 THEN concat('Premises:', chr(10), '- first', chr(10), 'Claim: late', chr(10), '2. lost')
          WHEN 2 THEN 'no structure here'
          ELSE concat('Claim: a', chr(10), 'Claim: b', chr(10), 'Premises:', chr(10), '- p') END AS content
+FROM conversations""",
+    # phase-2 completions of the direct job: premise lists per conclusion
+    "premise_responses": """
+SELECT conv_id * 1000 + turn AS line,
+       concat('p_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING)) AS custom_id,
+       concat('1. ', replace(text, chr(10), concat(chr(10), '- '))) AS content
+FROM conversations""",
+    # phase-2 completions of the Socratic job: one answer per question
+    "answer_responses": """
+SELECT conv_id * 1000 + turn AS line,
+       concat('qa_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING)) AS custom_id,
+       CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS content
+FROM conversations""",
+    # raw batch-result lines; several lines share an id, some lack choices
+    "response_json": """
+SELECT conv_id * 1000 + turn AS line,
+       CASE WHEN conv_id % 7 = 0 THEN NULL
+            WHEN conv_id % 5 = 0 THEN to_json(named_struct('custom_id', concat('c_', CAST(conv_id AS STRING)),
+                 'response', named_struct('body', named_struct('id', turn))))
+            ELSE to_json(named_struct('custom_id', concat('c_', CAST(conv_id AS STRING)),
+                 'response', named_struct('body', named_struct('choices', array(named_struct('message',
+                     named_struct('content', CASE WHEN turn % 3 = 2 THEN ' ' ELSE concat(' ', text, ' ') END))))))) END AS value
 FROM conversations""",
     # encyclopedia pages: every page kept, markup varied by a CASE
     "wiki_pages": """
@@ -119,6 +141,20 @@ FROM events""",
 }
 
 
+# The same inputs built with the oracle engine's own JSON functions.
+ORACLE_FIXTURE_SQL: dict[str, str] = {
+    "response_json": """
+SELECT conv_id * 1000 + turn AS line,
+       CASE WHEN conv_id % 7 = 0 THEN NULL
+            WHEN conv_id % 5 = 0 THEN CAST(json_object('custom_id', concat('c_', CAST(conv_id AS STRING)),
+                 'response', json_object('body', json_object('id', turn))) AS VARCHAR)
+            ELSE CAST(json_object('custom_id', concat('c_', CAST(conv_id AS STRING)),
+                 'response', json_object('body', json_object('choices', json_array(json_object('message',
+                     json_object('content', CASE WHEN turn % 3 = 2 THEN ' ' ELSE concat(' ', text, ' ') END)))))) AS VARCHAR) END AS value
+FROM conversations""",
+}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Run one derived-input text over the driver tables of ``sf_dir``."""
     register_tables(spark, sf_dir)
@@ -127,5 +163,5 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_fixtures(sql: str, *names: str, recursive: bool = False) -> str:
     """Prefix an oracle query with the derived inputs it reads, as CTEs."""
-    ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in names)
+    ctes = ",\n".join(f"{n} AS ({ORACLE_FIXTURE_SQL.get(n, FIXTURE_SQL[n])})" for n in names)
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{sql}"
