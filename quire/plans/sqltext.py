@@ -120,3 +120,97 @@ def render(template: str, **slots: str) -> str:
         if field is not None:
             parts.append(f"coalesce(CAST({slots[field]} AS VARCHAR), 'None')")
     return "(" + " || ".join(parts) + ")"
+
+
+# ---------------------------------------------------------------- HTML --
+
+def _html_consts():
+    from quire.functions import degrees as D
+    from quire.functions import html as H
+    return H, D
+
+
+def unescape(x: str) -> str:
+    H, _ = _html_consts()
+    for ent, ch in H.ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return x
+
+
+def node_text(inner: str, sep: str) -> str:
+    return (f"array_to_string(list_filter(list_transform(string_split_regex({inner}, '<[^>]*>'), "
+            f"lambda t: {strip(unescape('t'))}), lambda t: length(t) > 0), {q(sep)})")
+
+
+def blocks_ctes(pages_cte: str, id_col: str = "page_id", html_col: str = "source") -> str:
+    """CTEs ``pg(page_id, source, h)`` and ``blocks(page_id, pos, kind, level, text, container)``."""
+    H, _ = _html_consts()
+    mark = q(H.BLOCK_MARK + "\\1")
+    return f"""
+pg AS (SELECT {id_col} AS page_id, {html_col} AS source, regexp_replace({html_col}, {q(H.JUNK)}, '', 'g') AS h FROM {pages_cte}),
+pb AS (SELECT page_id, regexp_matches(h, {q(H.CONTAINER)}) AS container,
+              CASE WHEN regexp_matches(h, {q(H.CONTAINER)}) THEN regexp_extract(h, {q(H.CONTAINER)}, 1) ELSE h END AS body
+       FROM pg),
+pc AS (SELECT page_id, container, string_split(regexp_replace(body, {q(H.BLOCK_TAG)}, {mark}, 'g'), {q(H.BLOCK_MARK)}) AS pieces
+       FROM pb),
+pe AS (SELECT page_id, container, k - 1 AS pos, pieces[k] AS piece
+       FROM (SELECT page_id, container, pieces, unnest(generate_series(1, len(pieces))) AS k FROM pc) x),
+blk AS (SELECT page_id, pos, container, lower(regexp_extract(piece, '(?i)^<(p|h[1-6])\\b', 1)) AS tag,
+               regexp_replace(piece, '^<[^>]*>', '') AS inr FROM pe),
+blocks AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, CASE WHEN tag LIKE 'h%' THEN 'h' ELSE 'p' END AS kind,
+                  CASE WHEN tag LIKE 'h%' THEN CAST(substring(tag, 2, 1) AS INTEGER) END AS level,
+                  CASE WHEN tag LIKE 'h%' THEN {node_text('inr', '')} ELSE {node_text('inr', ' ')} END AS text,
+                  container
+           FROM blk WHERE tag <> '')"""
+
+
+def sections_ctes() -> str:
+    """After blocks_ctes: ``ibox(page_id, rk, key, value)`` and
+    ``secs(page_id, title, sec_rank, pos, text)``."""
+    H, _ = _html_consts()
+    from quire.operators.sections import BLACKLIST, INFOBOX_RANK, INFOBOX_TITLE
+    th = "(?is)<th\\b[^>]*>(.*?)(?:</th>|<t[hd]\\b|</tr>|$)"
+    td = "(?is)<td\\b[^>]*>(.*?)(?:</td>|<t[hd]\\b|</tr>|$)"
+    bl = ", ".join(q(t) for t in BLACKLIST)
+    return f""",
+att AS (SELECT b.*,
+               last_value(CASE WHEN kind = 'h' THEN pos END IGNORE NULLS) OVER w AS head_pos,
+               last_value(CASE WHEN kind = 'h' THEN text END IGNORE NULLS) OVER w AS head_title
+        FROM blocks b
+        WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+hpar AS (SELECT page_id, coalesce(head_title, '_lead_') AS title, CAST(coalesce(head_pos, -1) AS BIGINT) AS sec_rank, pos, text
+         FROM att WHERE kind = 'p' AND (head_pos IS NOT NULL OR container)
+           AND (coalesce(head_title, '_lead_') NOT IN ({bl}) OR head_pos IS NULL)),
+itbl AS (SELECT page_id, regexp_extract(h, {q(H.INFOBOX)}, 1) AS tbl FROM pg),
+irow AS (SELECT page_id, k, rws[k] AS r
+         FROM (SELECT page_id, rws, unnest(generate_series(1, len(rws))) AS k
+               FROM (SELECT page_id, string_split_regex(tbl, '(?i)<tr\\b[^>]*>') AS rws FROM itbl WHERE length(tbl) > 0) a) b
+         WHERE regexp_matches(r, '(?i)<th\\b') AND regexp_matches(r, '(?i)<td\\b')),
+ibox AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS BIGINT) AS rk,
+                {node_text(f"regexp_extract(r, {q(th)}, 1)", ' ')} AS key,
+                {node_text(f"regexp_extract(r, {q(td)}, 1)", ' ')} AS value FROM irow),
+iedu AS (SELECT page_id, string_split(string_agg(value, '; ' ORDER BY rk), '; ') AS parts FROM ibox
+         WHERE contains(lower(key), 'education') OR contains(lower(key), 'alma mater') GROUP BY page_id),
+ipar AS (SELECT page_id, {q(INFOBOX_TITLE)} AS title, CAST({INFOBOX_RANK} AS BIGINT) AS sec_rank, CAST(k - 1 AS BIGINT) AS pos,
+                {strip('parts[k]')} AS text
+         FROM (SELECT page_id, parts, unnest(generate_series(1, len(parts))) AS k FROM iedu) x),
+secs AS (SELECT * FROM hpar UNION ALL SELECT * FROM ipar),
+stext AS (SELECT page_id, title, sec_rank, string_agg(text, ' ' ORDER BY pos) AS text FROM secs GROUP BY page_id, title, sec_rank)"""
+
+
+def word_safe(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '[^\\x00-\\x7F\\P{{L}}]', 'x', 'g'), '[^\\x00-\\x7F\\P{{N}}]', '0', 'g')"
+
+
+def mentions(x: str, kind: str = "strict") -> str:
+    _, D = _html_consts()
+    return f"regexp_matches({word_safe(x)}, {q(D.PATTERNS[kind])})"
+
+
+def sentences(x: str) -> str:
+    _, D = _html_consts()
+    for _ in range(2):
+        x = f"regexp_replace({x}, {q(D.PROTECT)}, {q(chr(92) + '1' + chr(92) + '2' + D.KEEP + chr(92) + '3')}, 'g')"
+    x = f"regexp_replace({x}, {q(D.BOUNDARY)}, {q(chr(92) + '1' + D.CUT + chr(92) + '2')}, 'g')"
+    return (f"list_filter(list_transform(string_split({x}, {q(D.CUT)}), "
+            f"lambda s: {strip(f'replace(s, {q(D.KEEP)}, {q(chr(46))})')}), lambda s: length(s) > 0)")
