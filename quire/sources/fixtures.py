@@ -127,6 +127,18 @@ FROM (
 SELECT min(p_partkey) AS id, p_name AS name,
        concat('https://example.org/wiki/', replace(p_name, ' ', '_'), '/') AS url
 FROM part GROUP BY p_name""",
+    # archive records with the fields the collection filters look at
+    "selection_source": """
+SELECT doc_id,
+       CASE doc_id % 4 WHEN 0 THEN 'New York Times' WHEN 1 THEN 'Chicago Tribune'
+                       WHEN 2 THEN 'Daily Planet' ELSE 'Boston Globe' END AS publicacion,
+       CASE doc_id % 3 WHEN 0 THEN concat(text, ' An editorial view.') WHEN 1 THEN concat('Opinion: ', text)
+                       ELSE text END AS texto_completo,
+       CASE doc_id % 5 WHEN 0 THEN 'Blog' WHEN 1 THEN 'Editorial' WHEN 2 THEN 'News' ELSE 'Commentary' END AS tipo_documento,
+       CASE WHEN doc_id % 7 = 0 THEN 'Blogs, Podcasts, & Websites' ELSE 'Newspapers' END AS tipo_fuente,
+       CASE lang WHEN 'en' THEN 'English' ELSE 'Other' END AS idioma,
+       DATE '2021-01-01' + CAST(doc_id % 180 AS INTEGER) AS fecha
+FROM documents""",
     # token usage per model call
     "usage": """
 SELECT conv_id * 1000 + turn AS call_id,
