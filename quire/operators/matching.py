@@ -29,9 +29,11 @@ def fuzzy_scores(names: DataFrame, candidates: DataFrame, name_col: str = "name"
     candidate of every name."""
     c = candidates.withColumnRenamed(name_col, "name") if name_col != "name" else candidates
     n = names.select(F.col(name_col).alias("name")).distinct()
-    j = n.join(c, "name")
-    return j.select("name", "rnk", "candidate_key", "description",
-                    ratio(query_key(F.col("name")), candidate_key(F.col("candidate_key"), strip_dots)).alias("score"))
+    j = n.join(c, "name").select("name", "rnk", "candidate_key", "description",
+                                 query_key(F.col("name")).alias("_q"),
+                                 candidate_key(F.col("candidate_key"), strip_dots).alias("_c"))
+    # the keys are staged as columns: the ratio's inner loops read them per cell
+    return j.select("name", "rnk", "candidate_key", "description", ratio("_q", "_c").alias("score"))
 
 
 def best_candidates(scored: DataFrame) -> DataFrame:
