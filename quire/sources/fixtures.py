@@ -139,6 +139,35 @@ SELECT doc_id,
        CASE lang WHEN 'en' THEN 'English' ELSE 'Other' END AS idioma,
        DATE '2021-01-01' + CAST(doc_id % 180 AS INTEGER) AS fecha
 FROM documents""",
+    # raw article export for the whole article job (bylines and tags joined on)
+    "job_raw_articles": """
+SELECT d.doc_id AS pos,
+       CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE concat('Title ', CAST(d.doc_id AS STRING)) END AS titulo,
+       b.autor, d.text AS texto_completo, d.source AS publicacion,
+       CASE WHEN d.doc_id % 11 = 0 THEN 'not a date'
+            ELSE concat('2020-01-', lpad(CAST(d.doc_id % 28 + 1 AS STRING), 2, '0')) END AS fecha_de_publicacion,
+       'House' AS editorial, 'Newspapers' AS tipo_fuente,
+       CASE d.lang WHEN 'en' THEN 'English' ELSE 'Other' END AS idioma,
+       t.materia, t.lugar_articulo, t.personas, t.empresa, 'x' AS url
+FROM documents d
+LEFT JOIN (SELECT p_partkey AS id_articulo,
+                  CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' ', p_brand) WHEN 1 THEN concat(upper(p_name), ', ', p_type)
+                                     ELSE concat(p_type, ', ', p_name) END AS autor
+           FROM part) b ON b.id_articulo = d.doc_id
+LEFT JOIN (SELECT p_partkey AS id_articulo, concat(p_type, ';', lower(p_brand)) AS materia,
+                  CASE WHEN p_partkey % 3 = 0 THEN 'nan' ELSE 'Bogota' END AS lugar_articulo,
+                  concat(' ', p_name, ' ; ') AS personas, concat('Nombre: ', p_brand) AS empresa FROM part) t
+       ON t.id_articulo = d.doc_id""",
+    # model replies with degree records, some incomplete or not JSON
+    "degree_json": """
+SELECT conv_id * 1000 + turn AS id, role AS author_name,
+       CASE turn % 4
+         WHEN 0 THEN concat('{"studies": [{"degree_type": "BA", "degree_field": ["', role, '", "Law"]}, ',
+                            '{"degree_type": "PhD", "degree_field": ["History"]}]}')
+         WHEN 1 THEN '{"studies": [{"degree_type": "NONE", "degree_field": []}]}'
+         WHEN 2 THEN '{"studies": [{"degree_type": "PhD"}]}'
+         ELSE 'not json at all' END AS degrees_json
+FROM conversations""",
     # token usage per model call
     "usage": """
 SELECT conv_id * 1000 + turn AS call_id,
