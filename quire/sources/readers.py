@@ -92,7 +92,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_export_files(spark: SparkSession, path_glob: str) -> DataFrame:
     """A5: whole text files with their modification time."""
-    return (spark.read.option("wholetext", True).text(path_glob)
+    return (spark.read.text(path_glob, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"),
                     F.col("_metadata.file_modification_time").alias("mtime"),
                     "value"))
@@ -101,7 +101,7 @@ def read_export_files(spark: SparkSession, path_glob: str) -> DataFrame:
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """One term per line; trimmed; blank lines dropped; ``rank`` keeps
     the list order (term files are small: one row per file, then exploded)."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     x = lines.select(F.posexplode(F.split("value", r"\r?\n")).alias("rank", "term"))
     x = x.withColumn("term", F.regexp_replace("term", r"^\s+|\s+$", ""))
     return x.where(F.length("term") > 0)

@@ -27,7 +27,7 @@ def intake_stream(spark: SparkSession, source_dir: str, fmt: str = "text",
     ``fmt='text'`` reads each file whole (one export = one row, the file
     path is the id); ``fmt='parquet'`` reads export rows with ``schema``."""
     if fmt == "text":
-        s = (spark.readStream.option("wholetext", True).text(source_dir)
+        s = (spark.readStream.text(source_dir, wholetext=True)
              .select(F.col("_metadata.file_path").alias("id"),
                      F.col("_metadata.file_modification_time").alias("mtime"), F.col("value")))
     else:
