@@ -200,3 +200,26 @@ def parse_responses(lines: DataFrame, value_col: str = "value", line_col: str =
     r = lines.select(line_col, F.from_json(F.col(value_col), RESPONSE_SCHEMA).alias("_r"))
     return r.select(line_col, F.col("_r.custom_id").alias("custom_id"),
                     response_content(F.col("_r.response")).alias("content"))
+
+
+def run_completions(requests: DataFrame, complete, batch_size: int = 64) -> DataFrame:
+    """L3: an optional in-cluster completion step.  ``complete`` maps a list
+    of prompts to a list of completion texts (a client of the user's
+    choosing); it runs per Arrow batch inside the tasks via ``mapInPandas``
+    and returns the response table (custom_id, content, line) that the
+    phase operators join - the same shape as results read back from the
+    batch service."""
+    import pandas as pd
+
+    flat = requests.select("custom_id", F.get(F.col("body.messages"), 0)["content"].alias("prompt"))
+
+    def fn(batches):
+        for pdf in batches:
+            out = []
+            for start in range(0, len(pdf), batch_size):
+                chunk = pdf.iloc[start:start + batch_size]
+                out.extend(complete(list(chunk["prompt"])))
+            yield pd.DataFrame({"custom_id": pdf["custom_id"], "content": [("" if c is None else str(c).strip())
+                                                                          for c in out]})
+    res = flat.mapInPandas(fn, "custom_id string, content string")
+    return res.withColumn("line", F.lit(0).cast("long"))
