@@ -78,10 +78,36 @@ def word_shingles(words, k: int = 3) -> Column:
     return F.array_sort(F.array_distinct(F.filter(sh, lambda s: F.length(s) > 0)))
 
 
-def shingle_sets(df, id_col: str, text_col: str, k: int = 3):
-    """(id, tokens) with the words staged in their own projection."""
-    return (df.select(F.col(id_col), words_of(text_col).alias("_w"))
+def shingle_sets(df, id_col: str, text_col: str, k: int = 3, hashed: bool = True):
+    """(id, tokens) with the words staged in their own projection.
+
+    ``hashed`` stores each shingle as its 64-bit xxhash64 (8 bytes instead
+    of the string in every shuffle); sizes and Jaccard values stay exact
+    unless two distinct shingles of the corpus collide (odds about
+    n^2 / 2^65 for n distinct shingles)."""
+    sets = (df.select(F.col(id_col), words_of(text_col).alias("_w"))
               .select(F.col(id_col), word_shingles("_w", k).alias("tokens")))
+    if hashed:
+        sets = sets.select(F.col(id_col), F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x))).alias("tokens"))
+    return sets
+
+
+def embed_texts(df: DataFrame, text_col: str, embed, out_col: str = "embedding",
+                batch_size: int = 256) -> DataFrame:
+    """L2: text -> embedding with a user model, as an iterator pandas UDF
+    (the model loads once per task and sees Arrow batches).  ``embed`` maps
+    a list of texts to a list of float vectors."""
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def run(batches):
+        for texts in batches:
+            out = []
+            for start in range(0, len(texts), batch_size):
+                out.extend(embed(list(texts.iloc[start:start + batch_size])))
+            yield pd.Series([list(map(float, v)) for v in out])
+
+    return df.withColumn(out_col, run(F.col(text_col)))
 
 
 # ------------------------------------------------------------ exact sets --
@@ -121,10 +147,12 @@ def jaccard_pairs(reps: DataFrame, threshold: float = 0.9) -> DataFrame:
                     & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9))
              .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"),
                      F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct())
-    ta = tok.select(F.col("id").alias("a"), "token")
-    tb = tok.select(F.col("id").alias("b"), "token")
-    inter = cand.join(ta, "a").join(tb, ["b", "token"]).groupBy("a", "b", "na", "nb").agg(
-        F.count(F.lit(1)).alias("inter"))
+    # verification reads the stored sets of the two sides (no re-join of the
+    # exploded token table); array_intersect is a hash-based native function
+    ra = reps.select(F.col("id").alias("a"), F.col("tokens").alias("_ta"))
+    rb = reps.select(F.col("id").alias("b"), F.col("tokens").alias("_tb"))
+    inter = cand.join(ra, "a").join(rb, "b").select(
+        "a", "b", "na", "nb", F.size(F.array_intersect("_ta", "_tb")).alias("inter"))
     j = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
     return inter.select("a", "b", "inter", j.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 

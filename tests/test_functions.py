@@ -170,8 +170,10 @@ def test_embedding_set_ignores_order_and_repeats(spark):
 
 def test_shingles(spark):
     df = spark.createDataFrame([(1, "A b c d"), (2, "one two"), (3, "   ")], "id long, t string")
-    got = {r.id: r.tokens for r in shingle_sets(df, "id", "t", 3).collect()}
+    got = {r.id: r.tokens for r in shingle_sets(df, "id", "t", 3, hashed=False).collect()}
     assert got == {1: ["a b c", "b c d"], 2: ["one two"], 3: []}
+    hashed = {r.id: r.tokens for r in shingle_sets(df, "id", "t", 3).collect()}
+    assert {k: len(v) for k, v in hashed.items()} == {1: 2, 2: 1, 3: 0}
 
 
 def py_lcs(a, b):

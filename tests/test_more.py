@@ -67,3 +67,24 @@ def test_csv_lists_and_sinks(spark):
     W.write_degrees(prof, os.path.join(d, "deg"))
     line = json.loads(spark.read.text(os.path.join(d, "deg")).first().value)
     assert line == {"id": 1, "author_name": "Ann Lee", "degrees": [{"degree_type": "BA", "degree_field": ["Law"]}]}
+
+
+def test_embedding_hook_then_dedup(spark):
+    from quire.operators.dedup import dedup_sets, embed_texts, embedding_set
+    docs = spark.createDataFrame([(0, "a b"), (1, "a b"), (2, "c d e")], "id long, text string")
+    fake = lambda texts: [[float(len(t)), float(t.count(" ")), 0.5] for t in texts]
+    emb = embed_texts(docs, "text", fake)
+    sets = emb.select("id", embedding_set("embedding").alias("tokens"))
+    kept = {r.id for r in dedup_sets(sets, "id", "id", "tokens").kept.where("kept").collect()}
+    assert kept == {0, 2}
+
+
+def test_first_rank_and_blacklist_table(spark):
+    from quire.operators.ids import first_rank
+    from quire.operators.sections import html_sections
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "k string, p long")
+    got = sorted(tuple(r) for r in df.select("k", "p", first_rank(df, "k", "p")).collect())
+    assert got == [("a", 1, 1), ("a", 3, 2), ("b", 2, 1)]
+    pages = spark.createDataFrame([(1, "<h2>Keep</h2><p>x</p><h2>Drop me</h2><p>y</p>")], "page_id long, source string")
+    terms = spark.createDataFrame([("Drop me",)], "term string")
+    assert [r.title for r in html_sections(pages, blacklist=terms).collect()] == ["Keep"]
