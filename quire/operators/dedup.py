@@ -28,8 +28,10 @@ of its pairs:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,10 +99,8 @@ def embed_texts(df: DataFrame, text_col: str, embed, out_col: str = "embedding",
     """L2: text -> embedding with a user model, as an iterator pandas UDF
     (the model loads once per task and sees Arrow batches).  ``embed`` maps
     a list of texts to a list of float vectors."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
             for start in range(0, len(texts), batch_size):
