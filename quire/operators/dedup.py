@@ -209,7 +209,23 @@ def dedup_sets(sets: DataFrame, id_col: str, order_col: str, tokens_col: str,
 def minhash(tokens, num_perm: int = NUM_PERM) -> Column:
     """Per seed, the minimum 64-bit hash over the set's elements."""
     t = col(tokens)
-    return F.array(*[F.array_min(F.transform(t, lambda x, s=s: F.xxhash64(F.lit(s), x))) for s in range(num_perm)])
+
+    def lane(seed: int):  # one-argument lambda: a second one would be the index
+        return lambda x: F.xxhash64(F.lit(seed), x)
+    return F.array(*[F.array_min(F.transform(t, lane(s))) for s in range(num_perm)])
+
+
+def minhash_signatures(sets: DataFrame, id_col: str, tokens_col: str, num_perm: int = NUM_PERM) -> DataFrame:
+    """I5 as an aggregation: (id, sig) with the same values as ``minhash``.
+
+    The tokens are exploded and the 64 minima are plain ``min`` aggregates
+    (whole-stage code generation instead of 64 interpreted lambdas).  All
+    tokens of a set come from one input row, so the partial aggregation
+    already reduces each set to one row before the shuffle.  Empty sets
+    give no row."""
+    x = sets.select(F.col(id_col).alias("_id"), F.explode(tokens_col).alias("_x"))
+    agg = x.groupBy("_id").agg(*[F.min(F.xxhash64(F.lit(s), "_x")).alias(f"_h{s}") for s in range(num_perm)])
+    return agg.select(F.col("_id").alias(id_col), F.array(*[F.col(f"_h{s}") for s in range(num_perm)]).alias("sig"))
 
 
 def lsh_buckets(sig, bands: int = BANDS, rows: int = ROWS) -> Column:
@@ -225,8 +241,9 @@ def lsh_keep_first(sets: DataFrame, id_col: str, order_col: str, tokens_col: str
     no signature and are kept (nothing can collide with them)."""
     s = materialize(sets.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"),
                                 F.col(tokens_col).alias("t")))
-    # signatures are computed once per row and stored (64 lanes read the set)
-    s = materialize(s.select("id", "ord", F.when(F.size("t") > 0, minhash("t", num_perm)).alias("sig")))
+    # signatures are computed once per row and stored
+    sig = minhash_signatures(s, "id", "t", num_perm)
+    s = materialize(s.select("id", "ord").join(sig, "id", "left"))
     rb = s.where(F.col("sig").isNotNull()).select(
         "id", "ord", F.posexplode(lsh_buckets("sig", bands, rows)).alias("band", "h"))
     rb = materialize(rb.select("id", "ord", F.struct("band", "h").alias("bucket")))

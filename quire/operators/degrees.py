@@ -17,6 +17,7 @@ from quire.functions import degrees as D
 from quire.functions.html import is_html, strip_citations, tidy
 from quire.functions.text import py_strip
 from quire.operators.sections import LEAD, html_sections
+from quire.session import materialize
 
 NOT_HTML = "NOT HTML"
 FALLBACK_HEADER = "## Degree Mentions"
@@ -48,7 +49,8 @@ def degree_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     appearance order) -> ``# Lead`` / ``## title`` blocks; a page without
     strict hits gets its loose sentences (distinct, in order) under
     ``## Degree Mentions``; a non-HTML value gives ``NOT HTML``."""
-    secs = html_sections(pages, id_col, html_col)
+    # both branches below read the sections: parse the HTML once and store it
+    secs = materialize(html_sections(pages, id_col, html_col))
     hits = degree_paragraphs(secs)
     by_title = hits.groupBy("page_id", "title").agg(
         F.array_sort(F.collect_list(F.struct("sec_rank", "pos", "text"))).alias("_h"))

@@ -259,3 +259,10 @@ def test_flatten_and_stats(spark):
     assert (b.argument_index, b.premises_count, b.claim) == (None, 0, "")
     s = result_stats(df).first()
     assert (s.total_articles, s.successful_articles, s.failed_articles, s.total_arguments, s.avg_arguments) == (2, 1, 1, 2, 1.0)
+
+
+def test_minhash_lanes_are_independent(spark):
+    df = spark.createDataFrame([(0, [f"t{i}" for i in range(50)])], "id long, tokens array<string>")
+    col_sig = df.select(DD.minhash("tokens").alias("s")).first().s
+    agg_sig = DD.minhash_signatures(df, "id", "tokens").first().sig
+    assert col_sig == agg_sig and len(set(col_sig)) > 60
