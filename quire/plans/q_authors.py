@@ -11,31 +11,41 @@ from quire.plans import sqltext as S
 from quire.plans.registry import register
 from quire.sources.fixtures import fixture, with_fixtures
 
-_OCC = f""",
-bl AS (SELECT id_articulo, {S.strip('autor')} AS b FROM bylines),
-simple AS (SELECT id_articulo,
+def occ_ctes(src: str = "bylines", p: str = "") -> str:
+    """Author-occurrence CTEs (prefixed names) over ``src(id_articulo, autor)``."""
+    return f""",
+{p}bl AS (SELECT id_articulo, {S.strip('autor')} AS b FROM {src}),
+{p}simple AS (SELECT id_articulo,
                   list_transform(list_filter(list_transform(string_split(b, ';'), lambda p: {S.strip('p')}),
                                              lambda p: length(p) > 0), lambda p: {S.fixcaps('p')}) AS arr
-           FROM bl WHERE b IS NOT NULL AND b <> '' AND NOT {S.gate('b')}),
-occ AS (SELECT id_articulo, i - 1 AS name_pos, arr[i] AS autor
-        FROM (SELECT id_articulo, arr, unnest(generate_series(1, len(arr))) AS i FROM simple) x
+           FROM {p}bl WHERE b IS NOT NULL AND b <> '' AND NOT {S.gate('b')}),
+{p}occ AS (SELECT id_articulo, i - 1 AS name_pos, arr[i] AS autor
+        FROM (SELECT id_articulo, arr, unnest(generate_series(1, len(arr))) AS i FROM {p}simple) x
         WHERE arr[i] IS NOT NULL AND {S.ntok('arr[i]')} > 1),
-rawdim AS (SELECT autor, CAST(row_number() OVER (ORDER BY id_articulo, name_pos) - 1 AS BIGINT) AS id_autor
-           FROM (SELECT *, row_number() OVER (PARTITION BY autor ORDER BY id_articulo, name_pos) AS r FROM occ) z
+{p}rawdim AS (SELECT autor, CAST(row_number() OVER (ORDER BY id_articulo, name_pos) - 1 AS BIGINT) AS id_autor
+           FROM (SELECT *, row_number() OVER (PARTITION BY autor ORDER BY id_articulo, name_pos) AS r FROM {p}occ) z
            WHERE r = 1),
-un AS (SELECT id_articulo, name_pos, autor, {S.uninvert('autor')} AS author_name FROM occ)"""
-
-_FINAL = _OCC + f""",
-nm0 AS (SELECT author_name AS name, min({{'a': id_articulo, 'p': name_pos}}) AS f FROM un GROUP BY author_name),
-nm AS (SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS BIGINT) AS id, name FROM nm0),
-{S.cluster_ctes('nm', 0.85, 'c_').strip()},
-mapped AS (SELECT u.id_articulo, u.name_pos, k.canonical AS autor FROM un u JOIN c_canon k ON u.author_name = k.name),
-valid AS (SELECT * FROM mapped WHERE {S.valid_author('autor')}),
-fdim AS (SELECT autor, CAST(row_number() OVER (ORDER BY id_articulo, name_pos) - 1 AS BIGINT) AS id_autor
-         FROM (SELECT *, row_number() OVER (PARTITION BY autor ORDER BY id_articulo, name_pos) AS r FROM valid) z
+{p}un AS (SELECT id_articulo, name_pos, autor, {S.uninvert('autor')} AS author_name FROM {p}occ)"""
+
+
+_OCC = occ_ctes()
+
+def final_ctes(src: str = "bylines", p: str = "") -> str:
+    """Standardised-author CTEs: ``{p}valid`` occurrences and ``{p}fdim``."""
+    return occ_ctes(src, p) + f""",
+{p}nm0 AS (SELECT author_name AS name, min({{'a': id_articulo, 'p': name_pos}}) AS f FROM {p}un GROUP BY author_name),
+{p}nm AS (SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS BIGINT) AS id, name FROM {p}nm0),
+{S.cluster_ctes(p + 'nm', 0.85, p + 'c_').strip()},
+{p}mapped AS (SELECT u.id_articulo, u.name_pos, k.canonical AS autor FROM {p}un u JOIN {p}c_canon k ON u.author_name = k.name),
+{p}valid AS (SELECT * FROM {p}mapped WHERE {S.valid_author('autor')}),
+{p}fdim AS (SELECT autor, CAST(row_number() OVER (ORDER BY id_articulo, name_pos) - 1 AS BIGINT) AS id_autor
+         FROM (SELECT *, row_number() OVER (PARTITION BY autor ORDER BY id_articulo, name_pos) AS r FROM {p}valid) z
          WHERE r = 1)"""
 
 
+_FINAL = final_ctes()
+
+
 def _bylines(spark, sf_dir):
     return fixture(spark, sf_dir, "bylines")
 

@@ -40,39 +40,46 @@ ev AS (SELECT vec_id, CAST(embedding[k] AS DOUBLE) AS x
 eset AS (SELECT DISTINCT vec_id AS id, {_f16('x')} AS token FROM ev)"""
 
 _WORDS = f"list_filter(string_split_regex({S.strip('lower(text)')}, '\\s+'), lambda w: length(w) > 0)"
-_DOCS = f""",
-dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-dsh AS (SELECT doc_id AS id, list_sort(list_distinct(list_filter(list_transform(generate_series(1, greatest(len(w) - 2, 1)),
-          lambda i: array_to_string(list_slice(w, i, i + 2), ' ')), lambda s: length(s) > 0))) AS tokens FROM dw),
-dset AS (SELECT id, unnest(tokens) AS token FROM dsh)"""
+def docs_ctes(src: str = "documents", p: str = "") -> str:
+    """Shingle-set CTEs over ``src(doc_id, text)``: ``{p}dsh(id, tokens)``, ``{p}dset(id, token)``."""
+    return f""",
+{p}dw AS (SELECT doc_id, {_WORDS} AS w FROM {src}),
+{p}dsh AS (SELECT doc_id AS id, list_sort(list_distinct(list_filter(list_transform(generate_series(1, greatest(len(w) - 2, 1)),
+          lambda i: array_to_string(list_slice(w, i, i + 2), ' ')), lambda s: length(s) > 0))) AS tokens FROM {p}dw),
+{p}dset AS (SELECT id, unnest(tokens) AS token FROM {p}dsh)"""
+
+
+_DOCS = docs_ctes()
 
 
-def _pairs(sets: str, listed: str | None) -> str:
+def _pairs(sets: str, listed: str | None, p: str = "") -> str:
     """Representatives (first id per identical set), their verified pairs,
     and pairs over all rows (copies included) for the greedy oracle."""
     lists = listed or f"(SELECT id, list_sort(list(token)) AS tokens FROM {sets} GROUP BY id)"
     return f""",
-lists AS {lists},
-reps AS (SELECT min(id) AS id FROM lists GROUP BY tokens),
-sz AS (SELECT id, count(*) AS n FROM {sets} GROUP BY id),
-allp AS (SELECT a.id AS a, b.id AS b, count(*) AS inter FROM {sets} a JOIN {sets} b ON a.token = b.token AND a.id < b.id
+{p}lists AS {lists},
+{p}reps AS (SELECT min(id) AS id FROM {p}lists GROUP BY tokens),
+{p}sz AS (SELECT id, count(*) AS n FROM {sets} GROUP BY id),
+{p}allp AS (SELECT a.id AS a, b.id AS b, count(*) AS inter FROM {sets} a JOIN {sets} b ON a.token = b.token AND a.id < b.id
          GROUP BY a.id, b.id),
-allj AS MATERIALIZED (SELECT p.a, p.b, p.inter / (sa.n + sb.n - p.inter) AS jaccard FROM allp p JOIN sz sa ON sa.id = p.a JOIN sz sb ON sb.id = p.b),
-edges AS (SELECT a, b FROM allj WHERE jaccard >= {THRESHOLD} - 1e-12),
-repj AS (SELECT * FROM allj WHERE jaccard >= {THRESHOLD} - 1e-12 AND a IN (SELECT id FROM reps) AND b IN (SELECT id FROM reps))"""
+{p}allj AS MATERIALIZED (SELECT q.a, q.b, q.inter / (sa.n + sb.n - q.inter) AS jaccard FROM {p}allp q
+         JOIN {p}sz sa ON sa.id = q.a JOIN {p}sz sb ON sb.id = q.b),
+{p}edges AS (SELECT a, b FROM {p}allj WHERE jaccard >= {THRESHOLD} - 1e-12),
+{p}repj AS (SELECT * FROM {p}allj WHERE jaccard >= {THRESHOLD} - 1e-12 AND a IN (SELECT id FROM {p}reps)
+            AND b IN (SELECT id FROM {p}reps))"""
 
 
-def _greedy(ids: str) -> str:
+def _greedy(ids: str, p: str = "") -> str:
     return f""",
-nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM {ids}),
-nb AS MATERIALIZED (SELECT n.id, n.rn, coalesce(list(e.a) FILTER (WHERE e.a IS NOT NULL), []) AS earlier
-       FROM nodes n LEFT JOIN edges e ON e.b = n.id GROUP BY n.id, n.rn),
-g(rn, kept) AS (SELECT 0, CAST([] AS BIGINT[])
+{p}nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM {ids}),
+{p}nb AS MATERIALIZED (SELECT n.id, n.rn, coalesce(list(e.a) FILTER (WHERE e.a IS NOT NULL), []) AS earlier
+       FROM {p}nodes n LEFT JOIN {p}edges e ON e.b = n.id GROUP BY n.id, n.rn),
+{p}g(rn, kept) AS (SELECT 0, CAST([] AS BIGINT[])
                 UNION ALL
-                SELECT g.rn + 1, CASE WHEN len(list_intersect(nb.earlier, g.kept)) = 0 THEN list_append(g.kept, nb.id)
-                                      ELSE g.kept END
-                FROM g JOIN nb ON nb.rn = g.rn + 1),
-fin AS (SELECT kept FROM g ORDER BY rn DESC LIMIT 1)"""
+                SELECT gg.rn + 1, CASE WHEN len(list_intersect(nn.earlier, gg.kept)) = 0 THEN list_append(gg.kept, nn.id)
+                                      ELSE gg.kept END
+                FROM {p}g gg JOIN {p}nb nn ON nn.rn = gg.rn + 1),
+{p}fin AS (SELECT kept FROM {p}g ORDER BY rn DESC LIMIT 1)"""
 
 
 # ------------------------------------------------------------------ keys --

@@ -14,14 +14,52 @@ def _star(spark, sf_dir):
     return J.article_job(fixture(spark, sf_dir, "job_raw_articles"))
 
 
-@register("job_articles")
+def _job_ctes() -> str:
+    """The article job as CTEs over ``job_raw_articles`` (oracle side)."""
+    from quire.plans.q_authors import final_ctes
+    from quire.plans.q_dedup import _greedy, _pairs, docs_ctes
+    from quire.plans.q_tags import occ_ctes as tag_occ
+    return """,
+cl AS (SELECT coalesce(titulo, 'Unknown') AS titulo, autor, texto_completo, publicacion,
+              try_cast(fecha_de_publicacion AS TIMESTAMP) AS fecha_de_publicacion, editorial, tipo_fuente,
+              materia, lugar_articulo, personas, empresa,
+              CAST(row_number() OVER (ORDER BY pos) - 1 AS BIGINT) AS id_articulo
+       FROM job_raw_articles
+       WHERE autor IS NOT NULL AND texto_completo IS NOT NULL AND publicacion IS NOT NULL
+         AND try_cast(fecha_de_publicacion AS TIMESTAMP) IS NOT NULL AND editorial IS NOT NULL
+         AND tipo_fuente IS NOT NULL AND idioma IS NOT NULL AND idioma = 'English')""" + final_ctes("cl", "a_") + """,
+aa AS (SELECT * FROM cl WHERE id_articulo IN (SELECT id_articulo FROM a_occ)),
+dsrc AS (SELECT id_articulo AS doc_id, texto_completo AS text FROM aa)""" + docs_ctes("dsrc", "d_") \
+        + _pairs("d_dset", "(SELECT id, tokens FROM d_dsh)", "d_") + _greedy("d_dsh", "d_") + """,
+kept AS (SELECT n.id FROM d_nodes n WHERE list_contains((SELECT kept FROM d_fin), n.id)),
+dd AS (SELECT * FROM aa WHERE id_articulo IN (SELECT id FROM kept)),""" + tag_occ("dd", "t_")
+
+
+def _job_articles_oracle() -> str:
+    return with_fixtures(_job_ctes() + """
+SELECT titulo, autor, publicacion, fecha_de_publicacion, editorial, tipo_fuente, materia, lugar_articulo,
+       personas, empresa, id_articulo
+FROM dd WHERE id_articulo IN (SELECT id_articulo FROM t_valid)""", "job_raw_articles", recursive=True)
+
+
+def _job_counts_oracle() -> str:
+    return with_fixtures(_job_ctes() + """
+SELECT (SELECT count(*) FROM a_rawdim) AS raw_authors, (SELECT count(*) FROM a_fdim) AS final_authors,
+       (SELECT count(*) FROM dd) AS kept_articles, (SELECT count(*) FROM aa) - (SELECT count(*) FROM dd) AS duplicate_articles,
+       (SELECT count(*) FROM dd WHERE id_articulo IN (SELECT id_articulo FROM t_valid)) AS tagged_articles,
+       (SELECT count(*) FROM t_dim) AS tags, (SELECT count(*) FROM t_valid) AS tag_links,
+       (SELECT count(*) FROM a_valid) AS author_links""", "job_raw_articles", recursive=True)
+
+
+@register("job_articles", _job_articles_oracle())
 def job_articles(spark, sf_dir):
-    """Cleaned, authored, de-duplicated, tagged articles (the whole
-    article job; checked by row count here and by properties in tests)."""
+    """Cleaned, authored, de-duplicated, tagged articles - the whole
+    article job (clean, dense ids, author split, shingle de-duplication,
+    tags)."""
     return _star(spark, sf_dir).articles.drop("texto_completo")
 
 
-@register("job_stage_counts")
+@register("job_stage_counts", _job_counts_oracle())
 def job_stage_counts(spark, sf_dir):
     """One row of stage counters of the article job."""
     return _star(spark, sf_dir).counts

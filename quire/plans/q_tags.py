@@ -6,25 +6,30 @@ from quire.operators.tags import extract_tags
 from quire.plans.registry import register
 from quire.sources.fixtures import fixture, with_fixtures
 
-_OCC = """
-occ AS (
+def occ_ctes(src: str = "tag_source", p: str = "") -> str:
+    """Tag-occurrence CTEs (prefixed names) over ``src``."""
+    return f"""
+{p}occ AS (
   SELECT id_articulo, i AS tag_pos,
          regexp_replace(arr[i], '^\\s+|\\s+$', '', 'g') AS tags
   FROM (SELECT id_articulo, arr, unnest(generate_series(1, len(arr))) AS i
         FROM (SELECT id_articulo,
                      string_split(concat_ws(';', coalesce(materia, ''), coalesce(lugar_articulo, ''),
                                             coalesce(personas, ''), replace(coalesce(empresa, ''), 'Nombre: ', '')), ';') AS arr
-              FROM tag_source) s) e
+              FROM {src}) s) e
 ),
-valid AS (SELECT * FROM occ WHERE tags <> '' AND lower(tags) <> 'nan'),
-dim AS (
+{p}valid AS (SELECT * FROM {p}occ WHERE tags <> '' AND lower(tags) <> 'nan'),
+{p}dim AS (
   SELECT tags, row_number() OVER (ORDER BY fa, fp) - 1 AS id_tags
   FROM (SELECT tags, arg_min(id_articulo, struct_pack(a := id_articulo, p := tag_pos)) AS fa,
                arg_min(tag_pos, struct_pack(a := id_articulo, p := tag_pos)) AS fp
-        FROM valid GROUP BY tags) f
+        FROM {p}valid GROUP BY tags) f
 )"""
 
 
+_OCC = occ_ctes()
+
+
 def _tags(spark, sf_dir):
     return extract_tags(fixture(spark, sf_dir, "tag_source"))
 
