@@ -3,8 +3,9 @@
 
 ``extract_authors`` routes bylines by the entity-model gate (B10): simple
 bylines are split on ';'; gated ones go to an optional user extractor (a
-pandas UDF returning ``array<string>``) applied to those rows only, and give
-no authors without one - the reference's own failure result.
+function Column -> ``array<string>`` Column, for instance a pandas UDF around
+an entity model) applied to those rows only, and give no authors without
+one - the reference's own failure result.
 ``standardise_authors`` un-inverts names, clusters spellings, keeps valid
 canonical names and renumbers them.
 """

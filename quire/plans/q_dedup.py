@@ -113,7 +113,8 @@ def near_dup_pairs(spark, sf_dir):
 @register("dedup_greedy", "WITH RECURSIVE " + _DOCS.lstrip(",\n") + _pairs("dset", "(SELECT id, tokens FROM dsh)")
           + _greedy("dsh") + "\nSELECT n.id AS doc_id, list_contains((SELECT kept FROM fin), n.id) AS kept FROM nodes n")
 def dedup_greedy(spark, sf_dir):
-    """Keep-first de-duplication of documents (exact Jaccard >= 0.9)."""
+    """Keep-first de-duplication of documents: Jaccard >= 0.9 between
+    3-word shingle sets (shingles stored as 64-bit hashes), verified pairs."""
     d = DD.dedup_sets(_doc_sets(spark, sf_dir), "doc_id", "doc_id", "tokens", THRESHOLD)
     return d.kept.select(F.col("id").alias("doc_id"), "kept")
 
