@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.session import materialize
@@ -95,8 +95,23 @@ def keep_first(df: DataFrame, key_cols: str | Sequence[str], order_by: str | Seq
     return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-def first_rank(df: DataFrame, key_cols: str | Sequence[str], order_by: str | Sequence[str],
-               out_col: str = "rank") -> Column:
-    """1-based occurrence rank inside each key (E6) as a window column."""
-    w = Window.partitionBy(*_cols(key_cols)).orderBy(*_cols(order_by))
-    return F.row_number().over(w).alias(out_col)
+def rank_in_group(df: DataFrame, key_cols: str | Sequence[str], order_by: str | Sequence[str],
+                  out_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
+    """1-based occurrence rank of each row inside its key, in
+    ``order_by`` order (``row_number`` semantics).
+
+    A window partitioned by the key would send a key holding a third of all
+    rows to one task.  Instead rows are range-partitioned on (key, order), so
+    a hot key spans many partitions; each (partition, key) piece is numbered
+    locally, and the piece's offset is the count of the same key in earlier
+    partitions (a table of at most one row per partition and key)."""
+    keys, order = _cols(key_cols), _cols(order_by)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = materialize(df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id()))
+    local = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order))
+    counts = laid.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", *keys, F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    return (laid.withColumn("_loc", local).join(offsets, ["_pid", *keys])
+                .withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("int")).drop("_pid", "_loc", "_off"))

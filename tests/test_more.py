@@ -79,12 +79,19 @@ def test_embedding_hook_then_dedup(spark):
     assert kept == {0, 2}
 
 
-def test_first_rank_and_blacklist_table(spark):
-    from quire.operators.ids import first_rank
+def test_rank_in_group_and_blacklist_table(spark):
+    import random
+    from quire.operators.ids import rank_in_group
     from quire.operators.sections import html_sections
-    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "k string, p long")
-    got = sorted(tuple(r) for r in df.select("k", "p", first_rank(df, "k", "p")).collect())
-    assert got == [("a", 1, 1), ("a", 3, 2), ("b", 2, 1)]
+    rnd = random.Random(9)
+    data = [("hot" if rnd.random() < 0.4 else f"k{rnd.randrange(20)}", i) for i in rnd.sample(range(5000), 600)]
+    df = spark.createDataFrame(data, "k string, p long")
+    got = sorted(tuple(r) for r in rank_in_group(df, "k", "p", num_partitions=8).select("k", "p", "rank").collect())
+    want, seen = [], {}
+    for k, p in sorted(data, key=lambda x: (x[0], x[1])):
+        seen[k] = seen.get(k, 0) + 1
+        want.append((k, p, seen[k]))
+    assert got == sorted(want)
     pages = spark.createDataFrame([(1, "<h2>Keep</h2><p>x</p><h2>Drop me</h2><p>y</p>")], "page_id long, source string")
     terms = spark.createDataFrame([("Drop me",)], "term string")
     assert [r.title for r in html_sections(pages, blacklist=terms).collect()] == ["Keep"]
