@@ -88,9 +88,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         hop = step.select(F.col("id").alias("c1"), F.col("c1").alias("c2"))
         jumped = (step.join(hop, "c1", "left")
                       .select("id", "comp", F.least("c1", F.coalesce("c2", "c1")).alias("new")))
-        jumped = materialize(jumped)
+        jumped = materialize(jumped)  # one stored table per round
         changed = jumped.where(F.col("new") != F.col("comp")).limit(1).count()
-        labels = materialize(jumped.select("id", F.col("new").alias("comp")))
+        labels = jumped.select("id", F.col("new").alias("comp"))
         if changed == 0:
             return labels
     raise RuntimeError("connected components did not converge")
@@ -102,7 +102,7 @@ def cluster_names(names: DataFrame, name_col: str = "name", order_by: str = "pos
     first position; canonical = shortest name of the cluster, first seen on
     ties (D2)."""
     nodes = names.select(F.col(order_by).alias("id"), F.col(name_col).alias("name"))
-    vec = char_wb_tfidf(nodes, "id", "name")
+    vec = materialize(char_wb_tfidf(nodes, "id", "name"))  # read by three branches below
     edges = cosine_pairs(vec, threshold)
     comps = connected_components(nodes.select("id"), edges)
     tagged = nodes.join(comps, "id")
