@@ -81,17 +81,22 @@ def word_shingles(words, k: int = 3) -> Column:
 
 
 def shingle_sets(df, id_col: str, text_col: str, k: int = 3, hashed: bool = True):
-    """(id, tokens) with the words staged in their own projection.
-
-    ``hashed`` stores each shingle as its 64-bit xxhash64 (8 bytes instead
-    of the string in every shuffle); sizes and Jaccard values stay exact
-    unless two distinct shingles of the corpus collide (odds about
-    n^2 / 2^65 for n distinct shingles)."""
-    sets = (df.select(F.col(id_col), words_of(text_col).alias("_w"))
-              .select(F.col(id_col), word_shingles("_w", k).alias("tokens")))
-    if hashed:
-        sets = sets.select(F.col(id_col), F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x))).alias("tokens"))
-    return sets
+    """(id, tokens): the distinct k-word shingles of each text.
+
+    ``hashed`` (the default) represents a shingle by a 64-bit hash of its k
+    word hashes: words are hashed once, k shifted copies of the hash array
+    are zipped natively, and no shingle string is ever built.  Sizes and
+    Jaccard values are those of the string shingles unless two distinct
+    shingles of the corpus collide (odds about n^2 / 2^65 for n distinct
+    shingles).  ``hashed=False`` returns the shingle strings."""
+    words = df.select(F.col(id_col), words_of(text_col).alias("_w"))
+    if not hashed:
+        return words.select(F.col(id_col), word_shingles("_w", k).alias("tokens"))
+    h = words.select(F.col(id_col), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
+    zipped = F.arrays_zip(*[F.slice("_h", i + 1, 1 << 30) for i in range(k)])  # fields "0".."k-1"
+    firsts = F.slice(zipped, 1, F.greatest(F.size("_h") - k + 1, F.lit(1)))
+    sh = F.transform(firsts, lambda z: F.xxhash64(*[z[str(i)] for i in range(k)]))
+    return h.select(F.col(id_col), F.array_sort(F.array_distinct(sh)).alias("tokens"))
 
 
 def embed_texts(df: DataFrame, text_col: str, embed, out_col: str = "embedding",
@@ -133,13 +138,19 @@ def collapse_copies(sets: DataFrame, id_col: str, order_col: str, tokens_col: st
 def jaccard_pairs(reps: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(a, b, inter, jaccard) for representatives a < b (by ``ord``) with
     Jaccard >= threshold - exact, via prefix filtering + verification."""
-    # the exploded token table feeds four branches: store it once
+    # the exploded token table feeds several branches: store it once
     tok = materialize(reps.select("id", "ord", "n", F.explode("tokens").alias("token")))
     df = tok.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tok.join(df, "token").withColumn(
-        "_r", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
+    # Tokens held by one set only come first in the rarest-first order and
+    # can never pair; they only push shared tokens out of the prefix.  So
+    # only shared tokens are ranked: with u unique tokens in a set, its
+    # prefix keeps the first (prefix length - u) shared ones.
+    shared = tok.join(df.where(F.col("df") >= 2), "token")
+    w = Window.partitionBy("id")
+    ranked = (shared.withColumn("_r", F.row_number().over(w.orderBy("df", "token")))
+                    .withColumn("_u", F.col("n") - F.count(F.lit(1)).over(w)))
     plen = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = ranked.where(F.col("_r") <= plen).select("id", "ord", "n", "token")
+    prefix = ranked.where(F.col("_r") <= plen - F.col("_u")).select("id", "ord", "n", "token")
     a, b = prefix.alias("a"), prefix.alias("b")
     cand = (a.join(b, F.col("a.token") == F.col("b.token"))
              .where((F.col("a.ord") < F.col("b.ord"))

@@ -245,3 +245,16 @@ def test_char_spans(spark):
         if s not in want:
             want.append(s)
     assert got == want
+
+
+def test_hashed_shingles_keep_jaccard(spark):
+    import itertools
+    import random
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 30))) for _ in range(25)] + ["one", "one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    s = {r.id: set(r.tokens) for r in shingle_sets(df, "id", "t", 3, hashed=False).collect()}
+    h = {r.id: set(r.tokens) for r in shingle_sets(df, "id", "t", 3).collect()}
+    for a, b in itertools.combinations(sorted(s), 2):
+        assert len(s[a] & s[b]) == len(h[a] & h[b]) and len(s[a]) == len(h[a])
