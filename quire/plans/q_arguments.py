@@ -121,7 +121,7 @@ def _sum_premises(arr):
 # ------------------------------------------------------------------ keys --
 
 @register("list_items", with_fixtures(
-    "SELECT custom_id, CAST(item_pos AS BIGINT) AS item_pos, item FROM " +
+    "SELECT custom_id, CAST(item_pos AS INTEGER) AS item_pos, item FROM " +
     _explode("list_responses", "custom_id", S.list_items("content"), "item", "item_pos"), "list_responses"))
 def q_list_items(spark, sf_dir):
     """Items of numbered / bulleted lines, whole texts."""
@@ -233,8 +233,8 @@ def q_flat_arguments(spark, sf_dir):
 
 @register("result_stats", with_fixtures(
     _SOCRATIC + """
-SELECT count(*) AS total_articles, count_if(success) AS successful_articles,
-       count(*) - count_if(success) AS failed_articles, sum(n_arguments) AS total_arguments,
+SELECT count(*) AS total_articles, CAST(count_if(success) AS BIGINT) AS successful_articles,
+       CAST(count(*) - count_if(success) AS BIGINT) AS failed_articles, CAST(sum(n_arguments) AS BIGINT) AS total_arguments,
        CASE WHEN count(*) > 0 THEN sum(n_arguments) / count(*) ELSE 0.0 END AS avg_arguments
 FROM res""", "list_responses", "answer_responses", "argument_responses"))
 def q_result_stats(spark, sf_dir):

@@ -87,7 +87,7 @@ def authored_articles(spark, sf_dir):
 
 
 @register("uninvert_names", with_fixtures(
-    _OCC + "\nSELECT id_articulo, name_pos, autor, author_name FROM un", "bylines"))
+    _OCC + "\nSELECT id_articulo, CAST(name_pos AS INTEGER) AS name_pos, autor, author_name FROM un", "bylines"))
 def uninvert_names(spark, sf_dir):
     """H3/H4: ``Last, First; rest`` -> ``First Last rest`` per occurrence."""
     occ = extract_authors(_bylines(spark, sf_dir)).occurrences

@@ -73,7 +73,7 @@ j AS (SELECT g.gold_key, b.score, b.key FROM g LEFT JOIN best b USING (name)),
 x AS (SELECT j.*, t FROM j, (SELECT unnest(generate_series(10, 100, 5)) AS t) ts),
 a AS (SELECT t, count_if(score >= t AND key = gold_key) AS tp, count_if(score >= t AND key <> gold_key) AS fp,
              count_if(score IS NULL OR score < t) AS fn FROM x GROUP BY t)
-SELECT CAST(t AS INTEGER) AS t, tp, fp, fn,
+SELECT CAST(t AS INTEGER) AS t, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
        round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
        round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall
 FROM a""", "query_names", "gold_matches"))

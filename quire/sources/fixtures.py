@@ -171,8 +171,8 @@ FROM conversations""",
     # token usage per model call
     "usage": """
 SELECT conv_id * 1000 + turn AS call_id,
-       CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END AS input_tokens,
-       CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS output_tokens
+       CAST(CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END AS BIGINT) AS input_tokens,
+       CAST(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS BIGINT) AS output_tokens
 FROM conversations""",
     # downloaded export files: modification time and whole-file text
     "export_docs": """

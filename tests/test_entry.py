@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quire.sources.tables import DRIVER_TABLES
-from scripts.oracle_check import rows_of
+from scripts.oracle_check import kinds_duck, kinds_spark, rows_of
 from tests.conftest import SMOKE
 
 SAMPLE = ["tag_links", "dense_ids", "author_final_dim", "canonical_names", "list_items", "argument_parse",
@@ -40,6 +40,7 @@ def test_oracle_agreement_smoke(spark, con, key):
     sdf = entry.queries()[key](spark, SMOKE)
     rel = con.sql(entry.oracle_sql()[key])
     assert sorted(sdf.columns) == sorted(rel.columns)
+    assert kinds_spark(sdf.schema) == kinds_duck(rel)
     assert rows_of(sdf.columns, [tuple(r) for r in sdf.collect()]) == rows_of(rel.columns, rel.fetchall())
 
 
