@@ -25,6 +25,7 @@ KEYWORDS = ("education", "early life", "biography", "career", "Academic", "Perso
             "Early years", "young", "Journalism", "Early life", "Early and personal life", "Biography",
             "References", "Career")
 LEAD = "_lead_"
+MAX_BROADCAST_TERMS = 100_000
 INFOBOX_TITLE = "_infobox_education_"
 INFOBOX_RANK = 1 << 40  # the infobox pseudo-section comes after every heading
 
@@ -78,9 +79,11 @@ def html_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "so
     a = a.where(F.col("head_pos").isNotNull() | F.col("container"))
     paras = a.select("page_id", F.coalesce("head_title", F.lit(LEAD)).alias("title"),
                      F.coalesce("head_pos", F.lit(-1).cast("long")).alias("sec_rank"), "pos", "text")
-    if isinstance(blacklist, DataFrame):  # B16 as a broadcast anti join (a term list)
-        terms = blacklist.select(F.col("term").alias("title"))
-        paras = paras.join(F.broadcast(terms), "title", "left_anti")
+    if isinstance(blacklist, DataFrame):  # B16 as an anti join with a term table
+        terms = blacklist.select(F.col("term").alias("title")).distinct()
+        # broadcast only a term list of checked size; a larger table joins normally
+        small = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+        paras = paras.join(F.broadcast(terms) if small else terms, "title", "left_anti")
     else:
         paras = paras.where(~F.col("title").isin(list(blacklist)) | (F.col("sec_rank") < 0))
     return paras.unionByName(infobox_paragraphs(pages, id_col, html_col))
