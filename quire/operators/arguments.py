@@ -99,7 +99,8 @@ def direct_phase1_requests(articles: DataFrame, template: str = CONCLUSION_PROMP
 def direct_conclusions(phase1: DataFrame, mode: str = "reference") -> DataFrame:
     """(i, j, conclusion) from phase-1 responses (custom_id, content, line)."""
     r = _split_ids(latest_content(phase1), "c", False)
-    return r.select("i", F.posexplode(list_items("content", mode)).alias("j", "conclusion"))
+    x = r.select("i", F.posexplode_outer(list_items("content", mode)).alias("j", "conclusion"))
+    return x.where(F.col("conclusion").isNotNull())
 
 
 def direct_phase2_requests(articles: DataFrame, conclusions: DataFrame,
@@ -139,7 +140,8 @@ def socratic_phase1_requests(articles: DataFrame, template: str = QUESTION_PROMP
 def socratic_questions(phase1: DataFrame, mode: str = "reference", limit: int = 10) -> DataFrame:
     """(i, j, question): first ``limit`` questions per article (F1)."""
     r = _split_ids(latest_content(phase1), "q", False)
-    return r.select("i", F.posexplode(list_items("content", mode, limit)).alias("j", "question"))
+    x = r.select("i", F.posexplode_outer(list_items("content", mode, limit)).alias("j", "question"))
+    return x.where(F.col("question").isNotNull())
 
 
 def socratic_phase2_requests(articles: DataFrame, questions: DataFrame,

@@ -48,7 +48,7 @@ def author_occurrences(df: DataFrame, id_col: str = "id_articulo", byline_col: s
             "id_articulo", F.transform(extractor(fix_caps("_b")), lambda n: fix_caps(n)).alias("_names"))
         parts.append(model_rows)
     named = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    occ = named.select("id_articulo", F.posexplode("_names").alias("name_pos", "autor"))
+    occ = named.select("id_articulo", F.posexplode_outer("_names").alias("name_pos", "autor"))
     return occ.where(F.col("autor").isNotNull() & is_multi_token("autor"))  # B12
 
 

@@ -234,7 +234,7 @@ def minhash_signatures(sets: DataFrame, id_col: str, tokens_col: str, num_perm:
     tokens of a set come from one input row, so the partial aggregation
     already reduces each set to one row before the shuffle.  Empty sets
     give no row."""
-    x = sets.select(F.col(id_col).alias("_id"), F.explode(tokens_col).alias("_x"))
+    x = sets.select(F.col(id_col).alias("_id"), F.explode_outer(tokens_col).alias("_x")).where(F.col("_x").isNotNull())
     agg = x.groupBy("_id").agg(*[F.min(F.xxhash64(F.lit(s), "_x")).alias(f"_h{s}") for s in range(num_perm)])
     return agg.select(F.col("_id").alias(id_col), F.array(*[F.col(f"_h{s}") for s in range(num_perm)]).alias("sig"))
 

@@ -61,7 +61,7 @@ def degree_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     strict_md = (by_title.select("page_id", F.struct(first.alias("k"), block.alias("b")).alias("s"))
                  .groupBy("page_id").agg(F.array_sort(F.collect_list("s")).alias("_s"))
                  .select("page_id", F.array_join(F.transform("_s", lambda x: x["b"]), "\n").alias("strict_md")))
-    sents = section_texts(secs).select("page_id", "sec_rank", F.posexplode(D.sentences("text")).alias("k", "s"))
+    sents = section_texts(secs).select("page_id", "sec_rank", F.posexplode_outer(D.sentences("text")).alias("k", "s"))
     loose = sents.where(D.mentions("s", "loose")).select("page_id", "sec_rank", "k", py_strip("s").alias("s"))
     loose_md = (loose.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("sec_rank", "k", "s"))).alias("_l"))
                 .select("page_id", F.array_distinct(F.transform("_l", lambda x: x["s"])).alias("_d")))
@@ -80,15 +80,16 @@ def degree_sentences(sections: DataFrame, kind: str = "strict") -> DataFrame:
     (H23), punctuation tidied (H24), sentence split (H25), hits kept."""
     t = section_texts(sections)
     clean = tidy(strip_citations(F.col("text")))
-    s = t.select("page_id", "title", "sec_rank", F.posexplode(D.sentences(clean)).alias("k", "sentence"))
+    s = t.select("page_id", "title", "sec_rank", F.posexplode_outer(D.sentences(clean)).alias("k", "sentence"))
     return s.where(D.mentions("sentence", kind))
 
 
 def degree_windows(sections: DataFrame, window: int = 1, kind: str = "strict") -> DataFrame:
     """(page_id, title, sec_rank, n, context) sentence windows per section."""
     t = section_texts(sections).select("page_id", "title", "sec_rank", D.sentences("text").alias("_s"))
-    return t.select("page_id", "title", "sec_rank",
-                    F.posexplode(D.sentence_windows("_s", window, kind)).alias("n", "context"))
+    w = t.select("page_id", "title", "sec_rank",
+                 F.posexplode_outer(D.sentence_windows("_s", window, kind)).alias("n", "context"))
+    return w.where(F.col("context").isNotNull())
 
 
 def degree_spans(sections: DataFrame, chars: int = 100, kind: str = "strict") -> DataFrame:
@@ -98,8 +99,9 @@ def degree_spans(sections: DataFrame, chars: int = 100, kind: str = "strict") ->
     pat = D.PATTERNS[kind]
     t = t.select("page_id", "title", "sec_rank", "text", F.split("_safe", pat, -1).alias("_pieces"),
                  F.regexp_extract_all("_safe", F.lit(pat), 0).alias("_found"))
-    return t.select("page_id", "title", "sec_rank",
-                    F.posexplode(D.spans_from_parts("text", "_pieces", "_found", chars)).alias("n", "span"))
+    s = t.select("page_id", "title", "sec_rank",
+                 F.posexplode_outer(D.spans_from_parts("text", "_pieces", "_found", chars)).alias("n", "span"))
+    return s.where(F.col("span").isNotNull())
 
 
 class DegreeRecords(NamedTuple):

@@ -35,7 +35,9 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "sour
     clean = pages.select(F.col(id_col).alias("page_id"), H.strip_junk(F.col(html_col)).alias("_html"))
     clean = clean.select("page_id", H.has_container("_html").alias("container"),
                          H.block_pieces(H.body_of("_html")).alias("_pieces"))
-    blocks = clean.select("page_id", "container", F.posexplode("_pieces").alias("pos", "_piece"))
+    # _outer: a plain explode makes the optimizer re-run the regex pipeline in an
+    # inferred size() filter; the tag filter below drops the null row instead
+    blocks = clean.select("page_id", "container", F.posexplode_outer("_pieces").alias("pos", "_piece"))
     tag = F.lower(F.regexp_extract("_piece", r"(?i)^<(p|h[1-6])\b", 1))
     blocks = blocks.withColumn("_tag", tag).where(F.col("_tag") != "")
     inner = F.regexp_replace("_piece", r"^<[^>]*>", "")
@@ -65,7 +67,8 @@ def infobox_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str
                                           | F.lower(x["key"]).contains("alma mater")).alias("r"))
     edu = edu.where(F.size("r") > 0)
     joined = F.array_join(F.transform("r", lambda x: x["value"]), "; ")
-    paras = edu.select("page_id", F.posexplode(F.split(joined, "; ", -1)).alias("pos", "text"))
+    paras = edu.select("page_id", F.posexplode_outer(F.split(joined, "; ", -1)).alias("pos", "text")) \
+              .where(F.col("text").isNotNull())
     return paras.select("page_id", F.lit(INFOBOX_TITLE).alias("title"), F.lit(INFOBOX_RANK).cast("long").alias("sec_rank"),
                         F.col("pos").cast("long").alias("pos"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
 
@@ -139,5 +142,5 @@ def title_keywords(pages: DataFrame, id_col: str = "page_id", html_col: str = "s
 def infobox_pairs(pages: DataFrame, id_col: str = "page_id", html_col: str = "source") -> DataFrame:
     """(page_id, row, key, value) of the first infobox."""
     r = pages.select(F.col(id_col).alias("page_id"), H.infobox_rows(H.strip_junk(F.col(html_col))).alias("r"))
-    return r.select("page_id", F.posexplode("r").alias("row", "kv")).select(
+    return r.select("page_id", F.posexplode_outer("r").alias("row", "kv")).where(F.col("kv").isNotNull()).select(
         "page_id", F.col("row").cast("long").alias("row"), "kv.key", "kv.value")

@@ -32,13 +32,13 @@ def char_wb_grams(df: DataFrame, id_col: str, text_col: str, ngram=(2, 4)) -> Da
     side, every substring of length lo..min(hi, padded length)."""
     lo, hi = ngram
     words = df.select(F.col(id_col).alias("id"),
-                      F.explode(F.split(py_strip(F.lower(F.col(text_col))), r"\s+")).alias("word"))
+                      F.explode_outer(F.split(py_strip(F.lower(F.col(text_col))), r"\s+")).alias("word"))
     words = words.where(F.length("word") > 0).withColumn("w", F.concat(F.lit(" "), "word", F.lit(" ")))
     grams = F.flatten(F.transform(
         F.sequence(F.lit(lo), F.least(F.lit(hi), F.length("w"))),
         lambda n: F.transform(F.sequence(F.lit(0), F.length("w") - n),
                               lambda i: F.substring(F.col("w"), i + 1, n))))
-    g = words.select("id", F.explode(grams).alias("gram"))
+    g = words.select("id", F.explode_outer(grams).alias("gram")).where(F.col("gram").isNotNull())
     return g.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -37,7 +37,7 @@ def tag_occurrences(df: DataFrame, id_col: str = "id_articulo",
         parts.append(x)
     joined = F.concat_ws(";", *parts)
     occ = df.select(F.col(id_col).alias("id_articulo"),
-                    F.posexplode(F.split(joined, ";", -1)).alias("tag_pos", "tags"))
+                    F.posexplode_outer(F.split(joined, ";", -1)).alias("tag_pos", "tags"))
     occ = occ.withColumn("tags", py_strip("tags"))
     return occ.where((F.col("tags") != "") & (F.lower("tags") != "nan"))
 

@@ -126,7 +126,8 @@ def _sum_premises(arr):
 def q_list_items(spark, sf_dir):
     """Items of numbered / bulleted lines, whole texts."""
     r = fixture(spark, sf_dir, "list_responses")
-    return r.select("custom_id", F.posexplode(list_items("content")).alias("item_pos", "item"))
+    x = r.select("custom_id", F.posexplode_outer(list_items("content")).alias("item_pos", "item"))
+    return x.where(F.col("item").isNotNull())
 
 
 @register("argument_parse", with_fixtures(

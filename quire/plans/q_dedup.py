@@ -87,7 +87,8 @@ def _greedy(ids: str, p: str = "") -> str:
 @register("embedding_sets", "WITH " + _EMB.lstrip(",\n") + "\nSELECT id AS vec_id, token AS element FROM eset")
 def embedding_sets(spark, sf_dir):
     """I4: distinct float16 elements of every embedding."""
-    return _emb_sets(spark, sf_dir).select("vec_id", F.explode("tokens").alias("element"))
+    x = _emb_sets(spark, sf_dir).select("vec_id", F.explode_outer("tokens").alias("element"))
+    return x.where(F.col("element").isNotNull())
 
 
 @register("exact_copies", "WITH " + _DOCS.lstrip(",\n") + """,

@@ -83,7 +83,7 @@ FROM valid""", "degree_json"))
 def degree_records(spark, sf_dir):
     """Validated degree records, one row per degree."""
     v = J.degree_profile_job(fixture(spark, sf_dir, "degree_json")).valid
-    return v.select("id", "author_name", F.posexplode("degrees").alias("k", "d")).select(
+    return v.select("id", "author_name", F.posexplode_outer("degrees").alias("k", "d")).where(F.col("d").isNotNull()).select(
         "id", "author_name", "k", F.col("d.degree_type").alias("degree_type"),
         F.array_join("d.degree_field", "; ").alias("degree_field"))
 
