@@ -15,12 +15,24 @@ DROPPED = ("resumen", "seccion", "lugar_publicacion", "idioma", "tipo_documento"
            "pais_publicacion", "materia_publicacion")
 
 
+# Date layouts accepted besides ISO (archive exports write
+# "Mar 3, 2021"); anything else becomes null, like a coercing parser.
+DATE_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "M/d/yyyy", "yyyy/M/d")
+
+
+def coerce_timestamp(c) -> F.Column:
+    """B1: ISO timestamps/dates or one of ``DATE_FORMATS``; null otherwise."""
+    x = F.col(c) if isinstance(c, str) else c
+    x = x.cast("string")
+    return F.coalesce(F.try_to_timestamp(x), *[F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS])
+
+
 def clean_articles(df: DataFrame, required: Sequence[str] = REQUIRED, language: str = "English",
                    drop: Sequence[str] = DROPPED, date_col: str = "fecha_de_publicacion",
                    title_col: str = "titulo") -> DataFrame:
     """B1 unparsable dates -> null, B2 default title, B3 required fields,
     B4 exact language, B5 drop columns (missing names ignored)."""
-    out = df.withColumn(date_col, F.try_to_timestamp(F.col(date_col).cast("string")))
+    out = df.withColumn(date_col, coerce_timestamp(date_col))
     out = out.fillna({title_col: "Unknown"})
     out = out.dropna(subset=list(required))
     out = out.where(F.col("idioma") == F.lit(language))

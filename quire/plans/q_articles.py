@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from quire.operators.clean import clean_articles, select_corpus
 from quire.operators.ids import dense_ids, row_slice
+from quire.plans import sqltext as S
 from quire.plans.registry import register
 from quire.sources.fixtures import fixture, with_fixtures
 from quire.sources.tables import table
 
-_CLEAN_SQL = """
+_CLEAN_SQL = f"""
 SELECT pos, coalesce(titulo, 'Unknown') AS titulo, autor, texto_completo, publicacion,
-       try_cast(fecha_de_publicacion AS TIMESTAMP) AS fecha_de_publicacion, editorial, tipo_fuente
+       {S.coerce_ts('fecha_de_publicacion')} AS fecha_de_publicacion, editorial, tipo_fuente
 FROM raw_articles
 WHERE autor IS NOT NULL AND texto_completo IS NOT NULL AND publicacion IS NOT NULL
-  AND try_cast(fecha_de_publicacion AS TIMESTAMP) IS NOT NULL AND editorial IS NOT NULL
+  AND {S.coerce_ts('fecha_de_publicacion')} IS NOT NULL AND editorial IS NOT NULL
   AND tipo_fuente IS NOT NULL AND idioma IS NOT NULL AND idioma = 'English'"""
 
 

@@ -19,14 +19,16 @@ def _job_ctes() -> str:
     from quire.plans.q_authors import final_ctes
     from quire.plans.q_dedup import _greedy, _pairs, docs_ctes
     from quire.plans.q_tags import occ_ctes as tag_occ
+    from quire.plans.sqltext import coerce_ts
+    ts = coerce_ts("fecha_de_publicacion")
     return """,
 cl AS (SELECT coalesce(titulo, 'Unknown') AS titulo, autor, texto_completo, publicacion,
-              try_cast(fecha_de_publicacion AS TIMESTAMP) AS fecha_de_publicacion, editorial, tipo_fuente,
+              """ + ts + """ AS fecha_de_publicacion, editorial, tipo_fuente,
               materia, lugar_articulo, personas, empresa,
               CAST(row_number() OVER (ORDER BY pos) - 1 AS BIGINT) AS id_articulo
        FROM job_raw_articles
        WHERE autor IS NOT NULL AND texto_completo IS NOT NULL AND publicacion IS NOT NULL
-         AND try_cast(fecha_de_publicacion AS TIMESTAMP) IS NOT NULL AND editorial IS NOT NULL
+         AND """ + ts + """ IS NOT NULL AND editorial IS NOT NULL
          AND tipo_fuente IS NOT NULL AND idioma IS NOT NULL AND idioma = 'English')""" + final_ctes("cl", "a_") + """,
 aa AS (SELECT * FROM cl WHERE id_articulo IN (SELECT id_articulo FROM a_occ)),
 dsrc AS (SELECT id_articulo AS doc_id, texto_completo AS text FROM aa)""" + docs_ctes("dsrc", "d_") \

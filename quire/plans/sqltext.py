@@ -52,6 +52,12 @@ def uninvert(x: str, collapse: bool = True) -> str:
     return strip(x)
 
 
+def coerce_ts(x: str) -> str:
+    """Oracle side of B1: ISO or the accepted date layouts, else NULL."""
+    return (f"coalesce(try_cast({x} AS TIMESTAMP), try_strptime({x}, '%b %d, %Y'), try_strptime({x}, '%B %d, %Y'), "
+            f"try_strptime({x}, '%m/%d/%Y'), try_strptime({x}, '%Y/%m/%d'))")
+
+
 def valid_author(x: str) -> str:
     s = strip(x)
     junk = " OR ".join(f"contains(lower({s}), {q(t)})" for t in JUNK_TERMS)

@@ -266,3 +266,10 @@ def test_minhash_lanes_are_independent(spark):
     col_sig = df.select(DD.minhash("tokens").alias("s")).first().s
     agg_sig = DD.minhash_signatures(df, "id", "tokens").first().sig
     assert col_sig == agg_sig and len(set(col_sig)) > 60
+
+
+def test_clean_articles_accepts_archive_dates(spark):
+    from quire.operators.clean import coerce_timestamp
+    df = spark.createDataFrame([("Mar 3, 2021",), ("2020-01-05",), ("3/7/2021",), ("not a date",)], "d string")
+    got = [r.t.date().isoformat() if r.t else None for r in df.select(coerce_timestamp("d").alias("t")).collect()]
+    assert got == ["2021-03-03", "2020-01-05", "2021-03-07", None]
