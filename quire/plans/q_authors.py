@@ -115,3 +115,29 @@ def author_final_dim(spark, sf_dir):
 def author_final_links(spark, sf_dir):
     """article/final-author bridge."""
     return standardise_authors(extract_authors(_bylines(spark, sf_dir)).occurrences)[1]
+
+
+@register("author_occurrence_rank", with_fixtures(
+    _OCC + """
+SELECT id_articulo, CAST(name_pos AS INTEGER) AS name_pos, autor,
+       CAST(row_number() OVER (PARTITION BY autor ORDER BY id_articulo, name_pos) AS INTEGER) AS rank
+FROM occ""", "bylines"))
+def author_occurrence_rank(spark, sf_dir):
+    """1-based occurrence rank of every author name, in article order
+    (hot-key safe: a name can be numbered by many tasks)."""
+    from quire.operators.ids import rank_in_group
+    occ = extract_authors(_bylines(spark, sf_dir)).occurrences
+    return rank_in_group(occ, "autor", ["id_articulo", "name_pos"]).select("id_articulo", "name_pos", "autor", "rank")
+
+
+@register("author_first_occurrence", with_fixtures(
+    _OCC + """
+SELECT autor, id_articulo, CAST(name_pos AS INTEGER) AS name_pos
+FROM (SELECT *, row_number() OVER (PARTITION BY autor ORDER BY id_articulo, name_pos) AS r FROM occ) z
+WHERE r = 1""", "bylines"))
+def author_first_occurrence(spark, sf_dir):
+    """D3: the first occurrence of every author name (keep-first, not an
+    arbitrary duplicate)."""
+    from quire.operators.ids import keep_first
+    occ = extract_authors(_bylines(spark, sf_dir)).occurrences
+    return keep_first(occ, "autor", ["id_articulo", "name_pos"]).select("autor", "id_articulo", "name_pos")
