@@ -82,3 +82,19 @@ def q_threshold_sweep(spark, sf_dir):
     s = M.threshold_sweep(_names(spark, sf_dir), _cands(spark, sf_dir))
     return s.select("t", "tp", "fp", "fn", F.round("precision", 6).alias("precision"),
                     F.round("recall", 6).alias("recall"))
+
+
+@register("candidate_pages", with_fixtures("""
+SELECT name, rnk, candidate_key, 'https://en.wikipedia.org/wiki/' || candidate_key AS url,
+       coalesce(CASE WHEN rnk = 2 THEN NULL ELSE description END, 'No description available') AS description,
+       contains(lower(candidate_key), lower(string_split_regex(name, '\\s+')[1])) AS first_name_in_key
+FROM gold_matches""", "gold_matches"))
+def q_candidate_pages(spark, sf_dir):
+    """Page URL per candidate key, default description for a
+    missing one (second results carry none here), first-name check."""
+    from quire.functions.fuzzy import description_or_default, first_name_in_key, page_url
+    c = _cands(spark, sf_dir).withColumn(
+        "description", F.when(F.col("rnk") != 2, F.col("description")))
+    return c.select("name", "rnk", "candidate_key", page_url("candidate_key").alias("url"),
+                    description_or_default("description").alias("description"),
+                    first_name_in_key("name", "candidate_key").alias("first_name_in_key"))
