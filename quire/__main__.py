@@ -17,6 +17,7 @@ decides the master and ``spark.checkpoint.dir``).
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -94,8 +95,9 @@ def main(argv=None) -> int:
 
     if a.cmd == "articles":
         star = J.article_job(R.read_articles(spark, a.input))
-        W.write_star({"articles": star.articles, "authors": star.authors, "rel_authors": star.rel_authors,
-                      "tags": star.tags, "rel_tags": star.rel_tags, "counts": star.counts}, a.output, a.format)
+        counts = W.write_star({"articles": star.articles, "authors": star.authors, "rel_authors": star.rel_authors,
+                               "tags": star.tags, "rel_tags": star.rel_tags}, a.output, a.format)
+        print(json.dumps(counts))  # D10 stage counters, observed during the writes
     elif a.cmd == "requests":
         arts = _corpus(spark, a)
         req = (A.direct_phase1_requests(arts, model=a.model) if a.pipeline == "direct"

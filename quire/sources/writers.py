@@ -13,14 +13,22 @@ def write_requests(requests: DataFrame, path: str) -> None:
      .write.mode("overwrite").text(path))
 
 
-def write_star(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """The output tables of the article job, one folder each."""
+def write_star(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, int]:
+    """The output tables of the article job, one folder each.
+
+    D10: each table carries a ``DataFrame.observe`` row counter, filled in
+    while the table is written (no extra pass); the counts are returned."""
+    from pyspark.sql import Observation
+    counts = {}
     for name, df in tables.items():
-        w = df.write.mode("overwrite")
+        obs = Observation(f"rows_{name}")
+        w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
         if fmt == "csv":
             w.option("header", True).csv(f"{path}/{name}")
         else:
             w.parquet(f"{path}/{name}")
+        counts[name] = int(obs.get["rows"])
+    return counts
 
 
 def write_results_json(results: DataFrame, path: str) -> None:

@@ -82,6 +82,12 @@ def test_results_writers(spark):
     assert spark.read.json(os.path.join(d, "json")).first().claim == "c"
 
 
+def test_write_star_observes_row_counts(spark):
+    d = scratch()
+    got = W.write_star({"a": spark.range(5), "b": spark.range(0)}, d)
+    assert got == {"a": 5, "b": 0} and spark.read.parquet(os.path.join(d, "a")).count() == 5
+
+
 def test_save_and_reuse_duplicates(spark):
     d = scratch()
     arts = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "id long, t string")
