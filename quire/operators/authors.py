@@ -24,6 +24,7 @@ from quire.functions.names import (
 from quire.functions.text import py_strip
 from quire.operators.ids import first_appearance_dim
 from quire.operators.similarity import cluster_names
+from quire.operators.skew import lookup_join
 
 
 class Authors(NamedTuple):
@@ -56,7 +57,7 @@ def extract_authors(df: DataFrame, id_col: str = "id_articulo", byline_col: str
                     extractor=None, fix_keywords: bool = False, distinct: bool = False) -> Authors:
     occ = author_occurrences(df, id_col, byline_col, extractor, fix_keywords)
     dim = first_appearance_dim(occ, "autor", ["id_articulo", "name_pos"], "id_autor")
-    links = occ.join(dim, "autor").select("id_articulo", "id_autor")  # C1
+    links = lookup_join(occ, dim, "autor").select("id_articulo", "id_autor")  # C1, hot names salted
     if distinct:
         links = links.distinct()
     articles = df.join(links.select(F.col("id_articulo").alias(id_col)), id_col, "left_semi")  # C5
@@ -83,11 +84,11 @@ def standardise_authors(occ: DataFrame, order_by: Sequence[str] = ("id_articulo"
                                    *[F.col(f"_f.{k}").alias(f"_o{i}") for i, k in enumerate(order)]),
                       [f"_o{i}" for i in range(len(order))], "pos")
     mapping = cluster_names(names.select("name", "pos"), "name", "pos", threshold)
-    canon = (named.join(mapping.select(F.col("alias").alias("author_name"), "canonical"), "author_name")
+    canon = (lookup_join(named, mapping.select(F.col("alias").alias("author_name"), "canonical"), "author_name")
                   .withColumn("autor", F.col("canonical")))
     valid = canon.where(is_valid_author("autor"))
     dim = first_appearance_dim(valid, "autor", order, "id_autor")
-    links = valid.join(dim, "autor").select("id_articulo", "id_autor")  # C2
+    links = lookup_join(valid, dim, "autor").select("id_articulo", "id_autor")  # C2
     if distinct:
         links = links.distinct()
     return dim.select("autor", "id_autor"), links

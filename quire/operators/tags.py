@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import py_strip
 from quire.operators.ids import first_appearance_dim
+from quire.operators.skew import lookup_join
 
 TAG_COLUMNS = ("materia", "lugar_articulo", "personas", "empresa")
 # Fixed value: literal prefix removed from the company tag column.
@@ -46,7 +47,7 @@ def extract_tags(df: DataFrame, id_col: str = "id_articulo",
                  tag_cols: Sequence[str] = TAG_COLUMNS, distinct: bool = False) -> Tags:
     occ = tag_occurrences(df, id_col, tag_cols)
     dim = first_appearance_dim(occ, "tags", ["id_articulo", "tag_pos"], "id_tags")
-    links = occ.join(dim, "tags", "left").where(F.col("id_tags").isNotNull())
+    links = lookup_join(occ, dim, "tags", "left").where(F.col("id_tags").isNotNull())  # hot tags salted
     links = links.select("id_articulo", "id_tags")
     if distinct:
         links = links.distinct()

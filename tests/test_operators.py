@@ -273,3 +273,19 @@ def test_clean_articles_accepts_archive_dates(spark):
     df = spark.createDataFrame([("Mar 3, 2021",), ("2020-01-05",), ("3/7/2021",), ("not a date",)], "d string")
     got = [r.t.date().isoformat() if r.t else None for r in df.select(coerce_timestamp("d").alias("t")).collect()]
     assert got == ["2021-03-03", "2020-01-05", "2021-03-07", None]
+
+
+def test_lookup_join_with_hot_keys_equals_plain_join(spark):
+    from quire.operators.skew import lookup_join
+    rnd = random.Random(8)
+    big = spark.createDataFrame([("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(30)}", i) for i in range(2000)]
+                                + [(None, 5000)], "k string, v long")
+    small = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(25)], "k string, d long")
+    for how in ("inner", "left"):
+        got = sorted((tuple(r) for r in lookup_join(big, small, "k", how, hot_rows=100, salts=8)
+                      .select("k", "v", "d").collect()), key=repr)
+        want = sorted((tuple(r) for r in big.join(small, "k", how).select("k", "v", "d").collect()), key=repr)
+        assert got == want
+    # the hot key really is spread over several buckets
+    from quire.operators.skew import hot_keys
+    assert [r.k for r in hot_keys(big, ["k"], 100).collect()] == ["hot"]
