@@ -57,7 +57,7 @@ def extract_authors(df: DataFrame, id_col: str = "id_articulo", byline_col: str
                     extractor=None, fix_keywords: bool = False, distinct: bool = False) -> Authors:
     occ = author_occurrences(df, id_col, byline_col, extractor, fix_keywords)
     dim = first_appearance_dim(occ, "autor", ["id_articulo", "name_pos"], "id_autor")
-    links = lookup_join(occ, dim, "autor").select("id_articulo", "id_autor")  # C1, hot names salted
+    links = lookup_join(occ, dim, "autor", count_col="_rows").select("id_articulo", "id_autor")  # C1, hot names salted
     if distinct:
         links = links.distinct()
     articles = df.join(links.select(F.col("id_articulo").alias(id_col)), id_col, "left_semi")  # C5
@@ -88,7 +88,7 @@ def standardise_authors(occ: DataFrame, order_by: Sequence[str] = ("id_articulo"
                   .withColumn("autor", F.col("canonical")))
     valid = canon.where(is_valid_author("autor"))
     dim = first_appearance_dim(valid, "autor", order, "id_autor")
-    links = lookup_join(valid, dim, "autor").select("id_articulo", "id_autor")  # C2
+    links = lookup_join(valid, dim, "autor", count_col="_rows").select("id_articulo", "id_autor")  # C2
     if distinct:
         links = links.distinct()
     return dim.select("autor", "id_autor"), links

@@ -129,8 +129,8 @@ def collapse_copies(sets: DataFrame, id_col: str, order_col: str, tokens_col: st
     s = s.withColumn("n", F.size("tokens")).withColumn(
         "_fp", F.struct("n", F.xxhash64(F.lit("a"), "tokens").alias("h1"), F.xxhash64(F.lit("b"), "tokens").alias("h2")))
     s = materialize(s)  # the sets are read twice below; compute them once
-    rep = s.groupBy("_fp").agg(F.min_by("id", "ord").alias("rep"))
-    tagged = lookup_join(s, rep, "_fp")  # a group of copies is a hot key: salted
+    rep = s.groupBy("_fp").agg(F.min_by("id", "ord").alias("rep"), F.count(F.lit(1)).alias("_rows"))
+    tagged = lookup_join(s, rep, "_fp", count_col="_rows").drop("_rows")  # a group of copies is a hot key: salted
     reps = tagged.where(F.col("id") == F.col("rep")).select("id", "ord", "tokens", "n")
     copies = tagged.where(F.col("id") != F.col("rep")).select("id", F.col("rep").alias("copy_of"))
     return Collapsed(reps, copies)
@@ -146,7 +146,7 @@ def jaccard_pairs(reps: DataFrame, threshold: float = 0.9) -> DataFrame:
     # can never pair; they only push shared tokens out of the prefix.  So
     # only shared tokens are ranked: with u unique tokens in a set, its
     # prefix keeps the first (prefix length - u) shared ones.
-    shared = lookup_join(tok, df.where(F.col("df") >= 2), "token")  # hot tokens salted
+    shared = lookup_join(tok, df.where(F.col("df") >= 2), "token", count_col="df")  # hot tokens salted
     w = Window.partitionBy("id")
     ranked = (shared.withColumn("_r", F.row_number().over(w.orderBy("df", "token")))
                     .withColumn("_u", F.col("n") - F.count(F.lit(1)).over(w)))

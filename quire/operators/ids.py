@@ -55,14 +55,15 @@ def dense_ids(df: DataFrame, order_by: str | Sequence[str], id_col: str = "id",
 
 def first_appearance_dim(occ: DataFrame, value_col: str, order_by: str | Sequence[str],
                          id_col: str, out_col: str | None = None) -> DataFrame:
-    """Distinct values numbered 0..n-1 in order of first appearance.
+    """Distinct values numbered 0..n-1 in order of first appearance; ``_rows``
+    keeps how many occurrences each value has (for skew-aware joins).
 
     The first position per value is a partial + final aggregation (map-side
     combine), so a value held by a third of all rows costs one row per task.
     """
     keys = _cols(order_by)
-    first = occ.groupBy(value_col).agg(F.min(F.struct(*keys)).alias("_first"))
-    first = first.select(value_col, *[F.col(f"_first.{k}").alias(f"_f{i}") for i, k in enumerate(keys)])
+    first = occ.groupBy(value_col).agg(F.min(F.struct(*keys)).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    first = first.select(value_col, "_rows", *[F.col(f"_first.{k}").alias(f"_f{i}") for i, k in enumerate(keys)])
     dim = dense_ids(first, [f"_f{i}" for i in range(len(keys))], id_col)
     dim = dim.drop(*[f"_f{i}" for i in range(len(keys))])
     if out_col and out_col != value_col:

@@ -48,7 +48,7 @@ def char_wb_tfidf(df: DataFrame, id_col: str, text_col: str, ngram=(2, 4)) -> Da
     grams = char_wb_grams(df, id_col, text_col, ngram)
     n_docs = df.select(id_col).distinct().count()  # one scalar for the IDF formula
     dfreq = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    g = lookup_join(grams, dfreq, "gram").withColumn(
+    g = lookup_join(grams, dfreq, "gram", count_col="df").withColumn(
         "raw", F.col("tf") * (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0))
     norms = g.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return (g.join(norms, "id")

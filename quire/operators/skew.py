@@ -28,9 +28,16 @@ def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> D
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], how: str = "inner",
-                hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, salts: int = SALTS, count_col: str | None = None) -> DataFrame:
+    """``count_col``: a column of ``small`` that already holds the number of
+    ``big`` rows per key (a dimension built by grouping those rows, a
+    frequency table); it spares the extra counting pass."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = F.broadcast(hot_keys(big, keys, hot_rows))
+    if count_col is None:
+        hot = hot_keys(big, keys, hot_rows)
+    else:
+        hot = small.where(F.col(count_col) > hot_rows).select(*keys).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts))
     big2 = (big.join(hot, keys, "left")
                .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("long"))

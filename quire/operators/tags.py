@@ -47,7 +47,7 @@ def extract_tags(df: DataFrame, id_col: str = "id_articulo",
                  tag_cols: Sequence[str] = TAG_COLUMNS, distinct: bool = False) -> Tags:
     occ = tag_occurrences(df, id_col, tag_cols)
     dim = first_appearance_dim(occ, "tags", ["id_articulo", "tag_pos"], "id_tags")
-    links = lookup_join(occ, dim, "tags", "left").where(F.col("id_tags").isNotNull())  # hot tags salted
+    links = lookup_join(occ, dim, "tags", "left", count_col="_rows").where(F.col("id_tags").isNotNull())  # hot tags salted
     links = links.select("id_articulo", "id_tags")
     if distinct:
         links = links.distinct()
