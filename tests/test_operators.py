@@ -289,3 +289,24 @@ def test_lookup_join_with_hot_keys_equals_plain_join(spark):
     # the hot key really is spread over several buckets
     from quire.operators.skew import hot_keys
     assert [r.k for r in hot_keys(big, ["k"], 100).collect()] == ["hot"]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_results_do_not_depend_on_partitioning(spark, parts):
+    from quire.sources.fixtures import fixture
+    from tests.conftest import SMOKE
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        t = extract_tags(fixture(spark, SMOKE, "tag_source").repartition(parts))
+        tags = rows(t.dim, "id_tags", "tags")
+        au = extract_authors(fixture(spark, SMOKE, "bylines").repartition(parts))
+        authors = rows(standardise_authors(au.occurrences)[0], "autor", "id_autor")
+        docs = spark.read.parquet(f"{SMOKE}/documents.parquet").repartition(parts)
+        kept = rows(DD.dedup_sets(DD.shingle_sets(docs, "doc_id", "text"), "doc_id", "doc_id", "tokens").kept, "id", "kept")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    key = (tuple(tags), tuple(authors), tuple(kept))
+    cache = test_results_do_not_depend_on_partitioning.__dict__.setdefault("seen", [])
+    cache.append(key)
+    assert all(k == cache[0] for k in cache)
