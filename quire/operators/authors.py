@@ -36,26 +36,41 @@ class Authors(NamedTuple):
 
 def author_occurrences(df: DataFrame, id_col: str = "id_articulo", byline_col: str = "autor",
                        extractor: Callable[[Column], Column] | None = None,
-                       fix_keywords: bool = False) -> DataFrame:
-    """(id_articulo, name_pos, autor): one row per multi-token author name."""
+                       fix_keywords: bool = False, split_first: bool = False) -> DataFrame:
+    """(id_articulo, name_pos, autor): one row per multi-token author name.
+
+    ``split_first`` (Q2 fixed) splits the byline on ';' before gating, so each
+    piece is gated on its own; by default the whole byline is gated, and
+    since ';' is itself a gate symbol, the split branch sees one name."""
     b = py_strip(F.col(byline_col))
     base = df.select(F.col(id_col).alias("id_articulo"), b.alias("_b"))
     base = base.where(F.col("_b").isNotNull() & (F.col("_b") != ""))  # B11
+    if split_first:
+        pieces = F.filter(F.transform(F.split("_b", ";"), lambda p: py_strip(p)), lambda p: F.length(p) > 0)
+        base = base.select("id_articulo", F.posexplode_outer(pieces).alias("_piece", "_b")) \
+                   .where(F.col("_b").isNotNull())
+    else:
+        base = base.withColumn("_piece", F.lit(0))
     gated = needs_entity_model(F.col("_b"), fix_keywords)
-    simple = base.where(~gated).select("id_articulo", split_byline("_b").alias("_names"))
+    simple = base.where(~gated).select("id_articulo", "_piece", split_byline("_b").alias("_names"))
     parts = [simple]
     if extractor is not None:  # L1: the model runs on gated rows only
         model_rows = base.where(gated).select(
-            "id_articulo", F.transform(extractor(fix_caps("_b")), lambda n: fix_caps(n)).alias("_names"))
+            "id_articulo", "_piece",
+            F.transform(extractor(fix_caps("_b")), lambda n: fix_caps(n)).alias("_names"))
         parts.append(model_rows)
     named = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    occ = named.select("id_articulo", F.posexplode_outer("_names").alias("name_pos", "autor"))
+    occ = named.select("id_articulo", "_piece", F.posexplode_outer("_names").alias("_k", "autor"))
+    # name position inside the byline: piece first, then the name inside the piece
+    occ = occ.select("id_articulo", (F.col("_piece").cast("long") * (1 << 20) + F.col("_k")).alias("name_pos"),
+                     "autor")
     return occ.where(F.col("autor").isNotNull() & is_multi_token("autor"))  # B12
 
 
 def extract_authors(df: DataFrame, id_col: str = "id_articulo", byline_col: str = "autor",
-                    extractor=None, fix_keywords: bool = False, distinct: bool = False) -> Authors:
-    occ = author_occurrences(df, id_col, byline_col, extractor, fix_keywords)
+                    extractor=None, fix_keywords: bool = False, distinct: bool = False,
+                    split_first: bool = False) -> Authors:
+    occ = author_occurrences(df, id_col, byline_col, extractor, fix_keywords, split_first)
     dim = first_appearance_dim(occ, "autor", ["id_articulo", "name_pos"], "id_autor")
     links = lookup_join(occ, dim, "autor", count_col="_rows").select("id_articulo", "id_autor")  # C1, hot names salted
     if distinct:

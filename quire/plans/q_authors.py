@@ -87,7 +87,7 @@ def authored_articles(spark, sf_dir):
 
 
 @register("uninvert_names", with_fixtures(
-    _OCC + "\nSELECT id_articulo, CAST(name_pos AS INTEGER) AS name_pos, autor, author_name FROM un", "bylines"))
+    _OCC + "\nSELECT id_articulo, CAST(name_pos AS BIGINT) AS name_pos, autor, author_name FROM un", "bylines"))
 def uninvert_names(spark, sf_dir):
     """H3/H4: ``Last, First; rest`` -> ``First Last rest`` per occurrence."""
     occ = extract_authors(_bylines(spark, sf_dir)).occurrences
@@ -119,7 +119,7 @@ def author_final_links(spark, sf_dir):
 
 @register("author_occurrence_rank", with_fixtures(
     _OCC + """
-SELECT id_articulo, CAST(name_pos AS INTEGER) AS name_pos, autor,
+SELECT id_articulo, CAST(name_pos AS BIGINT) AS name_pos, autor,
        CAST(row_number() OVER (PARTITION BY autor ORDER BY id_articulo, name_pos) AS INTEGER) AS rank
 FROM occ""", "bylines"))
 def author_occurrence_rank(spark, sf_dir):
@@ -132,7 +132,7 @@ def author_occurrence_rank(spark, sf_dir):
 
 @register("author_first_occurrence", with_fixtures(
     _OCC + """
-SELECT autor, id_articulo, CAST(name_pos AS INTEGER) AS name_pos
+SELECT autor, id_articulo, CAST(name_pos AS BIGINT) AS name_pos
 FROM (SELECT *, row_number() OVER (PARTITION BY autor ORDER BY id_articulo, name_pos) AS r FROM occ) z
 WHERE r = 1""", "bylines"))
 def author_first_occurrence(spark, sf_dir):

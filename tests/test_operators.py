@@ -310,3 +310,10 @@ def test_results_do_not_depend_on_partitioning(spark, parts):
     cache = test_results_do_not_depend_on_partitioning.__dict__.setdefault("seen", [])
     cache.append(key)
     assert all(k == cache[0] for k in cache)
+
+
+def test_split_first_option_for_multi_author_bylines(spark):
+    df = spark.createDataFrame([(0, "Ann Lee; Bo Kim"), (1, "JO DOE; Cy Young")], "id_articulo long, autor string")
+    assert rows(extract_authors(df).occurrences, "autor") == []          # Q2: ';' gates the whole byline
+    got = rows(extract_authors(df, split_first=True).occurrences, "id_articulo", "autor")
+    assert got == [(0, "Ann Lee"), (0, "Bo Kim"), (1, "Cy Young")]       # "JO DOE" is all caps: gated
