@@ -63,3 +63,20 @@ def test_cli_degrees_and_match(spark):
     st = {r.name: r.status for r in spark.read.parquet(f"{d}/m/status").collect()}
     assert st == {"ann lee": "MATCHED", "bo kim": "NO_RESULTS"}
     assert spark.read.option("header", True).csv(f"{d}/m/sweep").count() == 19
+
+
+def test_cli_profiles_and_intake(spark):
+    d = tempfile.mkdtemp(prefix="quire-cli-")
+    with open(f"{d}/replies.jsonl", "w") as f:
+        f.write(json.dumps({"id": 1, "author_name": "Ann", "degrees_json": json.dumps(
+            {"studies": [{"degree_type": "BA", "degree_field": ["Law"]}]})}) + "\n")
+        f.write(json.dumps({"id": 2, "author_name": "Bo", "degrees_json": "not json"}) + "\n")
+    assert main(["profiles", "--input", f"{d}/replies.jsonl", "--output", f"{d}/prof"]) == 0
+    prof = [json.loads(r.value) for r in spark.read.text(f"{d}/prof/profiles").collect()]
+    assert prof == [{"id": 1, "author_name": "Ann", "degrees": [{"degree_type": "BA", "degree_field": ["Law"]}]}]
+    assert [r.id for r in spark.read.json(f"{d}/prof/quarantine").collect()] == [2]
+    os.makedirs(f"{d}/exports")
+    with open(f"{d}/exports/a.txt", "w", encoding="utf-8") as f:
+        f.write("Fecha de publicación: Jan 9, 2022\nbody")
+    assert main(["intake", "--source", f"{d}/exports", "--sink", f"{d}/sink", "--checkpoint", f"{d}/ck"]) == 0
+    assert spark.read.parquet(f"{d}/sink").first().pub_date.isoformat() == "2022-01-09"
