@@ -67,3 +67,23 @@ def title_keywords(spark, sf_dir):
 def infobox_pairs(spark, sf_dir):
     """header/cell pairs of the first infobox table."""
     return SEC.infobox_pairs(_pages(spark, sf_dir))
+
+
+@register("keyword_sections", with_fixtures(_BLOCKS + f""",
+hh AS (SELECT * FROM blocks WHERE kind = 'h'),
+he AS (SELECT a.page_id, a.pos, a.level, a.text AS title,
+              coalesce((SELECT min(b.pos) FROM hh b WHERE b.page_id = a.page_id AND b.pos > a.pos AND b.level <= a.level),
+                       1099511627776) AS h_end FROM hh a),
+st AS (SELECT he.page_id, he.pos, he.level, he.title,
+              coalesce(""" + S.strip("string_agg(b.text, ' ' ORDER BY b.pos)") + f""", '') AS content
+       FROM he LEFT JOIN blocks b ON b.page_id = he.page_id AND b.pos > he.pos AND b.pos < he.h_end
+       GROUP BY he.page_id, he.pos, he.level, he.title)
+SELECT page_id, pos, level, title, {_KW_CASE.replace('text', 'title')} AS keyword, content
+FROM st WHERE ({_KW_CASE.replace('text', 'title')}) IS NOT NULL""", "wiki_pages"))
+def keyword_sections(spark, sf_dir):
+    """B19 + E3: text of every section whose heading holds a keyword (the
+    first keyword in list order), nested subsections included."""
+    from pyspark.sql import functions as F
+    st = SEC.section_text(_pages(spark, sf_dir))
+    k = st.withColumn("keyword", SEC.keyword_of("title"))
+    return k.where(F.col("keyword").isNotNull()).select("page_id", "pos", "level", "title", "keyword", "content")
