@@ -113,3 +113,12 @@ def q_token_cost(spark, sf_dir):
     out = token_cost(fixture(spark, sf_dir, "usage"), "call_id")
     return out.select("call_id", "input_tokens", "output_tokens", F.round("cost", 9).alias("cost"),
                       F.round("total_cost", 9).alias("total_cost"))
+
+
+@register("degree_sentences_notebook")
+def degree_sentences_notebook(spark, sf_dir):
+    """Sentences matching the notebook's alternative strict pattern
+    (full degree names, look-around context).  Look-around has no DuckDB
+    equivalent, so this key is rows-only; tests check the pattern against
+    Python's regex engine."""
+    return DG.degree_sentences(_secs(spark, sf_dir), kind="notebook")
