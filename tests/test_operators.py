@@ -317,3 +317,25 @@ def test_split_first_option_for_multi_author_bylines(spark):
     assert rows(extract_authors(df).occurrences, "autor") == []          # Q2: ';' gates the whole byline
     got = rows(extract_authors(df, split_first=True).occurrences, "id_articulo", "autor")
     assert got == [(0, "Ann Lee"), (0, "Bo Kim"), (1, "Cy Young")]       # "JO DOE" is all caps: gated
+
+
+def test_direct_conclusion_fills_claim_in_flat_rows(spark):
+    """Q12 fixed: the flat CSV reads `claim`; direct results carry `conclusion`."""
+    from quire.operators.arguments import direct_results
+    arts = spark.createDataFrame([(0, "a0", "t0"), (1, "a1", "t1")], "i long, article_id string, text string")
+    p1 = spark.createDataFrame([(0, "c_0", "1. The point"), (1, "c_1", "")], "line long, custom_id string, content string")
+    p2 = spark.createDataFrame([(0, "p_0_0", "- why")], "line long, custom_id string, content string")
+    flat = {r.article_id: r for r in flatten_arguments(direct_results(arts, p1, p2)).collect()}
+    assert (flat["a0"].claim, flat["a0"].premise_1, flat["a0"].success) == ("The point", "why", True)
+    assert (flat["a1"].claim, flat["a1"].success, flat["a1"].error_message) == ("", False, "No arguments extracted")
+
+
+def test_candidate_dots_parameter(spark):
+    """Q13: the live lookup keeps dots in candidate keys; the default strips both sides."""
+    from quire.operators.matching import fuzzy_scores
+    names = spark.createDataFrame([("J. R. Smith",)], "name string")
+    cands = spark.createDataFrame([("J. R. Smith", 1, "J._R._Smith", "a page")],
+                                  "name string, rnk int, candidate_key string, description string")
+    both = fuzzy_scores(names, cands).first().score
+    live = fuzzy_scores(names, cands, strip_dots=False).first().score
+    assert both == 100.0 and live < 100.0
