@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import py_strip
-from quire.session import materialize
+from quire.operators import components
+from quire.session import materialize, stored
 from quire.operators.skew import lookup_join
 
 EPS = 1e-9
@@ -73,28 +74,11 @@ def cosine_pairs(vec: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("cosine") >= threshold - EPS)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, comp): comp = smallest id in the node's component.
-
-    Each round: take the smallest label among neighbours, then jump to the
-    label of that label; checkpoint; stop when no label changes."""
-    und = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    und = materialize(und)
-    labels = materialize(nodes.select(F.col("id"), F.col("id").alias("comp")))
-    for _ in range(max_rounds):
-        nb = (und.join(labels.withColumnRenamed("id", "b").withColumnRenamed("comp", "lb"), "b")
-                 .groupBy("a").agg(F.min("lb").alias("nmin")))
-        step = (labels.join(nb.withColumnRenamed("a", "id"), "id", "left")
-                      .select("id", "comp", F.least("comp", F.coalesce("nmin", "comp")).alias("c1")))
-        hop = step.select(F.col("id").alias("c1"), F.col("c1").alias("c2"))
-        jumped = (step.join(hop, "c1", "left")
-                      .select("id", "comp", F.least("c1", F.coalesce("c2", "c1")).alias("new")))
-        jumped = materialize(jumped)  # one stored table per round
-        changed = jumped.where(F.col("new") != F.col("comp")).limit(1).count()
-        labels = jumped.select("id", F.col("new").alias("comp"))
-        if changed == 0:
-            return labels
-    raise RuntimeError("connected components did not converge")
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, comp): comp = smallest id in the node's component (star steps
+    until nothing changes; a node without an edge is its own component)."""
+    comps = components.connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("_c"))
+    return nodes.select("id").join(comps, "id", "left").select("id", F.coalesce("_c", "id").alias("comp"))
 
 
 def cluster_names(names: DataFrame, name_col: str = "name", order_by: str = "pos",
@@ -104,9 +88,8 @@ def cluster_names(names: DataFrame, name_col: str = "name", order_by: str = "pos
     ties (D2)."""
     nodes = names.select(F.col(order_by).alias("id"), F.col(name_col).alias("name"))
     vec = materialize(char_wb_tfidf(nodes, "id", "name"))  # read by three branches below
-    edges = cosine_pairs(vec, threshold)
-    comps = connected_components(nodes.select("id"), edges)
-    tagged = nodes.join(comps, "id")
+    comps = connected_components(nodes.select("id"), cosine_pairs(vec, threshold))
+    tagged = stored(nodes.join(comps, "id"))
     canon = tagged.groupBy("comp").agg(
         F.min_by("name", F.struct(F.length("name"), F.col("id"))).alias("canonical"))
     return tagged.join(canon, "comp").select(F.col("name").alias("alias"), "canonical", "comp",
