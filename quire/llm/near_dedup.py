@@ -12,15 +12,14 @@
    in the bucket.  Comparing is exact: intersection over union of the full
    sets, after a bound on the sizes.
 4. The links' connected components join the members of a family, whatever its
-   size.  Then only members that are not in the component of their bucket's
-   first node are compared with the other members of the bucket, and of those
-   pairs only the ones that can be links at all: the sizes must allow it, and
-   so must the triangle inequality of the Jaccard distance, as the distances of
-   both to the bucket's first node are known.  Links found here merge
-   components in turn.
-
-No pair of one component is compared for its own sake, and no pair in a bucket
-that could be a link of two components is left out.  Two texts at the bound
+   size.  Members that are not in the component of their bucket's first node
+   (their pivot) are compared with all nodes of that pivot, block against
+   block: blocks have a bounded size, a task holds two of them, and only links
+   that join components leave it.  These merge components in turn.
+
+No pair in a bucket that could be a link of two components is left out.  The
+work of step 4 is the number of left-over members times the size of their
+pivot's group, in bounded pieces; it is nothing for families that step 3 joins.  Two texts at the bound
 (0.85) share no bucket with a probability of (1 - 0.85**4)**24, about 2e-8.
 
 Full sets are only made for nodes that share a bucket: their documents are
@@ -45,6 +44,7 @@ SHINGLE = 3
 BANDS, ROWS = 24, 4
 PART, WHOLE = 85, 100  # linked if WHOLE * intersection >= PART * union
 MOST_BITS = 27
+BLOCK_SHINGLES, BLOCK_NODES = 500_000, 1000  # of a block of a pivot's nodes
 FIRST_PERMUTATION, SECOND_PERMUTATION = U64(0x5DEECE66D1234567), np.uint32(0x7F4A7C15)
 
 
@@ -154,10 +154,6 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
     return source.select("text", "x").mapInArrow(run, "h1 long, h2 long, shingles array<long>")
 
 
-def _sizes_allow(a: str, b: str):
-    return WHOLE * F.least(a, b) >= PART * F.greatest(a, b)
-
-
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with inter and total, from the full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
@@ -167,6 +163,72 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b", inter.alias("inter"), (F.size("set_a") + F.size("set_b") - inter).alias("total")))
 
 
+def _left_over(stars: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between components among the nodes that share a first node
+    (a pivot).  A pivot's nodes are dealt into blocks of bounded size, and each
+    pair of blocks is one group: no group grows with the family, and only links
+    leave it."""
+    label = comps.select("node", "component")
+    member = (stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
+              .join(label, "node", "left").join(label.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
+              .join(nodes.select("node", "n"), "node")
+              .select("pivot", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("home", "pivot").alias("home"))
+              .withColumn("out", F.col("component") != F.col("home")))
+    member = stored(member)
+    size = (member.groupBy("pivot").agg(F.max("out").alias("any"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("m"))
+            .where("any AND m > 1")
+            .select("pivot", F.ceil(F.greatest(F.col("all") / BLOCK_SHINGLES, F.col("m") / BLOCK_NODES)).alias("blocks")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = (member.join(size, "pivot").withColumn("block", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "out"))
+    return (dealt.join(sets, "node").groupBy("pivot", "i", "j").applyInArrow(_block_links, "a long, b long").distinct())
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    """Links that connect different components in one pair of blocks: those of
+    a spanning forest, found from the exact intersections of the nodes that are
+    out of their pivot's component with all nodes."""
+    node, comp, out = (np.asarray(group.column(c).combine_chunks()) for c in ("node", "component", "out"))
+    shingles = group.column("shingles").combine_chunks()
+    cut = np.asarray(shingles.offsets) - shingles.offsets[0].as_py()
+    size = np.diff(cut)
+    _, token, often = np.unique(np.asarray(shingles.flatten()), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(node)), size)
+    keep = often[token] > 1  # a shingle of one node only is in no intersection
+    row, token = row[keep], token[keep]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    query = np.flatnonzero(out)
+    place = np.full(len(node), -1)
+    place[query] = np.arange(len(query))
+    inter = np.zeros((len(query), len(node)), np.float32)
+    at, width = 0, 2048
+    new = np.r_[0, np.cumsum(token[1:] != token[:-1])] if len(token) else token
+    while at < len(token):  # 2048 shingles at a time
+        end = int(np.searchsorted(new, new[at] + width))
+        dense = np.zeros((len(node), width), np.float32)
+        dense[row[at:end], new[at:end] - new[at]] = 1
+        inter += dense[query] @ dense.T
+        at = end
+    total = size[query][:, None] + size[None, :] - inter
+    linked = (WHOLE * inter.astype(np.float64) >= PART * total) & (comp[query][:, None] != comp[None, :])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for x, y in zip(*np.nonzero(linked)):
+        a, b = root(int(comp[query[x]])), root(int(comp[y]))
+        if a != b:
+            parent[a] = b
+            found.append((int(node[query[x]]), int(node[y])))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
 def links_and_nodes(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, components): rows carry doc_id, h1, h2, n_shingles; nodes
     are the distinct sets with their smallest doc_id; components are
@@ -189,25 +251,7 @@ def links_and_nodes(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataF
     links = measured.where(linked).select("a", "b")
     comps = connected_components(links)
 
-    # the members left over: not in the component of their bucket's first node
-    label = comps.select("node", "component")
-    of_first = label.select(F.col("node").alias("first"), F.col("component").alias("first_component"))
-    far = (shared.where("node > first")
-           .join(measured.select(F.col("a").alias("first"), F.col("b").alias("node"), "inter", "total"), ["first", "node"])
-           .join(label, "node", "left").join(of_first, "first", "left")
-           .select("bucket", "node", "n", "inter", "total", F.coalesce("component", "node").alias("component"),
-                   F.coalesce("first_component", "first").alias("first_component")))
-    far = stored(far)
-    out = far.where("component <> first_component")
-    # buckets where somebody is left over; all members of those are partners
-    x, y = out.alias("x"), far.alias("y")
-    gap = F.abs(F.col("x.inter") * F.col("y.total") - F.col("y.inter") * F.col("x.total")) * WHOLE
-    near = gap <= (WHOLE - PART) * F.col("x.total") * F.col("y.total")
-    once = (F.col("x.node") < F.col("y.node")) | (F.col("y.component") == F.col("y.first_component"))
-    pairs = (x.join(y, F.col("x.bucket") == F.col("y.bucket"))
-             .where((F.col("x.component") != F.col("y.component")) & once & _sizes_allow("x.n", "y.n") & near)
-             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    more = stored(_verify(pairs, sets).where(linked).select("a", "b"))
+    more = stored(_left_over(stars, comps, nodes, sets))
     if not more.isEmpty():
         comps = connected_components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     return rows.drop("bands"), nodes.drop("bands"), comps
