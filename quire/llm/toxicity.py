@@ -28,7 +28,7 @@ from quire.llm.frames import documents_of, labelled_part, remainder, stored, tab
 
 SIZES = (3, 4, 5)
 BITS = 20
-SAMPLE = 20_000
+SAMPLE = 8000
 FEATURES = 8192
 MIN_DOCS = 3
 THRESHOLD = 0.3
@@ -142,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     length = np.diff(np.asarray(buckets.offsets))
     cols = place[np.asarray(buckets.flatten())]
     y = np.asarray(data.column("y")).astype(float)
-    w, b = _logistic(np.repeat(np.arange(len(y)), length), cols, ratio, y, ridge, rounds)
+    del data, buckets
+    w, b = _logistic(np.repeat(np.arange(len(y), dtype=np.int32), length), cols, ratio, y, ridge, rounds)
     weights = np.zeros(1 << BITS, np.float32)
     weights[top.bucket.to_numpy()] = w * ratio
     return ToxicModel(weights, float(b))
