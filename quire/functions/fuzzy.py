@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import col
 
-# Fixed value: description of a disambiguation page in the search results.
+# Description of a disambiguation page in the search results, its
+# label, and the text for a page without a description.
 DISAMBIGUATION = "Topics referred to by the same term"
-NO_DESCRIPTION = "No description available"
+MULTIPLE = "Multiple matches"
+NO_DESCRIPTION = "a Wikipedia article"
 
 
 def _positions(n: Column) -> Column:
@@ -68,8 +70,9 @@ def page_url(key, prefix: str = "https://en.wikipedia.org/wiki/") -> Column:
 
 
 def description_or_default(c) -> Column:
-    """A missing description gets a fixed text."""
-    return F.coalesce(col(c), F.lit(NO_DESCRIPTION))
+    """A missing description gets a fixed text, that of a disambiguation
+    page a label."""
+    return F.when(col(c) == DISAMBIGUATION, F.lit(MULTIPLE)).otherwise(F.coalesce(col(c), F.lit(NO_DESCRIPTION)))
 
 
 def first_name_in_key(name, key) -> Column:

@@ -23,12 +23,13 @@ def _item(line: Column, mode: str) -> Column:
 
     ``reference`` (Q6): text after the first '.', if any, then leading '-' and
     blanks removed - so ``- The U.S. economy`` gives ``S. economy``.
-    ``marker``: only a leading ``12.`` / ``12)`` / ``-`` marker is removed."""
+    ``marker``: only a leading ``12.`` or ``12)`` before a blank, or ``-``, is
+    removed (``2020 was bad`` and ``1.5 million`` stay)."""
     if mode == "reference":
         after = F.when(F.instr(line, ".") > 0, F.substring(line, F.instr(line, ".") + 1, 1 << 30)).otherwise(line)
         return py_strip(lstrip_chars(py_strip(after), "- "))
     if mode == "marker":
-        return py_strip(F.regexp_replace(line, r"^(\p{Nd}+[.)]?|-+)\s*", ""))
+        return py_strip(F.regexp_replace(line, r"^(\p{Nd}+[.)](\s+|$)|-+\s*)", ""))
     raise ValueError(f"unknown list mode {mode}")
 
 

@@ -21,10 +21,12 @@ DATE_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "M/d/yyyy", "yyyy/M/d")
 
 
 def coerce_timestamp(c) -> F.Column:
-    """B1: ISO timestamps/dates or one of ``DATE_FORMATS``; null otherwise."""
+    """B1: ISO timestamps/dates or one of ``DATE_FORMATS``; null otherwise.
+    A text without a four-digit year (a time of day) is not a date."""
     x = F.col(c) if isinstance(c, str) else c
     x = x.cast("string")
-    return F.coalesce(F.try_to_timestamp(x), *[F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS])
+    parsed = F.coalesce(F.try_to_timestamp(x), *[F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS])
+    return F.when(x.rlike("[0-9]{4}"), parsed)
 
 
 def clean_articles(df: DataFrame, required: Sequence[str] = REQUIRED, language: str = "English",

@@ -169,7 +169,7 @@ def jaccard_pairs(reps: DataFrame, threshold: float = 0.9) -> DataFrame:
     return inter.select("a", "b", "inter", j.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
 
-def greedy_keep_first(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def greedy_keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kept) - lexicographically first maximal independent set.
 
     ``nodes``: id, ord; ``edges``: a, b (undirected).  Each round keeps
@@ -181,7 +181,7 @@ def greedy_keep_first(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_0
           .join(o.withColumnRenamed("id", "b").withColumnRenamed("ord", "ob"), "b"))
     e = materialize(e.select("a", "b", "oa", "ob"))
     state = materialize(o.withColumn("st", F.lit("U")))
-    for _ in range(max_rounds):
+    while True:  # every round decides at least the first undecided node
         und = state.where(F.col("st") == "U").select("id")
         if und.limit(1).count() == 0:
             break
@@ -194,8 +194,6 @@ def greedy_keep_first(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_0
                       .select("id", "ord", F.when(F.col("k"), F.lit("K")).when(F.col("d") & (F.col("st") == "U"), F.lit("D"))
                               .otherwise(F.col("st")).alias("st")))
         state = materialize(state)
-    else:
-        raise RuntimeError("greedy de-duplication did not finish")
     return state.select("id", (F.col("st") == "K").alias("kept"))
 
 
@@ -247,8 +245,7 @@ def lsh_buckets(sig, bands: int = BANDS, rows: int = ROWS) -> Column:
 
 
 def lsh_keep_first(sets: DataFrame, id_col: str, order_col: str, tokens_col: str,
-                   num_perm: int = NUM_PERM, bands: int = BANDS, rows: int = ROWS,
-                   max_rounds: int = 10_000) -> DataFrame:
+                   num_perm: int = NUM_PERM, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """I5-I7, reference semantics: (id, kept).  Rows with an empty set have
     no signature and are kept (nothing can collide with them)."""
     s = materialize(sets.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"),
@@ -260,7 +257,7 @@ def lsh_keep_first(sets: DataFrame, id_col: str, order_col: str, tokens_col: str
         "id", "ord", F.posexplode(lsh_buckets("sig", bands, rows)).alias("band", "h"))
     rb = materialize(rb.select("id", "ord", F.struct("band", "h").alias("bucket")))
     state = materialize(s.select("id", "ord", F.when(F.col("sig").isNull(), F.lit("K")).otherwise(F.lit("U")).alias("st")))
-    for _ in range(max_rounds):
+    while True:  # every round decides at least the first undecided node
         und = state.where(F.col("st") == "U").select("id", "ord")
         if und.limit(1).count() == 0:
             break
@@ -276,6 +273,4 @@ def lsh_keep_first(sets: DataFrame, id_col: str, order_col: str, tokens_col: str
                       .select("id", "ord", F.when(F.col("k"), F.lit("K")).when(F.col("d") & (F.col("st") == "U"), F.lit("D"))
                               .otherwise(F.col("st")).alias("st")))
         state = materialize(state)
-    else:
-        raise RuntimeError("LSH de-duplication did not finish")
     return state.select("id", (F.col("st") == "K").alias("kept"))

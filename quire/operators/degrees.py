@@ -67,7 +67,7 @@ def degree_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "
                 .select("page_id", F.array_distinct(F.transform("_l", lambda x: x["s"])).alias("_d")))
     loose_md = loose_md.select("page_id", F.concat(F.lit(FALLBACK_HEADER), F.array_join(
         F.transform("_d", lambda s: F.concat(F.lit("\n- "), s)), "")).alias("loose_md"))
-    base = pages.select(F.col(id_col).alias("page_id"), is_html(F.col(html_col)).alias("_html"))
+    base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(is_html(F.col(html_col)), F.lit(False)).alias("_html"))
     out = base.join(strict_md, "page_id", "left").join(loose_md, "page_id", "left")
     md = (F.when(~F.col("_html"), F.lit(NOT_HTML))
            .when(F.col("strict_md").isNotNull(), F.col("strict_md"))

@@ -86,7 +86,8 @@ def q_threshold_sweep(spark, sf_dir):
 
 @register("candidate_pages", with_fixtures("""
 SELECT name, rnk, candidate_key, 'https://en.wikipedia.org/wiki/' || candidate_key AS url,
-       coalesce(CASE WHEN rnk = 2 THEN NULL ELSE description END, 'No description available') AS description,
+       CASE WHEN rnk = 2 OR description IS NULL THEN 'a Wikipedia article'
+            WHEN description = 'Topics referred to by the same term' THEN 'Multiple matches' ELSE description END AS description,
        contains(lower(candidate_key), lower(string_split_regex(name, '\\s+')[1])) AS first_name_in_key
 FROM gold_matches""", "gold_matches"))
 def q_candidate_pages(spark, sf_dir):

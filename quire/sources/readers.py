@@ -52,9 +52,25 @@ def _csv(spark: SparkSession, schema: T.StructType, path: str, multiline: bool =
             .option("mode", "PERMISSIVE").csv(path))
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """A1: raw article export (CSV with quoted multi-line cells, or Parquet)."""
-    if path.endswith(".parquet"):
+def _is_parquet(spark: SparkSession, path: str, fmt: str | None) -> bool:
+    """The format by name, by the path's suffix, or by that of a file in the
+    folder; anything else is an error."""
+    def suffix(name: str) -> str | None:
+        return next((f for f in ("parquet", "csv") if name.lower().rstrip("/").endswith("." + f)), None)
+
+    fmt = fmt or suffix(path)
+    if fmt is None:  # file names only, no content
+        inside = spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+        fmt = suffix(inside[0]["path"]) if inside else None
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"say which format this is, parquet or csv: {path}")
+    return fmt == "parquet"
+
+
+def read_articles(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """A1: raw article export (CSV with quoted multi-line cells, or Parquet).
+    A path without a suffix is read as its files' names say."""
+    if _is_parquet(spark, path, fmt):
         df = spark.read.parquet(path)
     else:
         df = _csv(spark, ARTICLE_SCHEMA, path)
@@ -83,9 +99,9 @@ def read_author_list(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], AUTHOR_LIST_SCHEMA)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A4: page table with an HTML column (Parquet, or multi-line CSV)."""
-    if path.endswith(".parquet"):
+    if _is_parquet(spark, path, fmt):
         return spark.read.parquet(path)
     return _csv(spark, PAGE_SCHEMA, path)
 

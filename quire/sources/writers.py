@@ -24,7 +24,7 @@ def write_star(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") ->
         obs = Observation(f"rows_{name}")
         w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
         if fmt == "csv":
-            w.option("header", True).csv(f"{path}/{name}")
+            w.option("header", True).option("escape", '"').csv(f"{path}/{name}")
         else:
             w.parquet(f"{path}/{name}")
         counts[name] = int(obs.get["rows"])
@@ -40,7 +40,7 @@ def write_results_csv(flat: DataFrame, path: str) -> bool:
     """Flattened results with a header; writes nothing when empty."""
     if flat.isEmpty():
         return False
-    flat.write.mode("overwrite").option("header", True).csv(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return True
 
 

@@ -3,10 +3,11 @@
 The file source's checkpoint keeps the log of files already read, so every
 export is processed exactly once across runs; ``trigger(availableNow=True)``
 processes whatever has arrived and stops (the batch-style schedule of the
-reference).  Articles repeated by the inclusive start day (Q16) are dropped
-by id with ``dropDuplicatesWithinWatermark`` on publication time, which
-keeps de-duplication state bounded.  The next high-water mark is the newest
-publication date in the sink.
+reference).  There is no watermark: a late, old or undated export is never
+dropped.  With whole files the id is the path, which the file log already makes
+unique; rows of a row-format source that repeat an id (the inclusive start
+day, Q16) are dropped by the ids in the query's state, whatever their dates.
+The next high-water mark is the newest publication date in the sink.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from quire.operators.intake import publication_date
 
 def intake_stream(spark: SparkSession, source_dir: str, fmt: str = "text",
                   schema: T.StructType | None = None, id_col: str | None = None,
-                  value_col: str = "value", late: str = "1 day") -> DataFrame:
+                  value_col: str = "value") -> DataFrame:
     """Streaming DataFrame of (id, mtime, value, pub_date) over new files.
 
     ``fmt='text'`` reads each file whole (one export = one row, the file
@@ -36,8 +37,7 @@ def intake_stream(spark: SparkSession, source_dir: str, fmt: str = "text",
         s = spark.readStream.schema(schema).format(fmt).load(source_dir)
         s = s.select(F.col(id_col).alias("id"), F.col("mtime"), F.col(value_col).alias("value"))
     s = s.withColumn("pub_date", publication_date("value"))
-    s = s.withColumn("_event", F.coalesce(F.col("pub_date").cast("timestamp"), F.col("mtime")))
-    return s.withWatermark("_event", late).dropDuplicatesWithinWatermark(["id"]).drop("_event")
+    return s if fmt == "text" else s.dropDuplicates(["id"])
 
 
 def start_intake(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,

@@ -28,7 +28,7 @@ def test_unescape_stored_and_page_helpers(spark):
     df = spark.createDataFrame([("a\\nb\\t\\\"c\\\"", None, "Joe Biden", "joe_biden")], "s string, d string, n string, k string")
     r = df.select(unescape_stored("s").alias("u"), description_or_default("d").alias("d"),
                   page_url("k").alias("url"), first_name_in_key("n", "k").alias("f")).first()
-    assert r.u == 'a\nb\t"c"' and r.d == "No description available" and r.url.endswith("/joe_biden") and r.f is True
+    assert r.u == 'a\nb\t"c"' and r.d == "a Wikipedia article" and r.url.endswith("/joe_biden") and r.f is True
 
 
 def test_attach_pages_only_for_matches(spark):

@@ -117,8 +117,12 @@ def test_export_files_and_streaming_intake(spark):
     # a second run reads only new files (the checkpoint remembers the rest)
     with open(os.path.join(src, "e4.txt"), "w", encoding="utf-8") as f:
         f.write("Fecha de publicación: May 1, 2021")
+    # an export older than all others and one without a date are not lost
+    for name, text in (("e5.txt", "Fecha de publicación: Jan 5, 2020"), ("e6.txt", "nothing dated")):
+        with open(os.path.join(src, name), "w", encoding="utf-8") as f:
+            f.write(text)
     start_intake(spark, src, sink, ckpt).awaitTermination()
-    assert spark.read.parquet(sink).count() == 4
+    assert spark.read.parquet(sink).count() == 6
     assert sink_high_water_mark(spark, sink).first().start_date.isoformat() == "2021-05-01"
 
 
