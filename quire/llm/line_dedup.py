@@ -16,6 +16,8 @@ and ``least`` words, or as many words as an anchor line.
 3. Documents are rewritten without the removed chunks; everything else stays
    as it was, to the byte.
 
+A chunk at the edge of a repeated passage that also holds other lines is not
+repeated and stays, unless the passage begins or ends with an anchor line.
 White space at either end of a chunk does not count in the comparison, but goes
 with the chunk.  Only chunk hashes and repeated chunks are shuffled, and each
 text once, for rewriting.  A null text stays null and has no chunk.  Rows equal
