@@ -95,13 +95,11 @@ def _mixture(p: np.ndarray, start: np.ndarray, rows: np.ndarray, n_rows: int, al
     have = rows[start]
     words = np.diff(np.r_[start, len(rows)])[:, None]
     pi = allowed[have] / allowed[have].sum(1, keepdims=True)
-    back = np.repeat(np.arange(len(have)), words[:, 0])
     for step in range(STEPS + 1):
-        joint = p * pi[back]
-        total = joint.sum(1)
+        total = np.einsum("ij,ij->i", p, np.repeat(pi, words[:, 0], axis=0))
         if step == STEPS:
             break
-        pi = np.add.reduceat(joint / total[:, None], start) / words
+        pi = pi * np.add.reduceat(p / total[:, None], start) / words
     return pi, np.add.reduceat(np.log(total), start)
 
 
@@ -118,9 +116,9 @@ def _predict(data, offsets, logs):
     good = (word >= 0)
     good[good] &= w_row[word[good]] == rows_of(offsets, at[good])
     word, bucket = word[good], bucket[good]
-    ll = np.empty((len(w_start), k))
+    ll, columns = np.empty((len(w_start), k)), np.ascontiguousarray(logs.T)
     for j in range(k):
-        ll[:, j] = np.bincount(word, logs[bucket, j], len(w_start))
+        ll[:, j] = np.bincount(word, columns[j].take(bucket), len(w_start))
     # one odd word (a name, a foreign term) cannot outweigh a text
     ll = np.maximum(ll - ll.max(1, keepdims=True), -MOST_EVIDENCE)
     p = np.exp(ll)
