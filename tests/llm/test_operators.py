@@ -214,3 +214,9 @@ def test_stages_keep_the_columns_of_documents(spark):
         kept = stage(spark, kept, SMOKE)
         assert kept.columns == documents.columns and 0.5 * before < kept.count() <= before, name
     assert len(queries.QUERIES) == 10
+
+
+def test_language_id_on_held_out_documents(spark):
+    docs = tables(spark)[0]
+    got = language_id(docs).where("held_out").join(docs.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").collect()
+    assert got and sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
