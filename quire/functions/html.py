@@ -19,7 +19,7 @@ from quire.functions.text import col, py_strip
 
 BLOCK_MARK = "\u0001"
 
-_CLS = r'class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"'
+_CLS = r'''class=["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["']'''
 # Page junk removed before blocking (H19): style, script, comments, navbox
 # tables, reference superscripts, back-links, reference lists, hatnotes, toc.
 JUNK = "(?is)" + "|".join([
@@ -32,12 +32,17 @@ JUNK = "(?is)" + "|".join([
     r"<ol\b[^>]*" + _CLS.format(name="references") + r"[^>]*>.*?</ol>",
     r"<div\b[^>]*" + _CLS.format(name="reflist") + r"[^>]*>.*?</div>",
     r"<div\b[^>]*" + _CLS.format(name="hatnote") + r"[^>]*>.*?</div>",
-    r'<div\b[^>]*id="toc"[^>]*>.*?</div>',
+    r'''<div\b[^>]*id=["']toc["'][^>]*>.*?</div>''',
 ])
 CONTAINER = r"(?is)<div\b[^>]*" + _CLS.format(name="mw-parser-output") + r"[^>]*>(.*)$"
 BLOCK_TAGS = ("h[1-6]|p|div|table|tbody|thead|tr|td|th|ul|ol|li|dl|dt|dd|section|article|aside|nav|"
               "header|footer|main|figure|figcaption|blockquote|pre|form|fieldset|address|hr|body|html|head|title")
 BLOCK_TAG = rf"(?i)(</?(?:{BLOCK_TAGS})\b[^>]*>)"
+# Block tags that are always closed: their pieces carry the nesting depth.
+NESTING = ("div|table|ul|ol|dl|section|article|aside|nav|header|footer|main|figure|blockquote|form|fieldset|"
+           "body|html")
+OPENS = rf"(?i)^<(?:{NESTING})\b"
+CLOSES = rf"(?i)^</(?:{NESTING})\b"
 INFOBOX = r"(?is)<table\b[^>]*" + _CLS.format(name="infobox") + r"[^>]*>(.*?)</table>"
 HTML_TAG = r"<[a-zA-Z][^>]*>"  # B15
 

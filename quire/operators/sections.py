@@ -1,6 +1,8 @@
 """Pages -> blocks -> sections.
 
 ``html_blocks`` is a per-row expression + ``posexplode`` (no shuffle).
+The nesting depth of a piece is a running sum of opening and closing tags
+per page, so a section ends where the element that holds its heading closes.
 Attributing paragraphs to headings is a window per page ordered by block
 position: the nearest preceding heading of any level (E1); paragraphs before
 the first heading are the lead (E8), which only exists inside the
@@ -25,13 +27,15 @@ KEYWORDS = ("education", "early life", "biography", "career", "Academic", "Perso
             "Early years", "young", "Journalism", "Early life", "Early and personal life", "Biography",
             "References", "Career")
 LEAD = "_lead_"
-MAX_BROADCAST_TERMS = 100_000
 INFOBOX_TITLE = "_infobox_education_"
 INFOBOX_RANK = 1 << 40  # the infobox pseudo-section comes after every heading
 
 
-def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "source") -> DataFrame:
-    """(page_id, pos, kind 'p'|'h', level, text, container) per block."""
+def _pieces(pages: DataFrame, id_col: str, html_col: str, loose: bool) -> DataFrame:
+    """Every piece of a page: (page_id, pos, kind 'p'|'h'|'o', level, text,
+    container, step).  ``step`` is +1 / -1 where a nesting tag opens / closes.
+    Kind 'o' is all else (list items, cells, loose text); its text is null
+    unless ``loose``."""
     clean = pages.select(F.col(id_col).alias("page_id"), H.strip_junk(F.col(html_col)).alias("_html"))
     clean = clean.select("page_id", H.has_container("_html").alias("container"),
                          H.block_pieces(H.body_of("_html")).alias("_pieces"))
@@ -39,15 +43,32 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "sour
     # inferred size() filter; the tag filter below drops the null row instead
     blocks = clean.select("page_id", "container", F.posexplode_outer("_pieces").alias("pos", "_piece"))
     tag = F.lower(F.regexp_extract("_piece", r"(?i)^<(p|h[1-6])\b", 1))
-    blocks = blocks.withColumn("_tag", tag).where(F.col("_tag") != "")
+    # the first piece of a page starts with text, not with a block tag
+    blocks = blocks.where(F.col("_piece").isNotNull()).withColumn("_tag", tag)
     inner = F.regexp_replace("_piece", r"^<[^>]*>", "")
-    is_h = F.col("_tag").startswith("h")
+    is_h, is_p = F.col("_tag").startswith("h"), F.col("_tag") == "p"
+    body = H.node_text(inner, " ")
     return blocks.select(
         "page_id", F.col("pos").cast("long").alias("pos"),
-        F.when(is_h, F.lit("h")).otherwise(F.lit("p")).alias("kind"),
+        F.when(is_h, F.lit("h")).when(is_p, F.lit("p")).otherwise(F.lit("o")).alias("kind"),
         F.when(is_h, F.substring("_tag", 2, 1).cast("int")).alias("level"),
-        F.when(is_h, H.node_text(inner, "")).otherwise(H.node_text(inner, " ")).alias("text"),
-        "container")
+        F.when(is_h, H.node_text(inner, "")).otherwise(body if loose else F.when(is_p, body)).alias("text"),
+        "container",
+        F.when(F.col("_piece").rlike(H.OPENS), F.lit(1)).when(F.col("_piece").rlike(H.CLOSES), F.lit(-1))
+         .otherwise(F.lit(0)).alias("step"))
+
+
+def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "source") -> DataFrame:
+    """(page_id, pos, kind 'p'|'h', level, text, container) per block."""
+    return _pieces(pages, id_col, html_col, False).where(F.col("kind") != "o").drop("step")
+
+
+def _nested(pieces: DataFrame) -> DataFrame:
+    """Adds ``depth`` (open nesting tags at the piece) and drops what follows
+    the end of the ``mw-parser-output`` container."""
+    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = pieces.withColumn("depth", F.sum("step").over(w)).withColumn("_low", F.min("depth").over(w))
+    return d.where(~F.col("container") | (F.col("_low") >= 0)).drop("_low", "step")
 
 
 def _attributed(blocks: DataFrame) -> DataFrame:
@@ -78,15 +99,13 @@ def html_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "so
     """(page_id, title, sec_rank, pos, text) for every paragraph of the
     lead, of each non-blacklisted heading section, and of the infobox.
     ``sec_rank`` orders sections (lead -1, headings by position, infobox last)."""
-    a = _attributed(html_blocks(pages, id_col, html_col)).where(F.col("kind") == "p")
+    a = _attributed(_nested(_pieces(pages, id_col, html_col, False))).where(F.col("kind") == "p")
     a = a.where(F.col("head_pos").isNotNull() | F.col("container"))
     paras = a.select("page_id", F.coalesce("head_title", F.lit(LEAD)).alias("title"),
                      F.coalesce("head_pos", F.lit(-1).cast("long")).alias("sec_rank"), "pos", "text")
     if isinstance(blacklist, DataFrame):  # B16 as an anti join with a term table
         terms = blacklist.select(F.col("term").alias("title")).distinct()
-        # broadcast only a term list of checked size; a larger table joins normally
-        small = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-        paras = paras.join(F.broadcast(terms) if small else terms, "title", "left_anti")
+        paras = paras.join(terms, "title", "left_anti")
     else:
         paras = paras.where(~F.col("title").isin(list(blacklist)) | (F.col("sec_rank") < 0))
     return paras.unionByName(infobox_paragraphs(pages, id_col, html_col))
@@ -104,23 +123,28 @@ def heading_tree(pages: DataFrame, id_col: str = "page_id", html_col: str = "sou
 
 
 def section_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "source") -> DataFrame:
-    """(page_id, pos, level, title, content): text of the blocks after a
-    heading up to the next heading of the same or a higher level, nested
-    subsections included.  The range join is an equi join on the page key
-    plus a position range, so it stays inside one page."""
-    b = html_blocks(pages, id_col, html_col)
+    """(page_id, pos, level, title, content): all text after a heading
+    (paragraphs, list items, table cells, loose text, nested subsections) up
+    to the next heading of the same or a higher level or the end of the
+    element that holds the heading.  The range join is an equi join on the
+    page key plus a position range, so it stays inside one page."""
+    b = _nested(_pieces(pages, id_col, html_col, True))
     h = b.where(F.col("kind") == "h")
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
     nxt = {k: F.min(F.when(F.col("level") == k, F.col("pos"))).over(w) for k in range(1, 7)}
     ends = [F.when(F.col("level") >= k, nxt[k]) for k in range(1, 7)]
-    heads = h.select("page_id", F.col("pos").alias("h_pos"), "level", F.col("text").alias("title"),
+    heads = h.select("page_id", F.col("pos").alias("h_pos"), "level", "depth", F.col("text").alias("title"),
                      F.coalesce(F.least(*ends), F.lit(1 << 40).cast("long")).alias("h_end"))
-    body = b.select(F.col("page_id").alias("b_page"), F.col("pos").alias("b_pos"), F.col("text").alias("b_text"))
+    body = b.select(F.col("page_id").alias("b_page"), F.col("pos").alias("b_pos"), F.col("text").alias("b_text"),
+                    F.col("kind").alias("b_kind"), F.col("depth").alias("b_depth"))
     inside = heads.join(body, (F.col("page_id") == F.col("b_page")) & (F.col("b_pos") > F.col("h_pos"))
                         & (F.col("b_pos") < F.col("h_end")), "left")
-    grouped = inside.groupBy("page_id", "h_pos", "level", "title").agg(F.array_sort(F.collect_list(
-        F.when(F.col("b_pos").isNotNull(), F.struct("b_pos", "b_text")))).alias("_t"))
-    content = F.regexp_replace(F.array_join(F.transform("_t", lambda x: x["b_text"]), " "), r"^\s+|\s+$", "")
+    grouped = inside.groupBy("page_id", "h_pos", "level", "title", "depth").agg(
+        F.min(F.when(F.col("b_depth") < F.col("depth"), F.col("b_pos"))).alias("_end"),
+        F.array_sort(F.collect_list(F.when((F.col("b_kind") != "o") | (F.col("b_text") != ""),
+                                           F.struct("b_pos", "b_text")))).alias("_t"))
+    kept = F.filter("_t", lambda x: F.col("_end").isNull() | (x["b_pos"] < F.col("_end")))
+    content = F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["b_text"]), " "), r"^\s+|\s+$", "")
     return grouped.select("page_id", F.col("h_pos").alias("pos"), "level", "title", content.alias("content"))
 
 

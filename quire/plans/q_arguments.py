@@ -27,7 +27,7 @@ def _phase(spark, sf_dir, name, prefix=None):
     if name == "list_responses":
         r = r.select(F.col("i").alias("line"), "custom_id", "content")
     if name == "argument_responses":
-        r = r.select((F.col("i") * 1000 + F.col("j")).alias("line"),
+        r = r.select(F.struct("i", "j").alias("line"),
                      F.concat_ws("_", F.lit("arg"), F.col("i").cast("string"), F.col("j").cast("string"))
                      .alias("custom_id"), "content")
     if prefix:
@@ -67,7 +67,7 @@ def _explode(src: str, keys: str, list_expr: str, name: str, pos: str = "j") ->
 
 _P1 = "(SELECT i AS line, custom_id, content FROM list_responses)"
 _Q1 = "(SELECT i AS line, regexp_replace(custom_id, '^c_', 'q_') AS custom_id, content FROM list_responses)"
-_P3 = ("(SELECT i * 1000 + j AS line, 'arg_' || CAST(i AS VARCHAR) || '_' || CAST(j AS VARCHAR) AS custom_id, "
+_P3 = ("(SELECT {'i': i, 'j': j} AS line, 'arg_' || CAST(i AS VARCHAR) || '_' || CAST(j AS VARCHAR) AS custom_id, "
        "content FROM argument_responses)")
 
 _DIRECT = _ART + f""",

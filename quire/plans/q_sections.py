@@ -39,13 +39,16 @@ def heading_tree(spark, sf_dir):
 
 
 @register("section_text", with_fixtures(_BLOCKS + """,
-hh AS (SELECT * FROM blocks WHERE kind = 'h'),
+hh AS (SELECT page_id, pos, depth, text, CAST(substring(tag, 2, 1) AS INTEGER) AS level FROM allb WHERE tag LIKE 'h%'),
 he AS (SELECT a.page_id, a.pos, a.level, a.text AS title,
-              coalesce((SELECT min(b.pos) FROM hh b WHERE b.page_id = a.page_id AND b.pos > a.pos AND b.level <= a.level),
-                       1099511627776) AS h_end FROM hh a)
+              least(coalesce((SELECT min(b.pos) FROM hh b WHERE b.page_id = a.page_id AND b.pos > a.pos AND b.level <= a.level),
+                             1099511627776),
+                    coalesce((SELECT min(c.pos) FROM allb c WHERE c.page_id = a.page_id AND c.pos > a.pos AND c.depth < a.depth),
+                             1099511627776)) AS h_end FROM hh a)
 SELECT he.page_id, he.pos, he.level, he.title,
        coalesce(""" + S.strip("string_agg(b.text, ' ' ORDER BY b.pos)") + """, '') AS content
-FROM he LEFT JOIN blocks b ON b.page_id = he.page_id AND b.pos > he.pos AND b.pos < he.h_end
+FROM he LEFT JOIN allb b ON b.page_id = he.page_id AND b.pos > he.pos AND b.pos < he.h_end
+       AND (b.tag <> '' OR b.text <> '')
 GROUP BY he.page_id, he.pos, he.level, he.title""", "wiki_pages"))
 def section_text(spark, sf_dir):
     """Heading content up to the next same-or-higher heading."""
@@ -70,13 +73,16 @@ def infobox_pairs(spark, sf_dir):
 
 
 @register("keyword_sections", with_fixtures(_BLOCKS + f""",
-hh AS (SELECT * FROM blocks WHERE kind = 'h'),
+hh AS (SELECT page_id, pos, depth, text, CAST(substring(tag, 2, 1) AS INTEGER) AS level FROM allb WHERE tag LIKE 'h%'),
 he AS (SELECT a.page_id, a.pos, a.level, a.text AS title,
-              coalesce((SELECT min(b.pos) FROM hh b WHERE b.page_id = a.page_id AND b.pos > a.pos AND b.level <= a.level),
-                       1099511627776) AS h_end FROM hh a),
+              least(coalesce((SELECT min(b.pos) FROM hh b WHERE b.page_id = a.page_id AND b.pos > a.pos AND b.level <= a.level),
+                             1099511627776),
+                    coalesce((SELECT min(c.pos) FROM allb c WHERE c.page_id = a.page_id AND c.pos > a.pos AND c.depth < a.depth),
+                             1099511627776)) AS h_end FROM hh a),
 st AS (SELECT he.page_id, he.pos, he.level, he.title,
               coalesce(""" + S.strip("string_agg(b.text, ' ' ORDER BY b.pos)") + f""", '') AS content
-       FROM he LEFT JOIN blocks b ON b.page_id = he.page_id AND b.pos > he.pos AND b.pos < he.h_end
+       FROM he LEFT JOIN allb b ON b.page_id = he.page_id AND b.pos > he.pos AND b.pos < he.h_end
+       AND (b.tag <> '' OR b.text <> '')
        GROUP BY he.page_id, he.pos, he.level, he.title)
 SELECT page_id, pos, level, title, {_KW_CASE.replace('text', 'title')} AS keyword, content
 FROM st WHERE ({_KW_CASE.replace('text', 'title')}) IS NOT NULL""", "wiki_pages"))

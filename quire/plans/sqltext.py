@@ -149,7 +149,8 @@ def node_text(inner: str, sep: str) -> str:
 
 
 def blocks_ctes(pages_cte: str, id_col: str = "page_id", html_col: str = "source") -> str:
-    """CTEs ``pg(page_id, source, h)`` and ``blocks(page_id, pos, kind, level, text, container)``."""
+    """CTEs ``pg(page_id, source, h)``, ``allb`` (every piece up to the end of the container, with its depth) and
+    ``blocks(page_id, pos, kind, level, text, container)``."""
     H, _ = _html_consts()
     mark = q(H.BLOCK_MARK + "\\1")
     return f"""
@@ -162,7 +163,14 @@ pc AS (SELECT page_id, container, string_split(regexp_replace(body, {q(H.BLOCK_T
 pe AS (SELECT page_id, container, k - 1 AS pos, pieces[k] AS piece
        FROM (SELECT page_id, container, pieces, unnest(generate_series(1, len(pieces))) AS k FROM pc) x),
 blk AS (SELECT page_id, pos, container, lower(regexp_extract(piece, '(?i)^<(p|h[1-6])\\b', 1)) AS tag,
-               regexp_replace(piece, '^<[^>]*>', '') AS inr FROM pe),
+               regexp_replace(piece, '^<[^>]*>', '') AS inr,
+               CASE WHEN regexp_matches(piece, {q(H.OPENS)}) THEN 1 WHEN regexp_matches(piece, {q(H.CLOSES)}) THEN -1
+                    ELSE 0 END AS step FROM pe),
+dep AS (SELECT page_id, pos, container, tag, inr, sum(step) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM blk),
+allb AS (SELECT * FROM (SELECT page_id, CAST(pos AS BIGINT) AS pos, container, tag, depth,
+                               CASE WHEN tag LIKE 'h%' THEN {node_text('inr', '')} ELSE {node_text('inr', ' ')} END AS text,
+                               min(depth) OVER (PARTITION BY page_id ORDER BY pos) AS low FROM dep) x
+         WHERE NOT container OR low >= 0),
 blocks AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, CASE WHEN tag LIKE 'h%' THEN 'h' ELSE 'p' END AS kind,
                   CASE WHEN tag LIKE 'h%' THEN CAST(substring(tag, 2, 1) AS INTEGER) END AS level,
                   CASE WHEN tag LIKE 'h%' THEN {node_text('inr', '')} ELSE {node_text('inr', ' ')} END AS text,
@@ -182,7 +190,7 @@ def sections_ctes() -> str:
 att AS (SELECT b.*,
                last_value(CASE WHEN kind = 'h' THEN pos END IGNORE NULLS) OVER w AS head_pos,
                last_value(CASE WHEN kind = 'h' THEN text END IGNORE NULLS) OVER w AS head_title
-        FROM blocks b
+        FROM blocks b SEMI JOIN allb USING (page_id, pos)
         WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 hpar AS (SELECT page_id, coalesce(head_title, '_lead_') AS title, CAST(coalesce(head_pos, -1) AS BIGINT) AS sec_rank, pos, text
          FROM att WHERE kind = 'p' AND (head_pos IS NOT NULL OR container)

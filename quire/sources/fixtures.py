@@ -2,8 +2,9 @@
 
 Each text below runs unchanged in Spark SQL and in DuckDB.  A stand-in input
 only supplies rows of the right shape; the operators never rely on how the
-rows were made (the CASE branches just vary the shapes across all rows, no
-row of a driver table is filtered away).
+rows were made.  The CASE branches only put a shape around the source text:
+no row of a driver table is filtered away and no text is left out.  A call
+within a conversation is keyed by both padded numbers.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ SELECT p_partkey AS id_articulo,
          WHEN 2 THEN concat(l, ', ', f)
          WHEN 3 THEN concat(l, ', ', f, '; Jr')
          WHEN 4 THEN concat(upper(f), ' ', upper(l))
-         WHEN 5 THEN 'Editorial Staff'
+         WHEN 5 THEN concat(f, ' ', l, ' Editorial Staff')
          WHEN 6 THEN concat(f, ' ', l, ' and Kim Doe')
-         ELSE NULL END AS autor
+         ELSE concat('By ', f, ' ', l) END AS autor
 FROM (SELECT p_partkey,
              concat(upper(substr(split_part(p_name, ' ', 1), 1, 1)), substr(split_part(p_name, ' ', 1), 2)) AS f,
              concat(upper(substr(split_part(p_name, ' ', 2), 1, 1)), substr(split_part(p_name, ' ', 2), 2)) AS l
@@ -62,45 +63,44 @@ FROM part""",
     # completion texts holding numbered / bulleted lists (phase 1 answers)
     "list_responses": """
 SELECT doc_id AS i, concat('c_', CAST(doc_id AS STRING)) AS custom_id,
-       CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('Intro line', chr(10), '1. ', replace(text, chr(10), concat(chr(10), '- '))) END AS content
+       CASE WHEN doc_id % 9 = 0 THEN text ELSE concat('Intro line', chr(10), '1. ', replace(text, chr(10), concat(chr(10), '- '))) END AS content
 FROM documents""",
     # completion texts holding Claim / Premises blocks (last phase answers)
     "argument_responses": """
 SELECT conv_id AS i, turn AS j,
        CASE turn % 4
          WHEN 0 THEN concat('Claim: ', role, ' says: yes', chr(10), 'Premises: ignored', chr(10), '1. ', replace(text, chr(10), concat(chr(10), '- ')))
-         WHEN 1 THEN concat('Premises:', chr(10), '- first', chr(10), 'Claim: late', chr(10), '2. lost')
-         WHEN 2 THEN 'no structure here'
-         ELSE concat('Claim: a', chr(10), 'Claim: b', chr(10), 'Premises:', chr(10), '- p') END AS content
+         WHEN 1 THEN concat('Premises:', chr(10), '- first', chr(10), 'Claim: late', chr(10), '2. ', text)
+         WHEN 2 THEN concat('no structure here ', text)
+         ELSE concat('Claim: a', chr(10), 'Claim: b', chr(10), 'Premises:', chr(10), '- p ', text) END AS content
 FROM conversations""",
     # phase-2 completions of the direct job: premise lists per conclusion
     "premise_responses": """
-SELECT conv_id * 1000 + turn AS line,
+SELECT concat(lpad(CAST(conv_id AS STRING), 19, '0'), '_', lpad(CAST(turn AS STRING), 10, '0')) AS line,
        concat('p_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING)) AS custom_id,
        concat('1. ', replace(text, chr(10), concat(chr(10), '- '))) AS content
 FROM conversations""",
     # phase-2 completions of the Socratic job: one answer per question
     "answer_responses": """
-SELECT conv_id * 1000 + turn AS line,
+SELECT concat(lpad(CAST(conv_id AS STRING), 19, '0'), '_', lpad(CAST(turn AS STRING), 10, '0')) AS line,
        concat('qa_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING)) AS custom_id,
-       CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS content
+       CASE WHEN turn % 5 = 4 THEN concat(' ', text, ' ') ELSE text END AS content
 FROM conversations""",
     # raw batch-result lines; several lines share an id, some lack choices
     "response_json": """
-SELECT conv_id * 1000 + turn AS line,
-       CASE WHEN conv_id % 7 = 0 THEN NULL
-            WHEN conv_id % 5 = 0 THEN to_json(named_struct('custom_id', concat('c_', CAST(conv_id AS STRING)),
-                 'response', named_struct('body', named_struct('id', turn))))
+SELECT concat(lpad(CAST(conv_id AS STRING), 19, '0'), '_', lpad(CAST(turn AS STRING), 10, '0')) AS line,
+       CASE WHEN conv_id % 5 = 0 THEN to_json(named_struct('custom_id', concat('c_', CAST(conv_id AS STRING)),
+                 'response', named_struct('body', named_struct('id', turn, 'note', text))))
             ELSE to_json(named_struct('custom_id', concat('c_', CAST(conv_id AS STRING)),
                  'response', named_struct('body', named_struct('choices', array(named_struct('message',
-                     named_struct('content', CASE WHEN turn % 3 = 2 THEN ' ' ELSE concat(' ', text, ' ') END))))))) END AS value
+                     named_struct('content', concat(' ', text, ' ')))))))) END AS value
 FROM conversations""",
     # encyclopedia pages: every page kept, markup varied by a CASE
     "wiki_pages": """
 SELECT page_id,
        CASE page_id % 50
-         WHEN 0 THEN 'plain text, no markup'
-         WHEN 1 THEN '<body><div class="mw-parser-output"><p>Kim Doe holds a <b>Ph.D.</b>, awarded in 1990.</p><h2>Work</h2><p>Wrote books.</p></div></body>'
+         WHEN 0 THEN replace(replace(html, '<', '('), '>', ')')
+         WHEN 1 THEN concat('<body><div class="mw-parser-output"><p>Kim Doe holds a <b>Ph.D.</b>, awarded in 1990.</p><h2>Work</h2><p>Wrote books.</p>', html, '</div><p>Footer graduated.</p></body>')
          ELSE replace(replace(html, '<article>', CASE WHEN page_id % 3 = 0
            THEN '<article><table class="infobox"><tr><th>Education</th><td>Town College (BA); City School (JD)</td></tr><tr><th>Born</th><td>1960</td></tr></table>'
            ELSE '<article>' END),
@@ -118,14 +118,17 @@ SELECT name, rnk, candidate_key, description,
 FROM (
   SELECT p_name AS name, 1 AS rnk, min(replace(p_name, ' ', '_')) AS candidate_key,
          CASE WHEN p_name LIKE 'blue%' THEN 'Topics referred to by the same term' ELSE 'a page' END AS description
-  FROM part WHERE p_name NOT LIKE 'old%' GROUP BY p_name
+  FROM part GROUP BY p_name
   UNION ALL
-  SELECT p_name, 2, concat(min(p_brand), '_x'), 'a page' FROM part WHERE p_name NOT LIKE 'old%' GROUP BY p_name
+  SELECT p_name, 2, concat(min(p_brand), '_x'), 'a page' FROM part GROUP BY p_name
 ) t""",
     # every queried author name (names without any search result included)
     "query_names": """
 SELECT min(p_partkey) AS id, p_name AS name,
        concat('https://example.org/wiki/', replace(p_name, ' ', '_'), '/') AS url
+FROM part GROUP BY p_name
+UNION ALL
+SELECT -min(p_partkey), concat(p_name, ' unlisted'), concat('https://example.org/wiki/', replace(p_name, ' ', '_'), '/')
 FROM part GROUP BY p_name""",
     # archive records with the fields the collection filters look at
     "selection_source": """
@@ -160,7 +163,7 @@ LEFT JOIN (SELECT p_partkey AS id_articulo, concat(p_type, ';', lower(p_brand))
        ON t.id_articulo = d.doc_id""",
     # model replies with degree records, some incomplete or not JSON
     "degree_json": """
-SELECT conv_id * 1000 + turn AS id, role AS author_name,
+SELECT concat(lpad(CAST(conv_id AS STRING), 19, '0'), '_', lpad(CAST(turn AS STRING), 10, '0')) AS id, role AS author_name,
        CASE turn % 4
          WHEN 0 THEN concat('{"studies": [{"degree_type": "BA", "degree_field": ["', role, '", "Law"]}, ',
                             '{"degree_type": "PhD", "degree_field": ["History"]}]}')
@@ -170,7 +173,7 @@ SELECT conv_id * 1000 + turn AS id, role AS author_name,
 FROM conversations""",
     # token usage per model call
     "usage": """
-SELECT conv_id * 1000 + turn AS call_id,
+SELECT concat(lpad(CAST(conv_id AS STRING), 19, '0'), '_', lpad(CAST(turn AS STRING), 10, '0')) AS call_id,
        CAST(CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END AS BIGINT) AS input_tokens,
        CAST(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS BIGINT) AS output_tokens
 FROM conversations""",
@@ -185,13 +188,12 @@ FROM events""",
 # The same inputs built with the oracle engine's own JSON functions.
 ORACLE_FIXTURE_SQL: dict[str, str] = {
     "response_json": """
-SELECT conv_id * 1000 + turn AS line,
-       CASE WHEN conv_id % 7 = 0 THEN NULL
-            WHEN conv_id % 5 = 0 THEN CAST(json_object('custom_id', concat('c_', CAST(conv_id AS STRING)),
-                 'response', json_object('body', json_object('id', turn))) AS VARCHAR)
+SELECT concat(lpad(CAST(conv_id AS STRING), 19, '0'), '_', lpad(CAST(turn AS STRING), 10, '0')) AS line,
+       CASE WHEN conv_id % 5 = 0 THEN CAST(json_object('custom_id', concat('c_', CAST(conv_id AS STRING)),
+                 'response', json_object('body', json_object('id', turn, 'note', text))) AS VARCHAR)
             ELSE CAST(json_object('custom_id', concat('c_', CAST(conv_id AS STRING)),
                  'response', json_object('body', json_object('choices', json_array(json_object('message',
-                     json_object('content', CASE WHEN turn % 3 = 2 THEN ' ' ELSE concat(' ', text, ' ') END)))))) AS VARCHAR) END AS value
+                     json_object('content', concat(' ', text, ' '))))))) AS VARCHAR) END AS value
 FROM conversations""",
 }
 

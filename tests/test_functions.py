@@ -258,3 +258,17 @@ def test_hashed_shingles_keep_jaccard(spark):
     h = {r.id: set(r.tokens) for r in shingle_sets(df, "id", "t", 3).collect()}
     for a, b in itertools.combinations(sorted(s), 2):
         assert len(s[a] & s[b]) == len(h[a] & h[b]) and len(s[a]) == len(h[a])
+
+
+def test_section_text_keeps_lists_tables_and_loose_text_inside_the_container(spark):
+    from quire.operators import sections as SEC
+    html = ("<div class='mw-parser-output'><p>Lead.</p><h2>Education</h2><p>Intro.</p><ul><li>BA, Yale</li><li>JD</li></ul>"
+            "Loose.<table><tr><td>1990</td></tr></table><h3>Sub</h3><p>In.</p><h2>Next</h2><p>Other.</p></div>"
+            "<p>Footer graduated</p>")
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<h2>A</h2>open <section><h2>B</h2><ol><li>x</li></ol></section>tail")],
+                                  "page_id long, source string")
+    got = {(r.page_id, r.title): r.content for r in SEC.section_text(pages).collect()}
+    assert got == {(1, "Education"): "Intro. BA, Yale JD Loose. 1990 Sub In.", (1, "Sub"): "In.", (1, "Next"): "Other.",
+                   (3, "A"): "open", (3, "B"): "x"}
+    paras = sorted((r.title, r.text) for r in SEC.html_sections(pages).collect())
+    assert paras == [("Education", "Intro."), ("Next", "Other."), ("Sub", "In."), ("_lead_", "Lead.")]
