@@ -174,13 +174,16 @@ def greedy_keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes``: id, ord; ``edges``: a, b (undirected).  Each round keeps
     every undecided node without an undecided neighbour earlier in order and
-    drops the undecided neighbours of the newly kept ones."""
+    drops the undecided neighbours of the newly kept ones.  Nodes without an
+    edge are kept at once and take no part in the rounds."""
     o = nodes.select("id", "ord")
     e = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = (e.join(o.withColumnRenamed("id", "a").withColumnRenamed("ord", "oa"), "a")
           .join(o.withColumnRenamed("id", "b").withColumnRenamed("ord", "ob"), "b"))
     e = materialize(e.select("a", "b", "oa", "ob"))
-    state = materialize(o.withColumn("st", F.lit("U")))
+    ends = e.select(F.col("a").alias("id")).distinct()
+    lone = o.join(ends, "id", "left_anti")
+    state = materialize(o.join(ends, "id", "left_semi").withColumn("st", F.lit("U")))
     while True:  # every round decides at least the first undecided node
         und = state.where(F.col("st") == "U").select("id")
         if und.limit(1).count() == 0:
@@ -194,7 +197,8 @@ def greedy_keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                       .select("id", "ord", F.when(F.col("k"), F.lit("K")).when(F.col("d") & (F.col("st") == "U"), F.lit("D"))
                               .otherwise(F.col("st")).alias("st")))
         state = materialize(state)
-    return state.select("id", (F.col("st") == "K").alias("kept"))
+    return state.select("id", (F.col("st") == "K").alias("kept")).unionByName(
+        lone.select("id", F.lit(True).alias("kept")))
 
 
 class Dedup(NamedTuple):
