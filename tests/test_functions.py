@@ -86,7 +86,7 @@ def py_list_items(text, mode="reference"):
             item = line.split(".", 1)[-1].strip() if "." in line else line
             item = item.lstrip("- ").strip()
         else:
-            item = re.sub(r"^(\d+[.)]?|-+)\s*", "", line).strip()
+            item = re.sub(r"^(\d+[.)](\s+|$)|-+\s*)", "", line).strip()
         if item:
             out.append(item)
     return out
@@ -94,6 +94,7 @@ def py_list_items(text, mode="reference"):
 
 LIST_CASES = [
     "Intro\n1. The U.S. economy\n- Ends with a period.\n2020 was bad\n-  dash item\n\n3) paren",
+    "1.5 million\n12) twelve\n3.",
     "- a\n-\n  7. seven  \nnot a marker\n- x.y.z",
     "",
 ]
