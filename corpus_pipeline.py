@@ -32,6 +32,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the rows of the last one."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
