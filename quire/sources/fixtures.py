@@ -3,7 +3,8 @@
 Each text below runs unchanged in Spark SQL and in DuckDB.  A stand-in input
 only supplies rows of the right shape; the operators never rely on how the
 rows were made.  The CASE branches only put a shape around the source text:
-no row of a driver table is filtered away and no text is left out.  A call
+no row of a driver table is filtered away and no text is left out (but
+``degree_json`` takes only the role of a turn, not its text).  A call
 within a conversation is keyed by both padded numbers.
 """
 
