@@ -6,7 +6,7 @@
 2. Circulant MinHash: the first permutation sends a shingle to a place on a
    circle of 2**32; the second permutation, shifted by j steps, gives signature
    coordinate j = min over the set of perm2(place + j).  Two permutations make
-   all ``BANDS * ROWS`` coordinates.
+   all ``bands * ROWS`` coordinates.
 3. Banding: nodes that agree in all rows of a band share a bucket.  In each
    bucket the members are compared with its first node only, which is linear
    in the bucket.  Comparing is exact: intersection over union of the full
@@ -21,6 +21,8 @@ No pair in a bucket that could be a link of two components is left out.  The
 work of step 4 is the number of left-over members times the size of their
 pivot's group, in bounded pieces; it is nothing for families that step 3 joins.  Two texts at the bound
 (0.85) share no bucket with a probability of (1 - 0.85**4)**24, about 2e-8.
+The pipeline's stage has shingles of five words and the bound 0.8, with 34 bands:
+(1 - 0.8**4)**34, about 2e-8 too.
 
 Full sets are only made for nodes that share a bucket: their documents are
 found again by a bit table of their ids (fixed size, at most 16 MB).  A null or
@@ -43,6 +45,7 @@ from quire.operators.components import connected_components
 SHINGLE = 3
 BANDS, ROWS = 24, 4
 PART, WHOLE = 85, 100  # linked if WHOLE * intersection >= PART * union
+STAGE_SHINGLE, STAGE_PART, STAGE_BANDS = 5, 80, 34  # of the pipeline's stage
 MOST_BITS = 27
 BLOCK_SHINGLES, BLOCK_NODES = 500_000, 1000  # of a block of a pivot's nodes
 FIRST_PERMUTATION, SECOND_PERMUTATION = U64(0x5DEECE66D1234567), np.uint32(0x7F4A7C15)
@@ -69,25 +72,26 @@ def _sets(column, k: int):
         yield first, np.r_[0, np.cumsum(sizes)], np.concatenate(out)
 
 
-def _signature(cuts: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    """rows x (BANDS * ROWS) circulant MinHash coordinates (rows with shingles)."""
+def _signature(cuts: np.ndarray, shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """rows x (bands * ROWS) circulant MinHash coordinates (rows with shingles)."""
     place = (mix64(shingles ^ FIRST_PERMUTATION) >> U64(32)).astype(np.uint32)
-    sig = np.empty((BANDS * ROWS, len(cuts)), np.uint32)
-    for j in range(BANDS * ROWS):
+    sig = np.empty((bands * ROWS, len(cuts)), np.uint32)
+    for j in range(bands * ROWS):
         sig[j] = np.minimum.reduceat(mix32((place + np.uint32(j)) ^ SECOND_PERMUTATION), cuts)
     return sig.T
 
 
 def _bands(sig: np.ndarray) -> np.ndarray:
-    """rows x BANDS bucket keys."""
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << U64(32), (len(sig), BANDS))
-    parts = sig.astype(np.uint64).reshape(len(sig), BANDS, ROWS)
+    """rows x bands bucket keys."""
+    bands = sig.shape[1] // ROWS
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) << U64(32), (len(sig), bands))
+    parts = sig.astype(np.uint64).reshape(len(sig), bands, ROWS)
     for i in range(ROWS):
         h = mix64(h + parts[:, :, i] * U64(0x9E3779B97F4A7C15))
     return h
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, k: int = SHINGLE, n_bands: int = BANDS) -> DataFrame:
     """doc_id, h1, h2 (name of the set), n_shingles and bands of every row."""
     source = documents_of(docs)
 
@@ -98,13 +102,13 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 sizes = np.diff(cuts)
                 have = np.flatnonzero(sizes)
                 h1, h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                width = np.where(sizes > 0, BANDS, 0)
-                bands = np.empty((0, BANDS), np.uint64)
+                width = np.where(sizes > 0, n_bands, 0)
+                bands = np.empty((0, n_bands), np.uint64)
                 if len(have):
                     at = cuts[:-1][have]
                     h1[have] = np.add.reduceat(mix64(shingles + U64(1)), at)
                     h2[have] = np.add.reduceat(mix64(~shingles), at)
-                    bands = _bands(_signature(at, shingles))
+                    bands = _bands(_signature(at, shingles, n_bands))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sizes),
                      pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(width)], pa.int32()), pa.array(bands.ravel().view(np.int64)))],
@@ -163,7 +167,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b", inter.alias("inter"), (F.size("set_a") + F.size("set_b") - inter).alias("total")))
 
 
-def _left_over(stars: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _left_over(stars: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame, part: int = PART) -> DataFrame:
     """a, b: links between components among the nodes that share a first node
     (a pivot).  A pivot's nodes are dealt into blocks of bounded size, and each
     pair of blocks is one group: no group grows with the family, and only links
@@ -182,10 +186,10 @@ def _left_over(stars: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataF
     dealt = (member.join(size, "pivot").withColumn("block", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "out"))
-    return (dealt.join(sets, "node").groupBy("pivot", "i", "j").applyInArrow(_block_links, "a long, b long").distinct())
+    return (dealt.join(sets, "node").groupBy("pivot", "i", "j").applyInArrow(lambda group: _block_links(group, part), "a long, b long").distinct())
 
 
-def _block_links(group: pa.Table) -> pa.Table:
+def _block_links(group: pa.Table, part: int = PART) -> pa.Table:
     """Links that connect different components in one pair of blocks: those of
     a spanning forest, found from the exact intersections of the nodes that are
     out of their pivot's component with all nodes."""
@@ -212,7 +216,7 @@ def _block_links(group: pa.Table) -> pa.Table:
         inter += dense[query] @ dense.T
         at = end
     total = size[query][:, None] + size[None, :] - inter
-    linked = (WHOLE * inter.astype(np.float64) >= PART * total) & (comp[query][:, None] != comp[None, :])
+    linked = (WHOLE * inter.astype(np.float64) >= part * total) & (comp[query][:, None] != comp[None, :])
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -229,11 +233,11 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
-def links_and_nodes(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links_and_nodes(docs: DataFrame, k: int = SHINGLE, part: int = PART, bands: int = BANDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, components): rows carry doc_id, h1, h2, n_shingles; nodes
     are the distinct sets with their smallest doc_id; components are
     (node, component) of the linked nodes."""
-    rows = stored(signatures(docs, k))
+    rows = stored(signatures(docs, k, bands))
     nodes = stored(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
                    .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
                    .withColumn("node", F.monotonically_increasing_id()))
@@ -247,19 +251,20 @@ def links_and_nodes(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataF
 
     stars = shared.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     measured = stored(_verify(stars, sets))
-    linked = WHOLE * F.col("inter") >= PART * F.col("total")
+    linked = WHOLE * F.col("inter") >= part * F.col("total")
     links = measured.where(linked).select("a", "b")
     comps = connected_components(links)
 
-    more = stored(_left_over(stars, comps, nodes, sets))
+    more = stored(_left_over(stars, comps, nodes, sets, part))
     if not more.isEmpty():
         comps = connected_components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     return rows.drop("bands"), nodes.drop("bands"), comps
 
 
-def near_dedup(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows, nodes, comps = links_and_nodes(docs, k)
+def near_dedup(docs: DataFrame, k: int = SHINGLE, part: int = PART, bands: int = BANDS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.  Linked are
+    sets that share ``part`` hundredths of their union."""
+    rows, nodes, comps = links_and_nodes(docs, k, part, bands)
     named = nodes.join(comps, "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_set = named.join(smallest, "component").select("h1", "h2", "least")
@@ -274,9 +279,10 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the
-    smallest id.  Documents without a word, or without an id, all stay."""
-    gone = near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    """One document of each group of near duplicates (0.8 of the five-word
+    shingles): the one with the smallest id.  Documents without a word, or
+    without an id, all stay."""
+    gone = near_dedup(docs, STAGE_SHINGLE, STAGE_PART, STAGE_BANDS).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"))
     return whole.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
 

@@ -17,7 +17,7 @@ from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup_rows, line_dedup_stage
 from quire.llm.lm_score import lm_score
 from quire.llm.mixing import mixing
-from quire.llm.near_dedup import near_dedup
+from quire.llm.near_dedup import near_dedup, near_dedup_stage
 from quire.llm.pii import pii, redact
 from quire.llm.quality_classifier import quality_classifier
 from quire.llm.quality_rules import quality_rules, repeated_words
@@ -153,6 +153,16 @@ def test_near_dedup_brute_force(spark, docs):
     assert own[7].component_id == 6 and own[3].kept and own[4].kept and own[None].component_id is None and own[None].kept
 
 
+def test_near_dedup_stage_links_five_word_shingles_at_080(spark):
+    body = [f"w{i}" for i in range(400)]
+    # a block of 22 % more: 396 of 484 shingles are shared (0.818); one of 28 %: 396 of 508 (0.780)
+    rows = [(1, " ".join(body)), (2, " ".join(body + [f"x{i}" for i in range(88)])), (3, " ".join(body[::-1])),
+            (4, " ".join(body[::-1] + [f"y{i}" for i in range(112)])), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup_stage(spark, docs, SMOKE).collect()) == [1, 3, 4, 5, 6]
+    assert all(r.kept for r in near_dedup(docs).collect())  # op5: 398 of 486 is under 0.85
+
+
 def test_decontamination_on_hostile_rows(spark, docs):
     items = spark.createDataFrame([(1, "one"), (1, "one"), (2, None), (3, ""), (None, "lazy dog"), (5, PASSAGE)], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate(docs, items).collect()}
