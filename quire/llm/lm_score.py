@@ -5,16 +5,20 @@ counts over all documents that may be learnt from are exact: they are summed in
 Spark, frequent tokens (at most ``HOT``) travel to the tasks as a table, the
 others are joined by token.
 
-The model predicts symbols: the end, the most frequent words, and one symbol
-for all other words, which are then spelled by their own smoothed frequency.  A
-symbol belongs to a class of symbols of like frequency; its probability is that
-of the class times that inside the class.  Both softmaxes add up weight rows of
-the context's features: nothing (bias), the word before, the word before that
-(a skip feature) and both together, hashed into fixed tables.  Training is one
-distributed pass: every task counts its (context, symbol) triples, makes
-adaptive gradient updates on them in numpy batches and emits the rows that it
-touched; Spark averages each row, weighted by its use.  Scoring evaluates each
-distinct triple of a block once.
+The model predicts symbols: the end, each frequent word, and one symbol for
+each bucket of the other words (by crc32), which are then spelled by their own
+smoothed frequency in the bucket.  The buckets grow with the counted vocabulary,
+about eight words each up to ``MOST_BUCKETS`` of them.  A symbol's code is the
+binary length of its number, then its other digits, so it grows with the
+vocabulary, too, and frequent symbols have short ones.  Every binary digit is
+predicted from the digits before it and the context's features: nothing (bias),
+the word before, the word before that (a skip feature) and both together, each
+hashed with the place in the code into one table of weights, which grows with
+the vocabulary up to 2**MOST_BITS.  Training is one distributed pass: every task
+counts its (context, symbol) triples, makes adaptive gradient updates on them in
+numpy batches and emits its table in blocks; Spark averages each weight, weighted
+by its summed squared gradients.  Scoring evaluates each distinct triple of a
+block once.
 
 A null or empty text has one token, the end.  If nothing can be learnt from,
 counts are zero and all weights are: scores are finite.  Repeated rows are
@@ -23,6 +27,7 @@ documents of their own: they count and score one by one.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,9 +41,11 @@ from quire.llm.frames import documents_of, remainder, stored
 
 FOLDS, HELD_OUT = 7, 2
 HOT = 1 << 18
-CLASSES, SLOTS = 32, 32
-END, OTHER = 0, 1
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 15
+BUCKET_WORDS, MOST_BUCKETS = 8, 1 << 18
+END = 0
+LENGTH = 5  # binary digits of a code's length
+LEAST_BITS, MOST_BITS = 14, 22
+BLOCK = 1024
 RATE = 0.3
 BATCH = 4096
 FLUSH = 500_000
@@ -82,6 +89,12 @@ class Vocabulary:
     total: int            # tokens learnt from, ends included
     size: int             # distinct tokens, the end included
     ends: int
+    spelled: np.ndarray   # per bucket of the other tokens: occurrences plus distinct tokens
+
+    @property
+    def bits(self) -> int:
+        """Of the places in the weight table: 16 weights per distinct token."""
+        return min(MOST_BITS, max(LEAST_BITS, (16 * self.size).bit_length()))
 
 
 def vocabulary(docs: DataFrame, hot: int = HOT) -> Vocabulary:
@@ -99,8 +112,25 @@ def vocabulary(docs: DataFrame, hot: int = HOT) -> Vocabulary:
     rows = tokens.where(F.col("c") >= least).toArrow() if least is not None else tokens.limit(0).toArrow()
     names, counts = rows.column("token").to_pylist(), np.asarray(rows.column("c")).astype(np.int64)
     order = np.lexsort((np.array(names, dtype=object), -counts)) if len(names) else []
-    return Vocabulary(tokens, least if least is not None else 2**62, [names[i].encode() for i in order],
-                      counts[order] if len(names) else counts, sum(r["c"] for r in by) + ends, size + (ends > 0), ends)
+    least = least if least is not None else 2**62
+    n = min(MOST_BUCKETS, max(1, (size - len(names)) // BUCKET_WORDS))
+    got = (tokens.where(F.col("c") < least).groupBy((F.crc32("token") % n).alias("at"))
+           .agg((F.sum("c") + F.count(F.lit(1))).alias("n")).toArrow())  # at most n rows
+    spelled = np.zeros(n, np.int64)
+    spelled[np.asarray(got.column("at")).astype(np.int64)] = np.asarray(got.column("n"))
+    return Vocabulary(tokens, least, [names[i].encode() for i in order],
+                      counts[order] if len(names) else counts, sum(r["c"] for r in by) + ends, size + (ends > 0), ends, spelled)
+
+
+class _Symbols(dict):
+    """Word -> symbol: of the word itself if it is frequent, else of its bucket."""
+
+    def __init__(self, hot: list[bytes], n_buckets: int):
+        super().__init__(zip(hot, range(1, len(hot) + 1)))
+        self.first, self.n = len(hot) + 1, n_buckets
+
+    def __missing__(self, word: bytes) -> int:
+        return self.first + zlib.crc32(word) % self.n
 
 
 def _triples(symbols: np.ndarray) -> np.ndarray:
@@ -112,53 +142,52 @@ def _triples(symbols: np.ndarray) -> np.ndarray:
     return (two << 40) | (one << 20) | symbols
 
 
-def _context(triples: np.ndarray):
-    """Weight rows for the class and for the symbol in its class; class, slot."""
+def _context(triples: np.ndarray, mask: int):
+    """The binary decisions of a batch, one triple after another: first decision
+    of each triple, triple of each decision, places in the weight table (features
+    x decisions), digit."""
     two, one, symbol = triples >> 40, (triples >> 20) & 0xFFFFF, triples & 0xFFFFF
-    kind, slot = symbol // SLOTS, symbol % SLOTS
-    features = [np.zeros_like(one), one + 1, (two + 1) << 11, ((two + 1) << 11) + ((one + 1) << 22)]
-    by_class = np.stack([mix32(f.astype(np.uint32) + np.uint32(k * 0x51ED27)) & np.uint32(CLASS_ROWS - 1)
-                         for k, f in enumerate(features)], 1)
-    by_word = np.stack([mix32(mix32(f.astype(np.uint32) + np.uint32(k * 0x51ED27)) + kind.astype(np.uint32) * np.uint32(0x9E3779B1))
-                        & np.uint32(WORD_ROWS - 1) for k, f in enumerate(features)], 1)
-    return by_class.astype(np.int64), by_word.astype(np.int64), kind, slot
-
-
-def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def _update(weights, squares, use, rows, target, count):
-    """One adaptive gradient step of a softmax on a batch of weighted rows."""
-    p = _softmax(weights, rows)
-    p[np.arange(len(rows)), target] -= 1
-    p *= count[:, None]
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    touched = flat[start]
-    gradient = np.add.reduceat(p[order // rows.shape[1]], start, axis=0)
-    squares[touched] += gradient * gradient
-    weights[touched] -= RATE * gradient / np.sqrt(squares[touched] + 1e-6)
-    use[touched] += np.add.reduceat(count[order // rows.shape[1]], start)
-
-
-def train(docs: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(class weights, word weights) from one pass over ``docs``."""
+    number = symbol + 1
+    length = np.frexp(number.astype(float))[1].astype(np.int64) - 1
+    code, digits = (length << length) | (number - (1 << length)), LENGTH + length
+    first = np.cumsum(digits) - digits
+    which = np.repeat(np.arange(len(triples)), digits)
+    j = np.arange(len(which)) - first[which]
+    left = digits[which] - j
+    code = code[which]
+    node = mix32(((1 << j) + (code >> left)).astype(np.uint32))
+    f_one = mix32(one.astype(np.uint32) + np.uint32(0x51ED27))
+    f_two = mix32(two.astype(np.uint32) + np.uint32(0x2F0B4C47))
+    features = (np.zeros_like(f_one), f_one, f_two, mix32(f_one + f_two * np.uint32(3)))
+    places = np.stack([(f[which] + node) & np.uint32(mask) for f in features]).astype(np.int64)
+    return first, which, places, (code >> (left - 1)) & 1
+
+
+def _update(weights, squares, scratch, triples, count):
+    """One adaptive gradient step on a batch of weighted triples.  ``scratch``
+    is zero before and after; places that occur several times are written
+    several times with the same value."""
+    _, which, places, digit = _context(triples, len(weights) - 1)
+    e = (1 / (1 + np.exp(-weights[places].sum(0))) - digit).astype(np.float32) * count[which]
+    for at in places:
+        np.add.at(scratch, at, e)
+    flat = places.ravel()
+    gradient = scratch[flat]
+    scratch[flat] = 0
+    total = squares[flat] + gradient * gradient
+    squares[flat] = total
+    weights[flat] = weights[flat] - np.float32(RATE) * gradient / np.sqrt(total + np.float32(1e-6))
+
+
+def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
+    """The weight table from one pass over ``docs``."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(words.hot[:CLASSES * SLOTS - 2])
+    shared = sc.broadcast((words.hot, len(words.spelled)))  # fixed bounds
+    n = 1 << words.bits
 
     def run(batches):
-        get = {w: i + 2 for i, w in enumerate(shared.value)}.get
-        tables = [(np.zeros((n, m), np.float32), np.zeros((n, m), np.float32), np.zeros(n)) for n, m in
-                  ((CLASS_ROWS, CLASSES), (WORD_ROWS, SLOTS))]
+        get = _Symbols(*shared.value).__getitem__
+        weights, squares, scratch = (np.zeros(n, np.float32) for _ in range(3))
         rng = np.random.default_rng(11)
 
         def learn(found):
@@ -166,16 +195,14 @@ def train(docs: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
             mixed = rng.permutation(len(keys))
             keys, counts = keys[mixed], counts[mixed].astype(np.float32)
             for i in range(0, len(keys), BATCH):
-                by_class, by_word, kind, slot = _context(keys[i:i + BATCH])
-                for (w, s, use), rows, target in zip(tables, (by_class, by_word), (kind, slot)):
-                    _update(w, s, use, rows, target, counts[i:i + BATCH])
+                _update(weights, squares, scratch, keys[i:i + BATCH], counts[i:i + BATCH])
 
         found, size = [], 0
         for batch in batches:
             for _, rows in _token_rows(batch.column("text")):
                 symbols = []
                 for own in rows:
-                    symbols += [get(w, OTHER) for w in own]
+                    symbols += map(get, own)
                     symbols.append(END)
                 found.append(_triples(np.array(symbols, np.int64)))
                 size += len(symbols)
@@ -184,104 +211,93 @@ def train(docs: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
                     found, size = [], 0
         if found:
             learn(found)
-        for t, (w, _, use) in enumerate(tables):
-            at = np.flatnonzero(use)
-            for i in range(0, len(at), 4096):
-                a = at[i:i + 4096]
-                part = (w[a] * use[a][:, None]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(t, len(a)), pa.int32()), pa.array(a), pa.array(use[a]),
-                     pa.array(list(part.astype(np.float32)), pa.list_(pa.float32()))], ["part", "at", "use", "weights"])
+        used = np.flatnonzero(squares.reshape(-1, BLOCK).any(1))
+        for i in range(0, len(used), 256):
+            yield emitted(used[i:i + 256], (weights * squares).reshape(-1, BLOCK)[used[i:i + 256]], squares.reshape(-1, BLOCK)[used[i:i + 256]])
+
+    def emitted(at, weights, squares):
+        cut = pa.array(np.arange(len(at) + 1, dtype=np.int32) * BLOCK)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(at.astype(np.int64)), pa.ListArray.from_arrays(cut, pa.array(weights.ravel().astype(np.float32))),
+             pa.ListArray.from_arrays(cut, pa.array(squares.ravel().astype(np.float32)))], ["at", "weights", "squares"])
 
     def merge(batches):
+        sums: dict[int, np.ndarray] = {}  # of this partition's blocks
         for batch in batches:
-            weights = batch.column("weights")
-            m = np.asarray(weights.flatten()).reshape(batch.num_rows, -1).astype(np.float64)
-            key = np.asarray(batch.column("at")) + (np.asarray(batch.column("part")).astype(np.int64) << 32)
-            order = np.argsort(key, kind="stable")
-            start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-            total, use = np.add.reduceat(m[order], start, axis=0), np.add.reduceat(np.asarray(batch.column("use"))[order], start)
-            k = key[order][start]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((k >> 32).astype(np.int32)), pa.array(k & 0xFFFFFFFF), pa.array(use),
-                 pa.array(list(total.astype(np.float32)), pa.list_(pa.float32()))], ["part", "at", "use", "weights"])
-
-    schema = "part int, at long, use double, weights array<float>"
-    parts = docs.select("text").mapInArrow(run, schema)
-    # rows of one place meet in one partition, are summed batch by batch, then once more
-    summed = (parts.repartition("part", "at").mapInArrow(merge, schema)
-              .groupBy("part", "at").agg(F.sum("use").alias("use"), *[F.sum(F.get("weights", F.lit(i))).alias(f"w{i}") for i in range(max(CLASSES, SLOTS))]))
-    got = summed.toArrow()  # at most CLASS_ROWS + WORD_ROWS rows
-    part, at, use = (np.asarray(got.column(c)) for c in ("part", "at", "use"))
-    all_ = np.stack([np.asarray(got.column(f"w{i}")) for i in range(max(CLASSES, SLOTS))], 1) / np.maximum(use, 1)[:, None] if len(at) else None
-    out = []
-    for t, (n, m) in enumerate(((CLASS_ROWS, CLASSES), (WORD_ROWS, SLOTS))):
-        w = np.zeros((n, m), np.float32)
-        if len(at):
-            w[at[part == t]] = all_[part == t][:, :m]
-        out.append(w)
-    return out[0], out[1]
-
-
-def _score_block(symbols: np.ndarray, by_class_w: np.ndarray, by_word_w: np.ndarray) -> np.ndarray:
+            both = np.stack([np.asarray(batch.column(c).flatten()).reshape(-1, BLOCK) for c in ("weights", "squares")], 1)
+            for at, own in zip(batch.column("at").to_pylist(), both):
+                sums[at] = sums[at] + own if at in sums else own.astype(float)
+        if sums:
+            done = np.stack(list(sums.values()))
+            yield emitted(np.array(list(sums)), done[:, 0] / np.maximum(done[:, 1], 1e-30), done[:, 1])
+
+    schema = "at long, weights array<float>, squares array<float>"
+    source = docs.select("text")
+    # a task's table has a fixed size: fewer tasks leave fewer of them to add up
+    tasks = max(2 * sc.defaultParallelism, source.rdd.getNumPartitions() // 4)
+    parts = source.coalesce(tasks).mapInArrow(run, schema)
+    got = parts.repartition("at").mapInArrow(merge, schema).select("at", "weights").toArrow()  # at most 2**MOST_BITS weights
+    out = np.zeros((n // BLOCK, BLOCK), np.float32)
+    for batch in got.to_batches():
+        if batch.num_rows:
+            out[np.asarray(batch.column("at"))] = np.asarray(batch.column("weights").flatten()).reshape(-1, BLOCK)
+    return out.ravel()
+
+
+def _score_block(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """log10 probability of each symbol of a row of documents."""
     keys, back = np.unique(_triples(symbols), return_inverse=True)
     value = np.empty(len(keys))
     for i in range(0, len(keys), BATCH):
-        by_class, by_word, kind, slot = _context(keys[i:i + BATCH])
-        at = np.arange(len(kind))
-        p = _softmax(by_class_w, by_class)[at, kind].astype(np.float64)
-        q = _softmax(by_word_w, by_word)[at, slot].astype(np.float64)
-        value[i:i + BATCH] = np.log10(np.maximum(p, 1e-30)) + np.log10(np.maximum(q, 1e-30))
+        first, _, places, digit = _context(keys[i:i + BATCH], len(weights) - 1)
+        z = np.clip(np.where(digit == 1, -1, 1) * weights[places].sum(0), -60, 60)
+        value[i:i + BATCH] = np.add.reduceat(-np.log1p(np.exp(z)), first) / LN10
     return value[back]
 
 
-def score(docs: DataFrame, words: Vocabulary, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
-    top = CLASSES * SLOTS - 2
-    shared = docs.sparkSession.sparkContext.broadcast((words.hot, words.counts, weights))  # fixed bounds
+    shared = docs.sparkSession.sparkContext.broadcast((words.hot, words.counts, words.spelled, weights))  # fixed bounds
     ends = words.ends
-    # words spelled under OTHER: all but the most frequent ones
-    other_total = words.total - ends - int(words.counts[:top].sum())
-    other_size = words.size - (ends > 0) - min(top, len(words.hot))
     source = documents_of(docs)
 
     def run(batches):
-        hot, counts, (class_w, word_w) = shared.value
-        get = {w: i for i, w in enumerate(hot)}.get
+        hot, counts, spelled, table = shared.value
+        get = _Symbols(hot, len(spelled)).__getitem__
+        last = len(hot)
+        spell = -np.log10(spelled + 1.0)
         logs = np.r_[np.log10(counts + 1.0), 0.0]  # the last: tokens that are joined later
         for batch in batches:
             for first, rows in _token_rows(batch.column("text")):
                 n = len(rows)
-                index, rare = [], []
+                symbols, rare = [], []
                 for own in rows:
-                    found = [get(w, -1) for w in own]
-                    index += found
-                    index.append(-2)
-                    rare.append(Counter(w for w, i in zip(own, found) if i < 0))
-                index = np.array(index, np.int64)
+                    found = list(map(get, own))
+                    symbols += found
+                    symbols.append(END)
+                    rare.append(Counter(w for w, i in zip(own, found) if i > last))
+                symbols = np.array(symbols, np.int64)
                 size = np.array([len(own) + 1 for own in rows])
                 start = np.r_[0, np.cumsum(size)[:-1]]
-                symbols = np.where(index == -2, END, np.where((index >= 0) & (index < top), index + 2, OTHER))
-                model = _score_block(symbols, class_w, word_w)
-                log = np.where(index == -2, np.log10(ends + 1.0), logs[np.where(index < 0, len(counts), index)])
-                other = symbols == OTHER
-                n_other = np.add.reduceat(other.astype(np.int64), start)
+                late = symbols > last
+                model = _score_block(symbols, table)
+                model[late] += spell[symbols[late] - last - 1]
+                log = np.where(symbols == END, np.log10(ends + 1.0), logs[np.where(late, len(counts), symbols - 1)])
                 cut = np.r_[0, np.cumsum([len(c) for c in rare])]
                 items = pa.StructArray.from_arrays(
                     [pa.array([w for c in rare for w in c], pa.binary()).cast(pa.string()),
                      pa.array([k for c in rare for k in c.values()], pa.int64())], ["token", "tf"])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, n), pa.array(size),
-                     pa.array(np.add.reduceat(((index >= 0) | ((index == -2) & (ends > 0))).astype(np.int64), start)),
+                     pa.array(np.add.reduceat((~late & ((symbols != END) | (ends > 0))).astype(np.int64), start)),
                      pa.array(np.add.reduceat(log, start)),
-                     pa.array(np.add.reduceat(model + np.where(other, log, 0.0), start)), pa.array(n_other),
+                     pa.array(np.add.reduceat(model, start)),
                      pa.ListArray.from_arrays(pa.array(cut, pa.int32()), items)],
-                    ["doc_id", "n_tokens", "known", "logs", "model", "n_other", "rare"])
+                    ["doc_id", "n_tokens", "known", "logs", "model", "rare"])
 
     long, double = F.lit(0).cast("long"), F.lit(0.0)
     schema = source.select("doc_id", long.alias("n_tokens"), long.alias("known"), double.alias("logs"), double.alias("model"),
-                           long.alias("n_other"), F.from_json(F.lit("[]"), "array<struct<token:string,tf:bigint>>").alias("rare")).schema
+                           F.from_json(F.lit("[]"), "array<struct<token:string,tf:bigint>>").alias("rare")).schema
     done = stored(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     each = done.select("row", F.explode("rare").alias("x")).select("row", "x.token", "x.tf")
     joined = each.join(words.tokens.where(F.col("c") < words.least), "token", "left")
@@ -290,11 +306,10 @@ def score(docs: DataFrame, words: Vocabulary, weights: tuple[np.ndarray, np.ndar
                                      F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("late_known"))
     rest = F.coalesce("late", F.lit(0.0))
     all_log = float(np.log10(words.total + words.size + 1.0))
-    other_log = float(np.log10(max(other_total, 0) + max(other_size, 0) + 1.0))
     return done.drop("rare").join(late, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("late_known", F.lit(0).cast("long"))).alias("n_known"),
         (F.col("logs") + rest - F.col("n_tokens") * all_log).alias("base_score"),
-        (F.col("model") + rest - F.col("n_other") * other_log).alias("score"))
+        (F.col("model") + rest).alias("score"))
 
 
 def lm_score(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from quire.llm import arrays, line_dedup, queries
+from quire.llm import lm_score as lm
 from quire.llm.decontaminate import decontaminate
 from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup_rows, line_dedup_stage
@@ -184,6 +185,20 @@ def test_lm_base_score_brute_force(docs):
         assert abs(r.base_score - base) < 1e-6 * abs(base) and math.isfinite(r.score) and r.score < 0
 
 
+def test_lm_score_predicts_words_beyond_the_most_frequent(spark):
+    rng = np.random.default_rng(3)
+    # 2500 pairs of equally frequent words; the second follows the first only
+    rows = [(i, " ".join(f"a{x} b{x}" for x in rng.integers(0, 2500, 100))) for i in range(2000)]
+    got = lm_score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert got and all(r.score > r.base_score + 0.2 * r.n_tokens for r in got)
+    # words outside the table of frequent words are told apart by their buckets
+    docs = spark.createDataFrame([(r[0] * 7, r[1]) for r in rows], "doc_id long, text string")
+    few = lm.vocabulary(docs, 100)
+    assert len(few.hot) <= 100 and len(few.spelled) > 500
+    by = lm.score(docs, few, lm.train(docs, few)).collect()
+    assert len(by) == len(rows) and sum(r.score for r in by) > sum(r.base_score + 0.2 * r.n_tokens for r in by)
+
+
 def pii_base(t):
     found = []
     for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
