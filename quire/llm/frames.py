@@ -36,10 +36,14 @@ def labelled_part(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     """(doc_id, text, y) of a sample of the labelled rows that may be learnt
     from (remainder not ``kept_out``): the ``sample`` labels with the smallest
     hash of the id, the same whatever the partitioning.  The bound makes the
-    broadcast safe, so no text is shuffled.  A document with both labels
-    counts once for each; null ids and labels are left out."""
+    broadcast safe.  Rows equal in id and text count once, and the bound holds
+    for the joined rows, too, by the same order: an id that is often repeated
+    fills no driver.  A document with both labels counts once for each; null
+    ids and labels are left out."""
     l = (labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
          .where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & (remainder("_id", modulus) != kept_out))
          .distinct().orderBy(F.xxhash64("_id"), "_id", "y").limit(sample))
-    return (documents_of(docs).join(F.broadcast(l), F.col("doc_id") == F.col("_id"))
-            .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"))
+    joined = (documents_of(docs).join(F.broadcast(l), F.col("doc_id") == F.col("_id"))
+              .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").withColumn("key", text_key()))
+    return (joined.dropDuplicates(["doc_id", "key", "y"]).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "key").limit(sample)
+            .repartition("doc_id", "key").drop("key"))

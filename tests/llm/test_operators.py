@@ -14,6 +14,7 @@ import corpus_pipeline
 from quire.llm import arrays, line_dedup, queries
 from quire.llm import lm_score as lm
 from quire.llm.decontaminate import decontaminate
+from quire.llm.frames import labelled_part
 from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup_rows, line_dedup_stage
 from quire.llm.lm_score import lm_score
@@ -89,6 +90,15 @@ def test_scores_on_hostile_rows(docs, labels):
     assert len(rates) == len(ROWS) and all(r.rate >= 0 for r in rates) and {r.n_tokens for r in rates if r.doc_id in (3, 4, 5)} == {0}
 
 
+def test_sample_of_labels_bounds_the_joined_rows(spark):
+    docs = spark.createDataFrame([(1, "same")] * 200 + [(2, f"text {i}") for i in range(200)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    whole = labelled_part(docs, labels, "toxic", 4, -2, 1000).collect()
+    assert len(whole) == len(set(whole)) == 202
+    few = labelled_part(docs, labels, "toxic", 4, -2, 50).collect()
+    assert len(few) == 50 and set(few) <= set(whole)
+
+
 def test_empty_tables(spark, docs, labels):
     none, no_labels = docs.limit(0), labels.limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
