@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, near_dedup, quality_rules
+from quire.llm import decontaminate, near_dedup, quality_rules, ranked_search
 from quire.llm.decontaminate import decontaminate as _decontaminate
 from quire.llm.frames import documents, table
 from quire.llm.language_id import language_id
@@ -16,6 +16,7 @@ from quire.llm.near_dedup import near_dedup as _near_dedup
 from quire.llm.pii import pii
 from quire.llm.quality_classifier import quality_classifier
 from quire.llm.quality_rules import quality_rules as _quality_rules
+from quire.llm.ranked_search import ranked_search as _ranked_search
 from quire.llm.toxicity import toxicity
 
 
@@ -69,9 +70,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return _ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_rules, op3_toxicity, op4_decontamination, op5_near_dedup, op6_language_id, op7_lm_score,
-    op8_pii, op9_quality_classifier, op10_mixing)}
+    op8_pii, op9_quality_classifier, op10_mixing, op11_ranked_search)}
 
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL,
-          "op5_near_dedup": near_dedup.ORACLE_SQL}
+          "op5_near_dedup": near_dedup.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL}
