@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, near_dedup, quality_rules, ranked_search
 from quire.llm.decontaminate import decontaminate as _decontaminate
+from quire.llm.fingerprint import edited_fingerprints
 from quire.llm.frames import documents, table
 from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup_rows
@@ -75,9 +76,15 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and likenesses."""
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_rules, op3_toxicity, op4_decontamination, op5_near_dedup, op6_language_id, op7_lm_score,
-    op8_pii, op9_quality_classifier, op10_mixing, op11_ranked_search)}
+    op8_pii, op9_quality_classifier, op10_mixing, op11_ranked_search,
+    op13_fingerprint)}
 
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL,
           "op5_near_dedup": near_dedup.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL}
