@@ -18,6 +18,7 @@ from quire.llm.pii import pii
 from quire.llm.quality_classifier import quality_classifier
 from quire.llm.quality_rules import quality_rules as _quality_rules
 from quire.llm.ranked_search import ranked_search as _ranked_search
+from quire.llm.spelling import spelling_variants
 from quire.llm.toxicity import toxicity
 
 
@@ -76,6 +77,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the words that they may misspell."""
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and likenesses."""
     return edited_fingerprints(documents(spark, sf_dir))
@@ -84,7 +90,7 @@ def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_rules, op3_toxicity, op4_decontamination, op5_near_dedup, op6_language_id, op7_lm_score,
     op8_pii, op9_quality_classifier, op10_mixing, op11_ranked_search,
-    op13_fingerprint)}
+    op12_spelling_variants, op13_fingerprint)}
 
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL,
           "op5_near_dedup": near_dedup.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL}
