@@ -229,6 +229,7 @@ def test_pii_base_spans(spark, docs):
     for r in pii(source).collect():
         base = pii_base(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(r.spans.split(","))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b.startswith(k) for b in base) for k in ("email", "ip", "card", "phone"))
     clean = {r.doc_id: r.text for r in redact(docs).collect()}
     assert "x.y@site" not in clean[None] and "[email]" in clean[None] and clean[3] is None and clean[1] == ROWS[0][1]
 
@@ -248,7 +249,7 @@ def test_stages_keep_the_columns_of_documents(spark):
         before = kept.count()
         kept = stage(spark, kept, SMOKE)
         assert kept.columns == documents.columns and 0.5 * before < kept.count() <= before, name
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
 
 
 def test_language_id_on_held_out_documents(spark):
