@@ -13,7 +13,10 @@ prediction is the language with the largest proportion in the chosen set
 
 A text that is null or has no letter gives ``und`` with score 0.  If nothing
 can be learnt from, every row is ``und``.  Rows without a language are not
-learnt from; repeated rows count as often as they stand in the table.
+learnt from; repeated rows count as often as they stand in the table.  A very
+long text is one row of a task, whose memory follows it.  A set has at most
+``MAX_SET`` languages, and a word's evidence between two languages is at most
+``MOST_EVIDENCE`` nats, so that one odd word cannot outweigh a text.
 """
 
 from __future__ import annotations
@@ -37,7 +40,11 @@ MOST_EVIDENCE = 8.0
 MAX_SET = 4
 FOLDS, HELD_OUT = 5, 0
 LETTER_BYTES = byte_set([*range(97, 123), *range(128, 256)])
-LETTER = re.compile(r"[^\W\d_]")
+WORD_SIGN = re.compile(r"[^\W\d_]")  # letters, and numerals such as a half or a superscript two
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in WORD_SIGN.finditer(text))
 
 
 @dataclass
@@ -166,7 +173,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 for first, data, offsets in blocks(texts):
                     n = len(offsets) - 1
                     best[first:first + n], score[first:first + n] = _predict(data, offsets, table)
-            none = np.array([t is None or not LETTER.search(t) for t in texts.to_pylist()], bool)
+            none = np.array([t is None or not has_letter(t) for t in texts.to_pylist()], bool)
             best[none], score[none] = -1, 0.0
             if table.shape[1]:
                 # letters, but no letter byte run: the prior's first language
