@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.arrays import IS_NOT_SPACE, LOWER, U64, blocks, mix32, mix64, runs, shingle_hash, span_hash
-from quire.llm.frames import documents_of, stored
+from quire.llm.frames import documents_of, stored, text_key
 from quire.operators.components import connected_components
 
 SHINGLE = 3
@@ -92,8 +92,9 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE, n_bands: int = BANDS) -> DataFrame:
-    """doc_id, h1, h2 (name of the set), n_shingles and bands of every row."""
-    source = documents_of(docs)
+    """doc_id, key (of the text), h1, h2 (name of the set), n_shingles and bands
+    of every row."""
+    source = documents_of(docs).withColumn("key", text_key())
 
     def run(batches):
         for batch in batches:
@@ -110,12 +111,13 @@ def signatures(docs: DataFrame, k: int = SHINGLE, n_bands: int = BANDS) -> DataF
                     h2[have] = np.add.reduceat(mix64(~shingles), at)
                     bands = _bands(_signature(at, shingles, n_bands))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sizes),
+                    [batch.column("doc_id").slice(first, n), batch.column("key").slice(first, n), pa.array(h1.view(np.int64)),
+                     pa.array(h2.view(np.int64)), pa.array(sizes),
                      pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(width)], pa.int32()), pa.array(bands.ravel().view(np.int64)))],
-                    ["doc_id", "h1", "h2", "n_shingles", "bands"])
+                    ["doc_id", "key", "h1", "h2", "n_shingles", "bands"])
 
     long = F.lit(0).cast("long")
-    schema = source.select("doc_id", long.alias("h1"), long.alias("h2"), long.alias("n_shingles"), F.array(long).alias("bands")).schema
+    schema = source.select("doc_id", "key", long.alias("h1"), long.alias("h2"), long.alias("n_shingles"), F.array(long).alias("bands")).schema
     return source.mapInArrow(run, schema)
 
 
@@ -234,7 +236,7 @@ def _block_links(group: pa.Table, part: int = PART) -> pa.Table:
 
 
 def links_and_nodes(docs: DataFrame, k: int = SHINGLE, part: int = PART, bands: int = BANDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, nodes, components): rows carry doc_id, h1, h2, n_shingles; nodes
+    """(rows, nodes, components): rows carry doc_id, key, h1, h2, n_shingles; nodes
     are the distinct sets with their smallest doc_id; components are
     (node, component) of the linked nodes."""
     rows = stored(signatures(docs, k, bands))
@@ -246,8 +248,9 @@ def links_and_nodes(docs: DataFrame, k: int = SHINGLE, part: int = PART, bands:
                     .where("m > 1").select("bucket", F.col("f.node").alias("first"), F.col("f.n").alias("n_first")))
     shared = stored(members.join(firsts, "bucket"))  # only buckets with two or more nodes
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("h1", "h2", "doc_id", "node")
-    sets = stored(full_sets(docs, wanted.select(F.xxhash64("doc_id").alias("x")), k)
-                  .join(wanted.drop("doc_id"), ["h1", "h2"]).select("node", "shingles"))
+    # repeated rows give a set more than once
+    each = full_sets(docs, wanted.select(F.xxhash64("doc_id").alias("x")), k).groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
+    sets = stored(each.join(wanted.drop("doc_id"), ["h1", "h2"]).select("node", "shingles"))
 
     stars = shared.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     measured = stored(_verify(stars, sets))
@@ -280,11 +283,26 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, part: int = PART, bands: int =
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (0.8 of the five-word
-    shingles): the one with the smallest id.  Documents without a word, or
-    without an id, all stay."""
-    gone = near_dedup(docs, STAGE_SHINGLE, STAGE_PART, STAGE_BANDS).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"))
-    return whole.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
+    shingles): the one with the smallest id, of those with that id the one with
+    the smallest hash of the text.  Rows equal in id and text are one document, of
+    which one row stays.  Documents without a word, or without an id, all stay."""
+    rows, nodes, comps = links_and_nodes(docs, STAGE_SHINGLE, STAGE_PART, STAGE_BANDS)
+    group = (nodes.join(comps, "node", "left")
+             .select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.coalesce("component", "node").alias("group")))
+    each = (rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "key", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+            .join(group, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2"))))
+    name = F.struct("doc_id", "key")
+    best = each.groupBy("group").agg(F.min(name).alias("best"))
+    marks = stored(each.join(best, "group").select(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key"), (name != F.col("best")).alias("gone"),
+                                                   (F.col("copies") > 1).alias("repeated")).where("gone OR repeated"))
+    same = (F.col("own_id") == F.col("m_id")) & (F.col("own_key") == F.col("m_key"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), text_key().alias("own_key"))
+    kept = whole.join(marks.where("gone"), same, "left_anti")
+    repeated = marks.where("NOT gone")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own_key"])
+        kept = kept.join(repeated, same, "left_anti").union(once)
+    return kept.select("row.*")
 
 
 #: The same rows in SQL, written apart from the code above.

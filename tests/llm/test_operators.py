@@ -19,7 +19,7 @@ from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup_rows, line_dedup_stage
 from quire.llm.lm_score import lm_score
 from quire.llm.mixing import mixing
-from quire.llm.near_dedup import near_dedup, near_dedup_stage
+from quire.llm.near_dedup import links_and_nodes, near_dedup, near_dedup_stage
 from quire.llm.pii import pii, redact
 from quire.llm.quality_classifier import quality_classifier
 from quire.llm.quality_rules import quality_rules, repeated_words
@@ -174,6 +174,25 @@ def test_near_dedup_stage_links_five_word_shingles_at_080(spark):
     assert all(r.kept for r in near_dedup(docs).collect())  # op5: 398 of 486 is under 0.85
 
 
+def test_near_dedup_stage_keeps_each_text_once(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, c), (9, c), (9, c.upper()), (7, b + " more"), (5, b + " tail"), (None, a), (None, a), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "row", 1, 0.5) for r in rows], "doc_id long, text string, row string, own_id int, score double")
+    got = sorted(((r.doc_id, r.text) for r in near_dedup_stage(spark, docs, SMOKE).collect()), key=repr)
+    pick = [r for r in got if r[0] in (5, 9)]
+    assert len(pick) == 2 and {r[0] for r in pick} == {5, 9} and pick[0][1].startswith(b)
+    assert sorted([r for r in got if r not in pick], key=repr) == sorted([(1, a), (None, a), (None, a), (3, None), (3, None), (4, "")], key=repr)
+    assert near_dedup_stage(spark, docs, SMOKE).columns == docs.columns
+
+
+def test_repeated_rows_are_compared_once(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a)] * 30 + [(2, a + " b")] * 30, "doc_id long, text string").repartition(4)
+    rows, nodes, comps = links_and_nodes(docs)
+    assert rows.count() == 60 and nodes.count() == 2 and comps.count() == 2
+    assert {(r.doc_id, r.component_id) for r in near_dedup(docs).collect()} == {(1, 1), (2, 1)}
+
+
 def test_decontamination_on_hostile_rows(spark, docs):
     items = spark.createDataFrame([(1, "one"), (1, "one"), (2, None), (3, ""), (None, "lazy dog"), (5, PASSAGE)], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate(docs, items).collect()}
@@ -252,6 +271,14 @@ def test_stages_keep_the_columns_of_documents(spark):
     assert len(queries.QUERIES) == 13
 
 
+def test_numerals_are_no_letters(spark):
+    texts = [(1, "²"), (2, "½ ½"), (3, "①"), (4, "Ⅷ"), (5, "٣ 3"), (6, "_"), (11, "ª"), (12, "½ the"), (13, "漢")]
+    train = [(20 + i, "the words of a language and the rest " * 3, "en") for i in range(20)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in texts] + train, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id(docs).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(1, 7)) and all(got[i][0] == "en" for i in (11, 12, 13))
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = tables(spark)[0]
     got = language_id(docs).where("held_out").join(docs.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").collect()
