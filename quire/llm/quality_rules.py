@@ -7,16 +7,18 @@ distribution per language and source is kept in a mergeable quantile sketch:
 counts over buckets whose width grows with the value (the leading six binary
 digits), so that any quantile is known to about 3 % and sketches of parts add
 up.  At most about 1,000 buckets exist per group and measure, however many
-documents it has.  The limits of a group are fences around its quartiles,
-``upper = q3 + 3 * (q3 - q1) + slack`` (and a lower one for word length); they
-replace fixed cutoffs.  Groups with fewer than ``least`` measured documents
-use the sketch of their language, and that of the whole table if that is
-small, too.  Documents are then joined with their group's limits.
+documents it has.  The limits of a group are high quantiles of its own sketch
+(``HIGH`` hundredths, and ``LOW`` for word length): they replace fixed cutoffs,
+and no constant of a measure's unit is in them.  A document is out of the limits
+if its bucket is beyond the quantile's.  Groups with fewer than ``least`` measured
+documents use the sketch of their language, and that of the whole table if that
+is small, too.  Documents are then joined with their group's limits.
 
 Documents that fail the base rule (under 20 words, or more than 30 % of the
 words in repeated windows) are not measured and are not kept.  A null text has
 no words.  Null languages and sources are groups of their own.  Repeated rows
-count as often as they stand in the table.
+count as often as they stand in the table.  Equal values are in one bucket and
+fare alike.  A very long text is one row of a task, measured word by word.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ LEAST_WORDS = 20
 LEAST = 50
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 MEASURES = ("word_length", "symbol_rate", "line_rate", "repeat_rate")
-SLACK = {"word_length": 2, "symbol_rate": 30, "line_rate": 300, "repeat_rate": 200}
-LOWER_FENCE = ("word_length",)
+LOW, HIGH = 1, 95  # hundredths of a group's measured documents
+LOWER_LIMIT = ("word_length",)
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
@@ -107,26 +109,27 @@ def sketch(measured: DataFrame, *keys: str) -> DataFrame:
     return long.groupBy(*keys, "s.measure", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketches: DataFrame, *keys: str) -> DataFrame:
-    """First and third quartile (bucket edges) and size per key and measure."""
+def quantiles(sketches: DataFrame, *keys: str, low: int = LOW, high: int = HIGH) -> DataFrame:
+    """Low and high quantile (bucket edges) and size per key and measure."""
     w = Window.partitionBy(*keys, "measure")
     run = sketches.withColumn("total", F.sum("n").over(w)).withColumn(
         "up_to", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(*keys, "measure").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(4 * F.col("up_to") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("up_to") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"))
+
+    def at(hundredths: int) -> Column:
+        return F.min(F.when(100 * F.col("up_to") >= hundredths * F.col("total"), F.col("bucket")))
+
+    return run.groupBy(*keys, "measure").agg(F.max("total").alias("total"), at(low).alias("low"), at(high).alias("high"))
 
 
 def thresholds(measured: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per language and source: lower and upper fence of each measure."""
+    """One row per language and source: the limits of each measure."""
     per_group = stored(sketch(measured, "lang", "source"))
     merged = lambda *keys: (per_group.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n")))
-    own = quartiles(per_group, "lang", "source")
-    lang = quartiles(merged("lang"), "lang").select(
+    own = quantiles(per_group, "lang", "source")
+    lang = quantiles(merged("lang"), "lang").select(
         F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.col("total").alias("l_total"),
-        F.col("q1").alias("l_q1"), F.col("q3").alias("l_q3"))
-    whole = quartiles(merged()).select(F.col("measure").alias("w_measure"), F.col("q1").alias("w_q1"), F.col("q3").alias("w_q3"))
+        F.col("low").alias("l_low"), F.col("high").alias("l_high"))
+    whole = quantiles(merged()).select(F.col("measure").alias("w_measure"), F.col("low").alias("w_low"), F.col("high").alias("w_high"))
     both = (own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")))
             .join(F.broadcast(whole), F.col("measure") == F.col("w_measure")))  # one row per measure
 
@@ -134,14 +137,14 @@ def thresholds(measured: DataFrame, least: int = LEAST) -> DataFrame:
         return (F.when(F.col("total") >= least, F.col(q)).when(F.col("l_total") >= least, F.col("l_" + q))
                 .otherwise(F.col("w_" + q)))
 
-    fenced = both.select("lang", "source", "measure", choose("q1").alias("a"), choose("q3").alias("b"))
+    limits = both.select("lang", "source", "measure", choose("low").alias("low"), choose("high").alias("high"))
     picks = []
     for m in MEASURES:
         at = F.col("measure") == m
-        picks.append(F.max(F.when(at, F.col("b") + 3 * (F.col("b") - F.col("a")) + SLACK[m])).alias(f"max_{m}"))
-        if m in LOWER_FENCE:
-            picks.append(F.max(F.when(at, F.col("a") - 3 * (F.col("b") - F.col("a")) - SLACK[m])).alias(f"min_{m}"))
-    return fenced.groupBy("lang", "source").agg(*picks)
+        picks.append(F.max(F.when(at, F.col("high"))).alias(f"max_{m}"))
+        if m in LOWER_LIMIT:
+            picks.append(F.max(F.when(at, F.col("low"))).alias(f"min_{m}"))
+    return limits.groupBy("lang", "source").agg(*picks)
 
 
 def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -159,9 +162,9 @@ def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
     value = {"word_length": F.expr("word_chars div greatest(n_words, 1L)")}
     value |= {m: F.floor(1000 * F.col(c) / d) for m, c, d in
               (("symbol_rate", "n_symbols", words), ("line_rate", "n_dup_lines", lines), ("repeat_rate", "n_repeat_words", words))}
-    good = value["word_length"] >= F.col("min_word_length")
+    good = bucket(value["word_length"]) >= F.col("min_word_length")
     for m in MEASURES:
-        good = good & (value[m] <= F.col(f"max_{m}"))
+        good = good & (bucket(value[m]) <= F.col(f"max_{m}"))
     return joined.select("doc_id", *COUNTS[:5], "base_failed",
                          F.coalesce(~F.col("base_failed") & good, F.lit(False)).alias("kept"))
 
@@ -188,15 +191,17 @@ m AS (SELECT k, lang, source, unnest([
       FROM b WHERE NOT base_failed),
 v AS (SELECT k, lang, source, s.m AS m, s.v AS v, length(bin(s.v)) - 6 AS sh FROM m),
 e AS (SELECT k, lang, source, m, v, CASE WHEN sh > 0 THEN (v >> sh) << sh ELSE v END AS q FROM v),
-q1 AS (SELECT lang, source, m, count(*) AS n, quantile_disc(q, 0.25) AS a, quantile_disc(q, 0.75) AS b FROM e GROUP BY ALL),
-q2 AS (SELECT lang, m, count(*) AS n, quantile_disc(q, 0.25) AS a, quantile_disc(q, 0.75) AS b FROM e GROUP BY ALL),
-q3 AS (SELECT m, quantile_disc(q, 0.25) AS a, quantile_disc(q, 0.75) AS b FROM e GROUP BY ALL),
+g1 AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY q) AS i FROM e WINDOW w AS (PARTITION BY lang, source, m)),
+g2 AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY q) AS i FROM e WINDOW w AS (PARTITION BY lang, m)),
+g3 AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY q) AS i FROM e WINDOW w AS (PARTITION BY m)),
+q1 AS (SELECT lang, source, m, max(n) AS n, min(q) FILTER (i >= 0.01 * n) AS a, min(q) FILTER (i >= 0.95 * n) AS b FROM g1 GROUP BY ALL),
+q2 AS (SELECT lang, m, max(n) AS n, min(q) FILTER (i >= 0.01 * n) AS a, min(q) FILTER (i >= 0.95 * n) AS b FROM g2 GROUP BY ALL),
+q3 AS (SELECT m, min(q) FILTER (i >= 0.01 * n) AS a, min(q) FILTER (i >= 0.95 * n) AS b FROM g3 GROUP BY ALL),
 f AS (SELECT q1.lang, q1.source, q1.m,
              CASE WHEN q1.n >= 50 THEN q1.a WHEN q2.n >= 50 THEN q2.a ELSE q3.a END AS a,
              CASE WHEN q1.n >= 50 THEN q1.b WHEN q2.n >= 50 THEN q2.b ELSE q3.b END AS b
       FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.m = q2.m JOIN q3 ON q3.m = q1.m),
-bad AS (SELECT e.k, bool_or(e.v > f.b + 3 * (f.b - f.a) + CASE e.m WHEN 'len' THEN 2 WHEN 'sym' THEN 30 WHEN 'line' THEN 300 ELSE 200 END
-                         OR (e.m = 'len' AND e.v < f.a - 3 * (f.b - f.a) - 2)) AS out
+bad AS (SELECT e.k, bool_or(e.q > f.b OR (e.m = 'len' AND e.q < f.a)) AS out
         FROM e JOIN f ON e.lang IS NOT DISTINCT FROM f.lang AND e.source IS NOT DISTINCT FROM f.source AND e.m = f.m GROUP BY e.k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(out, true) AS kept

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import arrays, line_dedup, queries
@@ -137,6 +138,30 @@ def test_line_dedup_brute_force(spark):
     assert {r.doc_id: r.text for r in line_dedup_rows(documents).collect()} == expected
 
 
+def test_quality_rules_on_hostile_rows(spark, docs):
+    got = quality_rules(docs.withColumn("max_symbol_rate", F.lit(1)).withColumn("bucket", F.lit(2))).collect()
+    assert len(got) == len(ROWS)
+    by = {r.doc_id: r for r in got}
+    assert by[3].n_words == by[4].n_words == by[5].n_words == 0 and all(by[i].base_failed and not by[i].kept for i in (3, 4, 5, 6, 7, 10, 11))
+    assert by[12].n_words == 12 and by[8].n_words == 60_000
+    assert len({(r.n_words, r.kept) for r in got if r.doc_id == 9}) == 1
+
+
+def test_limits_are_quantiles_of_each_group(spark):
+    rows = []
+    for source, step in (("clean", 100), ("messy", 4)):
+        for i in range(400):  # one or twenty-five in a hundred documents have symbols, i of them
+            body = " ".join(f"word{j}{source}{i}" for j in range(200))
+            rows.append((len(rows), body + (" " + "# " * (i // 4) if i % step == 0 else ""), "en", source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    out = {s: [i for i, (k, _, _, source) in enumerate(rows) if source == s and not kept[k]] for s in ("clean", "messy")}
+    assert 4 <= len(out["messy"]) <= 28 and len(out["clean"]) <= 28
+    # the limit of the clean group is far under what the messy one allows
+    worst = lambda s: max(rows[i][1].count("#") for i, r in enumerate(rows) if r[3] == s and kept[r[0]])
+    assert worst("clean") < 10 < 70 < worst("messy")
+
+
 def test_near_dedup_brute_force(spark, docs):
     documents = tables(spark)[0].select("doc_id", "text")
     extra = [(10_000 + i, " ".join(f"w{j}" if j % 60 != i % 60 else f"x{i}" for j in range(300))) for i in range(60)]
