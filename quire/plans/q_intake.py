@@ -3,16 +3,14 @@ selection, streaming intake (A5, B24, D7, H30, K1)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quire.operators import intake as I
 from quire.plans import sqltext as S
 from quire.plans.registry import register
-from quire.session import ensure_checkpoint_dir
+from quire.session import scratch
 from quire.sources.fixtures import fixture, with_fixtures
-from quire.streaming.intake import start_intake
+from quire.streaming.intake import read_sink, start_intake
 
 _PUB = ("try_strptime(nullif(" + S.strip("regexp_extract(value, 'Fecha de publicación: (.+)', 1)")
         + ", ''), '%b %d, %Y')::DATE")
@@ -60,15 +58,18 @@ def corpus_selection(spark, sf_dir):
 
 
 @register("stream_intake", with_fixtures(
-    f"SELECT CAST(event_id AS VARCHAR) AS id, {_PUB} AS pub_date FROM export_docs", "export_docs"))
+    f"SELECT CAST(event_id AS VARCHAR) AS id, mtime, {_PUB} AS pub_date, event_id % 3 <> 0 AS is_late FROM export_docs", "export_docs"))
 def stream_intake(spark, sf_dir):
-    """K1: exports written as a table in the shared checkpoint folder, taken
-    in by a file stream (availableNow) with dates parsed; the sink is read
-    back."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/intake-{uuid.uuid4().hex}"
+    """K1: exports arrive in two parts, the second with every tenth export of the
+    first again; each part is taken in by a run of the file stream
+    (availableNow) with dates parsed.  The sink has every export once, in the
+    batch of its first arrival."""
+    base = scratch(spark, "intake")
     src = _exports(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), "mtime", "value")
-    src.write.parquet(f"{base}/source")
-    q = start_intake(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint", fmt="parquet",
-                     schema=src.schema, id_col="event_id")
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/sink").select("id", "pub_date")
+    first, again = F.expr("cast(event_id AS BIGINT) % 3 = 0"), F.expr("cast(event_id AS BIGINT) % 10 = 0")
+    for part in (src.where(first), src.where(~first | again)):
+        part.write.mode("append").parquet(f"{base}/source")
+        start_intake(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint", fmt="parquet",
+                     schema=src.schema, id_col="event_id").awaitTermination()
+    sink = read_sink(spark, f"{base}/sink")
+    return sink.select("id", "mtime", "pub_date", (F.col("batch") > 0).alias("is_late"))

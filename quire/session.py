@@ -76,12 +76,19 @@ def stored(df: DataFrame) -> DataFrame:
     redoing the plan, and later steps read only the columns they need.  The
     folder goes when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    path = scratch(spark, "stored")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder that goes when the driver's
+    Python ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

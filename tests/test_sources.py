@@ -1,16 +1,18 @@
 """Readers, writers and the streaming intake on scratch folders."""
 
+import datetime
 import json
 import os
 import subprocess
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
 from quire.operators.arguments import build_requests, latest_content, parse_responses, request_json
 from quire.sources import readers as R
 from quire.sources import writers as W
-from quire.streaming.intake import sink_high_water_mark, start_intake
+from quire.streaming.intake import read_sink, sink_high_water_mark, start_intake, write_batch
 
 
 def scratch():
@@ -111,7 +113,7 @@ def test_export_files_and_streaming_intake(spark):
     assert batch.count() == 3
     sink, ckpt = os.path.join(d, "sink"), os.path.join(d, "ckpt")
     start_intake(spark, src, sink, ckpt).awaitTermination()
-    got = {os.path.basename(r.id): r.pub_date for r in spark.read.parquet(sink).collect()}
+    got = {os.path.basename(r.id): r.pub_date for r in read_sink(spark, sink).collect()}
     assert {k: (v.isoformat() if v else None) for k, v in got.items()} == \
         {"e1.txt": "2021-03-03", "e2.txt": "2021-04-10", "e3.txt": None}
     # a second run reads only new files (the checkpoint remembers the rest)
@@ -122,10 +124,42 @@ def test_export_files_and_streaming_intake(spark):
         with open(os.path.join(src, name), "w", encoding="utf-8") as f:
             f.write(text)
     start_intake(spark, src, sink, ckpt).awaitTermination()
-    assert spark.read.parquet(sink).count() == 6
+    assert read_sink(spark, sink).count() == 6
     assert sink_high_water_mark(spark, sink).first().start_date.isoformat() == "2021-05-01"
 
 
+def test_intake_takes_files_of_any_age(spark):
+    d = scratch()
+    src, sink, ckpt = (os.path.join(d, x) for x in ("exports", "sink", "ckpt"))
+    os.makedirs(src)
+    now = time.time()
+    for run, files in enumerate(([("today", 0)], [("month", 30), ("decade", 3650)], [("late", 9), ("new", 0)])):
+        for name, days in files:
+            p = os.path.join(src, f"{name}.txt")
+            with open(p, "w", encoding="utf-8") as f:
+                f.write(f"{name}\nFecha de publicación: Mar 3, 2021")
+            os.utime(p, (now - days * 86400,) * 2)
+        start_intake(spark, src, sink, ckpt).awaitTermination()
+    got = [os.path.basename(r.id) for r in read_sink(spark, sink).collect()]
+    assert sorted(got) == ["decade.txt", "late.txt", "month.txt", "new.txt", "today.txt"]
+
+
+def test_intake_sink_is_idempotent(spark):
+    sink = os.path.join(scratch(), "sink")
+    t = [datetime.datetime(2021, 1, i) for i in (1, 2, 3)]
+    schema = "id string, mtime timestamp, value string, pub_date date"
+    batches = [[("a", t[0], "old", None), ("a", t[1], "newer", None), ("b", t[0], "b", None), (None, t[0], "x", None), (None, t[0], "x", None)],
+               [("a", t[2], "again", None), ("c", t[0], None, None)], []]
+    assert read_sink(spark, sink).count() == 0 and sink_high_water_mark(spark, sink).first().start_date is None
+    for n in (0, 1, 1, 0, 2):  # batches are run again, one of them after a later one
+        write_batch(spark.createDataFrame(batches[n], schema), "r1", n, sink)
+    want = [("a", "newer"), ("b", "b"), ("c", None), (None, "x"), (None, "x")]
+    assert sorted(((r.id, r.value) for r in read_sink(spark, sink).collect()), key=repr) == sorted(want, key=repr)
+    # a new checkpoint over the old sink overwrites nothing
+    write_batch(spark.createDataFrame([("c", t[0], "c", None), ("d", t[0], "d", None)], schema), "r2", 0, sink)
+    assert sorted(((r.id, r.value) for r in read_sink(spark, sink).collect()), key=repr) == sorted(want + [("d", "d")], key=repr)
+
+
 def test_bench_prints_one_json_line():
     env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_CPUS="2")
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
