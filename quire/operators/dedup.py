@@ -8,27 +8,39 @@ of its pairs:
    of the sorted set (two salted xxhash64 values + size); the first row in
    order represents the group, the others are its copies.  A group of
    copies holding a third of all rows costs one partial aggregation.
-2. ``jaccard_pairs``: exact pairs with Jaccard >= t among representatives.
-   Tokens are ordered globally rarest first; a set's prefix is its first
-   ``n - ceil(t n) + 1`` tokens, and two sets reaching t always share a
-   prefix token, so candidates come from an equi join on prefix tokens plus
-   the size filter ``t |a| <= |b|``; every candidate is then verified.
-3. ``greedy_keep_first``: the reference's rule - in row order, a row is a
-   duplicate iff it is similar to an already *kept* row - as parallel rounds
-   (a row with no undecided earlier neighbour is kept, its neighbours are
-   dropped; checkpoint per round).  This is the lexicographically first
+2. ``prefix_tokens``: tokens are ordered globally rarest first; a set's prefix
+   is its first ``n - ceil(t n) + 1`` tokens, and two sets with a Jaccard
+   similarity of t or more always share a prefix token, so candidates meet in
+   the lists of prefix tokens.  Size and position filters follow, then exact
+   verification.
+3. ``leader_rounds``: the reference's rule - in row order, a row is a duplicate
+   iff it is similar to an already *kept* row.  A row that is the earliest
+   undecided one of all its lists is kept for certain and leads them; members
+   of a list are compared with its leader only, and similar ones are dropped
+   and need no further comparison.  A round's candidates are at most the
+   entries of the lists, however many near copies a family has.
+4. ``jaccard_pairs`` + ``greedy_keep_first``: what the rounds leave undecided
+   (or, for the pair table, every representative) is compared list by list.  A
+   list over ``BLOCK`` rows is dealt into blocks and compared block against
+   block.  Keep-first over the verified pairs is the lexicographically first
    maximal independent set, not connected components.
-4. ``lsh_keep_first``: the reference's own relation (MinHash, 64 hashes,
+5. ``lsh_keep_first``: the reference's own relation (MinHash, 64 hashes,
    3 bands x 21 rows; colliding in a band bucket with a kept row makes a
    duplicate) decided by bucket *claims*: per round, a row that is the
    earliest undecided row of every bucket it is in is kept and claims its
    buckets; undecided rows in a claimed bucket are duplicates.  Work per
-   round is linear in rows x bands.
+   round is linear in rows x bands.  The hashes are modular (``a x + b`` modulo
+   a prime over 31-bit bases from md5), so any engine gets the same values.
+
+Every round writes its undecided rows only; an empty set is a copy of the first
+empty set in every mode.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -36,12 +48,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import col, py_strip
-from quire.session import materialize
+from quire.session import materialize, stored
 from quire.operators.skew import lookup_join
 
 NUM_PERM = 64
 BANDS = 3
 ROWS = 21
+#: Rows of a token's list that one task compares with as many others.
+BLOCK = 1000
+#: Leader rounds go on while a round decides this share of what was undecided.
+WORTH = 0.1
+#: Modulus of the portable hashes, and the base of a shingle's polynomial.
+PRIME = (1 << 31) - 1
+SHINGLE_BASE = 1_000_003
 
 
 # ------------------------------------------------------------ token sets --
@@ -136,39 +155,107 @@ def collapse_copies(sets: DataFrame, id_col: str, order_col: str, tokens_col: st
     return Collapsed(reps, copies)
 
 
-def jaccard_pairs(reps: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(a, b, inter, jaccard) for representatives a < b (by ``ord``) with
-    Jaccard >= threshold - exact, via prefix filtering + verification."""
+def prefix_tokens(reps: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """id, ord, n, token, pos: the prefix of each set; ``pos`` is the token's
+    place (from 1) in the set's rarest-first order.  Tokens held by one set
+    only come first in that order and can never pair, so they have no row but
+    count in ``pos``."""
     # the exploded token table feeds several branches: store it once
-    tok = materialize(reps.select("id", "ord", "n", F.explode("tokens").alias("token")))
+    tok = stored(reps.select("id", "ord", "n", F.explode("tokens").alias("token")))
     df = tok.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # Tokens held by one set only come first in the rarest-first order and
-    # can never pair; they only push shared tokens out of the prefix.  So
-    # only shared tokens are ranked: with u unique tokens in a set, its
-    # prefix keeps the first (prefix length - u) shared ones.
     shared = lookup_join(tok, df.where(F.col("df") >= 2), "token", count_col="df")  # hot tokens salted
     w = Window.partitionBy("id")
     ranked = (shared.withColumn("_r", F.row_number().over(w.orderBy("df", "token")))
                     .withColumn("_u", F.col("n") - F.count(F.lit(1)).over(w)))
     plen = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = ranked.where(F.col("_r") <= plen - F.col("_u")).select("id", "ord", "n", "token")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (a.join(b, F.col("a.token") == F.col("b.token"))
-             .where((F.col("a.ord") < F.col("b.ord"))
-                    & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-                    & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9))
-             .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"),
-                     F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct())
-    # verification reads the stored sets of the two sides (no re-join of the
-    # exploded token table); array_intersect is a hash-based native function
-    ra = reps.select(F.col("id").alias("a"), F.col("tokens").alias("_ta"))
-    rb = reps.select(F.col("id").alias("b"), F.col("tokens").alias("_tb"))
-    inter = cand.join(ra, "a").join(rb, "b").select(
+    return stored(ranked.withColumn("pos", F.col("_r") + F.col("_u")).where(F.col("pos") <= plen)
+                  .select("id", "ord", "n", "token", "pos"))
+
+
+def _may_reach(threshold: float, a: str = "a", b: str = "b") -> Column:
+    """Size and position filter of a candidate that meets in one list.  The
+    first common token of two sets bounds their overlap by itself and what
+    follows it in either set, so a similar pair passes in that list."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) + 1
+    return ((nb >= na * threshold - 1e-9) & (na >= nb * threshold - 1e-9)
+            & (rest >= (na + nb) * (threshold / (1 + threshold)) - 1e-9))
+
+
+def _verified(cand: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, inter, jaccard) of the candidate pairs (a, b) that reach the
+    threshold, from the stored sets of both sides; ``a`` may be a hot key."""
+    ra = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("_ta"))
+    rb = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("_tb"))
+    inter = lookup_join(cand, ra, "a").join(rb, "b").select(
         "a", "b", "na", "nb", F.size(F.array_intersect("_ta", "_tb")).alias("inter"))
     j = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
     return inter.select("a", "b", "inter", j.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
 
+def jaccard_pairs(reps: DataFrame, threshold: float = 0.9, prefix: DataFrame | None = None,
+                  block: int = BLOCK) -> DataFrame:
+    """(a, b, inter, jaccard) for representatives a < b (by ``ord``) with
+    Jaccard >= threshold - exact, via prefix filtering + verification.  Lists
+    of more than ``block`` rows are compared block against block."""
+    if prefix is None:
+        reps = stored(reps)
+        prefix = prefix_tokens(reps, threshold)
+    m = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sized = lookup_join(prefix, m, "token", count_col="m").withColumn("blocks", F.ceil(F.col("m") / block))
+    dealt = (sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("id", "ord", "n", "token", "pos", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "i", "j")]
+    once = (F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own"))  # one block's own pairs meet once
+    cand = (a.join(b, meet).where((F.col("a.ord") < F.col("b.ord")) & once & _may_reach(threshold))
+             .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    return _verified(cand, reps, threshold)
+
+
+class Rounds(NamedTuple):
+    decided: DataFrame     # id, kept
+    open: DataFrame        # prefix rows of what is undecided
+    lone: DataFrame        # id of undecided rows that share no list any more
+    candidates: int        # pairs that were verified
+
+
+def leader_rounds(reps: DataFrame, prefix: DataFrame, threshold: float = 0.9, worth: float = WORTH) -> Rounds:
+    """Decide rows against the leaders of their lists, round by round, while a
+    round decides at least the share ``worth`` of the undecided ones.  All
+    decisions are those of the sequential rule."""
+    decided, compared = [], 0
+    open_, lone = prefix, reps.join(prefix.select("id").distinct(), "id", "left_anti").select("id")
+    while True:
+        first = open_.groupBy("token").agg(F.min(F.struct("ord", "id", "n", "pos")).alias("f"), F.count(F.lit(1)).alias("m"))
+        first = stored(first.select("token", "m", F.col("f.id").alias("first"), F.col("f.n").alias("n_first"),
+                                    F.col("f.pos").alias("pos_first")))
+        # every entry with its list's first row; a list of one row holds nothing to compare
+        led = stored(lookup_join(open_, first, "token", count_col="m"))
+        state = led.groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("leads"), F.max("m").alias("most"))
+        state = stored(state)
+        n = state.count()
+        if n == 0:
+            break
+        leads = stored(state.where("leads").select(F.col("id").alias("leader")))
+        ruled = first.where("m > 1").join(leads, F.col("first") == F.col("leader"), "left_semi").select("token", "m")
+        x = lookup_join(led.drop("m"), ruled, "token", count_col="m").where(F.col("id") != F.col("first"))
+        a = F.struct(F.col("n_first").alias("n"), F.col("pos_first").alias("pos"))
+        x = x.select(F.struct("n", "pos").alias("b"), a.alias("a"), F.col("first").alias("a_id"), F.col("id").alias("b_id"))
+        cand = stored(x.where(_may_reach(threshold)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
+        compared += cand.count()
+        gone = stored(_verified(cand, reps, threshold).select(F.col("b").alias("id")).distinct())
+        done = leads.select(F.col("leader").alias("id"), F.lit(True).alias("kept")).union(gone.select("id", F.lit(False).alias("kept")))
+        done = stored(done)
+        decided.append(done)
+        open_ = stored(open_.join(done, "id", "left_anti"))
+        if done.count() < worth * n:
+            break
+    kept = reduce(DataFrame.union, decided) if decided else reps.select("id", F.lit(True).alias("kept")).limit(0)
+    return Rounds(kept, open_, lone, compared)
+
+
 def greedy_keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kept) - lexicographically first maximal independent set.
 
@@ -182,64 +269,80 @@ def greedy_keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
           .join(o.withColumnRenamed("id", "b").withColumnRenamed("ord", "ob"), "b"))
     e = materialize(e.select("a", "b", "oa", "ob"))
     ends = e.select(F.col("a").alias("id")).distinct()
-    lone = o.join(ends, "id", "left_anti")
-    state = materialize(o.join(ends, "id", "left_semi").withColumn("st", F.lit("U")))
-    while True:  # every round decides at least the first undecided node
-        und = state.where(F.col("st") == "U").select("id")
-        if und.limit(1).count() == 0:
-            break
-        ue = (e.join(und.withColumnRenamed("id", "a"), "a").join(und.withColumnRenamed("id", "b"), "b"))
+    decided = [o.join(ends, "id", "left_anti").select("id", F.lit(True).alias("kept"))]
+    und = stored(ends)
+    while not und.isEmpty():  # every round decides at least the first undecided node
+        ue = stored(e.join(und.withColumnRenamed("id", "a"), "a", "left_semi").join(und.withColumnRenamed("id", "b"), "b", "left_semi"))
         blocked = ue.where(F.col("ob") < F.col("oa")).select(F.col("a").alias("id")).distinct()
-        new_k = und.join(blocked, "id", "left_anti")
-        dropped = (ue.join(new_k.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id")).distinct())
-        state = (state.join(new_k.withColumn("k", F.lit(True)), "id", "left")
-                      .join(dropped.withColumn("d", F.lit(True)), "id", "left")
-                      .select("id", "ord", F.when(F.col("k"), F.lit("K")).when(F.col("d") & (F.col("st") == "U"), F.lit("D"))
-                              .otherwise(F.col("st")).alias("st")))
-        state = materialize(state)
-    return state.select("id", (F.col("st") == "K").alias("kept")).unionByName(
-        lone.select("id", F.lit(True).alias("kept")))
+        new = stored(und.join(blocked, "id", "left_anti"))
+        gone = ue.join(new.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id")).distinct()
+        done = stored(new.select("id", F.lit(True).alias("kept")).union(gone.select("id", F.lit(False).alias("kept"))))
+        decided.append(done)
+        und, e = stored(und.join(done, "id", "left_anti")), ue
+    return reduce(DataFrame.unionByName, decided)
 
 
 class Dedup(NamedTuple):
     kept: DataFrame        # id, kept (one row per input row)
-    pairs: DataFrame       # a, b, inter, jaccard among representatives
     copies: DataFrame      # id, copy_of
+    candidates: int        # pairs compared with leaders
 
 
 def dedup_sets(sets: DataFrame, id_col: str, order_col: str, tokens_col: str,
                threshold: float = 0.9) -> Dedup:
-    """I7 with exact Jaccard: copies collapsed, pairs verified, greedy."""
+    """I7 with exact Jaccard: copies collapsed, then leader rounds, then the
+    verified pairs of what they leave open."""
     c = collapse_copies(sets, id_col, order_col, tokens_col)
-    reps = materialize(c.reps)
-    pairs = materialize(jaccard_pairs(reps, threshold))
-    kept_reps = greedy_keep_first(reps.select("id", "ord"), pairs)
-    kept = kept_reps.unionByName(c.copies.select("id", F.lit(False).alias("kept")))
-    return Dedup(kept, pairs, c.copies)
+    reps = stored(c.reps)
+    r = leader_rounds(reps, prefix_tokens(reps, threshold), threshold)
+    kept = r.decided.unionByName(r.lone.select("id", F.lit(True).alias("kept")))
+    if not r.open.isEmpty():
+        pairs = stored(jaccard_pairs(reps, threshold, r.open))
+        kept = kept.unionByName(greedy_keep_first(r.open.select("id", "ord").distinct(), pairs))
+    return Dedup(kept.unionByName(c.copies.select("id", F.lit(False).alias("kept"))), c.copies, r.candidates)
 
 
 # ------------------------------------------------------------------- LSH --
 
-def minhash(tokens, num_perm: int = NUM_PERM) -> Column:
-    """Per seed, the minimum 64-bit hash over the set's elements."""
-    t = col(tokens)
+def portable_base(text) -> Column:
+    """A whole number under ``PRIME`` from the first 32 bits of the md5 of a
+    text: the same in every engine."""
+    return F.pmod(F.conv(F.substring(F.md5(col(text).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(PRIME))
+
 
-    def lane(seed: int):  # one-argument lambda: a second one would be the index
-        return lambda x: F.xxhash64(F.lit(seed), x)
-    return F.array(*[F.array_min(F.transform(t, lane(s))) for s in range(num_perm)])
+def portable_shingles(df: DataFrame, id_col: str, text_col: str, k: int = 3, keep: tuple = ()) -> DataFrame:
+    """(id, keep..., tokens): distinct k-word shingles as polynomials of the
+    words' portable bases; a shorter text is one shingle of its words."""
+    w = df.select(id_col, *keep, words_of(text_col).alias("_w"))
+    h = w.select(id_col, *keep, F.transform("_w", portable_base).alias("_h"))
+    step = lambda acc, x: F.pmod(acc * SHINGLE_BASE + x, F.lit(PRIME))  # noqa: E731 - under 2**51
+    zipped = F.arrays_zip(*[F.slice("_h", i + 1, 1 << 30).alias(str(i)) for i in range(k)])
+    full = F.transform(F.slice(zipped, 1, F.greatest(F.size("_h") - k + 1, F.lit(0))),
+                       lambda z: reduce(step, [z[str(i)] for i in range(1, k)], z["0"]))
+    short = F.when(F.size("_h") > 0, F.array(F.aggregate("_h", F.lit(0).cast("long"), step))).otherwise(F.array().cast("array<bigint>"))
+    return h.select(id_col, *keep, F.array_distinct(F.when(F.size("_h") >= k, full).otherwise(short)).alias("tokens"))
+
+
+def lane_constants(num_perm: int = NUM_PERM) -> list[tuple[int, int]]:
+    """(a, b) of each hash ``(a x + b) mod PRIME``, from md5 of its number."""
+    def number(name: str) -> int:
+        return int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % (PRIME - 1)
+    return [(1 + number(f"a{s}"), number(f"b{s}")) for s in range(num_perm)]
 
 
 def minhash_signatures(sets: DataFrame, id_col: str, tokens_col: str, num_perm: int = NUM_PERM) -> DataFrame:
-    """I5 as an aggregation: (id, sig) with the same values as ``minhash``.
+    """(id, sig) - per hash the minimum over the set's elements (whole
+    numbers under ``PRIME``).
 
     The tokens are exploded and the 64 minima are plain ``min`` aggregates
-    (whole-stage code generation instead of 64 interpreted lambdas).  All
-    tokens of a set come from one input row, so the partial aggregation
-    already reduces each set to one row before the shuffle.  Empty sets
-    give no row."""
-    x = sets.select(F.col(id_col).alias("_id"), F.explode_outer(tokens_col).alias("_x")).where(F.col("_x").isNotNull())
-    agg = x.groupBy("_id").agg(*[F.min(F.xxhash64(F.lit(s), "_x")).alias(f"_h{s}") for s in range(num_perm)])
-    return agg.select(F.col("_id").alias(id_col), F.array(*[F.col(f"_h{s}") for s in range(num_perm)]).alias("sig"))
+    (whole-stage code generation).  All tokens of a set come from one input
+    row, so the partial aggregation already reduces each set to one row before
+    the shuffle.  An empty set has ``PRIME`` in every place."""
+    x = sets.select(F.col(id_col).alias("_id"), F.explode_outer(tokens_col).alias("_x"))
+    agg = x.groupBy("_id").agg(*[F.min(F.pmod(F.col("_x") * a + b, F.lit(PRIME))).alias(f"_h{s}")
+                                 for s, (a, b) in enumerate(lane_constants(num_perm))])
+    sig = F.array(*[F.coalesce(F.col(f"_h{s}"), F.lit(PRIME)) for s in range(num_perm)])
+    return agg.select(F.col("_id").alias(id_col), sig.alias("sig"))
 
 
 def lsh_buckets(sig, bands: int = BANDS, rows: int = ROWS) -> Column:
@@ -250,31 +353,23 @@ def lsh_buckets(sig, bands: int = BANDS, rows: int = ROWS) -> Column:
 
 def lsh_keep_first(sets: DataFrame, id_col: str, order_col: str, tokens_col: str,
                    num_perm: int = NUM_PERM, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """I5-I7, reference semantics: (id, kept).  Rows with an empty set have
-    no signature and are kept (nothing can collide with them)."""
-    s = materialize(sets.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"),
-                                F.col(tokens_col).alias("t")))
-    # signatures are computed once per row and stored
-    sig = minhash_signatures(s, "id", "t", num_perm)
-    s = materialize(s.select("id", "ord").join(sig, "id", "left"))
-    rb = s.where(F.col("sig").isNotNull()).select(
+    """I5-I7, reference semantics: (id, kept).  Tokens are whole numbers under
+    ``PRIME`` (``portable_shingles``); empty sets collide with each other."""
+    s = stored(sets.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"), F.col(tokens_col).alias("t")))
+    rb = s.select("id", "ord").join(minhash_signatures(s, "id", "t", num_perm), "id").select(
         "id", "ord", F.posexplode(lsh_buckets("sig", bands, rows)).alias("band", "h"))
-    rb = materialize(rb.select("id", "ord", F.struct("band", "h").alias("bucket")))
-    state = materialize(s.select("id", "ord", F.when(F.col("sig").isNull(), F.lit("K")).otherwise(F.lit("U")).alias("st")))
-    while True:  # every round decides at least the first undecided node
-        und = state.where(F.col("st") == "U").select("id", "ord")
-        if und.limit(1).count() == 0:
-            break
-        urb = rb.join(und.select("id"), "id")
-        first = urb.groupBy("bucket").agg(F.min_by("id", "ord").alias("first"))
-        wins = (urb.join(first, "bucket").groupBy("id")
-                   .agg(F.count_if(F.col("id") == F.col("first")).alias("w"), F.count(F.lit(1)).alias("m")))
-        new_k = wins.where(F.col("w") == F.col("m")).select("id")
-        claimed = rb.join(new_k, "id").select("bucket").distinct()
-        dropped = urb.join(claimed, "bucket").join(new_k, "id", "left_anti").select("id").distinct()
-        state = (state.join(new_k.withColumn("k", F.lit(True)), "id", "left")
-                      .join(dropped.withColumn("d", F.lit(True)), "id", "left")
-                      .select("id", "ord", F.when(F.col("k"), F.lit("K")).when(F.col("d") & (F.col("st") == "U"), F.lit("D"))
-                              .otherwise(F.col("st")).alias("st")))
-        state = materialize(state)
-    return state.select("id", (F.col("st") == "K").alias("kept"))
+    rb = stored(rb.select("id", "ord", F.struct("band", "h").alias("bucket")))
+    decided: list[DataFrame] = []
+    while not rb.isEmpty():  # every round decides at least the first undecided row
+        first = rb.groupBy("bucket").agg(F.min(F.struct("ord", "id")).alias("f"), F.count(F.lit(1)).alias("m"))
+        first = first.select("bucket", "m", F.col("f.id").alias("first"))
+        led = stored(lookup_join(rb, first, "bucket", count_col="m").drop("m"))  # a bucket of copies is a hot key
+        new = stored(led.groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("k")).where("k").select("id"))
+        claimed = (led.where(F.col("id") == F.col("first")).join(new, "id", "left_semi").select("bucket"))
+        sizes = led.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+        gone = (lookup_join(led, sizes.join(claimed, "bucket", "left_semi"), "bucket", count_col="m")
+                .where(F.col("id") != F.col("first")).select("id").distinct())
+        done = stored(new.select("id", F.lit(True).alias("kept")).union(gone.select("id", F.lit(False).alias("kept"))))
+        decided.append(done)
+        rb = stored(rb.join(done, "id", "left_anti"))
+    return reduce(DataFrame.union, decided) if decided else s.select("id", F.lit(True).alias("kept"))

@@ -107,7 +107,7 @@ def near_dup_pairs(spark, sf_dir):
     """C11/I8: document pairs (distinct 3-word shingle sets, shingles stored
     as 64-bit hashes) with Jaccard >= 0.9: prefix-filtered join, verified."""
     c = DD.collapse_copies(_doc_sets(spark, sf_dir), "doc_id", "doc_id", "tokens")
-    p = DD.jaccard_pairs(c.reps, THRESHOLD)
+    p = DD.jaccard_pairs(c.reps, THRESHOLD)  # stores the representatives
     return p.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -129,11 +129,38 @@ def embedding_dedup(spark, sf_dir):
     return d.kept.select(F.col("id").alias("vec_id"), "kept")
 
 
-@register("lsh_dedup")
+def _lsh_oracle() -> str:
+    p, base = DD.PRIME, DD.SHINGLE_BASE
+    word = f"(('0x' || substr(md5(w), 1, 8))::BIGINT % {p})"
+    lanes = ", ".join(f"min(({a} * x + {b}) % {p}) AS h{i}" for i, (a, b) in enumerate(DD.lane_constants()))
+    bands = ", ".join("[" + ", ".join(f"coalesce(h{i}, {p})" for i in range(k * 21, k * 21 + 21)) + "]" for k in range(3))
+    return f"""WITH RECURSIVE dw AS (SELECT doc_id AS id, list_transform({_WORDS}, lambda w: {word}) AS h FROM documents),
+ds AS (SELECT id, CASE WHEN len(h) = 0 THEN [NULL::BIGINT] WHEN len(h) = 1 THEN [h[1]] WHEN len(h) = 2 THEN [(h[1] * {base} + h[2]) % {p}]
+       ELSE list_transform(generate_series(1, len(h) - 2), lambda i: (((h[i] * {base} + h[i + 1]) % {p}) * {base} + h[i + 2]) % {p}) END AS t FROM dw),
+dx AS (SELECT DISTINCT id, unnest(t) AS x FROM ds),
+sig AS (SELECT id, {lanes} FROM dx GROUP BY id),
+bk AS MATERIALIZED (SELECT id, unnest(range(3)) AS band, unnest([{bands}]) AS bucket FROM sig),
+edges AS (SELECT DISTINCT a.id AS a, b.id AS b FROM bk a JOIN bk b ON a.band = b.band AND a.bucket = b.bucket AND a.id < b.id)""" \
+        + _greedy("sig") + "\nSELECT n.id AS doc_id, list_contains((SELECT kept FROM fin), n.id) AS kept FROM nodes n"
+
+
+@register("lsh_dedup", _lsh_oracle())
 def lsh_dedup(spark, sf_dir):
-    """Keep-first with the reference's MinHash LSH relation
-    (64 hashes, 3 bands x 21 rows) over document shingle sets.  Hash values
-    are engine-specific, so there is no SQL oracle; tests compare it with a
-    sequential run of the same relation."""
-    k = DD.lsh_keep_first(_doc_sets(spark, sf_dir), "doc_id", "doc_id", "tokens")
+    """Keep-first with the reference's MinHash LSH relation (64 hashes,
+    3 bands x 21 rows) over document shingle sets; the hashes are portable, so
+    SQL gets the same buckets."""
+    k = DD.lsh_keep_first(DD.portable_shingles(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "doc_id", "tokens")
     return k.select(F.col("id").alias("doc_id"), "kept")
+
+
+@register("minhash_signatures", f"""WITH dw AS (SELECT vec_id, unnest(embedding) AS e FROM embeddings),
+dx AS (SELECT vec_id, ('0x' || substr(md5(CAST(CAST(floor(e * 1000) AS BIGINT) AS VARCHAR)), 1, 8))::BIGINT % {DD.PRIME} AS x FROM dw)
+SELECT vec_id, """ + ", ".join(f"min(({a} * x + {b}) % {DD.PRIME}) AS h{i}" for i, (a, b) in enumerate(DD.lane_constants(8)))
+          + " FROM dx GROUP BY vec_id")
+def minhash_signatures(spark, sf_dir):
+    """Eight portable MinHash values per embedding (elements in steps of
+    a thousandth)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: DD.portable_base(
+        F.floor(x.cast("double") * 1000).cast("long").cast("string"))).alias("tokens"))
+    sig = DD.minhash_signatures(e, "vec_id", "tokens", 8)
+    return sig.select("vec_id", *[F.col("sig")[i].alias(f"h{i}") for i in range(8)])

@@ -1,5 +1,6 @@
 """Operator properties against brute-force Python on small fixtures."""
 
+import hashlib
 import itertools
 import random
 
@@ -197,17 +198,47 @@ def test_dedup_sets_against_sequential(spark):
         return len(a & b) / len(a | b) if a | b else 1.0
     want = py_greedy(range(len(sets)), lambda x, k: jac(x, k) >= 0.9)
     assert {r.id for r in d.kept.where("kept").collect()} == want
-    reps = {r.id for r in DD.collapse_copies(df, "id", "id", "tokens").reps.collect()}
-    pairs = {(r.a, r.b) for r in d.pairs.collect()}
-    assert pairs == {(a, b) for a, b in itertools.combinations(sorted(reps), 2) if jac(a, b) >= 0.9}
+    found = DD.collapse_copies(df, "id", "id", "tokens").reps
+    reps = {r.id for r in found.collect()}
+    for t, block in ((0.9, 1000), (0.9, 4), (0.6, 7), (0.3, 1000)):
+        pairs = [(r.a, r.b) for r in DD.jaccard_pairs(found, t, block=block).collect()]
+        assert len(pairs) == len(set(pairs))
+        assert set(pairs) == {(a, b) for a, b in itertools.combinations(sorted(reps), 2) if jac(a, b) >= t}
+    # the rounds alone and the pairs alone give the same decisions
+    for worth in (0.0, 2.0):
+        stored = DD.stored(found)
+        r = DD.leader_rounds(stored, DD.prefix_tokens(stored, 0.6), 0.6, worth)
+        want = py_greedy(sorted(reps), lambda x, k: jac(x, k) >= 0.6)
+        done = {x.id: x.kept for x in r.decided.collect()}
+        assert all(k == (i in want) for i, k in done.items()) and done
+        assert (worth > 0) or len(done) + r.lone.count() == len(reps)
+
+
+def test_near_copies_give_candidates_linear_in_rows(spark):
+    rnd = random.Random(3)
+    counts = []
+    for m in (500, 2000):
+        base = [f"w{i}" for i in range(100)]
+        sets = [sorted(base[:j] + [f"x{i}"] + base[j + 1:]) for i, j in ((i, rnd.randrange(100)) for i in range(m))]  # no two are equal
+        other = [sorted(f"o{i}_{j}" for j in range(30)) + ["common"] for i in range(200)]
+        df = spark.createDataFrame(list(enumerate([sorted(base)] + sets + other)), "id long, tokens array<string>")
+        d = DD.dedup_sets(df, "id", "id", "tokens", 0.9)
+        assert {r.id for r in d.kept.where("kept").collect()} == {0, *range(m + 1, m + 201)}
+        counts.append(d.candidates)
+    assert counts[0] <= 600 and counts[1] <= 2200
+
+
+def plain_signature(tokens, n=DD.NUM_PERM):
+    return [min(((a * x + b) % DD.PRIME for x in tokens), default=DD.PRIME) for a, b in DD.lane_constants(n)]
 
 
 def test_lsh_keep_first_against_sequential(spark):
     rnd = random.Random(5)
-    sets = [sorted({f"w{rnd.randrange(60)}" for _ in range(rnd.randint(1, 12))}) for _ in range(150)] + [[]]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, tokens array<string>")
-    buckets = {r.id: set(r.b) if r.b is not None else set() for r in df.select(
-        "id", DD.lsh_buckets(F.when(F.size("tokens") > 0, DD.minhash("tokens"))).alias("b")).collect()}
+    sets = [sorted({rnd.randrange(60) * 35_791_393 for _ in range(rnd.randint(1, 12))}) for _ in range(150)] + [[], []]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, tokens array<bigint>")
+    sig = {i: plain_signature(s) for i, s in enumerate(sets)}
+    assert {r.id: r.sig for r in DD.minhash_signatures(df, "id", "tokens").collect()} == sig
+    buckets = {i: {(k, *s[k * 21:k * 21 + 21]) for k in range(3)} for i, s in sig.items()}
     want = py_greedy(range(len(sets)), lambda x, k: bool(buckets[x] & buckets[k]))
     got = {r.id for r in DD.lsh_keep_first(df, "id", "id", "tokens").where("kept").collect()}
     assert got == want
@@ -262,10 +293,11 @@ def test_flatten_and_stats(spark):
 
 
 def test_minhash_lanes_are_independent(spark):
-    df = spark.createDataFrame([(0, [f"t{i}" for i in range(50)])], "id long, tokens array<string>")
-    col_sig = df.select(DD.minhash("tokens").alias("s")).first().s
-    agg_sig = DD.minhash_signatures(df, "id", "tokens").first().sig
-    assert col_sig == agg_sig and len(set(col_sig)) > 60
+    df = spark.createDataFrame([(0, " ".join(f"t{i}" for i in range(50))), (1, "one two"), (2, "one"), (3, " "), (4, None)], "id long, text string")
+    sets = {r.id: r.tokens for r in DD.portable_shingles(df, "id", "text").collect()}
+    word = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DD.PRIME
+    assert sets[2] == [word("one")] and sets[1] == [(word("one") * DD.SHINGLE_BASE + word("two")) % DD.PRIME] and sets[3] == sets[4] == []
+    assert len(sets[0]) == 48 and len(set(plain_signature(sets[0]))) > 45
 
 
 def test_clean_articles_accepts_archive_dates(spark):
