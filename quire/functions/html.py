@@ -1,5 +1,5 @@
-"""HTML as text blocks, with native regex expressions only (B15, H19-H24,
-H27).  No DOM: a page becomes an ordered array of block pieces.
+"""HTML as text blocks, with native expressions only.
+No DOM: a page becomes an ordered array of block pieces.
 
 A marker is put before every block-level tag (opening or closing), and the
 page is split on it.  A piece that starts with ``<p`` or ``<h1..6`` is a
@@ -7,11 +7,16 @@ paragraph / heading block whose content runs up to the next block tag - the
 same place where an HTML parser closes an unclosed ``<p>``.  Text of a block
 is its text nodes (split on tags), entity-decoded, stripped, empties
 dropped, joined by one blank (paragraphs) or by nothing (heading titles,
-like ``get_text(strip=True)``).
+like ``get_text(strip=True)``).  Elements that may hold others of their kind
+(junk tables, lists and divisions, infoboxes) are matched with their closing
+tags in ``operators/sections.py``.
 """
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,36 +25,43 @@ from quire.functions.text import col, py_strip
 BLOCK_MARK = "\u0001"
 
 _CLS = r'''class=["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["']'''
-# Page junk removed before blocking (H19): style, script, comments, navbox
-# tables, reference superscripts, back-links, reference lists, hatnotes, toc.
-JUNK = "(?is)" + "|".join([
+
+
+def _inline(tag: str, name: str) -> str:
+    """An inline element of a class, with elements of its kind inside."""
+    free = rf"(?:(?!</?{tag}\b).)*"
+    return rf"<{tag}\b[^>]*" + _CLS.format(name=name) + rf"[^>]*>{free}(?:<{tag}\b[^>]*>{free}</{tag}>{free})*</{tag}>"
+
+
+# Junk within text (H19): style, script, comments, reference superscripts, back-links.
+INLINE_JUNK = "(?is)" + "|".join([
     r"<style\b[^>]*>.*?</style>",
     r"<script\b[^>]*>.*?</script>",
     r"<!--.*?-->",
-    r"<table\b[^>]*" + _CLS.format(name="navbox") + r"[^>]*>.*?</table>",
-    r"<sup\b[^>]*" + _CLS.format(name="reference") + r"[^>]*>.*?</sup>",
-    r"<span\b[^>]*" + _CLS.format(name="mw-cite-backlink") + r"[^>]*>.*?</span>",
-    r"<ol\b[^>]*" + _CLS.format(name="references") + r"[^>]*>.*?</ol>",
-    r"<div\b[^>]*" + _CLS.format(name="reflist") + r"[^>]*>.*?</div>",
-    r"<div\b[^>]*" + _CLS.format(name="hatnote") + r"[^>]*>.*?</div>",
-    r'''<div\b[^>]*id=["']toc["'][^>]*>.*?</div>''',
+    _inline("sup", "reference"),
+    _inline("span", "mw-cite-backlink"),
 ])
-CONTAINER = r"(?is)<div\b[^>]*" + _CLS.format(name="mw-parser-output") + r"[^>]*>(.*)$"
-BLOCK_TAGS = ("h[1-6]|p|div|table|tbody|thead|tr|td|th|ul|ol|li|dl|dt|dd|section|article|aside|nav|"
+# Opening tags of junk elements (H19): navbox tables, reference lists, hatnotes, toc.
+JUNK_OPEN = "(?is)^(?:" + "|".join([
+    r"<table\b[^>]*" + _CLS.format(name="navbox"),
+    r"<ol\b[^>]*" + _CLS.format(name="references"),
+    r"<div\b[^>]*" + _CLS.format(name="(?:reflist|hatnote)"),
+    r'''<div\b[^>]*id=["']toc["']''',
+]) + ")"
+CONTAINER_OPEN = r"(?is)^<div\b[^>]*" + _CLS.format(name="mw-parser-output")
+INFOBOX_OPEN = r"(?is)^<table\b[^>]*" + _CLS.format(name="infobox")
+BLOCK_TAGS = ("h[1-6]|p|div|table|tbody|thead|tfoot|tr|td|th|ul|ol|li|dl|dt|dd|section|article|aside|nav|"
               "header|footer|main|figure|figcaption|blockquote|pre|form|fieldset|address|hr|body|html|head|title")
 BLOCK_TAG = rf"(?i)(</?(?:{BLOCK_TAGS})\b[^>]*>)"
 # Block tags that are always closed: their pieces carry the nesting depth.
-NESTING = ("div|table|ul|ol|dl|section|article|aside|nav|header|footer|main|figure|blockquote|form|fieldset|"
-           "body|html")
-OPENS = rf"(?i)^<(?:{NESTING})\b"
-CLOSES = rf"(?i)^</(?:{NESTING})\b"
-INFOBOX = r"(?is)<table\b[^>]*" + _CLS.format(name="infobox") + r"[^>]*>(.*?)</table>"
+NESTING = ("div", "table", "ul", "ol", "dl", "section", "article", "aside", "nav", "header", "footer", "main", "figure",
+           "blockquote", "form", "fieldset", "body", "html")
 HTML_TAG = r"<[a-zA-Z][^>]*>"  # B15
 
-# The named entities decoded in text nodes ('&amp;' last).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&ndash;", "–"),
-            ("&mdash;", "—"), ("&amp;", "&"))
+ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+# What a browser shows for the numeric forms 128 to 159 (0 where it shows the character itself).
+LATIN_CODES = (8364, 0, 8218, 402, 8222, 8230, 8224, 8225, 710, 8240, 352, 8249, 338, 0, 381, 0,
+               0, 8216, 8217, 8220, 8221, 8226, 8211, 8212, 732, 8482, 353, 8250, 339, 0, 382, 376)
 
 
 def is_html(c) -> Column:
@@ -57,16 +69,43 @@ def is_html(c) -> Column:
     return col(c).rlike(HTML_TAG)
 
 
-def strip_junk(c) -> Column:
-    """H19."""
-    return F.regexp_replace(col(c), JUNK, "")
+def strip_inline_junk(c) -> Column:
+    """H19, elements within text."""
+    return F.regexp_replace(col(c), INLINE_JUNK, "")
+
+
+def entity_names() -> dict[str, str]:
+    """Named entities with their characters; names that browsers know without a
+    semicolon stand both ways."""
+    return {f"&{name}": text for name, text in html.entities.html5.items()}
+
+
+def _numeric(entity: Column) -> Column:
+    """The character of a decimal or hexadecimal form; U+FFFD for what is no
+    character."""
+    digits = F.regexp_replace(F.regexp_extract(entity, "([0-9a-fA-F]+);?$", 1), "^0+(?=.)", "")
+    code = F.when(F.length(digits) > 8, F.lit(-1).cast("long")).when(
+        entity.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+    shown = F.element_at(F.array(*[F.lit(x) for x in LATIN_CODES]), F.greatest(F.least(code - 127, F.lit(32)), F.lit(1)).cast("int"))
+    code = F.when(code.between(128, 159) & (shown > 0), shown).otherwise(code)
+    bad = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    code = F.when(bad, F.lit(0xFFFD)).otherwise(code)
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
 def unescape(c) -> Column:
+    """Entities decoded once, left to right: ``&amp;lt;`` gives ``&lt;``.
+    Unknown names stay."""
     x = col(c)
-    for ent, ch in ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
+    names = F.from_json(F.lit(json.dumps(entity_names())), "map<string,string>")  # folded into one literal
+    found = F.regexp_extract_all(x, F.lit(ENTITY), F.lit(0))
+    parts = F.split(x, ENTITY, -1)
+
+    def shown(e: Column) -> Column:
+        return F.when(e.startswith("&#"), _numeric(e)).otherwise(F.coalesce(F.try_element_at(names, e), e))
+
+    decoded = F.array_join(F.zip_with(parts, F.transform(found, shown), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.contains(x, F.lit("&")), decoded).otherwise(x)
 
 
 def unescape_stored(c) -> Column:
@@ -83,36 +122,12 @@ def node_text(inner, sep: str = " ") -> Column:
     return F.array_join(F.filter(nodes, lambda t: F.length(t) > 0), sep)
 
 
-def body_of(c) -> Column:
-    """Content of the ``mw-parser-output`` container, or the whole page."""
-    inner = F.regexp_extract(col(c), CONTAINER, 1)
-    return F.when(has_container(c), inner).otherwise(col(c))
-
-
-def has_container(c) -> Column:
-    return col(c).rlike(CONTAINER)
-
-
 def block_pieces(c) -> Column:
     """Array of pieces, each starting at a block-level tag."""
     marked = F.regexp_replace(col(c), BLOCK_TAG, BLOCK_MARK + "$1")
     return F.split(marked, BLOCK_MARK)
 
 
-def infobox_rows(c) -> Column:
-    """Array of (key, value) for rows of the first infobox table that
-    hold both a header cell and a data cell."""
-    table = F.regexp_extract(col(c), INFOBOX, 1)
-    rows = F.split(table, r"(?i)<tr\b[^>]*>")
-    cells = F.filter(rows, lambda r: r.rlike(r"(?i)<th\b") & r.rlike(r"(?i)<td\b"))
-    def pair(r):
-        th = F.regexp_extract(r, r"(?is)<th\b[^>]*>(.*?)(?:</th>|<t[hd]\b|</tr>|$)", 1)
-        td = F.regexp_extract(r, r"(?is)<td\b[^>]*>(.*?)(?:</td>|<t[hd]\b|</tr>|$)", 1)
-        return F.struct(node_text(th).alias("key"), node_text(td).alias("value"))
-    return F.when(F.length(table) > 0, F.transform(cells, pair)).otherwise(
-        F.array().cast("array<struct<key:string,value:string>>"))
-
-
 def strip_citations(c) -> Column:
     """Runs of ``[n]`` with inner blanks, and the blanks after them."""
     return F.regexp_replace(col(c), r"(?:\[\s*\d+\s*\]\s*)+", "")

@@ -1,6 +1,15 @@
 """Pages -> blocks -> sections.
 
-``html_blocks`` is a per-row expression + ``posexplode`` (no shuffle).
+A page is exploded into its block pieces; everything after is windows per page,
+over one shuffle by page.  Tables, divisions and ordered lists are matched with
+their closing tags by nesting level: an opening tag and the tag that closes it
+are neighbours among the page's tags of that name and level, whatever is nested
+inside.  Junk elements (navboxes, reference lists, hatnotes, tables of contents)
+are intervals of pieces between two such tags and go as a whole; the
+``mw-parser-output`` container and the infobox are intervals, too.  An opening
+tag without a closing one makes junk of nothing, and a closing tag without an
+opening one is ignored.
+
 The nesting depth of a piece is a running sum of opening and closing tags
 per page, so a section ends where the element that holds its heading closes.
 Attributing paragraphs to headings is a window per page ordered by block
@@ -31,31 +40,65 @@ INFOBOX_TITLE = "_infobox_education_"
 INFOBOX_RANK = 1 << 40  # the infobox pseudo-section comes after every heading
 
 
-def _pieces(pages: DataFrame, id_col: str, html_col: str, loose: bool) -> DataFrame:
-    """Every piece of a page: (page_id, pos, kind 'p'|'h'|'o', level, text,
-    container, step).  ``step`` is +1 / -1 where a nesting tag opens / closes.
-    Kind 'o' is all else (list items, cells, loose text); its text is null
-    unless ``loose``."""
-    clean = pages.select(F.col(id_col).alias("page_id"), H.strip_junk(F.col(html_col)).alias("_html"))
-    clean = clean.select("page_id", H.has_container("_html").alias("container"),
-                         H.block_pieces(H.body_of("_html")).alias("_pieces"))
+def _tagged(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """Every piece of a page outside junk: (page_id, pos, piece, name, turn,
+    close, container, infobox).  ``name`` is the piece's tag, ``turn`` +1 / -1 /
+    0 where it opens, closes or is none; the tag that closes a junk element is
+    none.  ``close`` is the place of the tag that closes a table, division or
+    ordered list; ``container`` and ``infobox`` mark their opening tags."""
+    clean = pages.select(F.col(id_col).alias("page_id"), H.block_pieces(H.strip_inline_junk(F.col(html_col))).alias("_pieces"))
     # _outer: a plain explode makes the optimizer re-run the regex pipeline in an
-    # inferred size() filter; the tag filter below drops the null row instead
-    blocks = clean.select("page_id", "container", F.posexplode_outer("_pieces").alias("pos", "_piece"))
-    tag = F.lower(F.regexp_extract("_piece", r"(?i)^<(p|h[1-6])\b", 1))
-    # the first piece of a page starts with text, not with a block tag
-    blocks = blocks.where(F.col("_piece").isNotNull()).withColumn("_tag", tag)
-    inner = F.regexp_replace("_piece", r"^<[^>]*>", "")
-    is_h, is_p = F.col("_tag").startswith("h"), F.col("_tag") == "p"
-    body = H.node_text(inner, " ")
-    return blocks.select(
-        "page_id", F.col("pos").cast("long").alias("pos"),
-        F.when(is_h, F.lit("h")).when(is_p, F.lit("p")).otherwise(F.lit("o")).alias("kind"),
-        F.when(is_h, F.substring("_tag", 2, 1).cast("int")).alias("level"),
-        F.when(is_h, H.node_text(inner, "")).otherwise(body if loose else F.when(is_p, body)).alias("text"),
-        "container",
-        F.when(F.col("_piece").rlike(H.OPENS), F.lit(1)).when(F.col("_piece").rlike(H.CLOSES), F.lit(-1))
-         .otherwise(F.lit(0)).alias("step"))
+    # inferred size() filter; the filter below drops the null row instead
+    p = clean.select("page_id", F.posexplode_outer("_pieces").alias("pos", "piece")).where(F.col("piece").isNotNull())
+    p = p.select("page_id", F.col("pos").cast("long").alias("pos"), "piece",
+                 F.lower(F.regexp_extract("piece", "^</?([A-Za-z][A-Za-z0-9]*)", 1)).alias("name")).repartition("page_id")
+    opens = F.when(F.col("name") == "", 0).when(F.col("piece").startswith("</"), -1).otherwise(1)
+    p = p.withColumn("turn", opens)
+    own = F.when(F.col("name").isin("table", "div", "ol"), F.col("turn")).otherwise(0)
+    so_far = Window.partitionBy("page_id", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("_sum", F.sum(own).over(so_far)).withColumn("_low", F.least(F.min("_sum").over(so_far), F.lit(0)))
+    # closing tags without an opening one do not lower the level
+    p = p.withColumn("_level", F.col("_sum") - F.col("_low") + F.when(own < 0, 1).otherwise(0))
+    at = Window.partitionBy("page_id", "name", "_level").orderBy("pos")
+    p = p.withColumn("close", F.when((own > 0) & (F.lead("turn").over(at) < 0), F.lead("pos").over(at)))
+    p = p.withColumn("_junk", F.col("close").isNotNull() & F.col("piece").rlike(H.JUNK_OPEN))
+    p = p.withColumn("_end", F.coalesce((own < 0) & F.lag("_junk").over(at), F.lit(False)))
+    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("_junk"), 1).when(F.col("_end"), -1).otherwise(0)
+    p = p.withColumn("_inside", F.sum(step).over(page)).where("_inside = 0")
+    return p.select("page_id", "pos", "piece", F.when(F.col("_end"), F.lit("")).otherwise(F.col("name")).alias("name"),
+                    F.when(F.col("_end"), 0).otherwise(F.col("turn")).alias("turn"), "close",
+                    F.col("piece").rlike(H.CONTAINER_OPEN).alias("container"), F.col("piece").rlike(H.INFOBOX_OPEN).alias("infobox"))
+
+
+def _within(tagged: DataFrame, mark: str) -> DataFrame:
+    """Adds ``first`` (place, close) of the page's first piece with a mark."""
+    page = Window.partitionBy("page_id")
+    return tagged.withColumn("first", F.min(F.when(F.col(mark), F.struct("pos", F.coalesce("close", F.lit(1 << 40).cast("long"))
+                                                                         .alias("close")))).over(page))
+
+
+def _text(sep: str = " "):
+    return H.node_text(F.regexp_replace("piece", r"^<[^>]*>", ""), sep)
+
+
+def _pieces(pages: DataFrame, id_col: str, html_col: str, loose: bool) -> DataFrame:
+    """Every piece of the page's container, or of the page if it has none:
+    (page_id, pos, kind 'p'|'h'|'o', level, text, container, step).  ``step`` is
+    +1 / -1 where a nesting tag opens / closes.  Kind 'o' is all else (list items,
+    cells, loose text); its text is null unless ``loose``."""
+    t = _within(_tagged(pages, id_col, html_col), "container")
+    inside = F.col("first").isNotNull()
+    t = t.where(~inside | ((F.col("pos") >= F.col("first.pos")) & (F.col("pos") < F.col("first.close"))))
+    is_h = (F.col("turn") > 0) & F.col("name").rlike("^h[1-6]$")
+    is_p = (F.col("turn") > 0) & (F.col("name") == "p")
+    own = inside & (F.col("pos") == F.col("first.pos"))  # the container itself
+    return t.select(
+        "page_id", "pos", F.when(is_h, F.lit("h")).when(is_p, F.lit("p")).otherwise(F.lit("o")).alias("kind"),
+        F.when(is_h, F.substring("name", 2, 1).cast("int")).alias("level"),
+        F.when(is_h, _text("")).otherwise(_text() if loose else F.when(is_p, _text())).alias("text"),
+        inside.alias("container"),
+        F.when(F.col("name").isin(*H.NESTING) & ~own, F.col("turn")).otherwise(F.lit(0)).alias("step"))
 
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "source") -> DataFrame:
@@ -64,11 +107,9 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "sour
 
 
 def _nested(pieces: DataFrame) -> DataFrame:
-    """Adds ``depth`` (open nesting tags at the piece) and drops what follows
-    the end of the ``mw-parser-output`` container."""
+    """Adds ``depth``: open nesting tags at the piece."""
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = pieces.withColumn("depth", F.sum("step").over(w)).withColumn("_low", F.min("depth").over(w))
-    return d.where(~F.col("container") | (F.col("_low") >= 0)).drop("_low", "step")
+    return pieces.withColumn("depth", F.sum("step").over(w)).drop("step")
 
 
 def _attributed(blocks: DataFrame) -> DataFrame:
@@ -80,13 +121,51 @@ def _attributed(blocks: DataFrame) -> DataFrame:
         F.last(F.when(is_h, F.col("text")), ignorenulls=True).over(w).alias("head_title"))
 
 
+ROW_ENDS = ("tr", "tbody", "thead", "tfoot")
+CELLS = ("th", "td")
+
+
+def infobox_pairs(pages: DataFrame, id_col: str = "page_id", html_col: str = "source") -> DataFrame:
+    """(page_id, row, key, value) of the first infobox: its rows, those of
+    nested tables among them, that hold a header and a data cell, with the whole
+    text of the first of each.  A row ends at the next row of its own table, a
+    cell at the next cell or row of its own table, and both where that table
+    ends."""
+    t = _within(_tagged(pages, id_col, html_col), "infobox")
+    t = t.where((F.col("pos") >= F.col("first.pos")) & (F.col("pos") <= F.col("first.close")))
+    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    is_table = F.col("name") == "table"
+    t = t.withColumn("_depth", F.sum(F.when(is_table, F.col("turn")).otherwise(0)).over(page))
+    t = t.withColumn("table", F.col("_depth") + F.when(is_table & (F.col("turn") < 0), 1).otherwise(0))
+    later = Window.partitionBy("page_id", "table").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    row_end = F.col("name").isin(*ROW_ENDS) | (is_table & (F.col("turn") < 0))
+    far = F.lit(1 << 40).cast("long")
+    t = t.select("page_id", "pos", "name", "turn", _text().alias("text"),
+                 F.coalesce(F.min(F.when(row_end, F.col("pos"))).over(later), far).alias("row_end"),
+                 F.coalesce(F.min(F.when(row_end | F.col("name").isin(*CELLS), F.col("pos"))).over(later), far).alias("cell_end"))
+    opens = t.where("turn > 0")
+    rows = opens.where("name = 'tr'").select("page_id", F.col("pos").alias("r"), "row_end")
+    cells = opens.where(F.col("name").isin(*CELLS)).select(F.col("page_id").alias("c_page"), F.col("pos").alias("c"), "name", "cell_end")
+    body = t.select(F.col("page_id").alias("t_page"), "pos", "text")
+    # ranges inside one page: equi joins on it
+    cell_text = (cells.join(body, (F.col("c_page") == F.col("t_page")) & (F.col("pos") >= F.col("c")) & (F.col("pos") < F.col("cell_end")))
+                 .groupBy("c_page", "c", "name").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_t")))
+    shown = F.array_join(F.filter(F.transform("_t", lambda x: x["text"]), lambda x: x != ""), " ")
+    cell_text = cell_text.select("c_page", "c", "name", shown.alias("text"))
+    both = rows.join(cell_text, (F.col("page_id") == F.col("c_page")) & (F.col("c") > F.col("r")) & (F.col("c") < F.col("row_end")))
+    first = {k: F.min_by(F.when(F.col("name") == k, F.col("text")), F.when(F.col("name") == k, F.col("c"))) for k in CELLS}
+    pairs = (both.groupBy("page_id", "r").agg(first["th"].alias("key"), first["td"].alias("value"))
+             .where("key IS NOT NULL AND value IS NOT NULL"))
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("r")) - 1
+    return pairs.select("page_id", n.cast("long").alias("row"), "key", "value")
+
+
 def infobox_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "source") -> DataFrame:
     """Education rows of the first infobox, values joined by '; '
     then split on '; ' into pseudo-paragraphs."""
-    rows = pages.select(F.col(id_col).alias("page_id"), H.infobox_rows(H.strip_junk(F.col(html_col))).alias("r"))
-    edu = rows.select("page_id", F.filter("r", lambda x: F.lower(x["key"]).contains("education")
-                                          | F.lower(x["key"]).contains("alma mater")).alias("r"))
-    edu = edu.where(F.size("r") > 0)
+    key = F.lower("key")
+    edu = infobox_pairs(pages, id_col, html_col).where(key.contains("education") | key.contains("alma mater"))
+    edu = edu.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("r"))
     joined = F.array_join(F.transform("r", lambda x: x["value"]), "; ")
     paras = edu.select("page_id", F.posexplode_outer(F.split(joined, "; ", -1)).alias("pos", "text")) \
               .where(F.col("text").isNotNull())
@@ -161,10 +240,3 @@ def title_keywords(pages: DataFrame, id_col: str = "page_id", html_col: str = "s
     h = html_blocks(pages, id_col, html_col).where(F.col("kind") == "h")
     k = h.select("page_id", "pos", "level", F.col("text").alias("title"), keyword_of("text").alias("keyword"))
     return k.where(F.col("keyword").isNotNull())
-
-
-def infobox_pairs(pages: DataFrame, id_col: str = "page_id", html_col: str = "source") -> DataFrame:
-    """(page_id, row, key, value) of the first infobox."""
-    r = pages.select(F.col(id_col).alias("page_id"), H.infobox_rows(H.strip_junk(F.col(html_col))).alias("r"))
-    return r.select("page_id", F.posexplode_outer("r").alias("row", "kv")).where(F.col("kv").isNotNull()).select(
-        "page_id", F.col("row").cast("long").alias("row"), "kv.key", "kv.value")

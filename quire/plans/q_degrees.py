@@ -46,7 +46,7 @@ lmd AS (SELECT page_id, '## Degree Mentions' || string_agg(chr(10) || '- ' || s,
 SELECT p.page_id, CASE WHEN NOT regexp_matches(p.source, '<[a-zA-Z][^>]*>') THEN 'NOT HTML'
                        WHEN s.strict_md IS NOT NULL THEN s.strict_md
                        ELSE coalesce(l.loose_md, '## Degree Mentions') END AS sentences
-FROM pg p LEFT JOIN smd s USING (page_id) LEFT JOIN lmd l USING (page_id)""", "wiki_pages"))
+FROM wiki_pages p LEFT JOIN smd s USING (page_id) LEFT JOIN lmd l USING (page_id)""", "wiki_pages"))
 def degree_markdown(spark, sf_dir):
     """J4 (C16/D9): markdown of strict hits per page, loose fallback."""
     return DG.degree_markdown(fixture(spark, sf_dir, "wiki_pages"))

@@ -130,17 +130,36 @@ def render(template: str, **slots: str) -> str:
 
 # ---------------------------------------------------------------- HTML --
 
+# Written out, apart from the code under test.
+_CLASS = """class=["'](?:[^"']*\\s)?%s(?:\\s[^"']*)?["']"""
+_BLOCK_TAG = ("(?i)(</?(?:h[1-6]|p|div|table|tbody|thead|tfoot|tr|td|th|ul|ol|li|dl|dt|dd|section|article|aside|nav|header|footer|"
+              "main|figure|figcaption|blockquote|pre|form|fieldset|address|hr|body|html|head|title)\\b[^>]*>)")
+_JUNK_OPEN = ("(?is)^(?:<table\\b[^>]*" + _CLASS % "navbox" + "|<ol\\b[^>]*" + _CLASS % "references" + "|<div\\b[^>]*"
+              + _CLASS % "reflist" + "|<div\\b[^>]*" + _CLASS % "hatnote" + """|<div\\b[^>]*id=["']toc["'])""")
+_NESTING = ("'div', 'table', 'ul', 'ol', 'dl', 'section', 'article', 'aside', 'nav', 'header', 'footer', 'main', 'figure', "
+            "'blockquote', 'form', 'fieldset', 'body', 'html'")
+
+
 def _html_consts():
     from quire.functions import degrees as D
-    from quire.functions import html as H
-    return H, D
+    return D
 
 
 def unescape(x: str) -> str:
-    H, _ = _html_consts()
-    for ent, ch in H.ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    """Entities decoded one by one; numeric forms by their code point."""
+    import html
+    names = {f"&{n}": t for n, t in html.entities.html5.items()}
+    table = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in names.items()) + "}"
+    entity = "'&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?'"
+    latin = ("[8364, 129, 8218, 402, 8222, 8230, 8224, 8225, 710, 8240, 352, 8249, 338, 141, 381, 143, "
+             "144, 8216, 8217, 8220, 8221, 8226, 8211, 8212, 732, 8482, 353, 8250, 339, 157, 382, 376]")
+    code = ("CASE WHEN length(regexp_replace(rtrim(e, ';'), '^&#[xX]?0*', '')) > 8 THEN -1 "
+            "WHEN e[3] IN ('x', 'X') THEN ('0x' || substr(rtrim(e, ';'), 4))::BIGINT ELSE rtrim(substr(e, 3), ';')::BIGINT END")
+    good = (f"list_transform([{code}], lambda n: CASE WHEN n <= 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) "
+            f"WHEN n BETWEEN 128 AND 159 THEN chr({latin}[n - 127]) ELSE chr(n::INTEGER) END)[1]")
+    one = f"CASE WHEN e LIKE '&#%' THEN {good} ELSE coalesce({table}[e], e) END"
+    return (f"(CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(list_zip(string_split_regex({x}, {entity}), "
+            f"list_transform(regexp_extract_all({x}, {entity}), lambda e: {one})), lambda z: z[1] || coalesce(z[2], '')), '') ELSE {x} END)")
 
 
 def node_text(inner: str, sep: str) -> str:
@@ -149,63 +168,79 @@ def node_text(inner: str, sep: str) -> str:
 
 
 def blocks_ctes(pages_cte: str, id_col: str = "page_id", html_col: str = "source") -> str:
-    """CTEs ``pg(page_id, source, h)``, ``allb`` (every piece up to the end of the container, with its depth) and
+    """CTEs ``kept`` (every piece outside junk), ``allb`` (every piece of the container, with its depth) and
     ``blocks(page_id, pos, kind, level, text, container)``."""
-    H, _ = _html_consts()
-    mark = q(H.BLOCK_MARK + "\\1")
+    style = "(?is)<style\\b[^>]*>.*?</style>|<script\\b[^>]*>.*?</script>|<!--.*?-->"
+    sup = "(?is)<sup\\b[^>]*" + _CLASS % "reference" + "[^>]*>.*?</sup>"
+    span = "(?is)<span\\b[^>]*" + _CLASS % "mw-cite-backlink" + "[^>]*>.*?</span>"
+    h = f"regexp_replace(regexp_replace(regexp_replace({html_col}, {q(style)}, '', 'g'), {q(sup)}, '', 'g'), {q(span)}, '', 'g')"
     return f"""
-pg AS (SELECT {id_col} AS page_id, {html_col} AS source, regexp_replace({html_col}, {q(H.JUNK)}, '', 'g') AS h FROM {pages_cte}),
-pb AS (SELECT page_id, regexp_matches(h, {q(H.CONTAINER)}) AS container,
-              CASE WHEN regexp_matches(h, {q(H.CONTAINER)}) THEN regexp_extract(h, {q(H.CONTAINER)}, 1) ELSE h END AS body
-       FROM pg),
-pc AS (SELECT page_id, container, string_split(regexp_replace(body, {q(H.BLOCK_TAG)}, {mark}, 'g'), {q(H.BLOCK_MARK)}) AS pieces
-       FROM pb),
-pe AS (SELECT page_id, container, k - 1 AS pos, pieces[k] AS piece
-       FROM (SELECT page_id, container, pieces, unnest(generate_series(1, len(pieces))) AS k FROM pc) x),
-blk AS (SELECT page_id, pos, container, lower(regexp_extract(piece, '(?i)^<(p|h[1-6])\\b', 1)) AS tag,
+pc AS (SELECT {id_col} AS page_id, string_split(regexp_replace({h}, {q(_BLOCK_TAG)}, chr(1) || '\\1', 'g'), chr(1)) AS pieces
+       FROM {pages_cte}),
+pe AS (SELECT page_id, CAST(k - 1 AS BIGINT) AS pos, pieces[k] AS piece
+       FROM (SELECT page_id, pieces, unnest(generate_series(1, len(pieces))) AS k FROM pc) x),
+pn AS (SELECT *, lower(regexp_extract(piece, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM pe),
+pt AS (SELECT *, CASE WHEN name = '' THEN 0 WHEN piece LIKE '</%' THEN -1 ELSE 1 END AS turn FROM pn),
+bal AS (SELECT page_id, name, pos, turn, piece, sum(turn) OVER (PARTITION BY page_id, name ORDER BY pos) AS s
+        FROM pt WHERE name IN ('table', 'div', 'ol')),
+el AS (SELECT o.page_id, o.name, o.pos, any_value(o.piece) AS piece, min(c.pos) AS close FROM bal o LEFT JOIN bal c
+       ON c.page_id = o.page_id AND c.name = o.name AND c.pos > o.pos AND c.s < o.s
+       WHERE o.turn = 1 GROUP BY o.page_id, o.name, o.pos),
+junk AS (SELECT page_id, pos, close FROM el WHERE close IS NOT NULL AND regexp_matches(piece, {q(_JUNK_OPEN)})),
+kept0 AS (SELECT p.*, EXISTS (FROM junk j WHERE j.page_id = p.page_id AND j.close = p.pos) AS ends FROM pt p
+          WHERE NOT EXISTS (FROM junk j WHERE j.page_id = p.page_id AND p.pos >= j.pos AND p.pos < j.close)),
+kept AS (SELECT page_id, pos, piece, CASE WHEN ends THEN '' ELSE name END AS name, CASE WHEN ends THEN 0 ELSE turn END AS turn FROM kept0),
+cont AS (SELECT page_id, arg_min(pos, pos) AS a, coalesce(arg_min(coalesce(close, 1099511627776), pos), 1099511627776) AS z
+         FROM el SEMI JOIN kept USING (page_id, pos)
+         WHERE name = 'div' AND regexp_matches(piece, {q("(?is)^<div[^>]*" + _CLASS % "mw-parser-output")}) GROUP BY page_id),
+blk AS (SELECT k.page_id, pos, c.a IS NOT NULL AS container,
+               CASE WHEN turn = 1 AND regexp_matches(name, '^(p|h[1-6])$') THEN name ELSE '' END AS tag,
                regexp_replace(piece, '^<[^>]*>', '') AS inr,
-               CASE WHEN regexp_matches(piece, {q(H.OPENS)}) THEN 1 WHEN regexp_matches(piece, {q(H.CLOSES)}) THEN -1
-                    ELSE 0 END AS step FROM pe),
-dep AS (SELECT page_id, pos, container, tag, inr, sum(step) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM blk),
-allb AS (SELECT * FROM (SELECT page_id, CAST(pos AS BIGINT) AS pos, container, tag, depth,
-                               CASE WHEN tag LIKE 'h%' THEN {node_text('inr', '')} ELSE {node_text('inr', ' ')} END AS text,
-                               min(depth) OVER (PARTITION BY page_id ORDER BY pos) AS low FROM dep) x
-         WHERE NOT container OR low >= 0),
-blocks AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, CASE WHEN tag LIKE 'h%' THEN 'h' ELSE 'p' END AS kind,
-                  CASE WHEN tag LIKE 'h%' THEN CAST(substring(tag, 2, 1) AS INTEGER) END AS level,
-                  CASE WHEN tag LIKE 'h%' THEN {node_text('inr', '')} ELSE {node_text('inr', ' ')} END AS text,
-                  container
-           FROM blk WHERE tag <> '')"""
+               CASE WHEN name IN ({_NESTING}) AND pos IS DISTINCT FROM c.a THEN turn ELSE 0 END AS step
+        FROM kept k LEFT JOIN cont c ON c.page_id = k.page_id WHERE c.a IS NULL OR (pos >= c.a AND pos < c.z)),
+allb AS (SELECT page_id, pos, container, tag, sum(step) OVER (PARTITION BY page_id ORDER BY pos) AS depth,
+                CASE WHEN tag LIKE 'h%' THEN {node_text('inr', '')} ELSE {node_text('inr', ' ')} END AS text FROM blk),
+blocks AS (SELECT page_id, pos, CASE WHEN tag LIKE 'h%' THEN 'h' ELSE 'p' END AS kind,
+                  CASE WHEN tag LIKE 'h%' THEN CAST(substring(tag, 2, 1) AS INTEGER) END AS level, text, container
+           FROM allb WHERE tag <> '')"""
 
 
 def sections_ctes() -> str:
     """After blocks_ctes: ``ibox(page_id, rk, key, value)`` and
     ``secs(page_id, title, sec_rank, pos, text)``."""
-    H, _ = _html_consts()
-    from quire.operators.sections import BLACKLIST, INFOBOX_RANK, INFOBOX_TITLE
-    th = "(?is)<th\\b[^>]*>(.*?)(?:</th>|<t[hd]\\b|</tr>|$)"
-    td = "(?is)<td\\b[^>]*>(.*?)(?:</td>|<t[hd]\\b|</tr>|$)"
-    bl = ", ".join(q(t) for t in BLACKLIST)
+    bl = "'See also', 'References', 'External links', 'Further reading', 'Notes'"
+    rows, cells = "('tr', 'tbody', 'thead', 'tfoot')", "('tr', 'tbody', 'thead', 'tfoot', 'th', 'td')"
     return f""",
 att AS (SELECT b.*,
                last_value(CASE WHEN kind = 'h' THEN pos END IGNORE NULLS) OVER w AS head_pos,
                last_value(CASE WHEN kind = 'h' THEN text END IGNORE NULLS) OVER w AS head_title
-        FROM blocks b SEMI JOIN allb USING (page_id, pos)
+        FROM blocks b
         WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 hpar AS (SELECT page_id, coalesce(head_title, '_lead_') AS title, CAST(coalesce(head_pos, -1) AS BIGINT) AS sec_rank, pos, text
          FROM att WHERE kind = 'p' AND (head_pos IS NOT NULL OR container)
            AND (coalesce(head_title, '_lead_') NOT IN ({bl}) OR head_pos IS NULL)),
-itbl AS (SELECT page_id, regexp_extract(h, {q(H.INFOBOX)}, 1) AS tbl FROM pg),
-irow AS (SELECT page_id, k, rws[k] AS r
-         FROM (SELECT page_id, rws, unnest(generate_series(1, len(rws))) AS k
-               FROM (SELECT page_id, string_split_regex(tbl, '(?i)<tr\\b[^>]*>') AS rws FROM itbl WHERE length(tbl) > 0) a) b
-         WHERE regexp_matches(r, '(?i)<th\\b') AND regexp_matches(r, '(?i)<td\\b')),
-ibox AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS BIGINT) AS rk,
-                {node_text(f"regexp_extract(r, {q(th)}, 1)", ' ')} AS key,
-                {node_text(f"regexp_extract(r, {q(td)}, 1)", ' ')} AS value FROM irow),
+ib AS (SELECT page_id, arg_min(pos, pos) AS a, coalesce(arg_min(coalesce(close, 1099511627776), pos), 1099511627776) AS z
+       FROM el SEMI JOIN kept USING (page_id, pos)
+       WHERE name = 'table' AND regexp_matches(piece, {q("(?is)^<table[^>]*" + _CLASS % "infobox")}) GROUP BY page_id),
+it AS (SELECT k.page_id, k.pos, name, turn, {node_text("regexp_replace(piece, '^<[^>]*>', '')", ' ')} AS text,
+              sum(CASE WHEN name = 'table' THEN turn ELSE 0 END) OVER (PARTITION BY k.page_id ORDER BY k.pos) AS d
+       FROM kept k JOIN ib ON ib.page_id = k.page_id AND k.pos BETWEEN ib.a AND ib.z),
+ispan AS (SELECT o.page_id, o.pos, any_value(o.name) AS name,
+                 coalesce(min(e.pos) FILTER (e.d < o.d OR (e.d = o.d AND e.name IN {rows})), 1099511627776) AS row_end,
+                 coalesce(min(e.pos) FILTER (e.d < o.d OR (e.d = o.d AND e.name IN {cells})), 1099511627776) AS cell_end
+          FROM it o LEFT JOIN it e ON e.page_id = o.page_id AND e.pos > o.pos
+          WHERE o.turn = 1 AND o.name IN ('tr', 'th', 'td') GROUP BY o.page_id, o.pos),
+icell AS (SELECT c.page_id, c.pos, any_value(c.name) AS name, coalesce(string_agg(t.text, ' ' ORDER BY t.pos) FILTER (t.text <> ''), '') AS text
+          FROM ispan c JOIN it t ON t.page_id = c.page_id AND t.pos >= c.pos AND t.pos < c.cell_end
+          WHERE c.name <> 'tr' GROUP BY c.page_id, c.pos),
+irow AS (SELECT r.page_id, r.pos, arg_min(c.text, c.pos) FILTER (c.name = 'th') AS key, arg_min(c.text, c.pos) FILTER (c.name = 'td') AS value
+         FROM ispan r JOIN icell c ON c.page_id = r.page_id AND c.pos > r.pos AND c.pos < r.row_end
+         WHERE r.name = 'tr' GROUP BY r.page_id, r.pos),
+ibox AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS rk, key, value
+         FROM irow WHERE key IS NOT NULL AND value IS NOT NULL),
 iedu AS (SELECT page_id, string_split(string_agg(value, '; ' ORDER BY rk), '; ') AS parts FROM ibox
          WHERE contains(lower(key), 'education') OR contains(lower(key), 'alma mater') GROUP BY page_id),
-ipar AS (SELECT page_id, {q(INFOBOX_TITLE)} AS title, CAST({INFOBOX_RANK} AS BIGINT) AS sec_rank, CAST(k - 1 AS BIGINT) AS pos,
+ipar AS (SELECT page_id, '_infobox_education_' AS title, CAST(1099511627776 AS BIGINT) AS sec_rank, CAST(k - 1 AS BIGINT) AS pos,
                 {strip('parts[k]')} AS text
          FROM (SELECT page_id, parts, unnest(generate_series(1, len(parts))) AS k FROM iedu) x),
 secs AS (SELECT * FROM hpar UNION ALL SELECT * FROM ipar),
@@ -217,12 +252,12 @@ def word_safe(x: str) -> str:
 
 
 def mentions(x: str, kind: str = "strict") -> str:
-    _, D = _html_consts()
+    D = _html_consts()
     return f"regexp_matches({word_safe(x)}, {q(D.PATTERNS[kind])})"
 
 
 def sentences(x: str) -> str:
-    _, D = _html_consts()
+    D = _html_consts()
     for _ in range(2):
         x = f"regexp_replace({x}, {q(D.PROTECT)}, {q(chr(92) + '1' + chr(92) + '2' + D.KEEP + chr(92) + '3')}, 'g')"
     x = f"regexp_replace({x}, {q(D.BOUNDARY)}, {q(chr(92) + '1' + D.CUT + chr(92) + '2')}, 'g')"

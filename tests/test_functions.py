@@ -232,11 +232,25 @@ def test_html_blocks_text(spark):
 
 def test_strip_junk_and_is_html(spark):
     page = '<html><script>var t="</p>";</script><!-- c --><style>p{}</style><p>ok</p></html>'
-    assert one(spark, H.strip_junk, page) == "<html><p>ok</p></html>"
+    assert one(spark, H.strip_inline_junk, page) == "<html><p>ok</p></html>"
+    refs = 'a<sup class="reference">[<sup>1</sup>]</sup>b<sup>c</sup><span class="mw-cite-backlink"><span>^</span></span>d'
+    assert one(spark, H.strip_inline_junk, refs) == "ab<sup>c</sup>d"
     assert one(spark, H.is_html, "plain text") is False
     assert one(spark, H.is_html, "a <b>bold</b>") is True
 
 
+@pytest.mark.parametrize("text,want", [
+    ("caf&eacute; &#91;1&#93; &#x5B;2&#X5d;", "café [1] [2]"), ("&amp;lt; &lt;b&gt; &amp;amp;", "&lt; <b> &amp;"),
+    ("&#128512; &#0; &#xD800; &#x110000; &#99999999999;", "😀 \ufffd \ufffd \ufffd \ufffd"),
+    ("&#150; &#x80; &#129;", "– € \x81"), ("&nosuch; & &; &#; &#x; a&b", "&nosuch; & &; &#; &#x; a&b"),
+    ("&nbsp;&copy 2020 &NotEqualTilde; &hellip;", "\xa0© 2020 \u2242\u0338 …"), ("none", "none"), (None, None)])
+def test_entities(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(H.unescape("t").alias("s")).first().s == want
+    if text and "[" in want:
+        assert one(spark, lambda c: H.strip_citations(H.unescape(c)), text) == "café "
+
+
 def test_char_spans(spark):
     text = "x" * 150 + " holds a PhD and an MA " + "y" * 150
     got = one(spark, lambda c: D.char_spans(c, 20), text)
