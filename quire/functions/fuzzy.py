@@ -1,7 +1,9 @@
 """Fuzzy ratio and key normalisation (H7, H8, H31-H33, I9) as native
 expressions.  The ratio is ``200 * LCS / (len1 + len2)`` (100 for two empty
-strings); LCS is the textbook dynamic programme, one row per character of
-the first string, built with nested ``aggregate`` calls inside the task."""
+strings).  LCS is computed bit-parallel: a row of the dynamic programme is the
+set bits of a BIGINT (62 characters of the second string each), and a character
+of the first string advances the whole row by one addition; longer strings carry
+from block to block."""
 
 from __future__ import annotations
 
@@ -17,28 +19,63 @@ MULTIPLE = "Multiple matches"
 NO_DESCRIPTION = "a Wikipedia article"
 
 
-def _positions(n: Column) -> Column:
-    """1..n, empty for n = 0 (``sequence(1, 0)`` would count down)."""
-    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+BITS = 62  # of a row in one BIGINT: the sum of two such numbers still fits
 
 
-def lcs_length(a, b) -> Column:
-    a, b = col(a), col(b)
-    n = F.length(b)
-    first = F.array_repeat(F.lit(0), n + 1)
+def _chars(c: Column) -> Column:
+    """The characters of a string; none for the empty one (``sequence(1, 0)``
+    would count down)."""
+    n = F.length(c)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(c, i, F.lit(1)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def _mask(block: Column, c: Column) -> Column:
+    """Places of ``c`` in a reversed block of characters: the first is the lowest bit."""
+    return F.aggregate(block, F.lit(0).cast("long"), lambda m, x: m * 2 + (x == c).cast("long"))
+
+
+def _ones(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
+
 
-    def row(prev, i):
-        ca = F.substring(a, i, 1)
+def _one_block(s: Column) -> Column:
+    """LCS if the second string fits one block."""
+    full = _ones(s["n"])
+    masks = F.transform(s["a"], lambda c: _mask(F.reverse(s["b"]), c))
+    last = F.aggregate(masks, full, lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v - v.bitwiseAND(m)).bitwiseAND(full))
+    return s["n"] - F.bit_count(last)
 
-        def cell(cur, j):
-            hit = F.substring(b, j, 1) == ca
-            v = F.when(hit, F.element_at(prev, j) + 1).otherwise(
-                F.greatest(F.element_at(prev, j + 1), F.element_at(cur, j)))
-            return F.array_append(cur, v)
-        return F.aggregate(_positions(n), F.array(F.lit(0)), cell)
 
-    last = F.aggregate(_positions(F.length(a)), first, row)
-    return F.element_at(last, n + 1)
+def _blocks(s: Column) -> Column:
+    """LCS over blocks: the lowest first, an addition's carry goes to the next."""
+    first = F.sequence(F.lit(1), s["n"], F.lit(BITS))
+    parts = F.transform(first, lambda i: F.reverse(F.slice(s["b"], i, F.least(F.lit(BITS), s["n"] - i + 1))))
+    masks = F.transform(s["a"], lambda c: F.transform(parts, lambda p: _mask(p, c)))
+    start = F.transform(parts, lambda p: _ones(F.size(p)))
+    none = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("row"))
+
+    def advance(row: Column, mask: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            v, u = x["v"], x["v"].bitwiseAND(x["m"])
+            total = v + u + acc["carry"]
+            return F.struct(F.shiftright(total, BITS).alias("carry"),
+                            F.array_append(acc["row"], total.bitwiseOR(v - u).bitwiseAND((1 << BITS) - 1)).alias("row"))
+        return F.aggregate(F.arrays_zip(row.alias("v"), mask.alias("m")), none, one, lambda acc: acc["row"])
+
+    last = F.aggregate(masks, start, advance)
+    # the last block's bits beyond the string are no part of it
+    kept = F.transform(last, lambda v, i: F.bit_count(v.bitwiseAND(_ones(F.least(F.lit(BITS), s["n"] - i * BITS)))))
+    return s["n"] - F.aggregate(kept, F.lit(0), lambda t, x: t + x)
+
+
+def lcs_length(a, b) -> Column:
+    a, b = col(a), col(b)
+    n = F.length(b)
+    # the strings' characters are taken apart once and named in a lambda
+    named = F.array(F.struct(_chars(a).alias("a"), _chars(b).alias("b"), n.alias("n")))
+    one, more = F.transform(named, _one_block)[0], F.transform(named, _blocks)[0]
+    return F.when((F.length(a) == 0) | (n == 0), F.when(a.isNotNull() & b.isNotNull(), 0)).when(n <= BITS, one).otherwise(more)
 
 
 def ratio(a, b) -> Column:

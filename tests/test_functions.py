@@ -187,7 +187,10 @@ def py_lcs(a, b):
 
 def test_ratio_matches_lcs_definition(spark):
     pairs = [("john_smith", "john_smith"), ("john_smith", "jon_smyth"), ("", ""), ("abc", ""), ("kitten", "sitting"),
-             ("joseph_r_biden_jr", "joe_biden"), ("ábc", "abc")]
+             ("joseph_r_biden_jr", "joe_biden"), ("ábc", "abc"), ("😀a😀", "a😀b")]
+    rng = np.random.default_rng(2)  # around the block bounds, and names of 200 characters
+    pairs += [tuple("".join(rng.choice(list("abcé_"), n)) for n in (m, k))
+              for m, k in ((61, 62), (62, 61), (63, 62), (62, 63), (5, 64), (64, 5), (124, 125), (125, 124), (200, 200), (200, 7), (7, 200))]
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [r.r for r in df.select(ratio("a", "b").alias("r")).collect()]
     want = [100.0 if not (a or b) else 200.0 * py_lcs(a, b) / (len(a) + len(b)) for a, b in pairs]
