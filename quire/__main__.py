@@ -53,6 +53,8 @@ def main(argv=None) -> int:
     s.add_argument("--input", required=True)
     s.add_argument("--output", required=True)
     s.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    s.add_argument("--method", default="shingles", choices=["shingles", "lsh"], help="relation of near duplicates")
+    s.add_argument("--known-duplicates", help="saved duplicate ids (Parquet) to drop instead of a search")
     for name in ("requests", "fanout", "combine"):
         s = sub.add_parser(name)
         s.add_argument("--input", required=True)
@@ -67,6 +69,8 @@ def main(argv=None) -> int:
         s.add_argument("--output", required=True)
         if name != "requests":
             s.add_argument("--responses", nargs="+", required=True)
+            s.add_argument("--mode", default="reference", choices=["reference", "marker"],
+                           help="list items as the reference cuts them, or after their marker")
         if name == "fanout":
             s.add_argument("--phase", type=int, required=True, choices=[2, 3])
     for name in ("degrees", "profiles"):
@@ -94,7 +98,8 @@ def main(argv=None) -> int:
     from quire.sources import writers as W
 
     if a.cmd == "articles":
-        star = J.article_job(R.read_articles(spark, a.input))
+        known = W.read_duplicates(spark, a.known_duplicates) if a.known_duplicates else None
+        star = J.article_job(R.read_articles(spark, a.input), method=a.method, known_duplicates=known)
         counts = W.write_star({"articles": star.articles, "authors": star.authors, "rel_authors": star.rel_authors,
                                "tags": star.tags, "rel_tags": star.rel_tags}, a.output, a.format)
         print(json.dumps(counts))  # D10 stage counters, observed during the writes
@@ -107,16 +112,16 @@ def main(argv=None) -> int:
         arts = _corpus(spark, a)
         r = [_responses(spark, x) for x in a.responses]
         if a.pipeline == "direct":
-            req = A.direct_phase2_requests(arts, A.direct_conclusions(r[0]), model=a.model)
+            req = A.direct_phase2_requests(arts, A.direct_conclusions(r[0], a.mode), model=a.model)
         elif a.phase == 2:
-            req = A.socratic_phase2_requests(arts, A.socratic_questions(r[0]), model=a.model)
+            req = A.socratic_phase2_requests(arts, A.socratic_questions(r[0], a.mode), model=a.model)
         else:
-            req = A.socratic_phase3_requests(A.socratic_questions(r[0]), A.socratic_answers(r[1]), model=a.model)
+            req = A.socratic_phase3_requests(A.socratic_questions(r[0], a.mode), A.socratic_answers(r[1]), model=a.model)
         W.write_requests(req, a.output)
     elif a.cmd == "combine":
         arts = _corpus(spark, a)
         r = [_responses(spark, x) for x in a.responses]
-        out = J.direct_job(arts, *r[:2]) if a.pipeline == "direct" else J.socratic_job(arts, *r[:3])
+        out = J.direct_job(arts, *r[:2], mode=a.mode) if a.pipeline == "direct" else J.socratic_job(arts, *r[:3], mode=a.mode)
         W.write_results_json(out.results.drop("i"), f"{a.output}/results_json")
         W.write_results_csv(out.flat, f"{a.output}/results_csv")
         out.stats.show(truncate=False)

@@ -323,6 +323,13 @@ def portable_shingles(df: DataFrame, id_col: str, text_col: str, k: int = 3, kee
     return h.select(id_col, *keep, F.array_distinct(F.when(F.size("_h") >= k, full).otherwise(short)).alias("tokens"))
 
 
+def embedding_tokens(c) -> Column:
+    """The float16 elements of an embedding as portable bases (of the element
+    in steps of 2**-24, a whole number)."""
+    step = lambda x: (float16(x) * (1 << 24)).cast("long").cast("string")
+    return F.array_distinct(F.transform(col(c), lambda x: portable_base(step(x))))
+
+
 def lane_constants(num_perm: int = NUM_PERM) -> list[tuple[int, int]]:
     """(a, b) of each hash ``(a x + b) mod PRIME``, from md5 of its number."""
     def number(name: str) -> int:

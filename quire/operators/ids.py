@@ -4,14 +4,20 @@ A distributed scan promises no row order, so every operator here takes an
 explicit ``order_by`` (one or more columns that are unique per row).
 
 Dense ids use the two-pass offset scheme instead of a global
-``row_number()`` (which would pull every row through one task):
-
-1. range-partition on the order key and sort inside each partition;
-2. checkpoint, so the numbering below sees one fixed physical layout even
-   if an executor is lost and a stage is recomputed;
-3. count rows per partition (one row per partition: a proven size bound of
-   ``numPartitions`` rows), prefix-sum the counts and broadcast them;
-4. id = offset of the partition + position inside the partition.
+``row_number()`` (which would pull every row through one task), over the order
+keys alone:
+
+1. the keys are range-partitioned and sorted inside each partition;
+2. they are stored with partition and place, so the numbering below sees one
+   fixed layout even if an executor is lost and a stage is recomputed;
+3. rows per partition are counted (one row per partition: a proven size bound of
+   ``numPartitions`` rows), and the prefix sums of the counts are broadcast;
+4. id = offset of the partition + place inside the partition, and the table of
+   keys and ids joins the rows late: no other column is stored, and columns that
+   nobody reads are not read.
+
+Keys that repeat have no place of their own: then (a count tells) whole rows are
+laid out instead, and equal keys are numbered in any order.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import materialize
+from quire.session import materialize, stored
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
@@ -30,27 +36,46 @@ def _cols(order_by) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
+def _laid_out(df: DataFrame, keys: list[str], num_partitions: int | None) -> DataFrame:
+    """``df`` in key order: range partitions, stored with ``_pid`` and ``_mid``."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                    .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+
+
+def _numbered(laid: DataFrame, id_col: str) -> DataFrame:
+    counts = laid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS)
+    return (laid.join(F.broadcast(offsets), "_pid").withColumn(id_col, (F.col("_off") + local).cast("long"))
+            .drop("_pid", "_mid", "_off"))
+
+
+def dense_keys(df: DataFrame, order_by: str | Sequence[str], id_col: str = "id",
+               num_partitions: int | None = None) -> DataFrame | None:
+    """(order keys, ``id_col``): the numbering 0..n-1 as a table of its own, or
+    None if a key repeats."""
+    keys = _cols(order_by)
+    laid = _laid_out(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, num_partitions)
+    if not laid.where("_rows > 1").isEmpty():
+        return None
+    return _numbered(laid.drop("_rows"), id_col)
+
+
+def _late(df: DataFrame, numbers: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the numbers of its keys; null keys match, too."""
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return df.join(numbers.withColumnsRenamed(names), on).drop(*names.values())
+
+
 def dense_ids(df: DataFrame, order_by: str | Sequence[str], id_col: str = "id",
               num_partitions: int | None = None) -> DataFrame:
     """Append ``id_col`` = 0..n-1 following ``order_by`` (ascending)."""
     keys = _cols(order_by)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = (df.repartitionByRange(n, *keys)
-                  .sortWithinPartitions(*keys)
-                  .withColumn("_pid", F.spark_partition_id())
-                  .withColumn("_mid", F.monotonically_increasing_id()))
-    laid_out = materialize(laid_out)
-    counts = laid_out.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    offsets = offsets.fillna(0, subset=["_off"])
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS)
-    return (laid_out.join(F.broadcast(offsets), "_pid")
-            .withColumn(id_col, (F.col("_off") + local).cast("long"))
-            .drop("_pid", "_mid", "_off"))
+    numbers = dense_keys(df, keys, id_col, num_partitions)
+    return _numbered(_laid_out(df, keys, num_partitions), id_col) if numbers is None else _late(df, numbers, keys)
 
 
 def first_appearance_dim(occ: DataFrame, value_col: str, order_by: str | Sequence[str],
@@ -76,13 +101,15 @@ def row_slice(df: DataFrame, order_by: str | Sequence[str], start: int = 0,
     """Rows ``[start, end)``; else ``[start, start+n)``; else ``[start, ...)``.
 
     ``end`` wins over ``n`` (the reference's precedence)."""
-    numbered = dense_ids(df, order_by, id_col)
     cond = F.col(id_col) >= F.lit(start)
     if end is not None:
         cond = cond & (F.col(id_col) < F.lit(end))
     elif n is not None:
         cond = cond & (F.col(id_col) < F.lit(start + n))
-    return numbered.where(cond)
+    numbers = dense_keys(df, order_by, id_col)
+    if numbers is None:
+        return dense_ids(df, order_by, id_col).where(cond)
+    return _late(df, numbers.where(cond), _cols(order_by))  # rows outside the slice meet no key
 
 
 def keep_first(df: DataFrame, key_cols: str | Sequence[str], order_by: str | Sequence[str]) -> DataFrame:

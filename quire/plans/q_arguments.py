@@ -197,6 +197,38 @@ def q_direct_results(spark, sf_dir):
                     _sum_premises(F.col("arguments")).alias("n_premises"))
 
 
+_FLAT_DIRECT = _DIRECT + """,
+dnum AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY j) AS INTEGER) AS argument_index FROM args)
+SELECT r.article_id, r.text, r.success, r.error_message, n.argument_index, '' AS question, '' AS answer,
+       coalesce(n.conclusion, '') AS claim, CAST(coalesce(len(n.premises), 0) AS INTEGER) AS premises_count,
+       coalesce(array_to_string(n.premises, ' | '), '') AS premises_concatenated,
+       coalesce(n.premises[1], '') AS premise_1, coalesce(n.premises[2], '') AS premise_2, coalesce(n.premises[3], '') AS premise_3,
+       coalesce(n.premises[4], '') AS premise_4, coalesce(n.premises[5], '') AS premise_5
+FROM res r LEFT JOIN dnum n USING (i)"""
+
+
+@register("direct_flat", with_fixtures(_FLAT_DIRECT, "list_responses", "premise_responses"))
+def q_direct_flat(spark, sf_dir):
+    """One CSV-ready row per conclusion with its premises."""
+    return flatten_arguments(_direct(spark, sf_dir))
+
+
+@register("csv_round_trip", with_fixtures(_FLAT_DIRECT, "list_responses", "premise_responses"))
+def q_csv_round_trip(spark, sf_dir):
+    """The flat rows written as CSV (quotes, line breaks and all) and read
+    back; an empty field reads as empty text."""
+    from quire.session import scratch
+    from quire.sources.writers import write_results_csv
+    flat, path = flatten_arguments(_direct(spark, sf_dir)), scratch(spark, "csv")
+    if write_results_csv(flat, path) == 0:
+        return flat
+    back = (spark.read.schema(flat.schema).option("header", True).option("multiLine", True).option("escape", '"')
+            .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+    text = ("question", "answer", "claim", "premises_concatenated", *(f"premise_{k}" for k in range(1, 6)))
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) if c in text else F.when(F.col(c) != "", F.col(c)).alias(c)
+                         if c == "error_message" else c for c in flat.columns])
+
+
 @register("socratic_results", with_fixtures(
     _SOCRATIC + "\nSELECT i, article_id, success, error_message, n_questions, n_arguments, n_premises FROM res",
     "list_responses", "answer_responses", "argument_responses"))

@@ -129,22 +129,24 @@ def embedding_dedup(spark, sf_dir):
     return d.kept.select(F.col("id").alias("vec_id"), "kept")
 
 
-def _lsh_oracle() -> str:
+def lsh_ctes(src: str) -> str:
+    """``nodes`` and ``fin(kept)`` of LSH keep-first over ``src(doc_id, text)``."""
     p, base = DD.PRIME, DD.SHINGLE_BASE
     word = f"(('0x' || substr(md5(w), 1, 8))::BIGINT % {p})"
     lanes = ", ".join(f"min(({a} * x + {b}) % {p}) AS h{i}" for i, (a, b) in enumerate(DD.lane_constants()))
     bands = ", ".join("[" + ", ".join(f"coalesce(h{i}, {p})" for i in range(k * 21, k * 21 + 21)) + "]" for k in range(3))
-    return f"""WITH RECURSIVE dw AS (SELECT doc_id AS id, list_transform({_WORDS}, lambda w: {word}) AS h FROM documents),
+    return f"""dw AS (SELECT doc_id AS id, list_transform({_WORDS}, lambda w: {word}) AS h FROM {src}),
 ds AS (SELECT id, CASE WHEN len(h) = 0 THEN [NULL::BIGINT] WHEN len(h) = 1 THEN [h[1]] WHEN len(h) = 2 THEN [(h[1] * {base} + h[2]) % {p}]
        ELSE list_transform(generate_series(1, len(h) - 2), lambda i: (((h[i] * {base} + h[i + 1]) % {p}) * {base} + h[i + 2]) % {p}) END AS t FROM dw),
 dx AS (SELECT DISTINCT id, unnest(t) AS x FROM ds),
 sig AS (SELECT id, {lanes} FROM dx GROUP BY id),
 bk AS MATERIALIZED (SELECT id, unnest(range(3)) AS band, unnest([{bands}]) AS bucket FROM sig),
 edges AS (SELECT DISTINCT a.id AS a, b.id AS b FROM bk a JOIN bk b ON a.band = b.band AND a.bucket = b.bucket AND a.id < b.id)""" \
-        + _greedy("sig") + "\nSELECT n.id AS doc_id, list_contains((SELECT kept FROM fin), n.id) AS kept FROM nodes n"
+        + _greedy("sig")
 
 
-@register("lsh_dedup", _lsh_oracle())
+@register("lsh_dedup", "WITH RECURSIVE " + lsh_ctes("documents")
+          + "\nSELECT n.id AS doc_id, list_contains((SELECT kept FROM fin), n.id) AS kept FROM nodes n")
 def lsh_dedup(spark, sf_dir):
     """Keep-first with the reference's MinHash LSH relation (64 hashes,
     3 bands x 21 rows) over document shingle sets; the hashes are portable, so

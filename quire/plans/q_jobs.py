@@ -53,6 +53,32 @@ SELECT (SELECT count(*) FROM a_rawdim) AS raw_authors, (SELECT count(*) FROM a_f
        (SELECT count(*) FROM a_valid) AS author_links""", "job_raw_articles", recursive=True)
 
 
+def _job_lsh_oracle() -> str:
+    from quire.plans.q_dedup import lsh_ctes
+    body = _job_ctes()
+    a, b = body.index("dsrc AS (") - 2, body.index("dd AS (")
+    return with_fixtures(body[:a] + """,
+dsrc AS (SELECT id_articulo AS doc_id, texto_completo AS text FROM aa),
+""" + lsh_ctes("dsrc") + """,
+kept AS (SELECT n.id FROM nodes n WHERE list_contains((SELECT kept FROM fin), n.id)),
+""" + body[b:] + """
+SELECT id_articulo, titulo FROM dd WHERE id_articulo IN (SELECT id_articulo FROM t_valid)""", "job_raw_articles", recursive=True)
+
+
+DEGREE_PROMPT = "List the academic degrees that the text says its subject holds, as JSON."
+
+
+def _degree_request_oracle() -> str:
+    return ("SELECT 'd_' || id AS custom_id, 'List the academic degrees that the text says its subject holds, as JSON.' || chr(10) || sentences "
+            "AS prompt FROM (" + _degree_text_oracle() + ") t WHERE sentences NOT IN ('', 'NOT HTML')")
+
+
+def _degree_text_oracle() -> str:
+    from quire.plans import q_degrees  # noqa: F401  (registers degree_markdown)
+    return ("SELECT page_id AS id, 'Author ' || CAST(page_id AS VARCHAR) AS author_name, sentences FROM ("
+            + ORACLE["degree_markdown"] + ") q")
+
+
 @register("job_articles", _job_articles_oracle())
 def job_articles(spark, sf_dir):
     """Cleaned, authored, de-duplicated, tagged articles - the whole
@@ -97,12 +123,6 @@ def degree_quarantine(spark, sf_dir):
     return J.degree_profile_job(fixture(spark, sf_dir, "degree_json")).quarantine.select("id", "author_name")
 
 
-def _degree_text_oracle() -> str:
-    from quire.plans import q_degrees  # noqa: F401  (registers degree_markdown)
-    return ("SELECT page_id AS id, 'Author ' || CAST(page_id AS VARCHAR) AS author_name, sentences FROM ("
-            + ORACLE["degree_markdown"] + ") q")
-
-
 @register("job_degree_text", _degree_text_oracle())
 def job_degree_text(spark, sf_dir):
     """(id, author_name, sentences) degree markdown per author page."""
@@ -110,3 +130,32 @@ def job_degree_text(spark, sf_dir):
         F.col("page_id").alias("id"), F.concat(F.lit("Author "), F.col("page_id").cast("string")).alias("author_name"),
         "source")
     return J.degree_text_job(p)
+
+
+@register("saved_duplicates", _job_articles_oracle())
+def saved_duplicates(spark, sf_dir):
+    """The article job again with the duplicates that an earlier run
+    saved instead of a search: the same articles."""
+    from quire.operators.authors import author_occurrences
+    from quire.operators.clean import clean_articles
+    from quire.operators.ids import dense_ids
+    from quire.session import scratch
+    from quire.sources.writers import read_duplicates, save_duplicates
+    raw, path = fixture(spark, sf_dir, "job_raw_articles"), scratch(spark, "duplicates")
+    clean = dense_ids(clean_articles(raw), "pos", "id_articulo")
+    authored = clean.join(author_occurrences(clean, "id_articulo", "autor").select("id_articulo"), "id_articulo", "left_semi")
+    save_duplicates(J.duplicate_ids(authored), "id_articulo", path)
+    return J.article_job(raw, known_duplicates=read_duplicates(spark, path)).articles.drop("texto_completo")
+
+
+@register("job_lsh_articles", _job_lsh_oracle())
+def job_lsh_articles(spark, sf_dir):
+    """J1 with the MinHash LSH relation: ids of the articles that it keeps."""
+    return J.article_job(fixture(spark, sf_dir, "job_raw_articles"), method="lsh").articles.select("id_articulo", "titulo")
+
+
+@register("degree_requests", _degree_request_oracle())
+def degree_requests(spark, sf_dir):
+    """Requests for degree records from the degree text of author pages."""
+    r = J.degree_request_job(job_degree_text(spark, sf_dir), DEGREE_PROMPT)
+    return r.select("custom_id", F.get(F.col("body.messages"), 0)["content"].alias("prompt"))

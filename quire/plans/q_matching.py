@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import matching as M
+from quire.plans.jobs import matching_job
 from quire.plans.registry import register
 from quire.sources.fixtures import fixture, with_fixtures
 
@@ -99,3 +100,20 @@ def q_candidate_pages(spark, sf_dir):
     return c.select("name", "rnk", "candidate_key", page_url("candidate_key").alias("url"),
                     description_or_default("description").alias("description"),
                     first_name_in_key("name", "candidate_key").alias("first_name_in_key"))
+
+
+@register("attached_pages", with_fixtures(_SCORED + """,
+st AS (SELECT n.name, b.key, b.score,
+              CASE WHEN b.score IS NULL THEN 'NO_RESULTS'
+                   WHEN b.first_description = 'Topics referred to by the same term' THEN 'MULTIPLE_MATCHES'
+                   WHEN b.score < 50 THEN 'NO_MATCH' ELSE 'MATCHED' END AS status
+       FROM (SELECT DISTINCT name FROM query_names) n LEFT JOIN best b USING (name)),
+pg AS (SELECT candidate_key AS key, 'page of ' || min(name) AS source FROM gold_matches WHERE rnk = 1 GROUP BY candidate_key)
+SELECT st.name, st.status, CASE WHEN status = 'MATCHED' THEN st.key END AS key, pg.source
+FROM st LEFT JOIN pg ON status = 'MATCHED' AND pg.key = st.key""", "query_names", "gold_matches"))
+def q_attached_pages(spark, sf_dir):
+    """Matched names with their page; other statuses pass through."""
+    c = _cands(spark, sf_dir)
+    pages = c.where("rnk = 1").groupBy(F.col("candidate_key").alias("key")).agg(F.concat(F.lit("page of "), F.min("name")).alias("source"))
+    m, _ = matching_job(_names(spark, sf_dir), c, pages=pages)
+    return m.select("name", "status", "key", "source")

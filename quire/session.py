@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -81,6 +82,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``stored`` and the number of rows, counted while they are written."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, int(seen.get["rows"])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder that goes when the driver's
     Python ends."""

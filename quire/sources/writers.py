@@ -3,7 +3,9 @@ collected to the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,7 +20,6 @@ def write_star(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") ->
 
     D10: each table carries a ``DataFrame.observe`` row counter, filled in
     while the table is written (no extra pass); the counts are returned."""
-    from pyspark.sql import Observation
     counts = {}
     for name, df in tables.items():
         obs = Observation(f"rows_{name}")
@@ -36,12 +37,18 @@ def write_results_json(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
-def write_results_csv(flat: DataFrame, path: str) -> bool:
-    """Flattened results with a header; writes nothing when empty."""
-    if flat.isEmpty():
-        return False
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    return True
+def write_results_csv(flat: DataFrame, path: str) -> int:
+    """Flattened results with a header, in one run of the plan; the rows
+    are counted while they are written and returned.  Without rows there is no
+    file."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    (flat.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+     .option("header", True).option("escape", '"').csv(path))
+    n = int(seen.get["rows"])
+    if n == 0:
+        where = flat.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(flat.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return n
 
 
 def write_parsed(parsed: DataFrame, path: str) -> None:
@@ -59,7 +66,11 @@ def save_duplicates(duplicates: DataFrame, id_col: str, path: str) -> None:
     duplicates.select(id_col).write.mode("overwrite").parquet(path)
 
 
+def read_duplicates(spark: SparkSession, path: str) -> DataFrame:
+    """The ids that ``save_duplicates`` wrote."""
+    return spark.read.parquet(path)
+
+
 def reuse_duplicates(df: DataFrame, id_col: str, path: str) -> DataFrame:
     """Drop the saved duplicate ids with an anti join."""
-    dups = df.sparkSession.read.parquet(path)
-    return df.join(dups, id_col, "left_anti")
+    return df.join(read_duplicates(df.sparkSession, path), id_col, "left_anti")

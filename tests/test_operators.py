@@ -27,6 +27,29 @@ def test_dense_ids_are_0_to_n_minus_1_in_order(spark, parts):
     assert got == [(k, i) for i, k in enumerate(sorted(keys))]
 
 
+def test_numbering_stores_keys_only(spark):
+    df = spark.createDataFrame([(k, f"text {k}", None) for k in (5, 3, 9, 1)] + [(None, "x", "y")], "k long, text string, other string")
+    got = dense_ids(df, "k", "id", 3)
+    assert rows(got, "id", "text") == [(0, "x"), (1, "text 1"), (2, "text 3"), (3, "text 5"), (4, "text 9")]
+    assert got.columns == ["k", "text", "other", "id"]
+    # a repeated key: the rows themselves are laid out, in any order among equals
+    ties = df.union(spark.createDataFrame([(3, "text 3b", "z")], df.schema))
+    r = rows(dense_ids(ties, "k", "id", 3), "id", "k", "text")
+    assert [x[0] for x in r] == list(range(6)) and [x[1] for x in r] == [None, 1, 3, 3, 5, 9] and len({x[2] for x in r}) == 6
+    assert [x[1] for x in rows(row_slice(ties, "k", 2, 4), "row_no", "k")] == [3, 3]
+    assert rows(row_slice(df, "k", 1, n=2), "row_no", "text") == [(1, "text 1"), (2, "text 3")]
+
+
+def test_plans_of_numbered_results_read_no_text(spark):
+    from quire.plans.registry import QUERIES, load_all
+    load_all()
+    for name in ("direct_results", "result_stats"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        scans = [line for line in plan.splitlines() if "ReadSchema" in line and "doc_id" in line]
+        assert any("text" not in line for line in scans), (name, scans)  # the articles; the responses are made of texts
+
+
 def test_row_slice_precedence(spark):
     df = spark.range(20).withColumnRenamed("id", "k")
     assert [r[0] for r in rows(row_slice(df, "k", 5, end=8, n=100), "k")] == [5, 6, 7]
