@@ -23,8 +23,8 @@ STRICT = (r"(?i)(?:\bB\.?A\.?\b|\bA\.?B\.?\b|\bB(?:Sc|\.?S\.?|Sc)\b|\bM\.?A\.?\b
 # The shipped loose pattern (abbreviations without boundaries, Q5).
 LOOSE = (r"(?i)(?:\b(?:degree|degrees|graduating|Bachelor(?:'s)?|Master(?:'s)?|Doctorate)\b"
          r"|BA|A\.?B\.?|BS|B\.?S\.?|MA|M\.?A\.?|MS|M\.?S\.?|Ph\.?D\.?|J\.?D\.?|L\.?L\.?M\.?)")
-# The notebook's alternative strict pattern (B25); it needs
-# look-around, so it runs on the JVM engine only.
+# The notebook's alternative strict pattern (B25), with its
+# look-around, so that matches have the right extent.
 NOTEBOOK = (r"(?i)(?:(?<!\.)\bB\.?(?:A|S|Sc|F\.A|B\.A|Phil)(?=\s|\.|$)"
             r"|(?<!\.)\bM\.?(?:A|S|Sc|Res|Phil|F\.A|B\.A|Ed)(?=\s|\.|$)"
             r"|(?<!\.)\b(?:Ph|J|M|Ed|Sc|D|LL)\.?D(?=\s|\.|$))"
@@ -34,7 +34,7 @@ NOTEBOOK = (r"(?i)(?:(?<!\.)\bB\.?(?:A|S|Sc|F\.A|B\.A|Phil)(?=\s|\.|$)"
             r"|\bJuris Doctor\b|\bDr\.?\s*rer\.?\s*nat\b)")
 PATTERNS = {"strict": STRICT, "loose": LOOSE, "notebook": NOTEBOOK}
 
-# Title abbreviations that never end a sentence.
+# Title abbreviations that never end a sentence.
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "vs", "etc")
 KEEP = "\u0002"
 CUT = "\u0001"

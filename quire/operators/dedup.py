@@ -49,13 +49,11 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import col, py_strip
 from quire.session import materialize, stored
-from quire.operators.skew import lookup_join
+from quire.operators.skew import BLOCK, lookup_join, meet_in_lists
 
 NUM_PERM = 64
 BANDS = 3
 ROWS = 21
-#: Rows of a token's list that one task compares with as many others.
-BLOCK = 1000
 #: Leader rounds go on while a round decides this share of what was undecided.
 WORTH = 0.1
 #: Modulus of the portable hashes, and the base of a shingle's polynomial.
@@ -201,15 +199,8 @@ def jaccard_pairs(reps: DataFrame, threshold: float = 0.9, prefix: DataFrame | N
     if prefix is None:
         reps = stored(reps)
         prefix = prefix_tokens(reps, threshold)
-    m = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sized = lookup_join(prefix, m, "token", count_col="m").withColumn("blocks", F.ceil(F.col("m") / block))
-    dealt = (sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("id", "ord", "n", "token", "pos", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "i", "j")]
-    once = (F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own"))  # one block's own pairs meet once
-    cand = (a.join(b, meet).where((F.col("a.ord") < F.col("b.ord")) & once & _may_reach(threshold))
+    dealt, meet, once = meet_in_lists(prefix, "token", "id", block)
+    cand = (dealt.alias("a").join(dealt.alias("b"), meet).where((F.col("a.ord") < F.col("b.ord")) & once & _may_reach(threshold))
              .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
     return _verified(cand, reps, threshold)
 

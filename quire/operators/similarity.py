@@ -7,24 +7,28 @@ Data flow (long form, never a matrix on one machine):
   2..4 over lower-cased text, smooth IDF ``ln((1+n)/(1+df))+1``, L2 norm.
 * ``cosine_pairs``: exact pairs with cosine >= t.  Candidates come from an
   equi-join on *prefix* grams only: grams are ordered globally rarest first
-  and a vector's prefix is every gram whose own-and-later squared weight is
-  still >= t^2.  A pair reaching t must share a gram inside both prefixes
-  (its first common gram), so nothing is lost, and frequent grams - the
-  ones that would pair everything with everything - sit in the suffixes and
-  never form candidate groups.  Candidates are then scored exactly.
+  and a vector's prefix is every gram from which on a pair could still reach t.
+  Two bounds hold for what two vectors can share from a gram on: the norm of
+  the vector's rest (the other vector has norm 1), and the rest's weights times
+  the largest weight that any vector has in each gram.  A pair reaching t must
+  share a gram inside both prefixes (its first common gram), so nothing is lost,
+  and frequent grams - the ones that would pair everything with everything - sit
+  in the suffixes.  At a meeting the two rests' norms bound the pair once more;
+  a long list is compared block against block.  Candidates are then scored
+  exactly.
 * ``connected_components``: min-label propagation with pointer jumping,
   one checkpoint per round (DBSCAN with min_samples=1 is exactly this).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import py_strip
 from quire.operators import components
 from quire.session import materialize, stored
-from quire.operators.skew import lookup_join
+from quire.operators.skew import BLOCK, lookup_join, meet_in_lists
 
 EPS = 1e-9
 
@@ -56,17 +60,29 @@ def char_wb_tfidf(df: DataFrame, id_col: str, text_col: str, ngram=(2, 4)) -> Da
              .select("id", "gram", "df", (F.col("raw") / F.col("norm")).alias("weight")))
 
 
-def cosine_pairs(vec: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, cosine) for a < b with cosine >= threshold (exact)."""
-    from pyspark.sql import Window
+def prefix_grams(vec: DataFrame, threshold: float) -> DataFrame:
+    """(id, gram, rest): the grams of each vector that can hold the first
+    common gram of a pair; ``rest`` is the squared norm from that gram on."""
+    most = vec.groupBy("gram").agg(F.max("weight").alias("_most"), F.count(F.lit(1)).alias("_df"))
     w = (Window.partitionBy("id").orderBy("df", "gram")
          .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    tagged = vec.withColumn("_rest", F.sum(F.col("weight") * F.col("weight")).over(w))
-    prefix = tagged.where(F.col("_rest") >= threshold * threshold - EPS).select("id", "gram")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (a.join(b, F.col("a.gram") == F.col("b.gram"))
-             .where(F.col("a.id") < F.col("b.id"))
-             .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    known = lookup_join(vec, most, "gram", count_col="_df")
+    tagged = (known.withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(w))
+              .withColumn("_reach", F.sum(F.col("weight") * F.col("_most")).over(w)))
+    return tagged.where((F.col("rest") >= threshold * threshold - EPS) & (F.col("_reach") >= threshold - EPS)).select("id", "gram", "rest")
+
+
+def cosine_candidates(vec: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs a < b that share a prefix gram and pass its norm bound."""
+    dealt, meet, once = meet_in_lists(prefix_grams(vec, threshold), "gram", "id", block)
+    reach = F.col("a.rest") * F.col("b.rest") >= threshold * threshold - EPS
+    return (dealt.alias("a").join(dealt.alias("b"), meet).where((F.col("a.id") < F.col("b.id")) & once & reach)
+            .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+
+
+def cosine_pairs(vec: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, cosine) for a < b with cosine >= threshold (exact)."""
+    cand = cosine_candidates(vec, threshold, block)
     va = vec.select(F.col("id").alias("a"), "gram", F.col("weight").alias("wa"))
     vb = vec.select(F.col("id").alias("b"), "gram", F.col("weight").alias("wb"))
     scored = (cand.join(va, "a").join(vb, ["b", "gram"])

@@ -48,3 +48,27 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], how
                    .withColumn("_salt", F.explode(copies))
                    .drop("_hot"))
     return big2.join(small2, keys + ["_salt"], how).drop("_salt")
+
+
+#: Rows of a list that one task compares with as many others.
+BLOCK = 1000
+
+
+def meet_in_lists(rows: DataFrame, key: str, id_col: str, block: int = BLOCK) -> tuple[DataFrame, list, object]:
+    """Prepare the pairs of rows that share a ``key``: a self join of the
+    returned rows (aliased ``a`` and ``b``) on the returned conditions meets each
+    pair of different rows of a list, in both directions, once.
+
+    Keys of one row meet nothing and are left out.  A list of more than ``block``
+    rows is dealt into blocks by a hash of ``id_col``, and each pair of blocks is
+    a group of its own: no task holds more than two blocks of a list, however
+    long it is."""
+    m = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    sized = lookup_join(rows, m, key, count_col="_m").withColumn("_blocks", F.ceil(F.col("_m") / block))
+    dealt = (sized.withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+             .withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
+             .drop("_m", "_blocks", "_other"))
+    meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "_i", "_j")]
+    once = (F.col("a._i") == F.col("a._j")) | (F.col("a._own") != F.col("b._own"))  # one block's own pairs meet once
+    return dealt, meet, once

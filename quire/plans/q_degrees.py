@@ -115,10 +115,23 @@ def q_token_cost(spark, sf_dir):
                       F.round("total_cost", 9).alias("total_cost"))
 
 
-@register("degree_sentences_notebook")
+# The notebook's pattern without look-around, written apart: what stands before and after an abbreviation is
+# matched as a character.  Enough to tell whether a sentence has one.
+_BEFORE, _AFTER = r"(?:^|[^0-9A-Za-z_.])", r"(?:[\s.]|$)"
+_NOTEBOOK = (r"(?i)" + "|".join([
+    _BEFORE + r"B\.?(?:A|S|Sc|F\.A|B\.A|Phil)" + _AFTER,
+    _BEFORE + r"M\.?(?:A|S|Sc|Res|Phil|F\.A|B\.A|Ed)" + _AFTER,
+    _BEFORE + r"(?:Ph|J|M|Ed|Sc|D|LL)\.?D" + _AFTER,
+    r"\bBachelor of (?:Arts|Science|Fine Arts|Philosophy|Laws)\b",
+    r"\bMaster of (?:Arts|Science|Research|Philosophy|Education|Laws)\b",
+    r"\bDoctor of (?:Philosophy|Science|Medicine|Engineering)\b", r"\bJuris Doctor\b", r"\bDr\.?\s*rer\.?\s*nat\b"]))
+
+
+@register("degree_sentences_notebook", with_fixtures(
+    _SECS + _ST.format(split=S.sentences(_tidy("text"))) +
+    f"\nSELECT page_id, title, sec_rank, CAST(k AS INTEGER) AS k, s AS sentence FROM sn "
+    f"WHERE regexp_matches({S.word_safe('s')}, {S.q(_NOTEBOOK)})", "wiki_pages"))
 def degree_sentences_notebook(spark, sf_dir):
     """Sentences matching the notebook's alternative strict pattern
-    (full degree names, look-around context).  Look-around has no DuckDB
-    equivalent, so this key is rows-only; tests check the pattern against
-    Python's regex engine."""
+    (full degree names, look-around context)."""
     return DG.degree_sentences(_secs(spark, sf_dir), kind="notebook")

@@ -102,7 +102,7 @@ SELECT page_id,
        CASE page_id % 50
          WHEN 0 THEN replace(replace(html, '<', '('), '>', ')')
          WHEN 1 THEN concat('<body><div class="mw-parser-output"><p>Kim Doe holds a <b>Ph.D.</b>, awarded in 1990.</p><h2>Work</h2><p>Wrote books.</p>', html, '</div><p>Footer graduated.</p></body>')
-         WHEN 2 THEN replace(html, '</article>', '<h2>Life &amp; work</h2><div class="reflist"><div>first &#91;1&#93;</div><ol class="references"><li>second</li></ol></div><p>Born in Bogot&aacute; &#91; 1 &#93; , he earned a B.A.&nbsp;in law.</p><table class="navbox"><tr><td><table><tr><td>inner</td></tr></table>PhD list</td></tr></table> A loose &amp;lt; tail.<p>She said &#x201C;MA&#x201d; &#150; no &unknown; name.</p></article>')
+         WHEN 2 THEN replace(html, '</article>', '<h2>Life &amp; work</h2><div class="reflist"><div>first &#91;1&#93;</div><ol class="references"><li>second</li></ol></div><p>Born in Bogot&aacute; &#91; 1 &#93; , he earned a B.A.&nbsp;in law.</p><table class="navbox"><tr><td><table><tr><td>inner</td></tr></table>PhD list</td></tr></table> A loose &amp;lt; tail.<p>She said &#x201C;MA&#x201d; &#150; no &unknown; name. He is a B.Sc. now. A.B.A. stays out. MAs too. One Ph.D, one JD. Master of Laws at last. LLD</p></article>')
          WHEN 3 THEN replace(html, '<article>', '<article><table class="infobox vcard"><tr><th>Career<td>Writer<tr><th>Works</th><td><table><tr><td>1990</td><td>One</td></tr><tr><th>Alma mater</th><td>Inner School</td></tr></table> and more</td></tr><tr><th>Education</th><td>Town College (<b>BA</b>); City &lsquo;School&rsquo;</td></tr></table>')
          ELSE replace(replace(html, '<article>', CASE WHEN page_id % 3 = 0
            THEN '<article><table class="infobox"><tr><th>Education</th><td>Town College (BA); City School (JD)</td></tr><tr><th>Born</th><td>1960</td></tr></table>'

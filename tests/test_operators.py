@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,6 +324,26 @@ def test_minhash_lanes_are_independent(spark):
     assert len(sets[0]) == 48 and len(set(plain_signature(sets[0]))) > 45
 
 
+def test_cosine_candidates_stay_few_among_names_that_share_all_frequent_grams(spark):
+    from quire.operators.similarity import char_wb_tfidf, cosine_candidates, cosine_pairs
+    rnd = random.Random(4)
+    letters = "bcdfghjklmnpqrstvwxz"
+    names = [(i, "Maria Anderson " + "".join(rnd.choice(letters) for _ in range(9))) for i in range(2000)]
+    names += [(2000 + i, " ".join(reversed(n.split()))) for i, (_, n) in enumerate(names[:20])]
+    vec = DD.stored(char_wb_tfidf(spark.createDataFrame(names, "id long, name string"), "id", "name"))
+    assert cosine_candidates(vec, 0.85).count() <= 5 * len(names)  # of 2 million pairs
+    weights: dict = {}
+    for r in vec.collect():
+        weights.setdefault(r.gram, {})[r.id] = r.weight
+    dense = np.zeros((len(names), len(weights)))
+    for j, column in enumerate(weights.values()):
+        dense[list(column), j] = list(column.values())
+    want = {(int(x), int(y)) for x, y in zip(*np.nonzero(dense @ dense.T >= 0.85 - 1e-9)) if x < y}
+    for block in (1000, 5):
+        got = [(r.a, r.b) for r in cosine_pairs(vec, 0.85, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) >= 15
+
+
 def test_clean_articles_accepts_archive_dates(spark):
     from quire.operators.clean import coerce_timestamp
     df = spark.createDataFrame([("Mar 3, 2021",), ("2020-01-05",), ("3/7/2021",), ("not a date",)], "d string")
