@@ -1,4 +1,5 @@
-"""Language-model scores from a hashed maximum-entropy model.
+"""Language-model scores from a hashed maximum-entropy model with
+class-factored softmax.
 
 Tokens are white-space words (A-Z lower-cased) and one end per document.  Token
 counts over all documents that may be learnt from are exact: they are summed in
@@ -8,20 +9,31 @@ others are joined by token.
 The model predicts symbols: the end, each frequent word, and one symbol for
 each bucket of the other words (by crc32), which are then spelled by their own
 smoothed frequency in the bucket.  The buckets grow with the counted vocabulary,
-about eight words each up to ``MOST_BUCKETS`` of them.  A symbol's code is the
-binary length of its number, then its other digits, so it grows with the
-vocabulary, too, and frequent symbols have short ones.  Every binary digit is
-predicted from the digits before it and the context's features: nothing (bias),
-the word before, the word before that (a skip feature) and both together, each
-hashed with the place in the code into one table of weights, which grows with
-the vocabulary up to 2**MOST_BITS.  Training is one distributed pass: every task
-counts its (context, symbol) triples, makes adaptive gradient updates on them in
-numpy batches and emits its table in blocks; Spark averages each weight, weighted
-by its summed squared gradients.  Scoring evaluates each distinct triple of a
-block once.
-
-A null or empty text has one token, the end.  If nothing can be learnt from,
-counts are zero and all weights are: scores are finite.  Repeated rows are
+about eight words each up to ``MOST_BUCKETS`` of them.
+
+Symbols are factored into classes, a cluster and a band of frequency: a symbol's
+place by frequency in its cluster has a binary length, the band, and the rest of
+its digits tell the symbols of a class apart.  Clusters come from the company that
+words keep: a spectral clustering of the ``SEEDS`` most frequent symbols by how
+often they stand within two places of each other, and for every other symbol the
+cluster that its neighbours favour.  The probability of a symbol is that of its
+cluster (softmax over clusters), times that of its band (softmax over bands of the
+cluster), times that of its digits (binary decisions).  Each starts from the
+exact smoothed frequencies and adds the weights of the context's features: the
+word before, the word before that (a skip feature), and both together for the
+cluster; the word before for band and digits.  Features are hashed into tables
+of fixed numbers of rows.
+
+Texts become arrays of symbols once, stored; counting neighbours, training and
+scoring read those.  Training is one distributed pass over parts of about
+``TASK_TOKENS`` tokens: every task counts its (context, symbol) triples, makes
+adaptive gradient updates on them in numpy batches and emits its tables in
+blocks; Spark averages each weight, weighted by its summed squared gradients.
+Scoring evaluates each distinct triple of a block once.
+
+A null or empty text has one token, the end.  A very long text is one row of a
+task.  If nothing can be learnt from, counts are zero and all weights are: scores
+are finite.  Words of equal counts are ordered by their bytes.  Repeated rows are
 documents of their own: they count and score one by one.
 """
 
@@ -43,11 +55,13 @@ FOLDS, HELD_OUT = 7, 2
 HOT = 1 << 18
 BUCKET_WORDS, MOST_BUCKETS = 8, 1 << 18
 END = 0
-LENGTH = 5  # binary digits of a code's length
-LEAST_BITS, MOST_BITS = 14, 22
+SEEDS, CLUSTERS = 256, 4
+ROW_BITS = 16              # rows of a softmax table
+LEAST_BITS, MOST_BITS = 14, 22  # of the table of digit weights
 BLOCK = 1024
-RATE = 0.3
+RATE = 0.1
 BATCH = 4096
+TASK_TOKENS = 8_000_000
 FLUSH = 500_000
 LN10 = np.log(10.0)
 
@@ -93,9 +107,14 @@ class Vocabulary:
 
     @property
     def bits(self) -> int:
-        """Of the places in the weight table: 16 weights per distinct token."""
+        """Of the places in the table of digit weights: 16 weights per distinct token."""
         return min(MOST_BITS, max(LEAST_BITS, (16 * self.size).bit_length()))
 
+    def symbol_counts(self) -> np.ndarray:
+        """Occurrences of each symbol: the end, the frequent words, the buckets
+        (theirs with their distinct tokens)."""
+        return np.concatenate([[self.ends], self.counts, self.spelled]).astype(np.float64)
+
 
 def vocabulary(docs: DataFrame, hot: int = HOT) -> Vocabulary:
     tokens = stored(token_counts(docs))
@@ -142,52 +161,296 @@ def _triples(symbols: np.ndarray) -> np.ndarray:
     return (two << 40) | (one << 20) | symbols
 
 
-def _context(triples: np.ndarray, mask: int):
-    """The binary decisions of a batch, one triple after another: first decision
-    of each triple, triple of each decision, places in the weight table (features
-    x decisions), digit."""
-    two, one, symbol = triples >> 40, (triples >> 20) & 0xFFFFF, triples & 0xFFFFF
-    number = symbol + 1
-    length = np.frexp(number.astype(float))[1].astype(np.int64) - 1
-    code, digits = (length << length) | (number - (1 << length)), LENGTH + length
-    first = np.cumsum(digits) - digits
-    which = np.repeat(np.arange(len(triples)), digits)
-    j = np.arange(len(which)) - first[which]
-    left = digits[which] - j
-    code = code[which]
-    node = mix32(((1 << j) + (code >> left)).astype(np.uint32))
-    f_one = mix32(one.astype(np.uint32) + np.uint32(0x51ED27))
-    f_two = mix32(two.astype(np.uint32) + np.uint32(0x2F0B4C47))
-    features = (np.zeros_like(f_one), f_one, f_two, mix32(f_one + f_two * np.uint32(3)))
-    places = np.stack([(f[which] + node) & np.uint32(mask) for f in features]).astype(np.int64)
-    return first, which, places, (code >> (left - 1)) & 1
+def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """doc_id, learnt, n_tokens, known, logs, symbols and rare (tokens outside
+    the table, with their counts) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast((words.hot, words.counts, len(words.spelled)))  # fixed bounds
+    ends = words.ends
+    source = documents_of(docs).withColumn("learnt", remainder("doc_id", FOLDS) != HELD_OUT)
+
+    def run(batches):
+        hot, counts, buckets = shared.value
+        get = _Symbols(hot, buckets).__getitem__
+        last = len(hot)
+        logs = np.r_[np.log10(counts + 1.0), 0.0]  # the last: tokens that are joined later
+        for batch in batches:
+            for first, rows in _token_rows(batch.column("text")):
+                n = len(rows)
+                symbols, rare = [], []
+                for own in rows:
+                    found = list(map(get, own))
+                    symbols += found
+                    symbols.append(END)
+                    rare.append(Counter(w for w, i in zip(own, found) if i > last))
+                symbols = np.array(symbols, np.int64)
+                size = np.array([len(own) + 1 for own in rows])
+                start = np.r_[0, np.cumsum(size)[:-1]]
+                late = symbols > last
+                log = np.where(symbols == END, np.log10(ends + 1.0), logs[np.where(late, len(counts), symbols - 1)])
+                items = pa.StructArray.from_arrays(
+                    [pa.array([w for c in rare for w in c], pa.binary()).cast(pa.string()),
+                     pa.array([k for c in rare for k in c.values()], pa.int64())], ["token", "tf"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, n), batch.column("learnt").slice(first, n), pa.array(size),
+                     pa.array(np.add.reduceat((~late & ((symbols != END) | (ends > 0))).astype(np.int64), start)),
+                     pa.array(np.add.reduceat(log, start)),
+                     pa.ListArray.from_arrays(pa.array(np.r_[start, len(symbols)], pa.int32()), pa.array(symbols.astype(np.int32))),
+                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(c) for c in rare])], pa.int32()), items)],
+                    ["doc_id", "learnt", "n_tokens", "known", "logs", "symbols", "rare"])
+
+    long = F.lit(0).cast("long")
+    schema = source.select("doc_id", "learnt", long.alias("n_tokens"), long.alias("known"), F.lit(0.0).alias("logs"),
+                           F.array(F.lit(0)).alias("symbols"),
+                           F.from_json(F.lit("[]"), "array<struct<token:string,tf:bigint>>").alias("rare")).schema
+    return source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def _symbol_blocks(column: pa.Array, limit: int = 500_000):
+    """(first row, cuts, symbols) of runs of rows with about ``limit`` symbols."""
+    cut = np.asarray(column.offsets).astype(np.int64)
+    values = np.asarray(column.values).astype(np.int64)
+    i, n = 0, len(column)
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(cut, cut[i] + limit, "right")) - 1))
+        yield i, cut[i:j] - cut[i], values[cut[i]:cut[j]]
+        i = j
+
+
+def _neighbours(symbols: np.ndarray):
+    """Pairs of symbols within two places inside a document, both ways."""
+    for gap in (1, 2):
+        a, b = symbols[:-gap], symbols[gap:]
+        good = (a != END) & (b != END)
+        if gap == 2:
+            good &= symbols[1:-1] != END
+        yield a[good], b[good]
+        yield b[good], a[good]
+
+
+def _seed_clusters(near: np.ndarray, k: int) -> np.ndarray:
+    """Spectral clusters of the seeds from their counts of being neighbours:
+    positive mutual information, its leading vectors, k-means from far points."""
+    total = near.sum(1) + 1
+    with np.errstate(divide="ignore"):
+        info = np.maximum(np.log(near * near.sum() / np.outer(total, total)), 0)
+    left, size, _ = np.linalg.svd(info)
+    points = left[:, :k] * size[:k]
+    points /= np.linalg.norm(points, axis=1, keepdims=True) + 1e-9
+    centres = points[:1]
+    while len(centres) < min(k, len(points)):
+        far = ((points[:, None] - centres[None]) ** 2).sum(2).min(1)
+        centres = np.concatenate([centres, points[[far.argmax()]]])
+    for _ in range(30):
+        label = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.stack([points[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))])
+    return label
+
+
+def _counted(rows: DataFrame, pairs) -> DataFrame:
+    """Counts of the numbers that ``pairs`` makes of each block of symbols."""
+    def run(batches):
+        found, size = [], 0
+
+        def out():
+            keys, n = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            counts = np.bincount(n, np.concatenate([c for _, c in found])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+        for batch in batches:
+            for _, _, symbols in _symbol_blocks(batch.column("symbols")):
+                keys, n = np.unique(pairs(symbols), return_counts=True)
+                found.append((keys, n))
+                size += len(keys)
+            if size > 4_000_000:
+                yield out()
+                found, size = [], 0
+        if size:
+            yield out()
+
+    return rows.select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def clusters(learnt: DataFrame, counts: np.ndarray, k: int = CLUSTERS, seeds: int = SEEDS) -> np.ndarray:
+    """The cluster of every symbol."""
+    n = len(counts)
+    order = np.argsort(-counts[1:], kind="stable")[:seeds] + 1
+    order = order[counts[order] > 0]
+    out = np.zeros(n, np.int64)
+    if len(order) < k:
+        return out
+    place = np.full(n, -1, np.int64)
+    place[order] = np.arange(len(order))
+    shared = learnt.sparkSession.sparkContext.broadcast(place)  # a number per symbol
+
+    def seed_pairs(symbols):
+        at = shared.value
+        return np.concatenate([(at[a] * len(order) + at[b])[(at[a] >= 0) & (at[b] >= 0)] for a, b in _neighbours(symbols)])
+
+    got = _counted(learnt, seed_pairs).toArrow()  # at most SEEDS ** 2 rows
+    near = np.zeros(len(order) ** 2)
+    near[got.column("key").to_numpy()] = got.column("n").to_numpy()
+    of_seed = _seed_clusters(near.reshape(len(order), -1), k)
+    label = np.full(n, -1, np.int64)
+    label[order] = of_seed
+    known = learnt.sparkSession.sparkContext.broadcast(label)
+
+    def company(symbols):
+        of = known.value
+        return np.concatenate([(a * k + of[b])[of[b] >= 0] for a, b in _neighbours(symbols)])
+
+    both = stored(_counted(learnt, company).select((F.col("key") / k).cast("long").alias("symbol"), (F.col("key") % k).cast("int").alias("c"), "n"))
+    mass = np.zeros(k)
+    for r in both.groupBy("c").agg(F.sum("n").alias("n")).collect():
+        mass[r["c"]] = r["n"]
+    share = mass / max(mass.sum(), 1)
+    # what a symbol's neighbours say beyond the clusters' own shares; ties: the first cluster
+    beyond = [(F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0)) + float(share[c])) / float(max(share[c], 1e-12)) for c in range(k)]
+    best = both.groupBy("symbol").agg(F.array(*beyond).alias("v")).select("symbol", (F.array_position("v", F.array_max("v")) - 1).alias("c")).toArrow()
+    out[best.column("symbol").to_numpy()] = best.column("c").to_numpy()
+    return out
 
 
-def _update(weights, squares, scratch, triples, count):
+@dataclass
+class Classes:
+    """Cluster, band and number of every symbol, and what is known of them
+    without a context."""
+    cluster: np.ndarray
+    number: np.ndarray       # from 1, by falling count in the cluster
+    band: np.ndarray         # binary length of the number, less one
+    log_cluster: np.ndarray  # clusters
+    log_band: np.ndarray     # clusters x bands
+    digit: np.ndarray        # log odds of every binary decision
+
+    @property
+    def bands(self) -> int:
+        return self.log_band.shape[1]
+
+
+def classes(counts: np.ndarray, cluster: np.ndarray, k: int = CLUSTERS) -> Classes:
+    number = np.empty(len(counts), np.int64)
+    order = np.argsort(-counts, kind="stable")
+    for c in range(k):
+        own = order[cluster[order] == c]
+        number[own] = np.arange(1, len(own) + 1)
+    band = np.frexp(number.astype(float))[1].astype(np.int64) - 1
+    bands = int(band.max()) + 1
+    mass = counts + 0.5
+    by = np.bincount(cluster * bands + band, mass, k * bands).reshape(k, bands)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log_cluster = np.maximum(np.log(by.sum(1) / by.sum()), -60)
+        log_band = np.maximum(np.nan_to_num(np.log(by / by.sum(1, keepdims=True)), nan=-60), -60)
+    digit = np.zeros(k * (2 << bands), np.float32)
+    for c in range(k):
+        for b in range(1, bands):
+            row = np.zeros(1 << b)
+            own = (cluster == c) & (band == b)
+            row[number[own] - (1 << b)] = mass[own]
+            for j in range(b):
+                half = row.reshape(1 << j, 2, -1).sum(2)
+                at = _nodes(np.int64(c), np.int64(b), np.arange(1 << j, 2 << j), bands)
+                digit[at] = np.log(np.maximum(half[:, 1], 1e-6) / np.maximum(half[:, 0], 1e-6))
+    return Classes(cluster, number, band, log_cluster.astype(np.float32), log_band.astype(np.float32), digit)
+
+
+def _nodes(cluster, band, prefix, bands: int):
+    """Place of a binary decision: of the digits after ``prefix``."""
+    return cluster * (2 << bands) + (1 << band) + prefix - 1
+
+
+def _features(two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    f_one = mix32(one.astype(np.uint32) + np.uint32(0x51ED27))
+    f_two = mix32(two.astype(np.uint32) + np.uint32(0x2F0B4C47))
+    return f_one, f_two, mix32(f_one + f_two * np.uint32(3))
+
+
+class _Model:
+    """Weights: softmax tables (cluster by each feature, band by the word
+    before) and digit weights, one after another in one array."""
+
+    def __init__(self, shape: Classes, bits: int, weights: np.ndarray | None = None):
+        self.of, k, rows = shape, len(shape.log_cluster), 1 << ROW_BITS
+        self.mask = np.uint32((1 << bits) - 1)
+        sizes = [rows * k] * 3 + [rows * shape.bands, 1 << bits]
+        self.ends = np.cumsum(sizes)
+        self.flat = np.zeros(-(-int(self.ends[-1]) // BLOCK) * BLOCK, np.float32) if weights is None else weights
+        self.tables = self.parts(self.flat)
+
+    def parts(self, flat: np.ndarray) -> list[np.ndarray]:
+        a = np.r_[0, self.ends]
+        k, b = len(self.of.log_cluster), self.of.bands
+        return [flat[a[i]:a[i + 1]].reshape(-1, w) for i, w in enumerate((k, k, k, b))] + [flat[a[4]:a[5]]]
+
+    def softmaxes(self, features, symbol):
+        """(probabilities, tables, rows, answer) of cluster and band."""
+        shift = np.uint32(32 - ROW_BITS)
+        c = self.of.cluster[symbol]
+        at = [(f >> shift).astype(np.int64) for f in features]
+        z = self.of.log_cluster + self.tables[0][at[0]]
+        z += self.tables[1][at[1]]
+        z += self.tables[2][at[2]]
+        yield _softmax(z), (0, 1, 2), at, c
+        row = ((features[0] + c.astype(np.uint32) * np.uint32(0x9E3779B1)) >> shift).astype(np.int64)
+        yield _softmax(self.of.log_band[c] + self.tables[3][row]), (3,), [row], self.of.band[symbol]
+
+    def digits(self, features, symbol):
+        """The binary decisions of a batch, one symbol after another: first
+        decision of each symbol with any, symbol of each, digit, log odds, places."""
+        n, length = self.of.number[symbol], self.of.band[symbol]
+        first = np.cumsum(length) - length
+        which = np.repeat(np.arange(len(symbol)), length)
+        left = length[which] - (np.arange(len(which)) - first[which])
+        own = n[which]
+        node = _nodes(self.of.cluster[symbol][which], length[which], own >> left, self.of.bands)
+        place = ((features[0][which] + mix32(node.astype(np.uint32))) & self.mask).astype(np.int64)
+        return which, (own >> (left - 1)) & 1, self.of.digit[node] + self.tables[4][place], place
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _split(triples: np.ndarray):
+    return triples >> 40, (triples >> 20) & 0xFFFFF, triples & 0xFFFFF
+
+
+def _update(model: _Model, squares: list[np.ndarray], scratch: np.ndarray, triples: np.ndarray, count: np.ndarray):
     """One adaptive gradient step on a batch of weighted triples.  ``scratch``
     is zero before and after; places that occur several times are written
     several times with the same value."""
-    _, which, places, digit = _context(triples, len(weights) - 1)
-    e = (1 / (1 + np.exp(-weights[places].sum(0))) - digit).astype(np.float32) * count[which]
-    for at in places:
-        np.add.at(scratch, at, e)
-    flat = places.ravel()
-    gradient = scratch[flat]
-    scratch[flat] = 0
-    total = squares[flat] + gradient * gradient
-    squares[flat] = total
-    weights[flat] = weights[flat] - np.float32(RATE) * gradient / np.sqrt(total + np.float32(1e-6))
-
-
-def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
-    """The weight table from one pass over ``docs``."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((words.hot, len(words.spelled)))  # fixed bounds
-    n = 1 << words.bits
+    two, one, symbol = _split(triples)
+    features = _features(two, one)
+    for p, tables, rows, answer in model.softmaxes(features, symbol):
+        p[np.arange(len(symbol)), answer] -= 1
+        p *= count[:, None]
+        for t, at in zip(tables, rows):
+            order = np.argsort(at, kind="stable")
+            own = at[order]
+            start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            gradient, own = np.add.reduceat(p[order], start), own[start]
+            total = squares[t][own] + gradient * gradient
+            squares[t][own] = total
+            model.tables[t][own] -= np.float32(RATE) * gradient / np.sqrt(total + np.float32(1e-6))
+    which, digit, odds, place = model.digits(features, symbol)
+    error = (1 / (1 + np.exp(-odds)) - digit).astype(np.float32) * count[which]
+    np.add.at(scratch, place, error)
+    gradient = scratch[place]
+    scratch[place] = 0
+    total = squares[4][place] + gradient * gradient
+    squares[4][place] = total
+    model.tables[4][place] = model.tables[4][place] - np.float32(RATE) * gradient / np.sqrt(total + np.float32(1e-6))
+
+
+def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarray:
+    """The weights from one pass over the symbols of ``learnt``."""
+    shared = learnt.sparkSession.sparkContext.broadcast(shape)  # a few numbers per symbol
 
     def run(batches):
-        get = _Symbols(*shared.value).__getitem__
-        weights, squares, scratch = (np.zeros(n, np.float32) for _ in range(3))
+        model = _Model(shared.value, bits)
+        flat = np.zeros(len(model.flat), np.float32)
+        squares, scratch = model.parts(flat), np.zeros(1 << bits, np.float32)
         rng = np.random.default_rng(11)
 
         def learn(found):
@@ -195,25 +458,23 @@ def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
             mixed = rng.permutation(len(keys))
             keys, counts = keys[mixed], counts[mixed].astype(np.float32)
             for i in range(0, len(keys), BATCH):
-                _update(weights, squares, scratch, keys[i:i + BATCH], counts[i:i + BATCH])
+                _update(model, squares, scratch, keys[i:i + BATCH], counts[i:i + BATCH])
 
         found, size = [], 0
         for batch in batches:
-            for _, rows in _token_rows(batch.column("text")):
-                symbols = []
-                for own in rows:
-                    symbols += map(get, own)
-                    symbols.append(END)
-                found.append(_triples(np.array(symbols, np.int64)))
+            for _, _, symbols in _symbol_blocks(batch.column("symbols")):
+                found.append(_triples(symbols))
                 size += len(symbols)
                 if size > 4_000_000:
                     learn(found)
                     found, size = [], 0
         if found:
             learn(found)
-        used = np.flatnonzero(squares.reshape(-1, BLOCK).any(1))
+        weights, total = model.flat.reshape(-1, BLOCK), flat.reshape(-1, BLOCK)
+        used = np.flatnonzero(total.any(1))
         for i in range(0, len(used), 256):
-            yield emitted(used[i:i + 256], (weights * squares).reshape(-1, BLOCK)[used[i:i + 256]], squares.reshape(-1, BLOCK)[used[i:i + 256]])
+            at = used[i:i + 256]
+            yield emitted(at, weights[at] * total[at], total[at])
 
     def emitted(at, weights, squares):
         cut = pa.array(np.arange(len(at) + 1, dtype=np.int32) * BLOCK)
@@ -232,91 +493,77 @@ def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
             yield emitted(np.array(list(sums)), done[:, 0] / np.maximum(done[:, 1], 1e-30), done[:, 1])
 
     schema = "at long, weights array<float>, squares array<float>"
-    source = docs.select("text")
-    # a task's table has a fixed size: fewer tasks leave fewer of them to add up
-    tasks = max(2 * sc.defaultParallelism, source.rdd.getNumPartitions() // 4)
-    parts = source.coalesce(tasks).mapInArrow(run, schema)
-    got = parts.repartition("at").mapInArrow(merge, schema).select("at", "weights").toArrow()  # at most 2**MOST_BITS weights
-    out = np.zeros((n // BLOCK, BLOCK), np.float32)
+    # a task's tables have a fixed size: parts of a fixed number of tokens
+    parts = learnt.select("symbols").coalesce(max(1, -(-tokens // TASK_TOKENS))).mapInArrow(run, schema)
+    got = parts.repartition("at").mapInArrow(merge, schema).select("at", "weights").toArrow()  # the size of one model
+    out = _Model(shape, bits).flat
     for batch in got.to_batches():
         if batch.num_rows:
-            out[np.asarray(batch.column("at"))] = np.asarray(batch.column("weights").flatten()).reshape(-1, BLOCK)
-    return out.ravel()
+            out.reshape(-1, BLOCK)[np.asarray(batch.column("at"))] = np.asarray(batch.column("weights").flatten()).reshape(-1, BLOCK)
+    return out
 
 
-def _score_block(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _log10_each(model: _Model, symbols: np.ndarray) -> np.ndarray:
     """log10 probability of each symbol of a row of documents."""
     keys, back = np.unique(_triples(symbols), return_inverse=True)
     value = np.empty(len(keys))
     for i in range(0, len(keys), BATCH):
-        first, _, places, digit = _context(keys[i:i + BATCH], len(weights) - 1)
-        z = np.clip(np.where(digit == 1, -1, 1) * weights[places].sum(0), -60, 60)
-        value[i:i + BATCH] = np.add.reduceat(-np.log1p(np.exp(z)), first) / LN10
+        two, one, symbol = _split(keys[i:i + BATCH])
+        features, row = _features(two, one), np.arange(len(symbol))
+        own = np.zeros(len(symbol))
+        for p, _, _, answer in model.softmaxes(features, symbol):
+            own += np.log(np.maximum(p[row, answer], 1e-30))
+        which, digit, odds, _ = model.digits(features, symbol)
+        own -= np.bincount(which, np.log1p(np.exp(np.clip(np.where(digit == 1, -odds, odds), -60, 60))), len(symbol))
+        value[i:i + BATCH] = own / LN10
     return value[back]
 
 
-def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((words.hot, words.counts, words.spelled, weights))  # fixed bounds
-    ends = words.ends
-    source = documents_of(docs)
+def score(rows: DataFrame, words: Vocabulary, shape: Classes, weights: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row of ``coded``."""
+    shared = rows.sparkSession.sparkContext.broadcast((len(words.hot), words.spelled, shape, weights))  # fixed bounds
+    bits = words.bits
+    source = rows.select("row", "symbols")
 
     def run(batches):
-        hot, counts, spelled, table = shared.value
-        get = _Symbols(hot, len(spelled)).__getitem__
-        last = len(hot)
+        last, spelled, of, flat = shared.value
+        model = _Model(of, bits, flat)
         spell = -np.log10(spelled + 1.0)
-        logs = np.r_[np.log10(counts + 1.0), 0.0]  # the last: tokens that are joined later
         for batch in batches:
-            for first, rows in _token_rows(batch.column("text")):
-                n = len(rows)
-                symbols, rare = [], []
-                for own in rows:
-                    found = list(map(get, own))
-                    symbols += found
-                    symbols.append(END)
-                    rare.append(Counter(w for w, i in zip(own, found) if i > last))
-                symbols = np.array(symbols, np.int64)
-                size = np.array([len(own) + 1 for own in rows])
-                start = np.r_[0, np.cumsum(size)[:-1]]
+            for first, start, symbols in _symbol_blocks(batch.column("symbols")):
+                each = _log10_each(model, symbols)
                 late = symbols > last
-                model = _score_block(symbols, table)
-                model[late] += spell[symbols[late] - last - 1]
-                log = np.where(symbols == END, np.log10(ends + 1.0), logs[np.where(late, len(counts), symbols - 1)])
-                cut = np.r_[0, np.cumsum([len(c) for c in rare])]
-                items = pa.StructArray.from_arrays(
-                    [pa.array([w for c in rare for w in c], pa.binary()).cast(pa.string()),
-                     pa.array([k for c in rare for k in c.values()], pa.int64())], ["token", "tf"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), pa.array(size),
-                     pa.array(np.add.reduceat((~late & ((symbols != END) | (ends > 0))).astype(np.int64), start)),
-                     pa.array(np.add.reduceat(log, start)),
-                     pa.array(np.add.reduceat(model, start)),
-                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), items)],
-                    ["doc_id", "n_tokens", "known", "logs", "model", "rare"])
+                each[late] += spell[symbols[late] - last - 1]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, len(start)), pa.array(np.add.reduceat(each, start))],
+                                                 ["m_row", "model"])
 
-    long, double = F.lit(0).cast("long"), F.lit(0.0)
-    schema = source.select("doc_id", long.alias("n_tokens"), long.alias("known"), double.alias("logs"), double.alias("model"),
-                           F.from_json(F.lit("[]"), "array<struct<token:string,tf:bigint>>").alias("rare")).schema
-    done = stored(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    each = done.select("row", F.explode("rare").alias("x")).select("row", "x.token", "x.tf")
+    modelled = source.mapInArrow(run, "m_row long, model double")
+    each = rows.select("row", F.explode("rare").alias("x")).select("row", "x.token", "x.tf")
     joined = each.join(words.tokens.where(F.col("c") < words.least), "token", "left")
     c = F.coalesce("c", F.lit(0).cast("long"))
     late = joined.groupBy("row").agg(F.sum(F.col("tf") * F.log10(c + 1.0)).alias("late"),
                                      F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("late_known"))
     rest = F.coalesce("late", F.lit(0.0))
     all_log = float(np.log10(words.total + words.size + 1.0))
-    return done.drop("rare").join(late, "row", "left").select(
+    return (rows.drop("rare", "symbols").join(modelled, F.col("row") == F.col("m_row")).join(late, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("late_known", F.lit(0).cast("long"))).alias("n_known"),
         (F.col("logs") + rest - F.col("n_tokens") * all_log).alias("base_score"),
-        (F.col("model") + rest).alias("score"))
+        (F.col("model") + rest).alias("score")))
+
+
+def fitted(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, Vocabulary, Classes, np.ndarray]:
+    """(coded rows, vocabulary, classes, weights) learnt from ``docs``."""
+    words = vocabulary(documents_of(docs).where(remainder("doc_id", FOLDS) != HELD_OUT), hot)
+    rows = stored(coded(docs, words))
+    learnt, counts = rows.where("learnt"), words.symbol_counts()
+    shape = classes(counts, clusters(learnt, counts))
+    return rows, words, shape, train(learnt, shape, words.bits, words.total)
 
 
 def lm_score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score."""
-    part = documents_of(docs).where(remainder("doc_id", FOLDS) != HELD_OUT)
-    words = vocabulary(part)
-    scored = score(docs, words, train(part, words))
+    rows, words, shape, weights = fitted(docs)
+    scored = score(rows, words, shape, weights)
     return scored.select("doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
                          F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")

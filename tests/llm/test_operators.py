@@ -247,10 +247,47 @@ def test_lm_score_predicts_words_beyond_the_most_frequent(spark):
     assert got and all(r.score > r.base_score + 0.2 * r.n_tokens for r in got)
     # words outside the table of frequent words are told apart by their buckets
     docs = spark.createDataFrame([(r[0] * 7, r[1]) for r in rows], "doc_id long, text string")
-    few = lm.vocabulary(docs, 100)
+    rows, few, shape, weights = lm.fitted(docs, 100)
     assert len(few.hot) <= 100 and len(few.spelled) > 500
-    by = lm.score(docs, few, lm.train(docs, few)).collect()
-    assert len(by) == len(rows) and sum(r.score for r in by) > sum(r.base_score + 0.2 * r.n_tokens for r in by)
+    by = lm.score(rows, few, shape, weights).collect()
+    assert len(by) == len(docs.collect()) and sum(r.score for r in by) > sum(r.base_score + 0.2 * r.n_tokens for r in by)
+
+
+def test_lm_probabilities_are_whole():
+    """Over all symbols, the model's probabilities add up to one in any context,
+    and the digits' decisions are those of a plain walk."""
+    rng = np.random.default_rng(6)
+    counts = np.r_[40.0, np.sort(rng.integers(1, 500, 150))[::-1], 7.0]
+    shape = lm.classes(counts, rng.integers(0, lm.CLUSTERS, len(counts)))
+    model = lm._Model(shape, 14)
+    model.flat[:] = rng.normal(0, 0.7, len(model.flat))
+    every = np.arange(len(counts))
+    for two, one in ((0, 0), (3, 9), (9, 151)):
+        features = lm._features(np.full(len(every), two), np.full(len(every), one))
+        total = np.ones(len(every))
+        for p, _, _, answer in model.softmaxes(features, every):
+            total *= p[every, answer]
+        which, digit, odds, place = model.digits(features, every)
+        plain = np.ones(len(every))
+        for w, d, o in zip(which, digit, odds):
+            plain[w] *= 1 / (1 + math.exp(-o if d else o))
+        total *= plain
+        assert abs(total.sum() - 1) < 1e-4
+        seen = np.array([two, one, 5, 0], np.int64) if two else np.array([5, 0], np.int64)
+        at = lm._log10_each(model, seen)
+        if two:
+            assert abs(10 ** at[2] - total[5]) < 1e-5
+
+
+def test_lm_clusters_tell_languages_apart():
+    rng = np.random.default_rng(2)
+    near = np.zeros((40, 40))
+    group = np.arange(40) % 3
+    for a in range(40):
+        for b in range(40):
+            near[a, b] = rng.integers(50, 90) if group[a] == group[b] else rng.integers(0, 4)
+    label = lm._seed_clusters(near + near.T, 3)
+    assert len({(g, x) for g, x in zip(group, label)}) == 3
 
 
 def pii_base(t):
