@@ -20,16 +20,17 @@ cluster that its neighbours favour.  The probability of a symbol is that of its
 cluster (softmax over clusters), times that of its band (softmax over bands of the
 cluster), times that of its digits (binary decisions).  Each starts from the
 exact smoothed frequencies and adds the weights of the context's features: the
-word before, the word before that (a skip feature), and both together for the
-cluster; the word before for band and digits.  Features are hashed into tables
-of fixed numbers of rows.
+word before and the word before that (a skip feature) for the cluster, the word
+before for band and digits.  Features are hashed into tables of fixed numbers of
+rows.
 
 Texts become arrays of symbols once, stored; counting neighbours, training and
 scoring read those.  Training is one distributed pass over parts of about
-``TASK_TOKENS`` tokens: every task counts its (context, symbol) triples, makes
-adaptive gradient updates on them in numpy batches and emits its tables in
-blocks; Spark averages each weight, weighted by its summed squared gradients.
-Scoring evaluates each distinct triple of a block once.
+``TASK_TOKENS`` tokens: every task counts its (two words before, cluster) and
+(word before, symbol) tuples, makes adaptive gradient updates on them in numpy
+batches and emits its tables in blocks; Spark averages each weight, weighted by
+its summed squared gradients.  Scoring evaluates each distinct tuple of a block
+once.
 
 A null or empty text has one token, the end.  A very long text is one row of a
 task.  If nothing can be learnt from, counts are zero and all weights are: scores
@@ -59,7 +60,7 @@ SEEDS, CLUSTERS = 256, 4
 ROW_BITS = 16              # rows of a softmax table
 LEAST_BITS, MOST_BITS = 14, 22  # of the table of digit weights
 BLOCK = 1024
-RATE = 0.1
+RATE, PAIR_RATE = 0.1, 0.2
 BATCH = 4096
 TASK_TOKENS = 8_000_000
 FLUSH = 500_000
@@ -246,26 +247,19 @@ def _seed_clusters(near: np.ndarray, k: int) -> np.ndarray:
     return label
 
 
-def _counted(rows: DataFrame, pairs) -> DataFrame:
-    """Counts of the numbers that ``pairs`` makes of each block of symbols."""
+def _counted(rows: DataFrame, numbers, size: int) -> DataFrame:
+    """key, n: counts of the numbers under ``size`` that each block of symbols
+    gives."""
     def run(batches):
-        found, size = [], 0
-
-        def out():
-            keys, n = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            counts = np.bincount(n, np.concatenate([c for _, c in found])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for _, _, symbols in _symbol_blocks(batch.column("symbols")):
-                keys, n = np.unique(pairs(symbols), return_counts=True)
-                found.append((keys, n))
-                size += len(keys)
-            if size > 4_000_000:
-                yield out()
-                found, size = [], 0
-        if size:
-            yield out()
+                for found in numbers(symbols):
+                    total += np.bincount(found, minlength=size)
+        used = np.flatnonzero(total)
+        for i in range(0, len(used), 100_000):
+            at = used[i:i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
 
     return rows.select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -284,9 +278,10 @@ def clusters(learnt: DataFrame, counts: np.ndarray, k: int = CLUSTERS, seeds: in
 
     def seed_pairs(symbols):
         at = shared.value
-        return np.concatenate([(at[a] * len(order) + at[b])[(at[a] >= 0) & (at[b] >= 0)] for a, b in _neighbours(symbols)])
+        for a, b in _neighbours(symbols):
+            yield (at[a] * len(order) + at[b])[(at[a] >= 0) & (at[b] >= 0)]
 
-    got = _counted(learnt, seed_pairs).toArrow()  # at most SEEDS ** 2 rows
+    got = _counted(learnt, seed_pairs, len(order) ** 2).toArrow()  # at most SEEDS ** 2 rows
     near = np.zeros(len(order) ** 2)
     near[got.column("key").to_numpy()] = got.column("n").to_numpy()
     of_seed = _seed_clusters(near.reshape(len(order), -1), k)
@@ -296,9 +291,10 @@ def clusters(learnt: DataFrame, counts: np.ndarray, k: int = CLUSTERS, seeds: in
 
     def company(symbols):
         of = known.value
-        return np.concatenate([(a * k + of[b])[of[b] >= 0] for a, b in _neighbours(symbols)])
+        for a, b in _neighbours(symbols):
+            yield (a * k + of[b])[of[b] >= 0]
 
-    both = stored(_counted(learnt, company).select((F.col("key") / k).cast("long").alias("symbol"), (F.col("key") % k).cast("int").alias("c"), "n"))
+    both = stored(_counted(learnt, company, n * k).select((F.col("key") / k).cast("long").alias("symbol"), (F.col("key") % k).cast("int").alias("c"), "n"))
     mass = np.zeros(k)
     for r in both.groupBy("c").agg(F.sum("n").alias("n")).collect():
         mass[r["c"]] = r["n"]
@@ -357,52 +353,54 @@ def _nodes(cluster, band, prefix, bands: int):
     return cluster * (2 << bands) + (1 << band) + prefix - 1
 
 
-def _features(two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    f_one = mix32(one.astype(np.uint32) + np.uint32(0x51ED27))
-    f_two = mix32(two.astype(np.uint32) + np.uint32(0x2F0B4C47))
-    return f_one, f_two, mix32(f_one + f_two * np.uint32(3))
+def _feature(word: np.ndarray, salt: int) -> np.ndarray:
+    return mix32(word.astype(np.uint32) + np.uint32(salt))
+
+
+ONE, TWO = 0x51ED27, 0x2F0B4C47  # salts of the two features
 
 
 class _Model:
-    """Weights: softmax tables (cluster by each feature, band by the word
+    """Weights: softmax tables (cluster by either word before, band by the word
     before) and digit weights, one after another in one array."""
 
     def __init__(self, shape: Classes, bits: int, weights: np.ndarray | None = None):
         self.of, k, rows = shape, len(shape.log_cluster), 1 << ROW_BITS
         self.mask = np.uint32((1 << bits) - 1)
-        sizes = [rows * k] * 3 + [rows * shape.bands, 1 << bits]
-        self.ends = np.cumsum(sizes)
+        self.ends = np.cumsum([rows * k, rows * k, rows * shape.bands, 1 << bits])
         self.flat = np.zeros(-(-int(self.ends[-1]) // BLOCK) * BLOCK, np.float32) if weights is None else weights
         self.tables = self.parts(self.flat)
 
     def parts(self, flat: np.ndarray) -> list[np.ndarray]:
         a = np.r_[0, self.ends]
         k, b = len(self.of.log_cluster), self.of.bands
-        return [flat[a[i]:a[i + 1]].reshape(-1, w) for i, w in enumerate((k, k, k, b))] + [flat[a[4]:a[5]]]
+        return [flat[a[i]:a[i + 1]].reshape(-1, w) for i, w in enumerate((k, k, b))] + [flat[a[3]:a[4]]]
 
-    def softmaxes(self, features, symbol):
-        """(probabilities, tables, rows, answer) of cluster and band."""
+    def clusters(self, two, one):
+        """(probabilities of the clusters, tables, rows)."""
         shift = np.uint32(32 - ROW_BITS)
-        c = self.of.cluster[symbol]
-        at = [(f >> shift).astype(np.int64) for f in features]
+        at = [(_feature(w, salt) >> shift).astype(np.int64) for w, salt in ((one, ONE), (two, TWO))]
         z = self.of.log_cluster + self.tables[0][at[0]]
         z += self.tables[1][at[1]]
-        z += self.tables[2][at[2]]
-        yield _softmax(z), (0, 1, 2), at, c
-        row = ((features[0] + c.astype(np.uint32) * np.uint32(0x9E3779B1)) >> shift).astype(np.int64)
-        yield _softmax(self.of.log_band[c] + self.tables[3][row]), (3,), [row], self.of.band[symbol]
-
-    def digits(self, features, symbol):
-        """The binary decisions of a batch, one symbol after another: first
-        decision of each symbol with any, symbol of each, digit, log odds, places."""
+        return _softmax(z), (0, 1), at
+
+    def bands(self, one, symbol):
+        """(probabilities of the bands in the symbol's cluster, tables, rows)."""
+        c = self.of.cluster[symbol]
+        row = ((_feature(one, ONE) + c.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - ROW_BITS)).astype(np.int64)
+        return _softmax(self.of.log_band[c] + self.tables[2][row]), (2,), [row]
+
+    def digits(self, one, symbol):
+        """The binary decisions of a batch, one symbol after another: symbol of
+        each, digit, log odds, place of its weight."""
         n, length = self.of.number[symbol], self.of.band[symbol]
         first = np.cumsum(length) - length
         which = np.repeat(np.arange(len(symbol)), length)
         left = length[which] - (np.arange(len(which)) - first[which])
         own = n[which]
         node = _nodes(self.of.cluster[symbol][which], length[which], own >> left, self.of.bands)
-        place = ((features[0][which] + mix32(node.astype(np.uint32))) & self.mask).astype(np.int64)
-        return which, (own >> (left - 1)) & 1, self.of.digit[node] + self.tables[4][place], place
+        place = ((_feature(one, ONE)[which] + mix32(node.astype(np.uint32))) & self.mask).astype(np.int64)
+        return which, (own >> (left - 1)) & 1, self.of.digit[node] + self.tables[3][place], place
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -412,35 +410,57 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _split(triples: np.ndarray):
-    return triples >> 40, (triples >> 20) & 0xFFFFF, triples & 0xFFFFF
-
-
-def _update(model: _Model, squares: list[np.ndarray], scratch: np.ndarray, triples: np.ndarray, count: np.ndarray):
-    """One adaptive gradient step on a batch of weighted triples.  ``scratch``
-    is zero before and after; places that occur several times are written
-    several times with the same value."""
-    two, one, symbol = _split(triples)
-    features = _features(two, one)
-    for p, tables, rows, answer in model.softmaxes(features, symbol):
-        p[np.arange(len(symbol)), answer] -= 1
-        p *= count[:, None]
-        for t, at in zip(tables, rows):
-            order = np.argsort(at, kind="stable")
-            own = at[order]
-            start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            gradient, own = np.add.reduceat(p[order], start), own[start]
-            total = squares[t][own] + gradient * gradient
-            squares[t][own] = total
-            model.tables[t][own] -= np.float32(RATE) * gradient / np.sqrt(total + np.float32(1e-6))
-    which, digit, odds, place = model.digits(features, symbol)
-    error = (1 / (1 + np.exp(-odds)) - digit).astype(np.float32) * count[which]
-    np.add.at(scratch, place, error)
+LAST = (1 << 20) - 1  # a symbol's bits in a triple
+
+
+def _contexts(triples: np.ndarray, shape: Classes) -> np.ndarray:
+    """(two before, before, cluster) of each triple, as one number."""
+    return triples & ~LAST | shape.cluster[triples & LAST]
+
+
+def _pairs(triples: np.ndarray) -> np.ndarray:
+    """(before, symbol) of each triple, as one number."""
+    return triples & ((1 << 40) - 1)
+
+
+def _power_of(gradient: np.ndarray) -> np.ndarray:
+    """What a gradient adds to the sum of squares.  A tuple that occurs n times
+    counts as n small steps, not as one of n times the size."""
+    size = np.abs(gradient)
+    return size * np.minimum(size, 1)
+
+
+def _step(model: _Model, squares: list[np.ndarray], softmax, answer: np.ndarray, count: np.ndarray, rate: float):
+    """One adaptive gradient step of a softmax's tables."""
+    p, tables, rows = softmax
+    p[np.arange(len(answer)), answer] -= 1
+    p *= count[:, None]
+    for t, at in zip(tables, rows):
+        order = np.argsort(at, kind="stable")
+        own = at[order]
+        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        gradient, own = np.add.reduceat(p[order], start), own[start]
+        total = squares[t][own] + _power_of(gradient)
+        squares[t][own] = total
+        model.tables[t][own] -= np.float32(rate) * gradient / np.sqrt(total + np.float32(1e-6))
+
+
+def _learn_contexts(model: _Model, squares, keys: np.ndarray, count: np.ndarray):
+    _step(model, squares, model.clusters(keys >> 40, (keys >> 20) & LAST), keys & LAST, count, RATE)
+
+
+def _learn_pairs(model: _Model, squares, scratch: np.ndarray, keys: np.ndarray, count: np.ndarray):
+    """``scratch`` is zero before and after; places that occur several times are
+    written several times with the same value."""
+    one, symbol = keys >> 20, keys & LAST
+    _step(model, squares, model.bands(one, symbol), model.of.band[symbol], count, PAIR_RATE)
+    which, digit, odds, place = model.digits(one, symbol)
+    np.add.at(scratch, place, (1 / (1 + np.exp(-odds)) - digit).astype(np.float32) * count[which])
     gradient = scratch[place]
     scratch[place] = 0
-    total = squares[4][place] + gradient * gradient
-    squares[4][place] = total
-    model.tables[4][place] = model.tables[4][place] - np.float32(RATE) * gradient / np.sqrt(total + np.float32(1e-6))
+    total = squares[3][place] + _power_of(gradient)
+    squares[3][place] = total
+    model.tables[3][place] = model.tables[3][place] - np.float32(PAIR_RATE) * gradient / np.sqrt(total + np.float32(1e-6))
 
 
 def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarray:
@@ -453,12 +473,19 @@ def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarr
         squares, scratch = model.parts(flat), np.zeros(1 << bits, np.float32)
         rng = np.random.default_rng(11)
 
-        def learn(found):
-            keys, counts = np.unique(np.concatenate(found), return_counts=True)
-            mixed = rng.permutation(len(keys))
-            keys, counts = keys[mixed], counts[mixed].astype(np.float32)
+        def mixed(keys):
+            keys, counts = np.unique(keys, return_counts=True)
+            order = rng.permutation(len(keys))
+            keys, counts = keys[order], counts[order].astype(np.float32)
             for i in range(0, len(keys), BATCH):
-                _update(model, squares, scratch, keys[i:i + BATCH], counts[i:i + BATCH])
+                yield keys[i:i + BATCH], counts[i:i + BATCH]
+
+        def learn(found):
+            triples = np.concatenate(found)
+            for keys, counts in mixed(_contexts(triples, model.of)):
+                _learn_contexts(model, squares, keys, counts)
+            for keys, counts in mixed(_pairs(triples)):
+                _learn_pairs(model, squares, scratch, keys, counts)
 
         found, size = [], 0
         for batch in batches:
@@ -505,18 +532,23 @@ def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarr
 
 def _log10_each(model: _Model, symbols: np.ndarray) -> np.ndarray:
     """log10 probability of each symbol of a row of documents."""
-    keys, back = np.unique(_triples(symbols), return_inverse=True)
+    triples = _triples(symbols)
+    keys, back = np.unique(_contexts(triples, model.of), return_inverse=True)
+    value = np.empty(len(keys))
+    for i in range(0, len(keys), BATCH):
+        k = keys[i:i + BATCH]
+        p = model.clusters(k >> 40, (k >> 20) & LAST)[0]
+        value[i:i + BATCH] = np.log(np.maximum(p[np.arange(len(k)), k & LAST], 1e-30))
+    out = value[back]
+    keys, back = np.unique(_pairs(triples), return_inverse=True)
     value = np.empty(len(keys))
     for i in range(0, len(keys), BATCH):
-        two, one, symbol = _split(keys[i:i + BATCH])
-        features, row = _features(two, one), np.arange(len(symbol))
-        own = np.zeros(len(symbol))
-        for p, _, _, answer in model.softmaxes(features, symbol):
-            own += np.log(np.maximum(p[row, answer], 1e-30))
-        which, digit, odds, _ = model.digits(features, symbol)
-        own -= np.bincount(which, np.log1p(np.exp(np.clip(np.where(digit == 1, -odds, odds), -60, 60))), len(symbol))
-        value[i:i + BATCH] = own / LN10
-    return value[back]
+        one, symbol = keys[i:i + BATCH] >> 20, keys[i:i + BATCH] & LAST
+        p = model.bands(one, symbol)[0]
+        own = np.log(np.maximum(p[np.arange(len(symbol)), model.of.band[symbol]], 1e-30))
+        which, digit, odds, _ = model.digits(one, symbol)
+        value[i:i + BATCH] = own - np.bincount(which, np.log1p(np.exp(np.clip(np.where(digit == 1, -odds, odds), -60, 60))), len(symbol))
+    return (out + value[back]) / LN10
 
 
 def score(rows: DataFrame, words: Vocabulary, shape: Classes, weights: np.ndarray) -> DataFrame:

@@ -263,11 +263,10 @@ def test_lm_probabilities_are_whole():
     model.flat[:] = rng.normal(0, 0.7, len(model.flat))
     every = np.arange(len(counts))
     for two, one in ((0, 0), (3, 9), (9, 151)):
-        features = lm._features(np.full(len(every), two), np.full(len(every), one))
-        total = np.ones(len(every))
-        for p, _, _, answer in model.softmaxes(features, every):
-            total *= p[every, answer]
-        which, digit, odds, place = model.digits(features, every)
+        before = np.full(len(every), one)
+        total = model.clusters(np.full(len(every), two), before)[0][every, shape.cluster]
+        total = total * model.bands(before, every)[0][every, shape.band]
+        which, digit, odds, place = model.digits(before, every)
         plain = np.ones(len(every))
         for w, d, o in zip(which, digit, odds):
             plain[w] *= 1 / (1 + math.exp(-o if d else o))
