@@ -63,6 +63,7 @@ BLOCK = 1024
 RATE, PAIR_RATE = 0.1, 0.2
 BATCH = 4096
 TASK_TOKENS = 8_000_000
+CHUNK = 1_500_000        # symbols that a task counts and learns at a time
 FLUSH = 500_000
 LN10 = np.log(10.0)
 
@@ -206,7 +207,7 @@ def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
     return source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
-def _symbol_blocks(column: pa.Array, limit: int = 500_000):
+def _symbol_blocks(column: pa.Array, limit: int = 250_000):
     """(first row, cuts, symbols) of runs of rows with about ``limit`` symbols."""
     cut = np.asarray(column.offsets).astype(np.int64)
     values = np.asarray(column.values).astype(np.int64)
@@ -492,7 +493,7 @@ def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarr
             for _, _, symbols in _symbol_blocks(batch.column("symbols")):
                 found.append(_triples(symbols))
                 size += len(symbols)
-                if size > 4_000_000:
+                if size > CHUNK:
                     learn(found)
                     found, size = [], 0
         if found:
