@@ -175,16 +175,16 @@ def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
         get = _Symbols(hot, buckets).__getitem__
         last = len(hot)
         logs = np.r_[np.log10(counts + 1.0), 0.0]  # the last: tokens that are joined later
+        end = np.array([END])
         for batch in batches:
             for first, rows in _token_rows(batch.column("text")):
                 n = len(rows)
-                symbols, rare = [], []
+                parts, rare = [], []
                 for own in rows:
-                    found = list(map(get, own))
-                    symbols += found
-                    symbols.append(END)
-                    rare.append(Counter(w for w, i in zip(own, found) if i > last))
-                symbols = np.array(symbols, np.int64)
+                    found = np.fromiter(map(get, own), np.int64, len(own))
+                    parts += (found, end)
+                    rare.append(Counter([own[i] for i in np.flatnonzero(found > last)]))
+                symbols = np.concatenate(parts)
                 size = np.array([len(own) + 1 for own in rows])
                 start = np.r_[0, np.cumsum(size)[:-1]]
                 late = symbols > last
@@ -295,7 +295,9 @@ def clusters(learnt: DataFrame, counts: np.ndarray, k: int = CLUSTERS, seeds: in
         for a, b in _neighbours(symbols):
             yield (a * k + of[b])[of[b] >= 0]
 
-    both = stored(_counted(learnt, company, n * k).select((F.col("key") / k).cast("long").alias("symbol"), (F.col("key") % k).cast("int").alias("c"), "n"))
+    # a task's table has a fixed size: parts of a fixed number of tokens
+    parts = learnt.coalesce(max(1, -(-int(counts.sum()) // TASK_TOKENS)))
+    both = stored(_counted(parts, company, n * k).select((F.col("key") / k).cast("long").alias("symbol"), (F.col("key") % k).cast("int").alias("c"), "n"))
     mass = np.zeros(k)
     for r in both.groupBy("c").agg(F.sum("n").alias("n")).collect():
         mass[r["c"]] = r["n"]
@@ -394,14 +396,15 @@ class _Model:
     def digits(self, one, symbol):
         """The binary decisions of a batch, one symbol after another: symbol of
         each, digit, log odds, place of its weight."""
-        n, length = self.of.number[symbol], self.of.band[symbol]
-        first = np.cumsum(length) - length
-        which = np.repeat(np.arange(len(symbol)), length)
-        left = length[which] - (np.arange(len(which)) - first[which])
+        n, length = self.of.number[symbol].astype(np.int32), self.of.band[symbol].astype(np.int32)
+        first = (np.cumsum(length) - length).astype(np.int32)
+        which = np.repeat(np.arange(len(symbol), dtype=np.int32), length)
+        left = (length + first)[which] - np.arange(len(which), dtype=np.int32)
         own = n[which]
-        node = _nodes(self.of.cluster[symbol][which], length[which], own >> left, self.of.bands)
-        place = ((_feature(one, ONE)[which] + mix32(node.astype(np.uint32))) & self.mask).astype(np.int64)
-        return which, (own >> (left - 1)) & 1, self.of.digit[node] + self.tables[3][place], place
+        base = _nodes(self.of.cluster[symbol], length, 0, self.of.bands).astype(np.int32)
+        node = base[which] + (own >> left)
+        place = (_feature(one, ONE)[which] + mix32(node.view(np.uint32))) & self.mask
+        return which, (own >> (left - 1)) & 1, self.of.digit[node] + self.tables[3][place], place.astype(np.int64)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
