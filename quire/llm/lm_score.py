@@ -29,8 +29,8 @@ scoring read those.  Training is one distributed pass over parts of about
 ``TASK_TOKENS`` tokens: every task counts its (two words before, cluster) and
 (word before, symbol) tuples, makes adaptive gradient updates on them in numpy
 batches and emits its tables in blocks; Spark averages each weight, weighted by
-its summed squared gradients.  Scoring evaluates each distinct tuple of a block
-once.
+its summed squared gradients.  Scoring evaluates each distinct (word before,
+symbol) pair of a block once.
 
 A null or empty text has one token, the end.  A very long text is one row of a
 task.  If nothing can be learnt from, counts are zero and all weights are: scores
@@ -537,13 +537,11 @@ def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarr
 def _log10_each(model: _Model, symbols: np.ndarray) -> np.ndarray:
     """log10 probability of each symbol of a row of documents."""
     triples = _triples(symbols)
-    keys, back = np.unique(_contexts(triples, model.of), return_inverse=True)
-    value = np.empty(len(keys))
+    keys, out = _contexts(triples, model.of), np.empty(len(triples))
     for i in range(0, len(keys), BATCH):
         k = keys[i:i + BATCH]
         p = model.clusters(k >> 40, (k >> 20) & LAST)[0]
-        value[i:i + BATCH] = np.log(np.maximum(p[np.arange(len(k)), k & LAST], 1e-30))
-    out = value[back]
+        out[i:i + BATCH] = np.log(np.maximum(p[np.arange(len(k)), k & LAST], 1e-30))
     keys, back = np.unique(_pairs(triples), return_inverse=True)
     value = np.empty(len(keys))
     for i in range(0, len(keys), BATCH):
