@@ -122,9 +122,15 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def power_pair(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n-1 of an odd base and of its inverse, modulo 2**64: prefix
+    sums over ``x * up`` give the rolling hash of any window."""
+    return _power("up", _BASE, n), _power("down", _BASE_INVERSE, n)
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of sorted, non-overlapping spans of ``data``; equal bytes
-    give equal hashes wherever they stand.  Works in segments, so memory does
+    """64-bit hashes of spans of ``data`` whose starts and ends both ascend;
+    equal bytes give equal hashes wherever they stand.  Works in segments, so memory does
     not follow the length of ``data``."""
     out = np.empty(len(starts), np.uint64)
     i, n = 0, len(starts)

@@ -1,114 +1,167 @@
 """Line dedup over content-defined chunks.
 
-Lines are the text's lines, wrapped after sentence ends.  A rolling hash runs
-over the line hashes (a window of two lines); a chunk ends where it has a local
-minimum, so a boundary depends on the lines around it only and shifts with
-them.  A physical line of ``anchor`` words or more also starts and ends a chunk,
-whatever stands beside it.  A chunk is a candidate if it has two or more lines
-and ``least`` words, or as many words as an anchor line.
-
-1. Tasks emit the hash of each candidate chunk; Spark counts them and picks
-   the first place (smallest doc_id, then place in the text) of each hash that
-   occurs twice or more.
+Lines are the text's lines, wrapped after sentence ends; a blank line belongs to
+the line before it.  A rolling hash runs over the line hashes: its window at a
+line is that line and the fewest before it that make two lines and ``least``
+words.  Of each two windows side by side the one with the lower hash wins, and
+a window that wins against a neighbour is a chunk.  The choice depends on the
+lines of the two windows only, so it shifts with them, and two windows side by
+side always hold a chunk.  A window of ``passage`` words or more, a line of
+``anchor`` words or more and a window that is a whole physical line of that size
+are chunks without winning.
+
+1. Tasks emit the hash of each chunk; Spark counts them and picks the first
+   place (smallest doc_id, then place in the text) of each hash that occurs
+   twice or more.
 2. Tasks emit the bytes of the chunks whose hash repeats (found by a bit table
-   of fixed size, at most 16 MB), and each is compared byte by byte with the
-   first one.  Equal ones are removed, the first stays.
+   of fixed size, at most 16 MB) and of the lines beside them, and each chunk
+   is compared byte by byte with the first one.  An equal one grows line by line
+   to both sides as long as the lines are equal to those beside the first one,
+   and is removed; the first stays.
 3. Documents are rewritten without the removed chunks; everything else stays
    as it was, to the byte.
 
-A chunk at the edge of a repeated passage that also holds other lines is not
-repeated and stays, unless the passage begins or ends with an anchor line.
-White space at either end of a chunk does not count in the comparison, but goes
-with the chunk.  Only chunk hashes and repeated chunks are shuffled, and each
-text once, for rewriting.  A null text stays null and has no chunk.  Rows equal
-in id and text are one document: all are rewritten alike.  A document of which
-all chunks stand elsewhere keeps its row with an empty text.
+So a run of whole lines that stands elsewhere is removed to its last line if it
+has ``passage`` words on two lines, or three lines and ``least`` words in its
+first two and last two; a line goes alone from ``anchor`` words on.  Each removed
+line has an equal one at an earlier place, so one copy of every line stays.
+The part of a line in which a passage begins or ends stays.  White space at
+either end of a line does not count in the comparison, but goes with the chunk.
+Only chunk hashes and repeated chunks with their neighbours are shuffled, and
+each text once, for rewriting.  A null text stays null and has no chunk.  Rows
+equal in id and text are one document: all are rewritten alike.  A very long
+text is one block of work, its chunks stay small.  A document of which all
+chunks stand elsewhere keeps its row with an empty text.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrays import IS_NOT_SPACE, IS_SPACE, U64, blocks, byte_set, mix64, rows_of, span_hash
+from quire.llm.arrays import IS_NOT_SPACE, IS_SPACE, U64, blocks, byte_set, mix64, power_pair, rows_of, span_hash
 from quire.llm.frames import documents_of, stored, text_key
 
 ANCHOR = 30
 LEAST = 12
+PASSAGE = 50
 MOST_BITS = 27
 ENDS = byte_set(b".!?")
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, anchor: int = ANCHOR, least: int = LEAST):
-    """Candidate chunks of a block: (rows, starts, ends, content starts,
-    content ends), byte places in the block."""
+class Lines(NamedTuple):
+    """The wrapped lines of a block that hold a word."""
+    rows: np.ndarray
+    starts: np.ndarray   # bytes, white space included
+    ends: np.ndarray
+    x: np.ndarray        # bytes from the first to the last that is no white space
+    y: np.ndarray
+    words: np.ndarray    # words before the line, and in all lines at the end
+    first: np.ndarray    # first line of the same row
+    stop: np.ndarray     # line behind the last one of the same row
+    line_first: np.ndarray  # first line of the same physical line
+    line_last: np.ndarray   # whether it ends its physical line
+
+
+class Chunks(NamedTuple):
+    """Chunks as line numbers, and whether the lines beside them are of use."""
+    first: np.ndarray
+    last: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    hash: np.ndarray
+
+
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
     n = len(data)
-    none = np.empty(0, np.int64)
-    if n == 0:
-        return none, none, none, none, none
     row_start = np.zeros(n + 1, bool)
     row_start[offsets] = True
-    stop = np.zeros(n + 1, bool)  # a line ends before this byte
-    newline = np.flatnonzero(data == 10) + 1
-    stop[newline] = True
-    sentence = np.flatnonzero(ENDS[data[:-1]] & (data[1:] == 32) & ~row_start[1:n])
-    stop[sentence + 2] = True
-    stop |= row_start
+    stop = row_start.copy()
+    stop[np.flatnonzero(data == 10) + 1] = True
+    stop[np.flatnonzero(ENDS[data[:-1]] & (data[1:] == 32) & ~row_start[1:n]) + 2] = True
+    full = IS_NOT_SPACE[data]
+    seen = np.r_[0, np.cumsum(full & (np.r_[True, IS_SPACE[data[:-1]]] | row_start[:n]))]
     ends = np.flatnonzero(stop[1:]) + 1
+    # blank lines join the line before, those at the start of a text the first one
+    words = np.diff(seen[np.r_[0, ends]])
+    blank_so_far = seen[ends] == seen[offsets[rows_of(offsets, ends - 1)]]
+    ends = ends[row_start[ends] | (np.r_[words[1:] > 0, True] & ~blank_so_far)]
     starts = np.r_[0, ends[:-1]]
+    good = seen[ends] > seen[starts]
+    starts, ends = starts[good], ends[good]
     rows = rows_of(offsets, starts)
-    full = IS_NOT_SPACE[data]
-    first_byte = full & (np.r_[True, IS_SPACE[data[:-1]]] | row_start[:n])
-    seen = np.r_[0, np.cumsum(first_byte)]
-    words = seen[ends] - seen[starts]
-    # physical lines, and whether they are anchors
-    last = (data[ends - 1] == 10) | row_start[ends]
-    line = np.r_[0, np.cumsum(last)[:-1]]
-    big = np.bincount(line, words)[line] >= anchor
-    begins = np.r_[True, last[:-1]]
     m = len(ends)
-    forced = row_start[ends] | (last & big)
-    forced[:-1] |= begins[1:] & big[1:]
-    # rolling hash over two lines of one row, and its local minima
-    h = span_hash(data, starts, ends)
-    before = np.r_[U64(0), h[:-1]]
-    before[np.r_[True, rows[1:] != rows[:-1]]] = 0
-    rolled = mix64(h * U64(0x9E3779B97F4A7C15) + before)
-    low = np.zeros(m, bool)
-    low[1:-1] = (rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] < rolled[2:])
-    low[1:] &= ~forced[:-1]   # would leave one line before it
-    low[:-1] &= ~forced[1:]   # would leave one line behind it
-    cut = np.flatnonzero(forced | low)
-    c_last = cut
-    c_first = np.r_[0, cut[:-1] + 1]
-    c_words = seen[ends[c_last]] - seen[starts[c_first]]
-    good = ((c_last > c_first) & (c_words >= least)) | (c_words >= anchor)
-    c_first, c_last = c_first[good], c_last[good]
-    a, b = starts[c_first], ends[c_last]
     solid = np.flatnonzero(full)
-    content_a = solid[np.searchsorted(solid, a)] if len(a) else none
-    content_b = solid[np.searchsorted(solid, b) - 1] + 1 if len(a) else none
-    return rows[c_first], a, b, content_a, content_b
+    index = np.arange(m)
+    new_row = np.r_[True, rows[1:] != rows[:-1]] if m else np.zeros(0, bool)
+    last = np.r_[new_row[1:], True] | (data[ends - 1] == 10) if m else new_row
+    new_line = np.r_[True, last[:-1]] if m else new_row
+    return Lines(rows, starts, ends, solid[np.searchsorted(solid, starts)], solid[np.searchsorted(solid, ends) - 1] + 1,
+                 np.r_[0, np.cumsum(seen[ends] - seen[starts])], np.maximum.accumulate(np.where(new_row, index, 0)),
+                 np.searchsorted(rows, rows, "right"), np.maximum.accumulate(np.where(new_line, index, 0)), last)
+
+
+def chunks(data: np.ndarray, lines: Lines, anchor: int = ANCHOR, least: int = LEAST, passage: int = PASSAGE) -> Chunks:
+    """The chunks of one or more lines: windows, then lines that are chunks alone."""
+    m = len(lines.rows)
+    index = np.arange(m)
+    total = lines.words
+    begin = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, index - 1)
+    whole = begin >= lines.first
+    begin = np.maximum(begin, lines.first)
+    up, down = power_pair(m + 1)
+    sums = np.r_[U64(0), np.cumsum(span_hash(data, lines.x, lines.y) * up[:m])]
+    rolled = mix64((sums[1:] - sums[begin]) * down[begin])
+    beside = whole[1:] & whole[:-1] & (lines.rows[1:] == lines.rows[:-1])
+    lower = rolled[:-1] < rolled[1:]
+    beats_next = np.r_[beside & lower, False]
+    beats_last = np.r_[False, beside & ~lower]
+    no_last, no_next = ~np.r_[False, beside], ~np.r_[beside, False]
+    size = total[1:] - total[begin]
+    forced = (size >= passage) | ((begin == lines.line_first) & lines.line_last & (size >= anchor))
+    w = np.flatnonzero(whole & (beats_next | beats_last | (no_last & no_next) | forced))
+    # a neighbour that wins covers the line beside the window wherever both stand together
+    # (one of three lines or more may not: it can begin with lines of its own)
+    long_last = (index - begin > 1) | (total[:-1] - total[np.maximum(begin - 1, 0)] < least)
+    before = (beats_last | no_last | long_last)[w]
+    after = (beats_next | no_next)[w]
+    s = np.flatnonzero(np.diff(total) >= anchor)
+    yes = np.ones(len(s), bool)
+    return Chunks(np.r_[begin[w], s], np.r_[w, s], np.r_[before, yes], np.r_[after, yes],
+                  np.r_[span_hash(data, lines.x[begin[w]], lines.y[w]), span_hash(data, lines.x[s], lines.y[s])])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return documents_of(docs).withColumn("key", text_key())
 
 
+def _blocks_of(batch):
+    """(block bytes, row offsets, lines, chunks, batch rows of the chunks)."""
+    for first, data, offsets in blocks(batch.column("text")):
+        if len(data):
+            lines = lines_of(data, offsets)
+            if not len(lines.rows):
+                continue
+            c = chunks(data, lines)
+            yield data, offsets, lines, c, first + lines.rows[c.first]
+
+
 def chunk_hashes(docs: DataFrame) -> DataFrame:
-    """hash, doc_id, key, at: every candidate chunk."""
+    """hash, doc_id, key, at: every chunk."""
     source = _keyed(docs)
 
     def run(batches):
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key")
-            for first, data, offsets in blocks(batch.column("text")):
-                rows, a, _, x, y = chunks(data, offsets)
-                pick = pa.array(first + rows)
-                yield pa.RecordBatch.from_arrays([pa.array(span_hash(data, x, y).view(np.int64)), ids.take(pick), keys.take(pick),
-                                                  pa.array(a - offsets[rows])], ["hash", "doc_id", "key", "at"])
+            for _, offsets, lines, c, rows in _blocks_of(batch):
+                pick = pa.array(rows)
+                at = lines.starts[c.first] - offsets[lines.rows[c.first]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), ids.take(pick), keys.take(pick), pa.array(at)],
+                                                 ["hash", "doc_id", "key", "at"])
 
     long = F.lit(0).cast("long")
     return source.mapInArrow(run, source.select(long.alias("hash"), "doc_id", "key", long.alias("at")).schema)
@@ -126,7 +179,9 @@ def _bit_table(hashes: DataFrame) -> np.ndarray:
 
 
 def chunk_bytes(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """hash, doc_id, key, at, end, content of the chunks that pass the table."""
+    """hash, doc_id, key, at, end, content of the chunks that pass the table,
+    with the lines before (nearest first; where they start, content) and after
+    them (where they end, content) that hold ``LEAST`` words."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     source = _keyed(docs)
 
@@ -135,39 +190,89 @@ def chunk_bytes(docs: DataFrame, table: np.ndarray) -> DataFrame:
         shift = U64(64 - (len(bits) * 64).bit_length() + 1)
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key")
-            for first, data, offsets in blocks(batch.column("text")):
-                rows, a, b, x, y = chunks(data, offsets)
-                h = span_hash(data, x, y)
-                p = h >> shift
+            for data, offsets, lines, c, rows in _blocks_of(batch):
+                p = c.hash >> shift
                 at = np.flatnonzero((bits[p >> U64(6)] >> (p & U64(63))) & U64(1) == 1)
-                pick = pa.array(first + rows[at])
-                content = [data[i:j].tobytes() for i, j in zip(x[at], y[at])]
+                i, j = c.first[at], c.last[at]
+                base = offsets[lines.rows[i]]
+                total = lines.words
+                far = np.searchsorted(total, total[i] - LEAST, "right") - 1
+                low = np.where(c.before[at], np.maximum(np.minimum(far, i - 1), lines.first[i]), i)
+                far = np.searchsorted(total, total[j + 1] + LEAST)
+                high = np.where(c.after[at], np.minimum(np.maximum(far, j + 2), lines.stop[j]), j + 1)
+                starts, ends, x, y = (v.tolist() for v in (lines.starts, lines.ends, lines.x, lines.y))
+                raw = data.tobytes()
+                before = [range(f - 1, k - 1, -1) for f, k in zip(i.tolist(), low.tolist())]
+                after = [range(l + 1, k) for l, k in zip(j.tolist(), high.tolist())]
+                pick = pa.array(rows[at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), ids.take(pick), keys.take(pick), pa.array((a - offsets[rows])[at]),
-                     pa.array((b - offsets[rows])[at]), pa.array(content, pa.binary())], ["hash", "doc_id", "key", "at", "end", "content"])
-
-    long = F.lit(0).cast("long")
-    schema = source.select(long.alias("hash"), "doc_id", "key", long.alias("at"), long.alias("end"),
-                           F.lit(b"").alias("content")).schema
+                    [pa.array(c.hash[at].view(np.int64)), ids.take(pick), keys.take(pick),
+                     pa.array(lines.starts[i] - base), pa.array(lines.ends[j] - base),
+                     pa.array([raw[x[f]:y[l]] for f, l in zip(i.tolist(), j.tolist())], pa.binary()),
+                     pa.array([[starts[k] - b for k in r] for r, b in zip(before, base.tolist())], pa.list_(pa.int64())),
+                     pa.array([[raw[x[k]:y[k]] for k in r] for r in before], pa.list_(pa.binary())),
+                     pa.array([[ends[k] - b for k in r] for r, b in zip(after, base.tolist())], pa.list_(pa.int64())),
+                     pa.array([[raw[x[k]:y[k]] for k in r] for r in after], pa.list_(pa.binary()))],
+                    ["hash", "doc_id", "key", "at", "end", "content", "starts", "before", "ends", "after"])
+
+    long, none = F.lit(0).cast("long"), F.lit(b"")
+    schema = source.select(long.alias("hash"), "doc_id", "key", long.alias("at"), long.alias("end"), none.alias("content"),
+                           F.array(long).alias("starts"), F.array(none).alias("before"),
+                           F.array(long).alias("ends"), F.array(none).alias("after")).schema
     return source.mapInArrow(run, schema)
 
 
+def _grown(pairs: DataFrame) -> DataFrame:
+    """doc_id, key, at, end of chunks equal to the first one, with the equal
+    lines on both sides."""
+    def reach(edge, places, own, other):
+        for place, a, b in zip(places, own, other):
+            if a != b:
+                break
+            edge = place
+        return edge
+
+    def run(batches):
+        for batch in batches:
+            at, end, starts, before, ends, after, first_before, first_after = (
+                batch.column(c).to_pylist() for c in ("at", "end", "starts", "before", "ends", "after", "first_before", "first_after"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"),
+                 pa.array([reach(*r) for r in zip(at, starts, before, first_before)], pa.int64()),
+                 pa.array([reach(*r) for r in zip(end, ends, after, first_after)], pa.int64())], ["doc_id", "key", "at", "end"])
+
+    return pairs.mapInArrow(run, pairs.select("doc_id", "key", "at", "end").schema)
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """r_id, r_key, spans: per document the byte spans to remove."""
+    """r_id, r_key, spans: per document the byte spans to remove; they may
+    overlap."""
     place = F.struct("doc_id", "key", "at")
     firsts = stored(chunk_hashes(docs).groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
                     .where("n > 1").select("hash", "first"))
     found = stored(chunk_bytes(docs, _bit_table(firsts.select("hash"))).join(firsts, "hash")
                    .withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"))
-    kept = found.where("is_first").select("hash", F.col("content").alias("first_content")).dropDuplicates(["hash"])
-    return (found.where("NOT is_first").join(kept, "hash").where(F.col("content") == F.col("first_content"))
-            .groupBy(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"))
+    kept = found.where("is_first").select("hash", *[F.col(c).alias(f"first_{c}") for c in ("content", "before", "after")])
+    pairs = (found.where("NOT is_first").join(kept.dropDuplicates(["hash"]), "hash")
+             .where(F.col("content") == F.col("first_content")).drop("hash", "content", "first_content", "is_first"))
+    return (_grown(pairs).groupBy(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"))
             .agg(F.array_sort(F.collect_set(F.struct("at", "end"))).alias("spans")))
 
 
+def merged(spans) -> list[tuple[int, int]]:
+    """Sorted spans without overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for span in spans or ():
+        if out and span["at"] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], span["end"]))
+        else:
+            out.append((span["at"], span["end"]))
+    return out
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """Every row, with its columns: ``text`` without the repeated chunks, and
-    ``removed_chunks`` and ``removed_chars`` (long) in a struct ``dedup``."""
+    """text without the repeated chunks, removed_chunks (removed spans),
+    removed_bytes (long), and the other columns in a struct ``rest``."""
     others = [c for c in docs.columns if c != "text"]
     rest = F.struct(*others) if others else F.struct(F.lit(1).alias("none"))
     whole = docs.select("text", F.col("doc_id").alias("own_id"), text_key().alias("own_key"), rest.alias("rest"))
@@ -177,19 +282,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+            texts = batch.column("text").to_pylist()
+            spans = [merged(s) for s in batch.column("spans").to_pylist()]
             for i, s in enumerate(spans):
                 if not s or texts[i] is None:
                     continue
                 raw, kept, at = texts[i].encode(), [], 0
-                for span in s:
-                    kept.append(raw[at:span["at"]])
-                    at = span["end"]
+                for start, end in s:
+                    kept.append(raw[at:start])
+                    at = end
                 kept.append(raw[at:])
                 texts[i] = b"".join(kept).decode()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()), pa.array([len(s or ()) for s in spans], pa.int64()),
-                 pa.array([sum(x["end"] - x["at"] for x in s or ()) for s in spans], pa.int64()), batch.column("rest")],
+                [pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()),
+                 pa.array([sum(end - start for start, end in s) for s in spans], pa.int64()), batch.column("rest")],
                 ["text", "removed_chunks", "removed_bytes", "rest"])
 
     long = F.lit(0).cast("long")

@@ -113,29 +113,94 @@ def test_empty_tables(spark, docs, labels):
 def test_line_dedup_removes_the_second_copy_only(spark, docs):
     got = {r.doc_id: r for r in line_dedup_rows(docs).collect()}
     assert got[1].text == ROWS[0][1] and got[1].removed_chunks == 0
-    # edge chunks hold lines of either document and stay; nothing unique goes
-    assert got[2].removed_chunks > 0 and got[2].text.count("shared passage") <= 3 and "Another ending follows" in got[2].text
+    assert got[2].text == "Another ending follows the shared part of this text." and got[2].removed_chunks == 1
     assert got[3].text is None and got[4].text == "" and got[9].text == ROWS[9][1]
     staged = line_dedup_stage(spark, docs, SMOKE)
     assert staged.columns == docs.columns and staged.count() == len(ROWS)
     assert all(r.n_chars == len(r.text or "") for r in staged.collect())
 
 
-def test_line_dedup_brute_force(spark):
+def plain_lines(text):
+    """Lines wrapped after sentence ends, without white space; blank ones are none."""
+    pieces = [x for line in (text or "").split("\n") for x in re.split("(?<=[.!?]) ", line)]
+    return [x for x in (p.strip(" \t\n\v\f\r") for p in pieces) if x]
+
+
+def test_line_dedup_keeps_one_copy_of_every_line(spark):
     documents = tables(spark)[0]
     source = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
-    seen, expected = set(), {}
+    got = {r.doc_id: r for r in line_dedup_rows(documents).collect()}
+    assert got.keys() == source.keys()
+    before, after = collections.Counter(), collections.Counter()
+    removed = collections.defaultdict(collections.Counter)
+    for i in sorted(source):
+        old, new = collections.Counter(plain_lines(source[i])), collections.Counter(plain_lines(got[i].text))
+        assert not new - old and len((source[i] or "").encode()) - len((got[i].text or "").encode()) == got[i].removed_bytes
+        removed[i] = old - new
+        before += old
+        after += new
+    assert before.keys() == after.keys() and sum(map(len, removed.values())) > 0
+    # whatever goes stands in a document before, or twice in its own
+    seen = collections.Counter()
     for i in sorted(source):
-        raw = source[i].encode()
-        rows, a, b, x, y = line_dedup.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        kept, at = [], 0
-        for p, q, u, v in zip(a, b, x, y):
-            if raw[u:v] in seen:
-                kept.append(raw[at:p])
-                at = q
-            seen.add(raw[u:v])
-        expected[i] = b"".join([*kept, raw[at:]]).decode()
-    assert {r.doc_id: r.text for r in line_dedup_rows(documents).collect()} == expected
+        old = collections.Counter(plain_lines(source[i]))
+        assert all(seen[x] or old[x] > 1 for x in removed[i])
+        seen += old
+
+
+def test_line_dedup_finds_planted_passages_to_the_last_line(spark):
+    rng = np.random.default_rng(7)
+
+    def line(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(n))
+
+    passages, rows, marks = [], [], []
+    for size, per_line in ((60, 20), (100, 20), (160, 20), (600, 20), (60, 4), (200, 7), (52, 26), (55, 55), (60, 12)):
+        for _ in range(15):
+            passages.append([line(per_line) for _ in range(size // per_line)])
+    place = [(k, c) for k in range(len(passages)) for c in range(3)]
+    for n, at in enumerate(rng.permutation(len(place))):
+        k, copy = place[at]
+        around = [[line(int(w)) for w in rng.integers(2, 25, int(rng.integers(1, 6)))] for _ in range(2)]
+        gap = ("\n", " \n", "\r\n")[copy] if len(passages[k]) == 1 else "\n"
+        rows.append((n, gap.join([*around[0], *passages[k], *around[1]])))
+        marks.append((n, k, around))
+    got = {r.doc_id: r.text for r in line_dedup_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    first = {}
+    for n, k, around in marks:
+        left = plain_lines(got[n])
+        assert [x for x in left if x not in passages[k]] == [*around[0], *around[1]]
+        here = [x for x in left if x in passages[k]]
+        assert here == (passages[k] if first.setdefault(k, n) == n else [])
+
+
+def test_line_dedup_chunks_do_not_depend_on_their_surroundings():
+    rng = np.random.default_rng(3)
+    core = [" ".join(f"w{x}" for x in rng.integers(0, 50, int(n))) for n in rng.integers(1, 30, 40)]
+
+    def inside(texts):
+        raw = "\n".join(texts).encode()
+        lines = line_dedup.lines_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        c = line_dedup.chunks(np.frombuffer(raw, np.uint8), lines)
+        return {raw[lines.x[i]:lines.y[j]].decode() for i, j in zip(c.first, c.last)}
+
+    alone, shifted = inside(core), inside(["other words come first", *core, "and others last"])
+    middle = "\n".join(core[8:-8])
+    assert {x for x in alone if x in middle} == {x for x in shifted if x in middle} and len(alone) > 10
+
+
+def test_line_dedup_defined_cases(spark):
+    long_line = " ".join(f"n{i}" for i in range(40))
+    rows = [(1, f"x\n{long_line}", 0), (1, f"x\n{long_line}", 0), (2, f"{long_line}\n\n\n", 1), (3, None, 2), (3, "", 2), (4, " \n\t\n", 3),
+            (None, f"  {long_line}  ", 4), (5, f"{long_line}\n{long_line}\nend", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at long")
+    for name in ("key", "row", "own_id", "hash", "spans", "rest", "r_id", "content", "before", "end"):
+        docs = docs.withColumn(name, F.lit(name))
+    staged = line_dedup_stage(spark, docs, SMOKE)
+    assert staged.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in staged.collect())
+    # a null id sorts first and keeps its copy; repeated rows are rewritten alike
+    assert got == collections.Counter({(1, "x\n"): 2, (2, ""): 1, (3, None): 1, (3, ""): 1, (4, " \n\t\n"): 1, (None, f"  {long_line}  "): 1, (5, "end"): 1})
 
 
 def test_quality_rules_on_hostile_rows(spark, docs):
