@@ -13,13 +13,13 @@ are chunks without winning.
 1. Tasks emit the hash of each chunk; Spark counts them and picks the first
    place (smallest doc_id, then place in the text) of each hash that occurs
    twice or more.
-2. Tasks emit the bytes of the chunks whose hash repeats (found by a bit table
-   of fixed size, at most 16 MB) and of the lines beside them, and each chunk
-   is compared byte by byte with the first one.  An equal one grows line by line
-   to both sides as long as the lines are equal to those beside the first one,
-   and is removed; the first stays.
-3. Documents are rewritten without the removed chunks; everything else stays
-   as it was, to the byte.
+2. Tasks emit the places of the chunks whose hash repeats (found by a bit table
+   of fixed size, at most 16 MB), which meet their first places.  Chunks that
+   lie side by side here and there make one part, with the lines beside it.
+3. Each part gets the bytes at its first place, and is compared with them line
+   by line, byte by byte, where the document is rewritten: a chunk grows to both
+   sides as long as the lines are equal.  Equal lines go, the first ones stay;
+   everything else stays as it was, to the byte.
 
 So a run of whole lines that stands elsewhere is removed to its last line if it
 has ``passage`` words on two lines, or three lines and ``least`` words in its
@@ -27,8 +27,8 @@ first two and last two; a line goes alone from ``anchor`` words on.  Each remove
 line has an equal one at an earlier place, so one copy of every line stays.
 The part of a line in which a passage begins or ends stays.  White space at
 either end of a line does not count in the comparison, but goes with the chunk.
-Only chunk hashes and repeated chunks with their neighbours are shuffled, and
-each text once, for rewriting.  A null text stays null and has no chunk.  Rows
+Shuffled are chunk hashes and places, repeated parts once, and each text twice:
+to be read at first places, and to be rewritten.  A null text stays null and has no chunk.  Rows
 equal in id and text are one document: all are rewritten alike.  A very long
 text is one block of work, its chunks stay small.  A document of which all
 chunks stand elsewhere keeps its row with an empty text.
@@ -36,11 +36,12 @@ chunks stand elsewhere keeps its row with an empty text.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.arrays import IS_NOT_SPACE, IS_SPACE, U64, blocks, byte_set, mix64, power_pair, rows_of, span_hash
@@ -50,6 +51,7 @@ ANCHOR = 30
 LEAST = 12
 PASSAGE = 50
 MOST_BITS = 27
+MARGIN = 4  # bytes beside a part that tell whether its lines end there
 ENDS = byte_set(b".!?")
 
 
@@ -130,8 +132,8 @@ def chunks(data: np.ndarray, lines: Lines, anchor: int = ANCHOR, least: int = LE
     before = (beats_last | no_last | long_last)[w]
     after = (beats_next | no_next)[w]
     s = np.flatnonzero(np.diff(total) >= anchor)
-    yes = np.ones(len(s), bool)
-    return Chunks(np.r_[begin[w], s], np.r_[w, s], np.r_[before, yes], np.r_[after, yes],
+    no = np.zeros(len(s), bool)
+    return Chunks(np.r_[begin[w], s], np.r_[w, s], np.r_[before, no], np.r_[after, no],
                   np.r_[span_hash(data, lines.x[begin[w]], lines.y[w]), span_hash(data, lines.x[s], lines.y[s])])
 
 
@@ -140,14 +142,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _blocks_of(batch):
-    """(block bytes, row offsets, lines, chunks, batch rows of the chunks)."""
+    """(row offsets, lines, chunks, batch rows of the chunks) of each block."""
     for first, data, offsets in blocks(batch.column("text")):
         if len(data):
             lines = lines_of(data, offsets)
             if not len(lines.rows):
                 continue
             c = chunks(data, lines)
-            yield data, offsets, lines, c, first + lines.rows[c.first]
+            yield offsets, lines, c, first + lines.rows[c.first]
 
 
 def chunk_hashes(docs: DataFrame) -> DataFrame:
@@ -157,9 +159,9 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key")
-            for _, offsets, lines, c, rows in _blocks_of(batch):
+            for offsets, lines, c, rows in _blocks_of(batch):
                 pick = pa.array(rows)
-                at = lines.starts[c.first] - offsets[lines.rows[c.first]]
+                at = lines.x[c.first] - offsets[lines.rows[c.first]]
                 yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), ids.take(pick), keys.take(pick), pa.array(at)],
                                                  ["hash", "doc_id", "key", "at"])
 
@@ -178,10 +180,14 @@ def _bit_table(hashes: DataFrame) -> np.ndarray:
     return table
 
 
-def chunk_bytes(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """hash, doc_id, key, at, end, content of the chunks that pass the table,
-    with the lines before (nearest first; where they start, content) and after
-    them (where they end, content) that hold ``LEAST`` words."""
+def _name(column: str = "doc_id") -> Column:
+    """The id as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def chunk_places(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """hash, doc_id, key, at, end of the chunks that pass the table; low and
+    high enclose the chunk and the lines beside it that hold ``LEAST`` words."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     source = _keyed(docs)
 
@@ -190,84 +196,83 @@ def chunk_bytes(docs: DataFrame, table: np.ndarray) -> DataFrame:
         shift = U64(64 - (len(bits) * 64).bit_length() + 1)
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key")
-            for data, offsets, lines, c, rows in _blocks_of(batch):
+            for offsets, lines, c, rows in _blocks_of(batch):
                 p = c.hash >> shift
-                at = np.flatnonzero((bits[p >> U64(6)] >> (p & U64(63))) & U64(1) == 1)
-                i, j = c.first[at], c.last[at]
-                base = offsets[lines.rows[i]]
-                total = lines.words
+                k = np.flatnonzero((bits[p >> U64(6)] >> (p & U64(63))) & U64(1) == 1)
+                i, j, total = c.first[k], c.last[k], lines.words
                 far = np.searchsorted(total, total[i] - LEAST, "right") - 1
-                low = np.where(c.before[at], np.maximum(np.minimum(far, i - 1), lines.first[i]), i)
-                far = np.searchsorted(total, total[j + 1] + LEAST)
-                high = np.where(c.after[at], np.minimum(np.maximum(far, j + 2), lines.stop[j]), j + 1)
-                starts, ends, x, y = (v.tolist() for v in (lines.starts, lines.ends, lines.x, lines.y))
-                raw = data.tobytes()
-                before = [range(f - 1, k - 1, -1) for f, k in zip(i.tolist(), low.tolist())]
-                after = [range(l + 1, k) for l, k in zip(j.tolist(), high.tolist())]
-                pick = pa.array(rows[at])
+                low = np.where(c.before[k], np.maximum(np.minimum(far, i - 1), lines.first[i]), i)
+                far = np.searchsorted(total, total[j + 1] + LEAST) - 1
+                high = np.where(c.after[k], np.minimum(np.maximum(far, j + 1), lines.stop[j] - 1), j)
+                base, pick = offsets[lines.rows[i]], pa.array(rows[k])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.hash[at].view(np.int64)), ids.take(pick), keys.take(pick),
-                     pa.array(lines.starts[i] - base), pa.array(lines.ends[j] - base),
-                     pa.array([raw[x[f]:y[l]] for f, l in zip(i.tolist(), j.tolist())], pa.binary()),
-                     pa.array([[starts[k] - b for k in r] for r, b in zip(before, base.tolist())], pa.list_(pa.int64())),
-                     pa.array([[raw[x[k]:y[k]] for k in r] for r in before], pa.list_(pa.binary())),
-                     pa.array([[ends[k] - b for k in r] for r, b in zip(after, base.tolist())], pa.list_(pa.int64())),
-                     pa.array([[raw[x[k]:y[k]] for k in r] for r in after], pa.list_(pa.binary()))],
-                    ["hash", "doc_id", "key", "at", "end", "content", "starts", "before", "ends", "after"])
-
-    long, none = F.lit(0).cast("long"), F.lit(b"")
-    schema = source.select(long.alias("hash"), "doc_id", "key", long.alias("at"), long.alias("end"), none.alias("content"),
-                           F.array(long).alias("starts"), F.array(none).alias("before"),
-                           F.array(long).alias("ends"), F.array(none).alias("after")).schema
-    return source.mapInArrow(run, schema)
-
-
-def _grown(pairs: DataFrame) -> DataFrame:
-    """doc_id, key, at, end of chunks equal to the first one, with the equal
-    lines on both sides."""
-    def reach(edge, places, own, other):
-        for place, a, b in zip(places, own, other):
-            if a != b:
-                break
-            edge = place
-        return edge
+                    [pa.array(c.hash[k].view(np.int64)), ids.take(pick), keys.take(pick), *(
+                        pa.array(v - base) for v in (lines.x[i], lines.y[j], lines.x[low], lines.y[high]))],
+                    ["hash", "doc_id", "key", "at", "end", "low", "high"])
 
-    def run(batches):
-        for batch in batches:
-            at, end, starts, before, ends, after, first_before, first_after = (
-                batch.column(c).to_pylist() for c in ("at", "end", "starts", "before", "ends", "after", "first_before", "first_after"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"),
-                 pa.array([reach(*r) for r in zip(at, starts, before, first_before)], pa.int64()),
-                 pa.array([reach(*r) for r in zip(end, ends, after, first_after)], pa.int64())], ["doc_id", "key", "at", "end"])
-
-    return pairs.mapInArrow(run, pairs.select("doc_id", "key", "at", "end").schema)
+    long = F.lit(0).cast("long")
+    return source.mapInArrow(run, source.select(long.alias("hash"), "doc_id", "key", *[
+        long.alias(c) for c in ("at", "end", "low", "high")]).schema)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """r_id, r_key, spans: per document the byte spans to remove; they may
-    overlap."""
+def repeated_parts(docs: DataFrame) -> DataFrame:
+    """name, key, parts: per document the parts whose chunks stand elsewhere
+    (low, high), with the bytes there and their place in this text (from)."""
     place = F.struct("doc_id", "key", "at")
     firsts = stored(chunk_hashes(docs).groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
                     .where("n > 1").select("hash", "first"))
-    found = stored(chunk_bytes(docs, _bit_table(firsts.select("hash"))).join(firsts, "hash")
-                   .withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"))
-    kept = found.where("is_first").select("hash", *[F.col(c).alias(f"first_{c}") for c in ("content", "before", "after")])
-    pairs = (found.where("NOT is_first").join(kept.dropDuplicates(["hash"]), "hash")
-             .where(F.col("content") == F.col("first_content")).drop("hash", "content", "first_content", "is_first"))
-    return (_grown(pairs).groupBy(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"))
-            .agg(F.array_sort(F.collect_set(F.struct("at", "end"))).alias("spans")))
-
-
-def merged(spans) -> list[tuple[int, int]]:
-    """Sorted spans without overlap or touch."""
-    out: list[tuple[int, int]] = []
-    for span in spans or ():
-        if out and span["at"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], span["end"]))
-        else:
-            out.append((span["at"], span["end"]))
-    return out
+    later = (chunk_places(docs, _bit_table(firsts.select("hash"))).join(firsts, "hash").where(~place.eqNullSafe(F.col("first")))
+             .select(_name().alias("name"), "key", _name("first.doc_id").alias("f_name"), F.col("first.key").alias("f_key"),
+                     (F.col("at") - F.col("first.at")).alias("shift"), "at", "low", "high"))
+    # chunks whose first places lie side by side, too, make one part
+    same = Window.partitionBy("name", "key", "f_name", "f_key", "shift").orderBy("at", "high")
+    gap = F.coalesce(F.col("low") > F.max("high").over(same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    part = ["name", "key", "f_name", "f_key", "shift", "part"]
+    parts = (later.withColumn("gap", gap.cast("long")).withColumn("part", F.sum("gap").over(same))
+             .groupBy(*part).agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    texts = _keyed(docs).select(_name().alias("f_name"), F.col("key").alias("f_key"), F.col("text").cast("binary").alias("bytes"))
+    start = F.greatest(F.col("low") - F.col("shift") - MARGIN, F.lit(0))
+    length = F.col("high") - F.col("shift") + MARGIN - start
+    return (parts.join(texts.dropDuplicates(["f_name", "f_key"]), ["f_name", "f_key"])
+            .select("name", "key", F.struct("low", "high", (start + F.col("shift")).alias("from"), (start == 0).alias("is_start"),
+                                            (start + length >= F.length("bytes")).alias("is_end"),
+                                            F.substring("bytes", (start + 1).cast("int"), length.cast("int")).alias("bytes")).alias("part"))
+            .groupBy("name", "key").agg(F.collect_list("part").alias("parts")))
+
+
+def _whole_line(there: bytes, a: int, b: int, is_start: bool, is_end: bool) -> bool:
+    """Whether the bytes a to b are a line of ``there`` from end to end."""
+    k, e = a, b
+    while k and there[k - 1] in b" \t\r\v\f":
+        k -= 1
+    while e < len(there) and there[e] in b" \t\r\v\f":
+        e += 1
+    begins = there[k - 1] == 10 or (there[k - 1] in b".!?" and there[k] == 32 and k < a) if k else is_start
+    ends = there[e] == 10 or (there[b - 1] in b".!?" and there[b] == 32) if e < len(there) else is_end
+    return begins and ends
+
+
+def removed_spans(raw: bytes, parts) -> list[tuple[int, int]]:
+    """Byte spans of ``raw`` to remove: streaks of lines equal to the lines at
+    the same places of a part, with ``LEAST`` words on two lines or ``ANCHOR``
+    words; sorted, without overlap or touch."""
+    lines = lines_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    starts, ends, x, y, words = (v.tolist() for v in (lines.starts, lines.ends, lines.x, lines.y, lines.words))
+    gone = np.zeros(len(starts) + 1, bool)
+    for p in parts:
+        there, base = p["bytes"], p["from"]
+        first, last = bisect_left(x, p["low"]), bisect_right(y, p["high"])
+        begin = first
+        for i in range(first, last + 1):
+            a = x[i] - base if i < last else -1
+            if a >= 0 and there[a:y[i] - base] == raw[x[i]:y[i]] and _whole_line(there, a, y[i] - base, p["is_start"], p["is_end"]):
+                continue
+            size = words[i] - words[begin]
+            if (size >= LEAST and i - begin > 1) or size >= ANCHOR:
+                gone[begin:i] = True
+            begin = i + 1
+    edges = np.flatnonzero(np.diff(np.r_[False, gone].astype(np.int8))).tolist()
+    return [(starts[i], ends[j - 1]) for i, j in zip(edges[::2], edges[1::2])]
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -275,28 +280,24 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     removed_bytes (long), and the other columns in a struct ``rest``."""
     others = [c for c in docs.columns if c != "text"]
     rest = F.struct(*others) if others else F.struct(F.lit(1).alias("none"))
-    whole = docs.select("text", F.col("doc_id").alias("own_id"), text_key().alias("own_key"), rest.alias("rest"))
-    gone = repeated_chunks(docs)
-    joined = (whole.join(gone, F.col("own_id").eqNullSafe(F.col("r_id")) & (F.col("own_key") == F.col("r_key")), "left")
-              .select("text", "spans", "rest"))
+    whole = docs.select("text", _name().alias("name"), text_key().alias("key"), rest.alias("rest"))
+    joined = whole.join(repeated_parts(docs), ["name", "key"], "left").select("text", "parts", "rest")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            spans = [merged(s) for s in batch.column("spans").to_pylist()]
-            for i, s in enumerate(spans):
-                if not s or texts[i] is None:
-                    continue
-                raw, kept, at = texts[i].encode(), [], 0
-                for start, end in s:
+            texts, parts = batch.column("text").to_pylist(), batch.column("parts")
+            count, size = [0] * len(texts), [0] * len(texts)
+            for i in np.flatnonzero(parts.is_valid()).tolist():
+                raw, kept, at = (texts[i] or "").encode(), [], 0
+                for start, end in removed_spans(raw, parts[i].as_py()):
                     kept.append(raw[at:start])
                     at = end
-                kept.append(raw[at:])
-                texts[i] = b"".join(kept).decode()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()),
-                 pa.array([sum(end - start for start, end in s) for s in spans], pa.int64()), batch.column("rest")],
-                ["text", "removed_chunks", "removed_bytes", "rest"])
+                    count[i] += 1
+                    size[i] += end - start
+                if at:
+                    texts[i] = b"".join([*kept, raw[at:]]).decode()
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array(size, pa.int64()),
+                                              batch.column("rest")], ["text", "removed_chunks", "removed_bytes", "rest"])
 
     long = F.lit(0).cast("long")
     return joined.mapInArrow(run, joined.select("text", long.alias("removed_chunks"), long.alias("removed_bytes"), "rest").schema)
