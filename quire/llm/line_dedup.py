@@ -36,7 +36,6 @@ chunks stand elsewhere keeps its row with an empty text.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -44,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.arrays import IS_NOT_SPACE, IS_SPACE, U64, blocks, byte_set, mix64, power_pair, rows_of, span_hash
+from quire.llm.arrays import IS_NOT_SPACE, U64, blocks, byte_set, mix64, power_pair, rows_of, span_hash
 from quire.llm.frames import documents_of, stored, text_key
 
 ANCHOR = 30
@@ -78,15 +77,30 @@ class Chunks(NamedTuple):
     hash: np.ndarray
 
 
+def _next_full(full: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first place from each of ``at`` on that is no white space."""
+    at = at.copy()
+    todo = np.flatnonzero(~full[at])
+    for _ in range(8):
+        at[todo] += 1
+        todo = todo[~full[at[todo]]]
+    if len(todo):
+        solid = np.flatnonzero(full)
+        at[todo] = solid[np.searchsorted(solid, at[todo])]
+    return at
+
+
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
     n = len(data)
     row_start = np.zeros(n + 1, bool)
     row_start[offsets] = True
     stop = row_start.copy()
     stop[np.flatnonzero(data == 10) + 1] = True
-    stop[np.flatnonzero(ENDS[data[:-1]] & (data[1:] == 32) & ~row_start[1:n]) + 2] = True
+    sentence = np.flatnonzero(data[1:] == 32)
+    stop[sentence[ENDS[data[sentence]] & ~row_start[sentence + 1]] + 2] = True
     full = IS_NOT_SPACE[data]
-    seen = np.r_[0, np.cumsum(full & (np.r_[True, IS_SPACE[data[:-1]]] | row_start[:n]))]
+    seen = np.zeros(n + 1, np.int32)
+    np.cumsum(full & (np.r_[True, ~full[:-1]] | row_start[:n]), out=seen[1:])
     ends = np.flatnonzero(stop[1:]) + 1
     # blank lines join the line before, those at the start of a text the first one
     words = np.diff(seen[np.r_[0, ends]])
@@ -97,13 +111,12 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
     starts, ends = starts[good], ends[good]
     rows = rows_of(offsets, starts)
     m = len(ends)
-    solid = np.flatnonzero(full)
     index = np.arange(m)
     new_row = np.r_[True, rows[1:] != rows[:-1]] if m else np.zeros(0, bool)
     last = np.r_[new_row[1:], True] | (data[ends - 1] == 10) if m else new_row
     new_line = np.r_[True, last[:-1]] if m else new_row
-    return Lines(rows, starts, ends, solid[np.searchsorted(solid, starts)], solid[np.searchsorted(solid, ends) - 1] + 1,
-                 np.r_[0, np.cumsum(seen[ends] - seen[starts])], np.maximum.accumulate(np.where(new_row, index, 0)),
+    return Lines(rows, starts, ends, _next_full(full, starts), n - _next_full(full[::-1], n - ends),
+                 np.r_[0, np.cumsum(seen[ends] - seen[starts], dtype=np.int64)], np.maximum.accumulate(np.where(new_row, index, 0)),
                  np.searchsorted(rows, rows, "right"), np.maximum.accumulate(np.where(new_line, index, 0)), last)
 
 
@@ -116,7 +129,8 @@ def chunks(data: np.ndarray, lines: Lines, anchor: int = ANCHOR, least: int = LE
     whole = begin >= lines.first
     begin = np.maximum(begin, lines.first)
     up, down = power_pair(m + 1)
-    sums = np.r_[U64(0), np.cumsum(span_hash(data, lines.x, lines.y) * up[:m])]
+    own = span_hash(data, lines.x, lines.y)
+    sums = np.r_[U64(0), np.cumsum(own * up[:m])]
     rolled = mix64((sums[1:] - sums[begin]) * down[begin])
     beside = whole[1:] & whole[:-1] & (lines.rows[1:] == lines.rows[:-1])
     lower = rolled[:-1] < rolled[1:]
@@ -134,7 +148,7 @@ def chunks(data: np.ndarray, lines: Lines, anchor: int = ANCHOR, least: int = LE
     s = np.flatnonzero(np.diff(total) >= anchor)
     no = np.zeros(len(s), bool)
     return Chunks(np.r_[begin[w], s], np.r_[w, s], np.r_[before, no], np.r_[after, no],
-                  np.r_[span_hash(data, lines.x[begin[w]], lines.y[w]), span_hash(data, lines.x[s], lines.y[s])])
+                  np.r_[rolled[w], own[s]])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -185,6 +199,24 @@ def _name(column: str = "doc_id") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    p = hashes >> U64(64 - (len(bits) * 64).bit_length() + 1)
+    return (bits[p >> U64(6)] >> (p & U64(63))) & U64(1) == 1
+
+
+def _first_texts(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """doc_id, text, key of the documents whose key passes the table: those
+    that hold the first place of a repeated chunk, and few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    source = _keyed(docs)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_has(shared.value, np.asarray(batch.column("key")).view(np.uint64))))
+
+    return source.mapInArrow(run, source.schema)
+
+
 def chunk_places(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """hash, doc_id, key, at, end of the chunks that pass the table; low and
     high enclose the chunk and the lines beside it that hold ``LEAST`` words."""
@@ -192,13 +224,10 @@ def chunk_places(docs: DataFrame, table: np.ndarray) -> DataFrame:
     source = _keyed(docs)
 
     def run(batches):
-        bits = shared.value
-        shift = U64(64 - (len(bits) * 64).bit_length() + 1)
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key")
             for offsets, lines, c, rows in _blocks_of(batch):
-                p = c.hash >> shift
-                k = np.flatnonzero((bits[p >> U64(6)] >> (p & U64(63))) & U64(1) == 1)
+                k = np.flatnonzero(_has(shared.value, c.hash))
                 i, j, total = c.first[k], c.last[k], lines.words
                 far = np.searchsorted(total, total[i] - LEAST, "right") - 1
                 low = np.where(c.before[k], np.maximum(np.minimum(far, i - 1), lines.first[i]), i)
@@ -222,19 +251,21 @@ def repeated_parts(docs: DataFrame) -> DataFrame:
     firsts = stored(chunk_hashes(docs).groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
                     .where("n > 1").select("hash", "first"))
     later = (chunk_places(docs, _bit_table(firsts.select("hash"))).join(firsts, "hash").where(~place.eqNullSafe(F.col("first")))
-             .select(_name().alias("name"), "key", _name("first.doc_id").alias("f_name"), F.col("first.key").alias("f_key"),
-                     (F.col("at") - F.col("first.at")).alias("shift"), "at", "low", "high"))
+             .select("doc_id", "key", F.col("first.doc_id").alias("f_id"), F.col("first.key").alias("f_key"),
+                     (F.col("at") - F.col("first.at")).alias("shift"), "low", "high"))
     # chunks whose first places lie side by side, too, make one part
-    same = Window.partitionBy("name", "key", "f_name", "f_key", "shift").orderBy("at", "high")
+    same = Window.partitionBy("doc_id", "key", "f_id", "f_key", "shift").orderBy("low", "high")
     gap = F.coalesce(F.col("low") > F.max("high").over(same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    part = ["name", "key", "f_name", "f_key", "shift", "part"]
+    part = ["doc_id", "key", "f_id", "f_key", "shift", "part"]
     parts = (later.withColumn("gap", gap.cast("long")).withColumn("part", F.sum("gap").over(same))
              .groupBy(*part).agg(F.min("low").alias("low"), F.max("high").alias("high")))
-    texts = _keyed(docs).select(_name().alias("f_name"), F.col("key").alias("f_key"), F.col("text").cast("binary").alias("bytes"))
+    parts = parts.withColumn("name", _name()).withColumn("f_name", _name("f_id"))
+    texts = (_first_texts(docs, _bit_table(firsts.select(F.col("first.key").alias("hash")).distinct()))
+             .select(_name().alias("f_name"), F.col("key").alias("f_key"), F.col("text").cast("binary").alias("bytes")))
     start = F.greatest(F.col("low") - F.col("shift") - MARGIN, F.lit(0))
     length = F.col("high") - F.col("shift") + MARGIN - start
     return (parts.join(texts.dropDuplicates(["f_name", "f_key"]), ["f_name", "f_key"])
-            .select("name", "key", F.struct("low", "high", (start + F.col("shift")).alias("from"), (start == 0).alias("is_start"),
+            .select("name", parts["key"], F.struct("low", "high", (start + F.col("shift")).alias("from"), (start == 0).alias("is_start"),
                                             (start + length >= F.length("bytes")).alias("is_end"),
                                             F.substring("bytes", (start + 1).cast("int"), length.cast("int")).alias("bytes")).alias("part"))
             .groupBy("name", "key").agg(F.collect_list("part").alias("parts")))
@@ -257,22 +288,25 @@ def removed_spans(raw: bytes, parts) -> list[tuple[int, int]]:
     the same places of a part, with ``LEAST`` words on two lines or ``ANCHOR``
     words; sorted, without overlap or touch."""
     lines = lines_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    starts, ends, x, y, words = (v.tolist() for v in (lines.starts, lines.ends, lines.x, lines.y, lines.words))
+    starts, ends, x, y, words = lines.starts, lines.ends, lines.x, lines.y, lines.words
     gone = np.zeros(len(starts) + 1, bool)
     for p in parts:
         there, base = p["bytes"], p["from"]
-        first, last = bisect_left(x, p["low"]), bisect_right(y, p["high"])
+        first, last = int(np.searchsorted(x, p["low"])), int(np.searchsorted(y, p["high"], "right"))
+        # where all bytes are equal, only the outer lines can end elsewhere
+        alike = first < last and x[first] >= base and there[x[first] - base:y[last - 1] - base] == raw[x[first]:y[last - 1]]
         begin = first
-        for i in range(first, last + 1):
-            a = x[i] - base if i < last else -1
-            if a >= 0 and there[a:y[i] - base] == raw[x[i]:y[i]] and _whole_line(there, a, y[i] - base, p["is_start"], p["is_end"]):
+        for i in [first, last - 1, last] if alike and last - first > 1 else range(first, last + 1):
+            a = int(x[i]) - base if i < last else -1
+            b = int(y[i]) - base if i < last else -1
+            if a >= 0 and there[a:b] == raw[x[i]:y[i]] and _whole_line(there, a, b, p["is_start"], p["is_end"]):
                 continue
             size = words[i] - words[begin]
             if (size >= LEAST and i - begin > 1) or size >= ANCHOR:
                 gone[begin:i] = True
             begin = i + 1
     edges = np.flatnonzero(np.diff(np.r_[False, gone].astype(np.int8))).tolist()
-    return [(starts[i], ends[j - 1]) for i, j in zip(edges[::2], edges[1::2])]
+    return [(int(starts[i]), int(ends[j - 1])) for i, j in zip(edges[::2], edges[1::2])]
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
