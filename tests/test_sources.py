@@ -169,3 +169,16 @@ def test_bench_prints_one_json_line():
     assert len(lines) == 1
     rec = json.loads(lines[0])
     assert rec["unit"] == "sec" and set(rec["queries"]) == {"tag_links", "token_cost"} and rec["sf"] == 0.001
+
+
+def test_results_csv_does_not_grow_with_the_copies_of_a_text(spark):
+    import random
+    d, rng = scratch(), random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnop \n\",") for _ in range(8000))
+    flat = spark.createDataFrame([(i, text, f"c{i}") for i in range(100)], "article_id long, text string, claim string").coalesce(1)
+    assert W.write_results_csv(flat, os.path.join(d, "csv")) == 100
+    size = sum(os.path.getsize(os.path.join(d, "csv", f)) for f in os.listdir(os.path.join(d, "csv")))
+    assert size < 5 * len(text)  # plain, it is a hundred times the text
+    back = (spark.read.schema(flat.schema).option("header", True).option("multiLine", True).option("escape", '"')
+            .csv(os.path.join(d, "csv")))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, flat.collect()))
