@@ -8,10 +8,10 @@ of its pairs:
    of the sorted set (two salted xxhash64 values + size); the first row in
    order represents the group, the others are its copies.  A group of
    copies holding a third of all rows costs one partial aggregation.
-2. ``prefix_tokens``: tokens are ordered globally rarest first; a set's prefix
-   is its first ``n - ceil(t n) + 1`` tokens, and two sets with a Jaccard
-   similarity of t or more always share a prefix token, so candidates meet in
-   the lists of prefix tokens.  Size and position filters follow, then exact
+2. ``prefix_tokens``: tokens have one order in all sets, their own with the
+   frequent ones last; a set's prefix is its first ``n - ceil(t n) + 1`` tokens,
+   and two sets with a Jaccard similarity of t or more always share a prefix
+   token, so candidates meet in the lists of prefix tokens.  Size and position filters follow, then exact
    verification.
 3. ``leader_rounds``: the reference's rule - in row order, a row is a duplicate
    iff it is similar to an already *kept* row.  A row that is the earliest
@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import col, py_strip
-from quire.session import materialize, stored
+from quire.session import stored, stored_counted
 from quire.operators.skew import BLOCK, lookup_join, meet_in_lists
 
 NUM_PERM = 64
@@ -56,6 +56,9 @@ BANDS = 3
 ROWS = 21
 #: Leader rounds go on while a round decides this share of what was undecided.
 WORTH = 0.1
+#: So many ids go to every task; a list of more rows than HOT_LIST is long.
+FEW_IDS = 1_000_000
+HOT_LIST = 100
 #: Modulus of the portable hashes, and the base of a shingle's polynomial.
 PRIME = (1 << 31) - 1
 SHINGLE_BASE = 1_000_003
@@ -114,7 +117,7 @@ def shingle_sets(df, id_col: str, text_col: str, k: int = 3, hashed: bool = True
     zipped = F.arrays_zip(*[F.slice("_h", i + 1, 1 << 30) for i in range(k)])  # fields "0".."k-1"
     firsts = F.slice(zipped, 1, F.greatest(F.size("_h") - k + 1, F.lit(1)))
     sh = F.transform(firsts, lambda z: F.xxhash64(*[z[str(i)] for i in range(k)]))
-    return h.select(F.col(id_col), F.array_sort(F.array_distinct(sh)).alias("tokens"))
+    return h.select(F.col(id_col), F.sort_array(F.array_distinct(sh)).alias("tokens"))  # no comparator to interpret, as array_sort has
 
 
 def embed_texts(df: DataFrame, text_col: str, embed, out_col: str = "embedding",
@@ -140,34 +143,64 @@ class Collapsed(NamedTuple):
     copies: DataFrame  # id, copy_of
 
 
+def _known(ids: DataFrame, n: int) -> DataFrame:
+    """``n`` stored ids as the small side of a semi or anti join: up to ``FEW_IDS``
+    are sent to the tasks, so that token sets are filtered where they are read."""
+    return F.broadcast(ids) if n <= FEW_IDS else ids
+
+
 def collapse_copies(sets: DataFrame, id_col: str, order_col: str, tokens_col: str) -> Collapsed:
-    """Identical sets -> one representative (first in order) + copy rows."""
+    """Identical sets -> one representative (first in order) + copy rows.  The
+    sets are written once; copies are found by fingerprint and id alone."""
     s = sets.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"), F.col(tokens_col).alias("tokens"))
     s = s.withColumn("n", F.size("tokens")).withColumn(
         "_fp", F.struct("n", F.xxhash64(F.lit("a"), "tokens").alias("h1"), F.xxhash64(F.lit("b"), "tokens").alias("h2")))
-    s = materialize(s)  # the sets are read twice below; compute them once
+    s = stored(s)
     rep = s.groupBy("_fp").agg(F.min_by("id", "ord").alias("rep"), F.count(F.lit(1)).alias("_rows"))
-    tagged = lookup_join(s, rep, "_fp", count_col="_rows").drop("_rows")  # a group of copies is a hot key: salted
-    reps = tagged.where(F.col("id") == F.col("rep")).select("id", "ord", "tokens", "n")
-    copies = tagged.where(F.col("id") != F.col("rep")).select("id", F.col("rep").alias("copy_of"))
-    return Collapsed(reps, copies)
-
-
-def prefix_tokens(reps: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """id, ord, n, token, pos: the prefix of each set; ``pos`` is the token's
-    place (from 1) in the set's rarest-first order.  Tokens held by one set
-    only come first in that order and can never pair, so they have no row but
-    count in ``pos``."""
-    # the exploded token table feeds several branches: store it once
-    tok = stored(reps.select("id", "ord", "n", F.explode("tokens").alias("token")))
-    df = tok.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    shared = lookup_join(tok, df.where(F.col("df") >= 2), "token", count_col="df")  # hot tokens salted
-    w = Window.partitionBy("id")
-    ranked = (shared.withColumn("_r", F.row_number().over(w.orderBy("df", "token")))
-                    .withColumn("_u", F.col("n") - F.count(F.lit(1)).over(w)))
-    plen = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return stored(ranked.withColumn("pos", F.col("_r") + F.col("_u")).where(F.col("pos") <= plen)
-                  .select("id", "ord", "n", "token", "pos"))
+    tagged = lookup_join(s.select("id", "_fp"), rep, "_fp", count_col="_rows").drop("_rows")  # a group of copies is a hot key: salted
+    copies, n = stored_counted(tagged.where(F.col("id") != F.col("rep")).select("id", "_fp", F.col("rep").alias("copy_of")))
+    reps = s.join(_known(copies.select("id", "_fp"), n), ["id", "_fp"], "left_anti").select("id", "ord", "tokens", "n")
+    return Collapsed(reps if n <= FEW_IDS else stored(reps), copies.select("id", "copy_of"))
+
+
+def _sets_of(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of the given distinct ids, stored."""
+    ids, n = stored_counted(ids)
+    return stored(reps.join(_known(ids, n), "id", "left_semi"))
+
+
+def prefix_tokens(reps: DataFrame, threshold: float = 0.9, hot: int = HOT_LIST) -> DataFrame:
+    """id, ord, n, token, pos: the prefix of each set, as far as another set's
+    prefix has the token; ``pos`` is the token's place (from 1) in the set.
+
+    Any order of the tokens that holds for all sets will do.  Theirs is the
+    tokens' own, which needs no count, so that only prefixes (a tenth of the
+    tokens) leave the rows; the frequent tokens come last, rarest first.  Those
+    are found in the sets that a list of more than ``hot`` rows holds, by counting
+    all of their tokens; there are at most a million (``hot`` grows for that).
+    Only sets with a frequent token in the prefix are ordered anew."""
+    plen = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+
+    def heads(sets: DataFrame, tokens: Column) -> DataFrame:
+        return sets.select("id", "ord", "n", F.posexplode(F.slice(tokens, F.lit(1), plen)).alias("_p", "token")).select(
+            "id", "ord", "n", "token", (F.col("_p") + 1).alias("pos"))
+
+    rows = stored(heads(reps, F.sort_array("tokens")))
+    hot = max(hot, (reps.agg(F.sum("n")).first()[0] or 0) // 1_000_000)
+    sizes = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    long = sizes.where(F.col("m") > hot).select("token")
+    if not long.isEmpty():
+        some = _sets_of(reps, rows.join(F.broadcast(long), "token", "left_semi").select("id").distinct())
+        df = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        late = stored(df.where(F.col("df") > hot))
+        again = _sets_of(reps, rows.join(F.broadcast(late.select("token")), "token", "left_semi").select("id").distinct())
+        its = (again.select("id", F.explode("tokens").alias("token")).join(F.broadcast(late), "token")
+               .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_l")))
+        its = its.select("id", F.transform("_l", lambda x: x["token"]).alias("_late"))
+        moved = stored(heads(again.join(its, "id"), F.concat(F.sort_array(F.array_except("tokens", "_late")), "_late")))
+        rows = rows.join(again.select("id"), "id", "left_anti").unionByName(moved)
+        sizes = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    return stored(lookup_join(rows, sizes, "token", count_col="m").drop("m"))
 
 
 def _may_reach(threshold: float, a: str = "a", b: str = "b") -> Column:
@@ -183,8 +216,10 @@ def _may_reach(threshold: float, a: str = "a", b: str = "b") -> Column:
 def _verified(cand: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, inter, jaccard) of the candidate pairs (a, b) that reach the
     threshold, from the stored sets of both sides; ``a`` may be a hot key."""
-    ra = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("_ta"))
-    rb = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("_tb"))
+    cand = stored(cand)
+    some = _sets_of(reps, cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct())
+    ra = some.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("_ta"))
+    rb = some.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("_tb"))
     inter = lookup_join(cand, ra, "a").join(rb, "b").select(
         "a", "b", "na", "nb", F.size(F.array_intersect("_ta", "_tb")).alias("inter"))
     j = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
@@ -197,7 +232,6 @@ def jaccard_pairs(reps: DataFrame, threshold: float = 0.9, prefix: DataFrame | N
     Jaccard >= threshold - exact, via prefix filtering + verification.  Lists
     of more than ``block`` rows are compared block against block."""
     if prefix is None:
-        reps = stored(reps)
         prefix = prefix_tokens(reps, threshold)
     dealt, meet, once = meet_in_lists(prefix, "token", "id", block)
     cand = (dealt.alias("a").join(dealt.alias("b"), meet).where((F.col("a.ord") < F.col("b.ord")) & once & _may_reach(threshold))
@@ -258,7 +292,7 @@ def greedy_keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = (e.join(o.withColumnRenamed("id", "a").withColumnRenamed("ord", "oa"), "a")
           .join(o.withColumnRenamed("id", "b").withColumnRenamed("ord", "ob"), "b"))
-    e = materialize(e.select("a", "b", "oa", "ob"))
+    e = stored(e.select("a", "b", "oa", "ob"))
     ends = e.select(F.col("a").alias("id")).distinct()
     decided = [o.join(ends, "id", "left_anti").select("id", F.lit(True).alias("kept"))]
     und = stored(ends)
@@ -284,7 +318,7 @@ def dedup_sets(sets: DataFrame, id_col: str, order_col: str, tokens_col: str,
     """I7 with exact Jaccard: copies collapsed, then leader rounds, then the
     verified pairs of what they leave open."""
     c = collapse_copies(sets, id_col, order_col, tokens_col)
-    reps = stored(c.reps)
+    reps = c.reps
     r = leader_rounds(reps, prefix_tokens(reps, threshold), threshold)
     kept = r.decided.unionByName(r.lone.select("id", F.lit(True).alias("kept")))
     if not r.open.isEmpty():
