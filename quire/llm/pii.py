@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) come from fixed patterns and checks; they
 always stay.  On top of them high-recall generators propose further, possibly
 overlapping spans: disguised addresses, colon-separated hexadecimal addresses,
 digit groups without a plus.  Whether a proposal is added is for boosted trees
-(Spark ML) to say.  They learn what personal data look like from a bounded sample
-of two sorts of spans: base spans, and matches that are none (base patterns that
+(Spark ML) to say.  They learn what personal data look like from every span
+of two sorts: base spans, and matches that are none (base patterns that
 fail their check, and the numbers, times, versions and "at" phrases of the texts,
 which plain patterns find where nothing else does).  Proposals are in neither.
 
@@ -14,10 +14,11 @@ what only defines a base pattern: the kind, the plus, the signs between the
 parts and their number.  They are counts of digits and letters, the sizes of
 parts, and the context: hint words, edges, digits beside; a tree's node sees half
 of them, so that no single one decides.  For each kind, the threshold is the lowest
-probability above which at least ``precision`` of the sample's held-out spans of
+probability above which at least ``precision`` of the held-out spans (a fifth) of
 that kind are base spans (the middle of the gap to the next lower one, at least a
 half); a kind without both sorts adds nothing.
-Proposals at or over it that overlap no base span of any kind and no stronger
+Spans of equal features are one weighted row of the training; both sorts weigh
+the same in all.  Proposals at or over it that overlap no base span of any kind and no stronger
 proposal (of equal ones: the earlier, then the longer) are added.
 
 Positions are code points, from the lengths of the pieces between matches.  A
@@ -37,7 +38,6 @@ from pyspark.sql import functions as F
 from quire.llm.frames import documents_of, stored, text_key
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000
 PRECISION = 0.95
 TREES, DEPTH = 20, 3
 SEEN = 24  # code points of context
@@ -156,9 +156,9 @@ def _overlaps(a: Column, b: Column) -> Column:
 
 def thresholds(tested: DataFrame, precision: float) -> dict[int, float]:
     """Per kind the lowest probability from which on enough of ``tested``
-    (kind, label, p) are base spans."""
-    by = (tested.select("kind", "label", F.round("p", 3).alias("p")).groupBy("kind", "p")
-          .agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("all")).orderBy(F.desc("p")).collect())  # at most 4,004 rows
+    (kind, label, w, p) are base spans."""
+    by = (tested.select("kind", "label", "w", F.round("p", 3).alias("p")).groupBy("kind", "p")
+          .agg(F.sum(F.col("label") * F.col("w")).alias("yes"), F.sum("w").alias("all")).orderBy(F.desc("p")).collect())  # at most 4,004 rows
     out: dict[int, float] = {}
     for kind in {r["kind"] for r in by}:
         rows = [r for r in by if r["kind"] == kind]
@@ -170,7 +170,7 @@ def thresholds(tested: DataFrame, precision: float) -> dict[int, float]:
     return out
 
 
-def added_spans(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame | None:
+def added_spans(found: DataFrame, precision: float = PRECISION) -> DataFrame | None:
     """a_id, a_key, added: what the trees add to the base spans."""
     of = lambda test: F.filter("spans", test)
     clear = lambda s, other: ~F.exists(other, lambda b: _overlaps(s, b))
@@ -185,16 +185,21 @@ def added_spans(found: DataFrame, sample: int = SAMPLE, precision: float = PRECI
     known = rows.where(F.col("s.sort") != PROPOSED).select(
         F.col("s.kind").alias("kind"), F.col("s.base").cast("double").alias("label"), *FEATURES,
         F.xxhash64("doc_id", "key", "s.start", "s.kind").alias("h"))
-    half = [known.where(F.col("label") == y).orderBy("h", *FEATURES).limit(sample // 2) for y in (0.0, 1.0)]
-    pick = stored(vectors.transform(half[0].union(half[1])).coalesce(4))
-    fit, test = pick.where("pmod(h, 5) <> 0"), pick.where("pmod(h, 5) = 0")
-    sorts = {r["label"] for r in fit.select("label").distinct().collect()}
-    if len(sorts) < 2:
+    like = ["kind", "label", "held", *FEATURES]
+    counted = known.withColumn("held", F.expr("pmod(h, 5) = 0")).groupBy(*like).agg(F.count(F.lit(1)).alias("n"))
+    spans = stored(vectors.transform(counted).repartition(32, *like).sortWithinPartitions(*like))
+    total = {r["label"]: r["n"] for r in spans.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    if len(total) < 2:
         return None
-    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, featureSubsetStrategy="0.5", seed=7).fit(fit)
+    share = F.when(F.col("label") == 1, 1.0 / total[1.0]).otherwise(1.0 / total[0.0]) * (sum(total.values()) / 2)
+    spans = spans.withColumn("w", F.col("n") * share)
+    fit, test = spans.where("NOT held"), spans.where("held")
+    if fit.select("label").distinct().count() < 2:
+        return None
+    model = GBTClassifier(featuresCol="v", labelCol="label", weightCol="w", maxIter=TREES, maxDepth=DEPTH, featureSubsetStrategy="0.5", seed=7).fit(fit)
     chance = vector_to_array("probability")[1].alias("p")
-    both_sorts = {r["kind"] for r in pick.groupBy("kind").agg(F.count_distinct("label").alias("n")).where("n > 1").collect()}
-    least = {k: p for k, p in thresholds(model.transform(test).select("kind", "label", chance), precision).items() if k in both_sorts}
+    both_sorts = {r["kind"] for r in spans.groupBy("kind").agg(F.count_distinct("label").alias("n")).where("n > 1").collect()}
+    least = {k: p for k, p in thresholds(model.transform(test).select("kind", "label", "w", chance), precision).items() if k in both_sorts}
     if not least:
         return None
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("s.kind"))
