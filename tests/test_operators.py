@@ -415,3 +415,15 @@ def test_candidate_dots_parameter(spark):
     both = fuzzy_scores(names, cands).first().score
     live = fuzzy_scores(names, cands, strip_dots=False).first().score
     assert both == 100.0 and live < 100.0
+
+
+def test_token_sets_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<long>")
+    def tokens(i):
+        seen.add(1)
+        return [i % 20, 1000 + i % 20]
+
+    c = DD.collapse_copies(spark.range(40).select("id", tokens("id").alias("t")), "id", "id", "t")
+    assert c.reps.count() == 20 and c.copies.count() == 20 and seen.value == 40
