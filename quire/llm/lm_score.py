@@ -43,6 +43,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -361,6 +362,7 @@ def _feature(word: np.ndarray, salt: int) -> np.ndarray:
 
 
 ONE, TWO = 0x51ED27, 0x2F0B4C47  # salts of the two features
+LEAST_LOG = np.float32(np.log(1e-30))
 
 
 class _Model:
@@ -379,41 +381,90 @@ class _Model:
         k, b = len(self.of.log_cluster), self.of.bands
         return [flat[a[i]:a[i + 1]].reshape(-1, w) for i, w in enumerate((k, k, b))] + [flat[a[3]:a[4]]]
 
+    # rows are read by take, which is several times faster than an index
+
+    def cluster_odds(self, two, one):
+        """(log odds of the clusters, tables, rows)."""
+        shift = np.uint32(32 - ROW_BITS)
+        at = [(_feature(w, salt) >> shift).astype(np.uint16) for w, salt in ((one, ONE), (two, TWO))]
+        z = self.tables[0].take(at[0], 0)
+        z += self.tables[1].take(at[1], 0)
+        z += self.of.log_cluster
+        return z, (0, 1), at
+
     def clusters(self, two, one):
         """(probabilities of the clusters, tables, rows)."""
-        shift = np.uint32(32 - ROW_BITS)
-        at = [(_feature(w, salt) >> shift).astype(np.int64) for w, salt in ((one, ONE), (two, TWO))]
-        z = self.of.log_cluster + self.tables[0][at[0]]
-        z += self.tables[1][at[1]]
-        return _softmax(z), (0, 1), at
+        z, tables, rows = self.cluster_odds(two, one)
+        return _softmax(z), tables, rows
+
+    def band_odds(self, one, symbol):
+        """(log odds of the bands in the symbol's cluster, tables, rows)."""
+        c = self.of.cluster.take(symbol)
+        row = ((_feature(one, ONE) + c.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - ROW_BITS)).astype(np.uint16)
+        z = self.tables[2].take(row, 0)
+        z += self.of.log_band.take(c, 0)
+        return z, (2,), [row]
 
     def bands(self, one, symbol):
         """(probabilities of the bands in the symbol's cluster, tables, rows)."""
-        c = self.of.cluster[symbol]
-        row = ((_feature(one, ONE) + c.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - ROW_BITS)).astype(np.int64)
-        return _softmax(self.of.log_band[c] + self.tables[2][row]), (2,), [row]
+        z, tables, rows = self.band_odds(one, symbol)
+        return _softmax(z), tables, rows
 
     def digits(self, one, symbol):
-        """The binary decisions of a batch, one symbol after another: symbol of
-        each, digit, log odds, place of its weight."""
-        n, length = self.of.number[symbol].astype(np.int32), self.of.band[symbol].astype(np.int32)
-        first = (np.cumsum(length) - length).astype(np.int32)
-        which = np.repeat(np.arange(len(symbol), dtype=np.int32), length)
-        left = (length + first)[which] - np.arange(len(which), dtype=np.int32)
-        own = n[which]
-        base = _nodes(self.of.cluster[symbol], length, 0, self.of.bands).astype(np.int32)
-        node = base[which] + (own >> left)
-        place = (_feature(one, ONE)[which] + mix32(node.view(np.uint32))) & self.mask
-        return which, (own >> (left - 1)) & 1, self.of.digit[node] + self.tables[3][place], place.astype(np.int64)
+        """The binary decisions of a batch: symbol of each, digit, log odds, place
+        of its weight."""
+        which, digit, odds, place = self.decisions(one, symbol)
+        odds += self.tables[3].take(place)
+        return which, digit, odds, place
+
+    def decisions(self, one, symbol):
+        """``digits`` with the log odds that hold without a context; symbols of equal
+        length stand side by side, so that whole columns are worked at once."""
+        length = self.of.band.take(symbol)
+        order = np.argsort(length.astype(np.uint8), kind="stable")
+        cut = np.searchsorted(length.take(order), np.arange(self.of.bands + 1))
+        symbol, size = symbol.take(order), int(length.sum())
+        n = self.of.number.take(symbol).astype(np.int32)
+        base = _nodes(self.of.cluster.take(symbol), length.take(order), 0, self.of.bands).astype(np.int32)
+        feature = _feature(one.take(order), ONE)
+        which, digit, node, salt = np.empty(size, np.int64), np.empty(size, np.int32), np.empty(size, np.int32), np.empty(size, np.uint32)
+        at = 0
+        for b in range(1, self.of.bands):
+            i, j = cut[b], cut[b + 1]
+            if i == j:
+                continue
+            left = np.arange(b, 0, -1, dtype=np.int32)[:, None]
+            here, at = slice(at, at + b * (j - i)), at + b * (j - i)
+            which[here].reshape(b, -1)[:] = order[i:j]
+            salt[here].reshape(b, -1)[:] = feature[i:j]
+            np.right_shift(n[i:j], left - 1, out=digit[here].reshape(b, -1))
+            np.right_shift(n[i:j], left, out=node[here].reshape(b, -1))
+            node[here].reshape(b, -1)[:] += base[i:j]
+        digit &= 1
+        salt += mix32(node.view(np.uint32))
+        salt &= self.mask
+        return which, digit, self.of.digit.take(node), salt.astype(np.int64)
+
+
+def _row_max(z: np.ndarray) -> np.ndarray:
+    return reduce(np.maximum, z.T)  # by columns: rows are short
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    z -= _row_max(z)[:, None]
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= reduce(np.add, z.T)[:, None]
     return z
 
 
+def _log_share(z: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    """log of the softmax at each row's answer."""
+    z -= _row_max(z)[:, None]
+    own = z[np.arange(len(z)), answer]
+    np.exp(z, out=z)
+    return np.maximum(own - np.log(reduce(np.add, z.T)), LEAST_LOG)
+
+
 LAST = (1 << 20) - 1  # a symbol's bits in a triple
 
 
@@ -440,31 +491,47 @@ def _step(model: _Model, squares: list[np.ndarray], softmax, answer: np.ndarray,
     p[np.arange(len(answer)), answer] -= 1
     p *= count[:, None]
     for t, at in zip(tables, rows):
-        order = np.argsort(at, kind="stable")
-        own = at[order]
+        order = np.argsort(at, kind="stable")  # of 16 bits: by digits
+        own = at.take(order)
         start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        gradient, own = np.add.reduceat(p[order], start), own[start]
-        total = squares[t][own] + _power_of(gradient)
+        gradient, own = np.add.reduceat(p.take(order, 0), start), own.take(start)
+        total = squares[t].take(own, 0)
+        total += _power_of(gradient)
         squares[t][own] = total
-        model.tables[t][own] -= np.float32(rate) * gradient / np.sqrt(total + np.float32(1e-6))
+        total += np.float32(1e-6)
+        gradient *= np.float32(rate)
+        gradient /= np.sqrt(total, out=total)
+        model.tables[t][own] = model.tables[t].take(own, 0) - gradient
 
 
 def _learn_contexts(model: _Model, squares, keys: np.ndarray, count: np.ndarray):
     _step(model, squares, model.clusters(keys >> 40, (keys >> 20) & LAST), keys & LAST, count, RATE)
 
 
-def _learn_pairs(model: _Model, squares, scratch: np.ndarray, keys: np.ndarray, count: np.ndarray):
-    """``scratch`` is zero before and after; places that occur several times are
-    written several times with the same value."""
+def _learn_pairs(model: _Model, squares, both: np.ndarray, slot: np.ndarray, keys: np.ndarray, count: np.ndarray):
+    """``both`` holds the digit weights and, beside them (as the imaginary part),
+    their sums of squares, so that one read finds the two.  ``slot`` is scratch: of
+    the decisions at one place, the last one written gathers their gradients.  Places
+    that occur several times are written several times with the same value."""
     one, symbol = keys >> 20, keys & LAST
-    _step(model, squares, model.bands(one, symbol), model.of.band[symbol], count, PAIR_RATE)
-    which, digit, odds, place = model.digits(one, symbol)
-    np.add.at(scratch, place, (1 / (1 + np.exp(-odds)) - digit).astype(np.float32) * count[which])
-    gradient = scratch[place]
-    scratch[place] = 0
-    total = squares[3][place] + _power_of(gradient)
-    squares[3][place] = total
-    model.tables[3][place] = model.tables[3][place] - np.float32(PAIR_RATE) * gradient / np.sqrt(total + np.float32(1e-6))
+    _step(model, squares, model.bands(one, symbol), model.of.band.take(symbol), count, PAIR_RATE)
+    which, digit, odds, place = model.decisions(one, symbol)
+    own = both.take(place)
+    odds += own.real
+    np.negative(odds, out=odds)
+    np.exp(odds, out=odds)
+    odds += 1
+    np.reciprocal(odds, out=odds)
+    odds -= digit.astype(np.float32)
+    odds *= count.take(which)
+    slot[place] = np.arange(len(place), dtype=np.int32)
+    owner = slot.take(place)
+    gradient = np.bincount(owner, odds, len(place)).astype(np.float32).take(owner)
+    own.imag += _power_of(gradient)
+    gradient *= np.float32(PAIR_RATE)
+    gradient /= np.sqrt(own.imag + np.float32(1e-6))
+    own.real -= gradient
+    both[place] = own
 
 
 def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarray:
@@ -474,7 +541,7 @@ def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarr
     def run(batches):
         model = _Model(shared.value, bits)
         flat = np.zeros(len(model.flat), np.float32)
-        squares, scratch = model.parts(flat), np.zeros(1 << bits, np.float32)
+        squares, both, slot = model.parts(flat), np.zeros(1 << bits, np.complex64), np.zeros(1 << bits, np.int32)
         rng = np.random.default_rng(11)
 
         def mixed(keys):
@@ -489,7 +556,7 @@ def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarr
             for keys, counts in mixed(_contexts(triples, model.of)):
                 _learn_contexts(model, squares, keys, counts)
             for keys, counts in mixed(_pairs(triples)):
-                _learn_pairs(model, squares, scratch, keys, counts)
+                _learn_pairs(model, squares, both, slot, keys, counts)
 
         found, size = [], 0
         for batch in batches:
@@ -501,6 +568,7 @@ def train(learnt: DataFrame, shape: Classes, bits: int, tokens: int) -> np.ndarr
                     found, size = [], 0
         if found:
             learn(found)
+        model.tables[3][:], squares[3][:] = both.real, both.imag
         weights, total = model.flat.reshape(-1, BLOCK), flat.reshape(-1, BLOCK)
         used = np.flatnonzero(total.any(1))
         for i in range(0, len(used), 256):
@@ -540,16 +608,17 @@ def _log10_each(model: _Model, symbols: np.ndarray) -> np.ndarray:
     keys, out = _contexts(triples, model.of), np.empty(len(triples))
     for i in range(0, len(keys), BATCH):
         k = keys[i:i + BATCH]
-        p = model.clusters(k >> 40, (k >> 20) & LAST)[0]
-        out[i:i + BATCH] = np.log(np.maximum(p[np.arange(len(k)), k & LAST], 1e-30))
+        out[i:i + BATCH] = _log_share(model.cluster_odds(k >> 40, (k >> 20) & LAST)[0], k & LAST)
     keys, back = np.unique(_pairs(triples), return_inverse=True)
     value = np.empty(len(keys))
     for i in range(0, len(keys), BATCH):
         one, symbol = keys[i:i + BATCH] >> 20, keys[i:i + BATCH] & LAST
-        p = model.bands(one, symbol)[0]
-        own = np.log(np.maximum(p[np.arange(len(symbol)), model.of.band[symbol]], 1e-30))
+        own = _log_share(model.band_odds(one, symbol)[0], model.of.band.take(symbol))
         which, digit, odds, _ = model.digits(one, symbol)
-        value[i:i + BATCH] = own - np.bincount(which, np.log1p(np.exp(np.clip(np.where(digit == 1, -odds, odds), -60, 60))), len(symbol))
+        odds *= 1 - 2 * digit.astype(np.float32)  # against the digit that it has
+        np.exp(np.clip(odds, -60, 60, out=odds), out=odds)
+        odds += 1
+        value[i:i + BATCH] = own - np.bincount(which, np.log(odds, out=odds), len(symbol))
     return (out + value[back]) / LN10
 
 
