@@ -43,7 +43,10 @@ from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +65,10 @@ HOT_LIST = 100
 #: Modulus of the portable hashes, and the base of a shingle's polynomial.
 PRIME = (1 << 31) - 1
 SHINGLE_BASE = 1_000_003
+#: Inside a task: texts worked at a time, words whose hashes are kept, elements hashed at a time.
+TEXTS = 256
+KNOWN_WORDS = 1 << 18
+CHUNK = 1 << 15
 
 
 # ------------------------------------------------------------ token sets --
@@ -338,14 +345,46 @@ def portable_base(text) -> Column:
 def portable_shingles(df: DataFrame, id_col: str, text_col: str, k: int = 3, keep: tuple = ()) -> DataFrame:
     """(id, keep..., tokens): distinct k-word shingles as polynomials of the
     words' portable bases; a shorter text is one shingle of its words."""
-    w = df.select(id_col, *keep, words_of(text_col).alias("_w"))
-    h = w.select(id_col, *keep, F.transform("_w", portable_base).alias("_h"))
-    step = lambda acc, x: F.pmod(acc * SHINGLE_BASE + x, F.lit(PRIME))  # noqa: E731 - under 2**51
-    zipped = F.arrays_zip(*[F.slice("_h", i + 1, 1 << 30).alias(str(i)) for i in range(k)])
-    full = F.transform(F.slice(zipped, 1, F.greatest(F.size("_h") - k + 1, F.lit(0))),
-                       lambda z: reduce(step, [z[str(i)] for i in range(1, k)], z["0"]))
-    short = F.when(F.size("_h") > 0, F.array(F.aggregate("_h", F.lit(0).cast("long"), step))).otherwise(F.array().cast("array<bigint>"))
-    return h.select(id_col, *keep, F.array_distinct(F.when(F.size("_h") >= k, full).otherwise(short)).alias("tokens"))
+    x = df.select(id_col, *keep, F.lower(text_col).alias("_text"))
+    schema = x.select(id_col, *keep, F.array(F.lit(0).cast("long")).alias("tokens")).schema
+
+    def run(batches):
+        get = _Bases().__getitem__
+        for batch in batches:
+            texts, n = batch.column("_text"), batch.num_rows
+            for i in range(0, n, TEXTS):
+                words = [(t or "").encode().split() for t in texts.slice(i, TEXTS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, TEXTS) for c in (id_col, *keep)] + [_shingles(words, get, k)], schema.names)
+
+    # lower case is Spark's, words end at its \s, which are the blanks of bytes.split
+    return x.mapInArrow(run, schema).withColumn("tokens", F.array_distinct("tokens"))
+
+
+class _Bases(dict):
+    """Word -> ``portable_base``; a task keeps at most ``KNOWN_WORDS`` of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        base = self[word] = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4]) % PRIME
+        return base
+
+
+def _shingles(words: list[list[bytes]], base, k: int) -> pa.ListArray:
+    """The polynomials of each row's shingles, repeats included."""
+    size = np.array([len(w) for w in words], np.int64)
+    end = np.cumsum(size)
+    h = np.fromiter((base(w) for own in words for w in own), np.int64, int(end[-1]))
+    value = h.copy()
+    for i in range(1, k):  # of the window from each word on, as far as there are words
+        value[:-i] = (value[:-i] * SHINGLE_BASE + h[i:]) % PRIME
+    first = np.arange(len(h)) + k <= np.repeat(end, size)
+    for r in np.flatnonzero((size > 0) & (size < k)):
+        at = end[r] - size[r]
+        value[at] = reduce(lambda acc, x: (acc * SHINGLE_BASE + int(x)) % PRIME, h[at:end[r]], 0)
+        first[at] = True
+    many = np.where(size >= k, size - k + 1, np.minimum(size, 1))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)], pa.int32()), pa.array(value[first]))
 
 
 def embedding_tokens(c) -> Column:
@@ -366,15 +405,66 @@ def minhash_signatures(sets: DataFrame, id_col: str, tokens_col: str, num_perm:
     """(id, sig) - per hash the minimum over the set's elements (whole
     numbers under ``PRIME``).
 
-    The tokens are exploded and the 64 minima are plain ``min`` aggregates
-    (whole-stage code generation).  All tokens of a set come from one input
-    row, so the partial aggregation already reduces each set to one row before
-    the shuffle.  An empty set has ``PRIME`` in every place."""
-    x = sets.select(F.col(id_col).alias("_id"), F.explode_outer(tokens_col).alias("_x"))
-    agg = x.groupBy("_id").agg(*[F.min(F.pmod(F.col("_x") * a + b, F.lit(PRIME))).alias(f"_h{s}")
-                                 for s, (a, b) in enumerate(lane_constants(num_perm))])
-    sig = F.array(*[F.coalesce(F.col(f"_h{s}"), F.lit(PRIME)) for s in range(num_perm)])
-    return agg.select(F.col("_id").alias(id_col), sig.alias("sig"))
+    A row's minima are taken inside its task (``signature_rows``), so that a set
+    is one row before the shuffle; rows of one id count together.  An empty set
+    has ``PRIME`` in every place."""
+    return _by_id(signature_rows(sets, tokens_col, num_perm, (id_col,)), id_col, num_perm)
+
+
+def _by_id(rows: DataFrame, id_col: str, num_perm: int) -> DataFrame:
+    agg = rows.groupBy(id_col).agg(*[F.min(F.col("sig")[s]).alias(f"_h{s}") for s in range(num_perm)])
+    return agg.select(id_col, F.array(*[F.col(f"_h{s}") for s in range(num_perm)]).alias("sig"))
+
+
+def signature_rows(sets: DataFrame, tokens_col: str, num_perm: int, keep: tuple) -> DataFrame:
+    """(keep..., sig): the MinHash values of each row's set."""
+    x = sets.select(*keep, F.col(tokens_col).alias("_tokens"))
+    schema = x.select(*keep, F.array(F.lit(0).cast("long")).alias("sig")).schema
+    lanes = [(np.uint64(a), np.uint64(b + 1)) for a, b in lane_constants(num_perm)]
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("_tokens")
+            size = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+            flat = tokens.flatten()
+            if flat.null_count:  # a null element is none
+                good = np.asarray(flat.is_valid())
+                size = np.bincount(np.repeat(np.arange(len(size)), size)[good], minlength=len(size))
+                flat = flat.drop_null()
+            end, flat = np.cumsum(size), np.asarray(flat).astype(np.uint64)
+            i, n = 0, len(size)
+            while i < n:  # rows with about CHUNK elements
+                start = end[i] - size[i]
+                j = max(i + 1, int(np.searchsorted(end, start + CHUNK, "right")))
+                j = min(j, i + CHUNK // num_perm)
+                sig = _minima(flat[start:end[j - 1]], size[i:j], lanes)
+                cut = pa.array(np.arange(j - i + 1, dtype=np.int32) * num_perm)
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in keep]
+                                                 + [pa.ListArray.from_arrays(cut, pa.array(sig.ravel()))], schema.names)
+                i = j
+
+    return x.mapInArrow(run, schema)
+
+
+def _minima(tokens: np.ndarray, size: np.ndarray, lanes: list) -> np.ndarray:
+    """rows x hashes: the least ``(a x + b) mod PRIME`` of each row.  ``PRIME`` is
+    2**31 - 1, so the remainder of v is found by adding the digits of v + 1 to
+    the base 2**31 twice, less one."""
+    out = np.full((len(size), len(lanes)), PRIME, np.int64)
+    used = np.flatnonzero(size)
+    if not len(used):
+        return out
+    start = (np.cumsum(size) - size)[used]
+    v, high, p, digit = np.empty_like(tokens), np.empty_like(tokens), np.uint64(PRIME), np.uint64(31)
+    for s, (a, b) in enumerate(lanes):
+        np.multiply(tokens, a, out=v)
+        v += b
+        for _ in range(2):
+            np.right_shift(v, digit, out=high)
+            v &= p
+            v += high
+        out[used, s] = np.minimum.reduceat(v, start).astype(np.int64) - 1
+    return out
 
 
 def lsh_buckets(sig, bands: int = BANDS, rows: int = ROWS) -> Column:
@@ -387,8 +477,9 @@ def lsh_keep_first(sets: DataFrame, id_col: str, order_col: str, tokens_col: str
                    num_perm: int = NUM_PERM, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """I5-I7, reference semantics: (id, kept).  Tokens are whole numbers under
     ``PRIME`` (``portable_shingles``); empty sets collide with each other."""
-    s = stored(sets.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"), F.col(tokens_col).alias("t")))
-    rb = s.select("id", "ord").join(minhash_signatures(s, "id", "t", num_perm), "id").select(
+    s = sets.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"), F.col(tokens_col).alias("t"))
+    s = stored(signature_rows(s, "t", num_perm, ("id", "ord")))  # sets are read once and not written
+    rb = s.select("id", "ord").join(_by_id(s, "id", num_perm), "id").select(
         "id", "ord", F.posexplode(lsh_buckets("sig", bands, rows)).alias("band", "h"))
     rb = stored(rb.select("id", "ord", F.struct("band", "h").alias("bucket")))
     decided: list[DataFrame] = []
