@@ -50,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import col, py_strip
+from quire.functions.text import col
 from quire.session import stored, stored_counted
 from quire.operators.skew import BLOCK, lookup_join, meet_in_lists
 
@@ -94,7 +94,7 @@ def embedding_set(c) -> Column:
 
 def words_of(c) -> Column:
     """Lower-cased whitespace words of a text."""
-    return F.filter(F.split(py_strip(F.lower(col(c))), r"\s+"), lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(F.lower(col(c)), r"\s+"), "")  # blanks at an end leave an empty word
 
 
 def word_shingles(words, k: int = 3) -> Column:
@@ -184,32 +184,53 @@ def prefix_tokens(reps: DataFrame, threshold: float = 0.9, hot: int = HOT_LIST)
     tokens' own, which needs no count, so that only prefixes (a tenth of the
     tokens) leave the rows; the frequent tokens come last, rarest first.  Those
     are found in the sets that a list of more than ``hot`` rows holds, by counting
-    all of their tokens; there are at most a million (``hot`` grows for that).
-    Only sets with a frequent token in the prefix are ordered anew."""
+    all of their tokens; there are at most a million (``hot`` grows for that),
+    which are sent to the tasks.  With them, prefixes are taken once more inside
+    the rows (``_moved_last``): no set is written or shuffled for its order."""
     plen = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
 
-    def heads(sets: DataFrame, tokens: Column) -> DataFrame:
-        return sets.select("id", "ord", "n", F.posexplode(F.slice(tokens, F.lit(1), plen)).alias("_p", "token")).select(
-            "id", "ord", "n", "token", (F.col("_p") + 1).alias("pos"))
+    def heads(sets: DataFrame, first: Column) -> DataFrame:  # _outer: a plain explode would infer a filter that sorts again
+        x = sets.select("id", "ord", "n", F.posexplode_outer(first).alias("_p", "token")).where(F.col("token").isNotNull())
+        return stored(x.select("id", "ord", "n", "token", (F.col("_p") + 1).alias("pos")))
 
-    rows = stored(heads(reps, F.sort_array("tokens")))
+    def lists(rows: DataFrame) -> DataFrame:
+        return stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+
+    rows = heads(reps, F.slice(F.sort_array("tokens"), F.lit(1), plen))
     hot = max(hot, (reps.agg(F.sum("n")).first()[0] or 0) // 1_000_000)
-    sizes = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    sizes = lists(rows)
     long = sizes.where(F.col("m") > hot).select("token")
     if not long.isEmpty():
-        some = _sets_of(reps, rows.join(F.broadcast(long), "token", "left_semi").select("id").distinct())
-        df = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        late = stored(df.where(F.col("df") > hot))
-        again = _sets_of(reps, rows.join(F.broadcast(late.select("token")), "token", "left_semi").select("id").distinct())
-        its = (again.select("id", F.explode("tokens").alias("token")).join(F.broadcast(late), "token")
-               .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_l")))
-        its = its.select("id", F.transform("_l", lambda x: x["token"]).alias("_late"))
-        moved = stored(heads(again.join(its, "id"), F.concat(F.sort_array(F.array_except("tokens", "_late")), "_late")))
-        rows = rows.join(again.select("id"), "id", "left_anti").unionByName(moved)
-        sizes = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        ids, n = stored_counted(rows.join(F.broadcast(long), "token", "left_semi").select("id").distinct())
+        df = (reps.join(_known(ids, n), "id", "left_semi").select(F.explode("tokens").alias("token"))
+              .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+        late = stored(df.where(F.col("df") > hot)).orderBy("df", "token").select("token").toArrow().column("token")
+        ordered = reps.select("id", "ord", "n", plen.alias("_k"), F.sort_array("tokens").alias("_tokens"))
+        rows = heads(_moved_last(ordered, late.combine_chunks()), F.col("_tokens"))
+        sizes = lists(rows)
     return stored(lookup_join(rows, sizes, "token", count_col="m").drop("m"))
 
 
+def _moved_last(ordered: DataFrame, late: pa.Array) -> DataFrame:
+    """id, ord, n, _tokens: the first ``_k`` tokens of each sorted set once the
+    ``late`` ones have gone to its end, in the order of ``late``."""
+    schema = ordered.drop("_k").schema
+
+    def run(batches):
+        for batch in batches:
+            tokens, most = batch.column("_tokens"), np.asarray(pc.fill_null(batch.column("_k"), 0))
+            size = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+            flat, start, row = tokens.flatten(), np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+            rank = np.asarray(pc.fill_null(pc.index_in(flat, value_set=late), -1)).astype(np.int64) + 1
+            order = np.argsort(row * (len(late) + 1) + rank, kind="stable")  # others keep their order, as rank 0
+            first = order[np.arange(len(flat)) - np.repeat(start, size) < np.repeat(most, size)]
+            cut = pa.array(np.r_[0, np.cumsum(np.minimum(size, most))].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "ord", "n")]
+                                             + [pa.ListArray.from_arrays(cut, flat.take(pa.array(first)))], schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def _may_reach(threshold: float, a: str = "a", b: str = "b") -> Column:
     """Size and position filter of a candidate that meets in one list.  The
     first common token of two sets bounds their overlap by itself and what

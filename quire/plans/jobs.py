@@ -56,6 +56,17 @@ def duplicate_ids(articles: DataFrame, method: str = "shingles", threshold: floa
     return kept.where(~F.col("kept")).select(F.col("id").alias(id_col))
 
 
+def numbered_articles(raw: DataFrame, order_by: str = "pos") -> DataFrame:
+    """Cleaned articles with their dense ids: ``raw`` is read and written once,
+    and the ids join it where it is read."""
+    return dense_ids(stored(clean_articles(raw)), order_by, "id_articulo").drop(order_by)
+
+
+def _whole(clean: DataFrame, some: DataFrame) -> DataFrame:
+    """The cleaned articles, texts included, that ``some`` holds."""
+    return clean.join(some.select("id_articulo"), "id_articulo", "left_semi")
+
+
 def article_job(raw: DataFrame, order_by: str = "pos", threshold: float = 0.9,
                 enforce_fk: bool = False, extractor=None, method: str = "shingles",
                 embeddings: DataFrame | None = None, known_duplicates: DataFrame | None = None) -> ArticleStar:
@@ -65,16 +76,18 @@ def article_job(raw: DataFrame, order_by: str = "pos", threshold: float = 0.9,
     ``method`` and ``embeddings`` choose the relation (``duplicate_ids``); saved
     duplicates (A14: ``known_duplicates``, a table of id_articulo) replace it.
     Every intermediate table is written once and read by all that follows; the
-    counters (D10) are counted while it is written.
+    counters (D10) are counted while it is written.  The texts are written once,
+    as cleaned: later tables go without and meet them by id where they are read.
 
     Like the reference, author links are built before de-duplication and
     are not re-filtered afterwards (Q17) unless ``enforce_fk``."""
-    clean = stored(dense_ids(clean_articles(raw), order_by, "id_articulo").drop(order_by))
-    occ = stored(author_occurrences(clean, "id_articulo", "autor", extractor))
-    authored, n_authored = stored_counted(clean.join(occ.select("id_articulo"), "id_articulo", "left_semi"))  # C5
+    clean = numbered_articles(raw, order_by)
+    heads = stored(clean.drop("texto_completo"))
+    occ = stored(author_occurrences(heads, "id_articulo", "autor", extractor))
+    authored, n_authored = stored_counted(heads.join(occ.select("id_articulo"), "id_articulo", "left_semi"))  # C5
     dim, links = standardise_authors(occ)
     dim, n_final = stored_counted(dim)
-    gone = known_duplicates if known_duplicates is not None else duplicate_ids(authored, method, threshold, embeddings=embeddings)
+    gone = known_duplicates if known_duplicates is not None else duplicate_ids(_whole(clean, authored), method, threshold, embeddings=embeddings)
     deduped, n_kept = stored_counted(authored.join(gone.select("id_articulo"), "id_articulo", "left_anti"))
     tg = extract_tags(deduped, "id_articulo")
     (articles, n_tagged), (tags, n_tags), (rel_tags, n_tag_links) = (stored_counted(x) for x in (tg.articles, tg.dim, tg.links))
@@ -85,7 +98,7 @@ def article_job(raw: DataFrame, order_by: str = "pos", threshold: float = 0.9,
                "duplicate_articles": n_authored - n_kept, "tagged_articles": n_tagged, "tags": n_tags,
                "tag_links": n_tag_links, "author_links": n_links}
     counts = raw.sparkSession.range(1).select(*[F.lit(n).cast("long").alias(k) for k, n in numbers.items()])
-    return ArticleStar(articles, dim, links, tags, rel_tags, counts)
+    return ArticleStar(_whole(clean, articles), dim, links, tags, rel_tags, counts)
 
 
 class Arguments(NamedTuple):
