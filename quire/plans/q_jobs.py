@@ -137,12 +137,10 @@ def saved_duplicates(spark, sf_dir):
     """The article job again with the duplicates that an earlier run
     saved instead of a search: the same articles."""
     from quire.operators.authors import author_occurrences
-    from quire.operators.clean import clean_articles
-    from quire.operators.ids import dense_ids
     from quire.session import scratch
     from quire.sources.writers import read_duplicates, save_duplicates
     raw, path = fixture(spark, sf_dir, "job_raw_articles"), scratch(spark, "duplicates")
-    clean = dense_ids(clean_articles(raw), "pos", "id_articulo")
+    clean = J.numbered_articles(raw)
     authored = clean.join(author_occurrences(clean, "id_articulo", "autor").select("id_articulo"), "id_articulo", "left_semi")
     save_duplicates(J.duplicate_ids(authored), "id_articulo", path)
     return J.article_job(raw, known_duplicates=read_duplicates(spark, path)).articles.drop("texto_completo")
