@@ -50,6 +50,8 @@ JUNK_OPEN = "(?is)^(?:" + "|".join([
 ]) + ")"
 CONTAINER_OPEN = r"(?is)^<div\b[^>]*" + _CLS.format(name="mw-parser-output")
 INFOBOX_OPEN = r"(?is)^<table\b[^>]*" + _CLS.format(name="infobox")
+# A page without this has no infobox: the word, or a letter of it before an element that goes.
+MAYBE_INFOBOX = r"(?i)infobox|[infob]<(?:style|script|!--|sup|span)"
 BLOCK_TAGS = ("h[1-6]|p|div|table|tbody|thead|tfoot|tr|td|th|ul|ol|li|dl|dt|dd|section|article|aside|nav|"
               "header|footer|main|figure|figcaption|blockquote|pre|form|fieldset|address|hr|body|html|head|title")
 BLOCK_TAG = rf"(?i)(</?(?:{BLOCK_TAGS})\b[^>]*>)"

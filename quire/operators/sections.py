@@ -68,7 +68,8 @@ def _tagged(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     p = p.withColumn("_inside", F.sum(step).over(page)).where("_inside = 0")
     return p.select("page_id", "pos", "piece", F.when(F.col("_end"), F.lit("")).otherwise(F.col("name")).alias("name"),
                     F.when(F.col("_end"), 0).otherwise(F.col("turn")).alias("turn"), "close",
-                    F.col("piece").rlike(H.CONTAINER_OPEN).alias("container"), F.col("piece").rlike(H.INFOBOX_OPEN).alias("infobox"))
+                    ((F.col("name") == "div") & F.col("piece").rlike(H.CONTAINER_OPEN)).alias("container"),
+                    ((F.col("name") == "table") & F.col("piece").rlike(H.INFOBOX_OPEN)).alias("infobox"))
 
 
 def _within(tagged: DataFrame, mark: str) -> DataFrame:
@@ -131,7 +132,7 @@ def infobox_pairs(pages: DataFrame, id_col: str = "page_id", html_col: str = "so
     text of the first of each.  A row ends at the next row of its own table, a
     cell at the next cell or row of its own table, and both where that table
     ends."""
-    t = _within(_tagged(pages, id_col, html_col), "infobox")
+    t = _within(_tagged(pages.where(F.col(html_col).rlike(H.MAYBE_INFOBOX)), id_col, html_col), "infobox")
     t = t.where((F.col("pos") >= F.col("first.pos")) & (F.col("pos") <= F.col("first.close")))
     page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_table = F.col("name") == "table"
