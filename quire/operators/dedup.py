@@ -8,11 +8,17 @@ of its pairs:
    of the sorted set (two salted xxhash64 values + size); the first row in
    order represents the group, the others are its copies.  A group of
    copies holding a third of all rows costs one partial aggregation.
-2. ``prefix_tokens``: tokens have one order in all sets, their own with the
+2. ``marked``: from a threshold of ``MARKED`` on, tokens are dealt into buckets
+   by their hash, about nine tokens each.  Two sets with a Jaccard similarity of
+   t or more differ in few tokens, so in a set's first ``d + 1`` buckets (``d``: the
+   most tokens it may differ in) at least one is the same in both: candidates meet
+   in the lists of bucket hashes.  A set is reduced to one hash per nine tokens
+   inside its task; sets are neither written nor shuffled, and those that meet
+   another one are made anew for exact verification.  ``prefix_tokens`` does the same for lower
+   thresholds: tokens have one order in all sets, their own with the
    frequent ones last; a set's prefix is its first ``n - ceil(t n) + 1`` tokens,
-   and two sets with a Jaccard similarity of t or more always share a prefix
-   token, so candidates meet in the lists of prefix tokens.  Size and position filters follow, then exact
-   verification.
+   and two similar sets always share a prefix token.  Size (and position) filters
+   follow, then exact verification.
 3. ``leader_rounds``: the reference's rule - in row order, a row is a duplicate
    iff it is similar to an already *kept* row.  A row that is the earliest
    undecided one of all its lists is kept for certain and leads them; members
@@ -62,6 +68,8 @@ WORTH = 0.1
 #: So many ids go to every task; a list of more rows than HOT_LIST is long.
 FEW_IDS = 1_000_000
 HOT_LIST = 100
+#: From this threshold on, sets meet in the lists of their marks; below, buckets would hold too few tokens.
+MARKED = 0.8
 #: Modulus of the portable hashes, and the base of a shingle's polynomial.
 PRIME = (1 << 31) - 1
 SHINGLE_BASE = 1_000_003
@@ -148,6 +156,7 @@ def embed_texts(df: DataFrame, text_col: str, embed, out_col: str = "embedding",
 class Collapsed(NamedTuple):
     reps: DataFrame    # id, ord, tokens, n
     copies: DataFrame  # id, copy_of
+    rows: DataFrame    # id, ord, n of the representatives, with marks if a threshold was given
 
 
 def _known(ids: DataFrame, n: int) -> DataFrame:
@@ -156,18 +165,25 @@ def _known(ids: DataFrame, n: int) -> DataFrame:
     return F.broadcast(ids) if n <= FEW_IDS else ids
 
 
-def collapse_copies(sets: DataFrame, id_col: str, order_col: str, tokens_col: str) -> Collapsed:
-    """Identical sets -> one representative (first in order) + copy rows.  The
-    sets are written once; copies are found by fingerprint and id alone."""
+def collapse_copies(sets: DataFrame, id_col: str, order_col: str, tokens_col: str,
+                    threshold: float | None = None) -> Collapsed:
+    """Identical sets -> one representative (first in order) + copy rows.  One
+    pass over the sets writes a fingerprint of each (and its marks for
+    ``threshold``); copies are found by that and id alone.  The sets themselves are
+    not written: where ``reps`` is read they are made anew, so a source that is
+    costly beyond its tokens should be stored."""
     s = sets.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"), F.col(tokens_col).alias("tokens"))
     s = s.withColumn("n", F.size("tokens")).withColumn(
         "_fp", F.struct("n", F.xxhash64(F.lit("a"), "tokens").alias("h1"), F.xxhash64(F.lit("b"), "tokens").alias("h2")))
-    s = stored(s)
-    rep = s.groupBy("_fp").agg(F.min_by("id", "ord").alias("rep"), F.count(F.lit(1)).alias("_rows"))
-    tagged = lookup_join(s.select("id", "_fp"), rep, "_fp", count_col="_rows").drop("_rows")  # a group of copies is a hot key: salted
+    rows = stored(s.drop("tokens") if threshold is None else marked(s, threshold))
+    rep = rows.groupBy("_fp").agg(F.min_by("id", "ord").alias("rep"), F.count(F.lit(1)).alias("_rows"))
+    tagged = lookup_join(rows.select("id", "_fp"), rep, "_fp", count_col="_rows").drop("_rows")  # a group of copies is a hot key: salted
     copies, n = stored_counted(tagged.where(F.col("id") != F.col("rep")).select("id", "_fp", F.col("rep").alias("copy_of")))
-    reps = s.join(_known(copies.select("id", "_fp"), n), ["id", "_fp"], "left_anti").select("id", "ord", "tokens", "n")
-    return Collapsed(reps if n <= FEW_IDS else stored(reps), copies.select("id", "copy_of"))
+    gone = _known(copies.select("id", "_fp"), n)
+    own = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").isEmpty()  # else an id has several sets
+    reps = s.join(gone.select("id"), "id", "left_anti") if own else s.join(gone, ["id", "_fp"], "left_anti")
+    return Collapsed(reps.select("id", "ord", "tokens", "n"), copies.select("id", "copy_of"),
+                     rows.join(gone, ["id", "_fp"], "left_anti").drop("_fp"))
 
 
 def _sets_of(reps: DataFrame, ids: DataFrame) -> DataFrame:
@@ -176,6 +192,97 @@ def _sets_of(reps: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(reps.join(_known(ids, n), "id", "left_semi"))
 
 
+def marked(sets: DataFrame, threshold: float) -> DataFrame:
+    """``sets`` with ``marks`` (whole numbers) in place of ``tokens``: two different
+    sets with a Jaccard similarity of ``threshold`` or more share a mark.
+
+    Similar sets of ``na`` and ``nb`` tokens differ in at most ``d`` = (1 - t) / (1 + t)
+    (na + nb) of them.  Tokens are dealt into buckets by hash, as many for all sets
+    of a size class (a power of two), and a bucket's mark is a hash of its tokens.
+    A token that one set lacks changes one bucket, so of any ``d + 1`` buckets
+    in which either has a token one is the same in both: each set's first ``d + 1``
+    filled buckets, taken in their order, hold such a one.  A set that may be similar to one
+    of the next class has marks of that class as well, and a set with too few filled
+    buckets has one more mark, which all such sets share."""
+    longs = sets.schema["tokens"].dataType.simpleString() == "array<bigint>"
+    keep = [c for c in sets.columns if c != "tokens"]
+    x = sets.select(*keep, F.col("tokens") if longs else F.transform("tokens", lambda v: F.xxhash64(v)).alias("tokens"))
+    schema = x.select(*keep, F.array(F.lit(0).cast("long")).alias("marks")).schema
+
+    def run(batches):
+        for batch in batches:
+            tokens, n = batch.column("tokens"), batch.num_rows
+            size = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+            flat = np.asarray(pc.fill_null(tokens.flatten(), 0)).astype(np.int64).view(np.uint64)
+            end, i = np.cumsum(size), 0
+            while i < n:  # rows with about CHUNK elements
+                start = end[i] - size[i]
+                j = max(i + 1, int(np.searchsorted(end, start + CHUNK, "right")))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in keep]
+                                                 + [_marks(flat[start:end[j - 1]], size[i:j], threshold)], schema.names)
+                i = j
+
+    return x.mapInArrow(run, schema)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _most_apart(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
+    return np.floor((na + nb) * ((1 - t) / (1 + t)) + 1e-9).astype(np.int64)
+
+
+def _marks(tokens: np.ndarray, size: np.ndarray, threshold: float) -> pa.ListArray:
+    """The marks of each row's set."""
+    t = threshold - 1e-9
+    step = np.uint64(32)
+    largest = np.floor(size / t).astype(np.int64)  # a similar set's size at most
+    top = np.left_shift(1, np.ceil(np.log2(np.maximum(size, 1) + 1)).astype(np.int64))  # of the class: 2^(k-1) to 2^k - 1 tokens
+    rows, marks = [], []
+    x, of = _mixed(tokens), np.repeat(np.arange(len(size)), size)
+    for limit, most in ((top, np.minimum(largest, top - 1)), (2 * top, np.where(largest >= top, largest, 0))):
+        need = np.where(most >= size, _most_apart(size, most, t) + 1, 0)
+        need[need == 1] = 0  # nothing may differ: such a pair would be copies
+        if not need.any():
+            continue
+        buckets = np.where(need > 0, _most_apart(limit, limit, t) + 1, 0)
+        start = np.cumsum(buckets) - buckets
+        used = need[of] > 0
+        own, mine = of[used], x[used]
+        at = start[own] + (((mine >> step) * buckets[own].astype(np.uint64)) >> step).astype(np.int64)
+        total = np.zeros(int(buckets.sum()), np.uint64)
+        np.add.at(total, at, mine)
+        filled = np.bincount(at, minlength=len(total)) > 0
+        row = np.repeat(np.arange(len(size)), buckets)
+        before = np.r_[0, np.cumsum(filled)]
+        first = filled & (before[1:] - before[start[row]] <= need[row])
+        place = (limit[row].astype(np.uint64) << step) + (np.arange(len(row)) - start[row]).astype(np.uint64)
+        rows.append(row[first])
+        marks.append(_mixed(total[first] ^ _mixed(place[first])))
+        few = np.flatnonzero((need > 0) & (np.bincount(row[first], minlength=len(size)) < need))
+        rows.append(few)
+        marks.append(_mixed(limit[few].astype(np.uint64)))
+    row = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+    order = np.argsort(row, kind="stable")
+    flat = np.concatenate([*marks, np.empty(0, np.uint64)])[order].view(np.int64)
+    cut = np.r_[0, np.cumsum(np.bincount(row, minlength=len(size)))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))
+
+
+def shared_marks(rows: DataFrame) -> DataFrame:
+    """id, ord, n, token, pos: the marks (``token``) of each row that another row
+    has, too.  They have no place in a set: ``pos`` is 1, which filters nothing."""
+    x = rows.select("id", "ord", "n", F.explode("marks").alias("token"))
+    sizes, n = stored_counted(x.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    met = x.join(F.broadcast(sizes), "token") if n <= FEW_IDS else lookup_join(x, sizes, "token", count_col="m")
+    return stored(met.select("id", "ord", "n", "token", F.lit(1).alias("pos")))
+
+
 def prefix_tokens(reps: DataFrame, threshold: float = 0.9, hot: int = HOT_LIST) -> DataFrame:
     """id, ord, n, token, pos: the prefix of each set, as far as another set's
     prefix has the token; ``pos`` is the token's place (from 1) in the set.
@@ -241,30 +348,43 @@ def _may_reach(threshold: float, a: str = "a", b: str = "b") -> Column:
             & (rest >= (na + nb) * (threshold / (1 + threshold)) - 1e-9))
 
 
-def _verified(cand: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _ends(cand: DataFrame) -> DataFrame:
+    return cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct()
+
+
+def _verified(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, inter, jaccard) of the candidate pairs (a, b) that reach the
-    threshold, from the stored sets of both sides; ``a`` may be a hot key."""
-    cand = stored(cand)
-    some = _sets_of(reps, cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct())
-    ra = some.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("_ta"))
-    rb = some.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("_tb"))
+    threshold, from the stored ``sets`` of both sides; ``a`` may be a hot key."""
+    ra = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("_ta"))
+    rb = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("_tb"))
+    ra, rb = (r.join(cand.select(end).distinct(), end, "left_semi") for r, end in ((ra, "a"), (rb, "b")))
     inter = lookup_join(cand, ra, "a").join(rb, "b").select(
         "a", "b", "na", "nb", F.size(F.array_intersect("_ta", "_tb")).alias("inter"))
     j = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
     return inter.select("a", "b", "inter", j.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
 
+def _met(reps: DataFrame, threshold: float) -> DataFrame:
+    """The lists in which sets may meet a similar one."""
+    if threshold >= MARKED:
+        return shared_marks(stored(marked(reps.select("id", "ord", "n", "tokens"), threshold)))
+    return prefix_tokens(reps, threshold)
+
+
+def _candidates(prefix: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b), stored: pairs of a list that may reach the threshold, a before b."""
+    dealt, meet, once = meet_in_lists(prefix, "token", "id", block)
+    return stored(dealt.alias("a").join(dealt.alias("b"), meet).where((F.col("a.ord") < F.col("b.ord")) & once & _may_reach(threshold))
+                  .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+
+
 def jaccard_pairs(reps: DataFrame, threshold: float = 0.9, prefix: DataFrame | None = None,
                   block: int = BLOCK) -> DataFrame:
     """(a, b, inter, jaccard) for representatives a < b (by ``ord``) with
-    Jaccard >= threshold - exact, via prefix filtering + verification.  Lists
-    of more than ``block`` rows are compared block against block."""
-    if prefix is None:
-        prefix = prefix_tokens(reps, threshold)
-    dealt, meet, once = meet_in_lists(prefix, "token", "id", block)
-    cand = (dealt.alias("a").join(dealt.alias("b"), meet).where((F.col("a.ord") < F.col("b.ord")) & once & _may_reach(threshold))
-             .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    return _verified(cand, reps, threshold)
+    Jaccard >= threshold - exact, via the lists of marks or prefix tokens +
+    verification.  Lists of more than ``block`` rows are compared block against block."""
+    cand = _candidates(_met(reps, threshold) if prefix is None else prefix, threshold, block)
+    return _verified(cand, _sets_of(reps, _ends(cand)), threshold)
 
 
 class Rounds(NamedTuple):
@@ -277,7 +397,7 @@ class Rounds(NamedTuple):
 def leader_rounds(reps: DataFrame, prefix: DataFrame, threshold: float = 0.9, worth: float = WORTH) -> Rounds:
     """Decide rows against the leaders of their lists, round by round, while a
     round decides at least the share ``worth`` of the undecided ones.  All
-    decisions are those of the sequential rule."""
+    decisions are those of the sequential rule.  ``reps`` is read in every round."""
     decided, compared = [], 0
     open_, lone = prefix, reps.join(prefix.select("id").distinct(), "id", "left_anti").select("id")
     while True:
@@ -344,13 +464,17 @@ class Dedup(NamedTuple):
 def dedup_sets(sets: DataFrame, id_col: str, order_col: str, tokens_col: str,
                threshold: float = 0.9) -> Dedup:
     """I7 with exact Jaccard: copies collapsed, then leader rounds, then the
-    verified pairs of what they leave open."""
-    c = collapse_copies(sets, id_col, order_col, tokens_col)
-    reps = c.reps
-    r = leader_rounds(reps, prefix_tokens(reps, threshold), threshold)
-    kept = r.decided.unionByName(r.lone.select("id", F.lit(True).alias("kept")))
+    verified pairs of what they leave open.  Sets that meet no other are kept;
+    those that do are written once."""
+    c = collapse_copies(sets, id_col, order_col, tokens_col, threshold if threshold >= MARKED else None)
+    prefix = shared_marks(c.rows) if threshold >= MARKED else prefix_tokens(c.reps, threshold)
+    met = stored(prefix.select("id").distinct())
+    some = _sets_of(c.reps, met)
+    r = leader_rounds(some, prefix, threshold)
+    alone = c.rows.select("id").join(met, "id", "left_anti")
+    kept = r.decided.unionByName(r.lone.union(alone).select("id", F.lit(True).alias("kept")))
     if not r.open.isEmpty():
-        pairs = stored(jaccard_pairs(reps, threshold, r.open))
+        pairs = stored(_verified(_candidates(r.open, threshold), some, threshold))
         kept = kept.unionByName(greedy_keep_first(r.open.select("id", "ord").distinct(), pairs))
     return Dedup(kept.unionByName(c.copies.select("id", F.lit(False).alias("kept"))), c.copies, r.candidates)
 
