@@ -68,6 +68,9 @@ WORTH = 0.1
 #: So many ids go to every task; a list of more rows than HOT_LIST is long.
 FEW_IDS = 1_000_000
 HOT_LIST = 100
+#: Sets of about so many tokens are compared with as many others in one place, and so many pairs.
+BLOCK_TOKENS = 1 << 21
+BLOCK_PAIRS = 50_000
 #: From this threshold on, sets meet in the lists of their marks; below, buckets would hold too few tokens.
 MARKED = 0.8
 #: Modulus of the portable hashes, and the base of a shingle's polynomial.
@@ -187,9 +190,12 @@ def collapse_copies(sets: DataFrame, id_col: str, order_col: str, tokens_col: st
 
 
 def _sets_of(reps: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of the given distinct ids, stored."""
+    """The sets of the given distinct ids, stored.  Ids are sent to the tasks,
+    ``FEW_IDS`` or so at a time, so that no other set is shuffled or written."""
     ids, n = stored_counted(ids)
-    return stored(reps.join(_known(ids, n), "id", "left_semi"))
+    parts = max(1, -(-n // FEW_IDS))
+    part = lambda df, k: df.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k) if parts > 1 else df
+    return reduce(DataFrame.union, [stored(part(reps, k).join(F.broadcast(part(ids, k)), "id", "left_semi")) for k in range(parts)])
 
 
 def marked(sets: DataFrame, threshold: float) -> DataFrame:
@@ -352,16 +358,63 @@ def _ends(cand: DataFrame) -> DataFrame:
     return cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct()
 
 
-def _verified(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, inter, jaccard) of the candidate pairs (a, b) that reach the
-    threshold, from the stored ``sets`` of both sides; ``a`` may be a hot key."""
-    ra = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("_ta"))
-    rb = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("_tb"))
-    ra, rb = (r.join(cand.select(end).distinct(), end, "left_semi") for r, end in ((ra, "a"), (rb, "b")))
-    inter = lookup_join(cand, ra, "a").join(rb, "b").select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("_ta", "_tb")).alias("inter"))
+def _verified(cand: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK_TOKENS,
+              most: int = BLOCK_PAIRS) -> DataFrame:
+    """(a, b, inter, jaccard) of the stored candidate pairs (a, b, na, nb) that reach
+    the threshold, from the stored ``sets`` of both sides.
+
+    The pairs of a family meet in one place, the group ``_g`` of the first row that its
+    ``a`` is a candidate of, and a set travels once for all of them, not once a
+    pair.  A group of more than ``block`` tokens or ``most`` pairs is dealt into
+    blocks, and the pairs of two blocks are a group of their own."""
+    if "_g" not in cand.columns:
+        least = cand.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("_g"))
+        cand = stored(cand.join(least, "a", "left").withColumn("_g", F.coalesce("_g", "a")))
+    ends = lambda x, *cols: x.select("a", "na", *cols).union(x.select("b", "nb", *cols)).toDF("id", "n", *cols).distinct()
+    sizes = (ends(cand, "_g").groupBy("_g").agg(F.sum("n").alias("_n")).join(cand.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")), "_g")
+             .select("_g", F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.sqrt(F.col("_m") / most))).alias("_blocks"), F.col("_m")))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("_blocks"))
+    pairs = stored(lookup_join(cand, sizes, "_g", count_col="_m").select("a", "b", "na", "nb", "_g", own("a").alias("_i"), own("b").alias("_j")))
+    group = ["_g", "_i", "_j"]
+    sent, n = stored_counted(ends(pairs, *group).drop("n"))
+    met = sets.select("id", "tokens").join(_known(sent, n), "id")
+    schema = pairs.select("a", "b", "na", "nb", F.lit(0).cast("long").alias("inter")).schema
+    inter = pairs.groupBy(*group).cogroup(met.groupBy(*group)).applyInArrow(_common, schema)
     j = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
-    return inter.select("a", "b", "inter", j.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+    return inter.select("a", "b", F.col("inter").cast("int").alias("inter"), j.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+
+
+def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs of a group with the number of their sets' common tokens."""
+    tokens = sets.column("tokens").combine_chunks()
+    size = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+    flat = tokens.flatten()
+    if pa.types.is_floating(flat.type):
+        flat = pc.add(flat, 0.0)  # -0.0 is 0.0
+    code = flat.dictionary_encode(null_encoding="encode")
+    known, code = len(code.dictionary), np.asarray(code.indices).astype(np.int64)
+    start = np.cumsum(size) - size
+    of: dict = {}
+    for row, i in enumerate(sets.column("id").to_pylist()):
+        of.setdefault(i, []).append(row)
+    pairs = pairs.select(["a", "b", "na", "nb"]).sort_by("a")
+    in_a, kept, inter = np.zeros(known, bool), [], []
+    firsts, seconds = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
+    i = 0
+    while i < len(firsts):
+        j = i + 1
+        while j < len(firsts) and firsts[j] == firsts[i]:
+            j += 1
+        for row in of.get(firsts[i], ()):
+            mine = code[start[row]:start[row] + size[row]]
+            in_a[mine] = True
+            for k in range(i, j):
+                for other in of.get(seconds[k], ()):
+                    kept.append(k)
+                    inter.append(int(np.count_nonzero(in_a[code[start[other]:start[other] + size[other]]])))
+            in_a[mine] = False
+        i = j
+    return pairs.take(pa.array(kept, pa.int64())).append_column("inter", pa.array(inter, pa.int64()))
 
 
 def _met(reps: DataFrame, threshold: float) -> DataFrame:
@@ -372,10 +425,10 @@ def _met(reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _candidates(prefix: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b), stored: pairs of a list that may reach the threshold, a before b."""
+    """(a, b, na, nb), stored: pairs of a list that may reach the threshold, a before b."""
     dealt, meet, once = meet_in_lists(prefix, "token", "id", block)
     return stored(dealt.alias("a").join(dealt.alias("b"), meet).where((F.col("a.ord") < F.col("b.ord")) & once & _may_reach(threshold))
-                  .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+                  .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct())
 
 
 def jaccard_pairs(reps: DataFrame, threshold: float = 0.9, prefix: DataFrame | None = None,
@@ -416,9 +469,10 @@ def leader_rounds(reps: DataFrame, prefix: DataFrame, threshold: float = 0.9, wo
         x = lookup_join(led.drop("m"), ruled, "token", count_col="m").where(F.col("id") != F.col("first"))
         a = F.struct(F.col("n_first").alias("n"), F.col("pos_first").alias("pos"))
         x = x.select(F.struct("n", "pos").alias("b"), a.alias("a"), F.col("first").alias("a_id"), F.col("id").alias("b_id"))
-        cand = stored(x.where(_may_reach(threshold)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
+        cand = stored(x.where(_may_reach(threshold)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct())
         compared += cand.count()
-        gone = stored(_verified(cand, reps, threshold).select(F.col("b").alias("id")).distinct())
+        alone = cand.withColumn("_g", F.col("a"))  # no leader is led
+        gone = stored(_verified(alone, reps, threshold).select(F.col("b").alias("id")).distinct())
         done = leads.select(F.col("leader").alias("id"), F.lit(True).alias("kept")).union(gone.select("id", F.lit(False).alias("kept")))
         done = stored(done)
         decided.append(done)

@@ -105,9 +105,9 @@ def exact_copies(spark, sf_dir):
 SELECT a, b, round(jaccard, 6) AS jaccard FROM repj""")
 def near_dup_pairs(spark, sf_dir):
     """C11/I8: document pairs (distinct 3-word shingle sets, shingles stored
-    as 64-bit hashes) with Jaccard >= 0.9: prefix-filtered join, verified."""
-    c = DD.collapse_copies(_doc_sets(spark, sf_dir), "doc_id", "doc_id", "tokens")
-    p = DD.jaccard_pairs(c.reps, THRESHOLD)
+    as 64-bit hashes) with Jaccard >= 0.9: sets that share a mark, verified."""
+    c = DD.collapse_copies(_doc_sets(spark, sf_dir), "doc_id", "doc_id", "tokens", THRESHOLD)
+    p = DD.jaccard_pairs(c.reps, THRESHOLD, DD.shared_marks(c.rows))
     return p.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 

@@ -64,3 +64,26 @@ def test_only_sets_that_meet_another_are_written(spark, monkeypatch):
             kept.append(i)
     assert {i for i, k in got.items() if k} == set(kept) and len(got) == len(sets)
     assert sum(written) <= 48  # all 348 before
+
+
+def test_a_set_travels_once_for_the_pairs_of_its_family(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [rng.getrandbits(62) for _ in range(300)]
+    sets = [set(base[:k] + base[k + 5:]) | {rng.getrandbits(62)} for k in range(0, 150, 5)]
+    df = spark.createDataFrame([(i, i, sorted(s), len(s)) for i, s in enumerate(sets)], "id long, ord long, tokens array<long>, n int")
+    sent = []
+    def spy(x, keep=DD.stored_counted):  # noqa: E306
+        out = keep(x)
+        if "_g" in x.columns:
+            sent.append(out[1])
+        return out
+    monkeypatch.setattr(DD, "stored_counted", spy)
+    near = {(a, b): _jaccard(sets[a], sets[b]) for a, b in itertools.combinations(range(30), 2)}
+    assert all(j >= 0.9 for j in near.values())
+    assert {(r.a, r.b): r.jaccard for r in DD.jaccard_pairs(df, 0.9).collect()} == near
+    assert sent == [30]  # 435 sets before, one a pair
+    cand = DD.stored(spark.createDataFrame([(a, b, len(sets[a]), len(sets[b])) for a, b in near], "a long, b long, na int, nb int"))
+    for block, most in ((1000, 50_000), (1 << 21, 20)):  # dealt into blocks
+        got = DD._verified(cand, df, 0.9, block, most)
+        assert sorted((r.a, r.b, r.jaccard) for r in got.collect()) == sorted((a, b, j) for (a, b), j in near.items())
+        assert 30 < sent[-1] < 435
