@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.lists import list_items, parse_argument
+from quire.session import stored_counted
 
 ENDPOINT = "/v1/chat/completions"
 DEFAULT_MODEL = "gpt-4o-mini"
 NO_ARGS = "No arguments extracted"
+#: So many response ids that repeat go to every task.
+FEW_AGAIN = 250_000
 
 # Default prompt templates (L4).  They are parameters: pass your own texts
 # with the same slots to reproduce another prompt set.
@@ -73,6 +76,20 @@ def latest_content(responses: DataFrame, order_col: str = "line") -> DataFrame:
     return r.groupBy("custom_id").agg(F.max_by("content", order_col).alias("content"))
 
 
+def _latest_in_place(responses: DataFrame) -> DataFrame:
+    """``latest_content`` without a shuffle of the contents that have their id to
+    themselves: ids are counted first, and only those of several records meet."""
+    r = responses.where(F.col("content") != "")
+    again, n = stored_counted(r.groupBy("custom_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("custom_id").alias("_again")))
+    if n > FEW_AGAIN:
+        return latest_content(responses)
+    if n == 0:
+        return r.select("custom_id", "content")
+    several = F.col("custom_id").eqNullSafe(F.col("_again"))
+    return (r.join(F.broadcast(again), several, "left_anti").select("custom_id", "content")
+            .union(latest_content(r.join(F.broadcast(again), several, "left_semi"))))
+
+
 def _ids(prefix: str, *parts: Column) -> Column:
     """H9: ``prefix_i`` / ``prefix_i_j``."""
     return F.concat_ws("_", F.lit(prefix), *[p.cast("string") for p in parts])
@@ -113,14 +130,21 @@ def direct_phase2_requests(articles: DataFrame, conclusions: DataFrame,
 
 def direct_results(articles: DataFrame, phase1: DataFrame, phase2: DataFrame,
                    mode: str = "reference") -> DataFrame:
-    """Every conclusion kept; missing premises -> [].  H15 labels."""
-    concl = direct_conclusions(phase1, mode)
-    prem = _split_ids(latest_content(phase2), "p", True).select(
-        "i", "j", list_items("content", mode).alias("premises"))
-    args = (concl.join(prem, ["i", "j"], "left")
-                 .withColumn("premises", F.coalesce("premises", F.array().cast("array<string>"))))
-    per_article = args.groupBy("i").agg(
-        F.array_sort(F.collect_list(F.struct("j", "conclusion", "premises"))).alias("_a"))
+    """Every conclusion kept; missing premises -> [].  H15 labels.
+
+    The lists of an article meet by ``i`` as wholes and their items inside the row,
+    so a content is shuffled once, and not item by item."""
+    concl = _split_ids(_latest_in_place(phase1), "c", False).select("i", list_items("content", mode).alias("_c"))
+    concl = concl.groupBy("i").agg(F.collect_list("_c").alias("_c"))  # c_1 and c_01 are both article 1
+    prem = _split_ids(_latest_in_place(phase2), "p", True).select("i", "j", list_items("content", mode).alias("premises"))
+    prem = (prem.repartition("i").groupBy("i", "j").agg(F.collect_list("premises").alias("_p"))
+            .groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "_p"))).alias("_p")))
+    numbered = F.flatten(F.transform("_c", lambda own: F.transform(own, lambda c, j: F.struct(j.cast("long").alias("j"), c.alias("conclusion")))))
+    args = concl.join(prem, "i", "left").select("i", "_p", F.filter(numbered, lambda c: c["conclusion"].isNotNull()).alias("_c"))
+    none = F.array(F.array().cast("array<string>"))
+    per_article = args.select("i", F.array_sort(F.flatten(F.transform("_c", lambda c: F.transform(
+        F.coalesce(F.try_element_at("_p", c["j"]), none),
+        lambda p: F.struct(c["j"].alias("j"), c["conclusion"].alias("conclusion"), p.alias("premises")))))).alias("_a"))
     per_article = per_article.select(
         "i",
         F.transform("_a", lambda a: a["conclusion"]).alias("conclusions"),

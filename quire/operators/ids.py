@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 
 from quire.session import materialize, stored
 
+#: So many numbers of a whole-number key go to every task (about 50 bytes each).
+FEW_NUMBERS = 1 << 22
+
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
@@ -63,11 +66,18 @@ def dense_keys(df: DataFrame, order_by: str | Sequence[str], id_col: str = "id",
     return _numbered(laid.drop("_rows"), id_col)
 
 
-def _late(df: DataFrame, numbers: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with the numbers of its keys; null keys match, too."""
+def _late(df: DataFrame, numbers: DataFrame, keys: list[str], few: int = 0) -> DataFrame:
+    """``df`` with the numbers of its keys; null keys match, too.  Up to ``few``
+    numbers of a whole-number key are sent to the tasks: no text is shuffled."""
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    numbers = numbers.withColumnsRenamed(names)
+    if few and len(keys) == 1 and df.schema[keys[0]].dataType.simpleString() in ("int", "bigint"):
+        key = F.col(names[keys[0]])
+        rows, filled = numbers.agg(F.count(F.lit(1)), F.count(key)).first()
+        if rows == filled <= few:
+            return df.join(F.broadcast(numbers), F.col(keys[0]) == key).drop(*names.values())
     on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    return df.join(numbers.withColumnsRenamed(names), on).drop(*names.values())
+    return df.join(numbers, on).drop(*names.values())
 
 
 def dense_ids(df: DataFrame, order_by: str | Sequence[str], id_col: str = "id",
@@ -75,7 +85,7 @@ def dense_ids(df: DataFrame, order_by: str | Sequence[str], id_col: str = "id",
     """Append ``id_col`` = 0..n-1 following ``order_by`` (ascending)."""
     keys = _cols(order_by)
     numbers = dense_keys(df, keys, id_col, num_partitions)
-    return _numbered(_laid_out(df, keys, num_partitions), id_col) if numbers is None else _late(df, numbers, keys)
+    return _numbered(_laid_out(df, keys, num_partitions), id_col) if numbers is None else _late(df, numbers, keys, FEW_NUMBERS)
 
 
 def first_appearance_dim(occ: DataFrame, value_col: str, order_by: str | Sequence[str],
