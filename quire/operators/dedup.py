@@ -191,11 +191,12 @@ def collapse_copies(sets: DataFrame, id_col: str, order_col: str, tokens_col: st
 
 def _sets_of(reps: DataFrame, ids: DataFrame) -> DataFrame:
     """The sets of the given distinct ids, stored.  Ids are sent to the tasks,
-    ``FEW_IDS`` or so at a time, so that no other set is shuffled or written."""
+    ``FEW_IDS`` or so at a time, so that no other set is shuffled, written or made (as a
+    condition, unlike a join, the ids go below what makes the tokens)."""
     ids, n = stored_counted(ids)
     parts = max(1, -(-n // FEW_IDS))
     part = lambda df, k: df.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k) if parts > 1 else df
-    return reduce(DataFrame.union, [stored(part(reps, k).join(F.broadcast(part(ids, k)), "id", "left_semi")) for k in range(parts)])
+    return reduce(DataFrame.union, [stored(part(reps, k).where(F.col("id").isin(F.broadcast(part(ids, k))))) for k in range(parts)])
 
 
 def marked(sets: DataFrame, threshold: float) -> DataFrame:
