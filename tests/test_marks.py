@@ -87,3 +87,11 @@ def test_a_set_travels_once_for_the_pairs_of_its_family(spark, monkeypatch):
         got = DD._verified(cand, df, 0.9, block, most)
         assert sorted((r.a, r.b, r.jaccard) for r in got.collect()) == sorted((a, b, j) for (a, b), j in near.items())
         assert 30 < sent[-1] < 435
+
+
+def test_ids_and_lists_beyond_the_limit_give_the_same_pairs(spark, monkeypatch):
+    sets = _family_sets(random.Random(8), 8, 20)
+    df = spark.createDataFrame([(i, i, sorted(s), len(s)) for i, s in enumerate(sets)], "id long, ord long, tokens array<long>, n int")
+    monkeypatch.setattr(DD, "FEW_IDS", 9)  # ids go in parts, lists are joined by a shuffle
+    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if _jaccard(sets[a], sets[b]) >= 0.9}
+    assert want and {(r.a, r.b) for r in DD.jaccard_pairs(df, 0.9).collect()} == want
