@@ -372,10 +372,14 @@ def _verified(cand: DataFrame, sets: DataFrame, threshold: float, block: int = B
         least = cand.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("_g"))
         cand = stored(cand.join(least, "a", "left").withColumn("_g", F.coalesce("_g", "a")))
     ends = lambda x, *cols: x.select("a", "na", *cols).union(x.select("b", "nb", *cols)).toDF("id", "n", *cols).distinct()
-    sizes = (ends(cand, "_g").groupBy("_g").agg(F.sum("n").alias("_n")).join(cand.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")), "_g")
-             .select("_g", F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.sqrt(F.col("_m") / most))).alias("_blocks"), F.col("_m")))
-    own = lambda c: F.pmod(F.xxhash64(c), F.col("_blocks"))
-    pairs = stored(lookup_join(cand, sizes, "_g", count_col="_m").select("a", "b", "na", "nb", "_g", own("a").alias("_i"), own("b").alias("_j")))
+    m, tokens = cand.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("na") + F.col("nb")), F.lit(0))).first()
+    if m <= most and tokens <= block:  # no group can be larger
+        pairs = cand.withColumn("_i", F.lit(0)).withColumn("_j", F.lit(0))
+    else:
+        sizes = (ends(cand, "_g").groupBy("_g").agg(F.sum("n").alias("_n")).join(cand.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")), "_g")
+                 .select("_g", F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.sqrt(F.col("_m") / most))).alias("_blocks"), F.col("_m")))
+        own = lambda c: F.pmod(F.xxhash64(c), F.col("_blocks"))
+        pairs = stored(lookup_join(cand, sizes, "_g", count_col="_m").select("a", "b", "na", "nb", "_g", own("a").alias("_i"), own("b").alias("_j")))
     group = ["_g", "_i", "_j"]
     sent, n = stored_counted(ends(pairs, *group).drop("n"))
     met = sets.select("id", "tokens").join(_known(sent, n), "id")
